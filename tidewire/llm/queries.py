@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, topk, wavelet
+from . import exact_dedup, langid, near_dedup, packing, topk, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,14 @@ def op4_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(_table(spark, sf_dir, "documents"), words=3, num=85, den=100)
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -63,7 +71,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def queries() -> dict:
-    return {"op2_packing": op2_packing, "op4_wavelet": op4_wavelet, "op8_exact_dedup": op8_exact_dedup, "op10_topk": op10_topk}
+    return {"op2_packing": op2_packing, "op4_wavelet": op4_wavelet, "op5_near_dedup": op5_near_dedup, "op7_langid": op7_langid, "op8_exact_dedup": op8_exact_dedup, "op10_topk": op10_topk}
 
 
 def oracle_sql() -> dict[str, str]:
