@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: The token of a name that no user column has.
@@ -27,3 +31,15 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_parts(batches: Iterator[pa.RecordBatch], text_col: int, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each has about size bytes of text, or one row, so that few texts are Python strings at once."""
+    for batch in batches:
+        total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = int(total[start - 1]) if start else 0
+            end = max(start + 1, min(int(np.searchsorted(total, before + size, side="right")), start + 4096))
+            yield batch.slice(start, end - start)
+            start = end

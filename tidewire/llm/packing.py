@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import WordEncoder, slices
+from .common import small_parts
+from .tokens import encoder
 
 WINDOW = 1024
 #: Rests that wait until the programme runs, and that may go on waiting for better partners.
@@ -107,45 +108,45 @@ class Packer:
         self.waiting, self.count = {}, 0
 
 
-def _packed(encoder, window: int, end_id: int, batch_docs: int):
+def _packed(make, window: int, end_id: int, batch_docs: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        make, packer = encoder(), Packer(window, TaskContext.get().partitionId() * PER_PARTITION)
-        held: dict[int, tuple] = {}  # document -> its number, its ids, tokens not yet placed
+        encode, packer = make(), Packer(window, TaskContext.get().partitionId() * PER_PARTITION)
+        held: dict[int, list] = {}  # document -> its id, how many ids it has, where the ids not yet placed start, these ids
 
-        def out(pieces: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        def out(pieces: list[tuple]) -> Iterator[pa.RecordBatch]:
             rows = []
             for doc, start, length, sequence, offset in pieces:
-                name, ids, left = held[doc]
-                rows.append((name, start, length, ids[start : start + length].tobytes(), len(ids), sequence, offset))
-                if left == length:
+                name, tokens, base, ids = held[doc]
+                rows.append((name, start, length, ids[start - base : start - base + length].tobytes(), tokens, sequence, offset))
+                if start + length == tokens:
                     del held[doc]
-                else:
-                    held[doc] = name, ids, left - length
+            for doc in {p[0] for p in pieces} & held.keys():  # only the rest of a document waits
+                name, tokens, base, ids = held[doc]
+                rest = tokens - tokens % window
+                held[doc] = [name, tokens, rest, ids[rest - base :].copy()]
             for i in range(0, len(rows), 4096):
                 cols = list(zip(*rows[i : i + 4096], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 3 else pa.int64()) for k, c in enumerate(cols)], [x.split()[0] for x in PIECES.split(", ")])
 
         seen = waited = 0
-        for batch in batches:
-            names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
-                ids, sizes = make.ids(texts[a:b])
-                pieces = []
-                for name, own in zip(names[a:b], np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
-                    own = np.append(own, np.uint32(end_id)).astype("<u4")
-                    held[seen] = name, own, len(own)
-                    pieces += packer.add(seen, len(own))
-                    seen += 1
-                if packer.count >= waited + batch_docs:
-                    pieces += packer.exact()
-                    waited = packer.count
-                    if waited > 4 * batch_docs:  # rests that fit nothing don't pile up
-                        pieces += packer.rest()
-                        waited = 0
-                yield from out(iter(pieces))
-        yield from out(iter([*packer.exact(), *packer.rest()]))
+        for batch in small_parts(batches, 1):
+            ids, sizes = encode.ids([t or "" for t in batch.column(1).to_pylist()])
+            pieces: list[tuple] = []
+            for name, own in zip(batch.column(0).to_pylist(), np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+                own = np.append(own, np.uint32(end_id)).astype("<u4")
+                held[seen] = [name, len(own), 0, own]
+                pieces += packer.add(seen, len(own))
+                seen += 1
+            if packer.count >= waited + batch_docs:
+                pieces += packer.exact()
+                waited = packer.count
+                if waited > 4 * batch_docs:  # rests that fit nothing don't pile up
+                    pieces += packer.rest()
+                    waited = 0
+            yield from out(pieces)
+        yield from out([*packer.exact(), *packer.rest()])
 
     return pack
 
@@ -160,4 +161,4 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     docs, which should be a table or a staged frame.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    return rows.mapInArrow(_packed(lambda: WordEncoder(tokenizer_path, lower), window, end_id, batch_docs), PIECES)
+    return rows.mapInArrow(_packed(lambda: encoder(tokenizer_path, lower), window, end_id, batch_docs), PIECES)

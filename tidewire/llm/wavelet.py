@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder
-from .tokens import WordEncoder, slices
+from .common import shared_folder, small_parts
+from .tokens import encoder
 
 MAGIC = b"TWWM1"
 SHARD_TOKENS = 1 << 18
@@ -118,7 +118,7 @@ def _shards(make, end_id: int, shard_tokens: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, number, before = make(), TaskContext.get().partitionId(), 0, 0
+        words, part, number, before = make(), TaskContext.get().partitionId(), 0, 0
         names: list[int] = []
         ids: list[np.ndarray] = []
         held = 0
@@ -130,17 +130,14 @@ def _shards(make, end_id: int, shard_tokens: int):
             names, ids, number, before, held = [], [], number + 1, before + held, 0
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "shard", "before", "tokens", "docs", "file"])
 
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            own = batch.column(0).to_pylist()
-            for a, b in slices(texts):
-                found, sizes = encoder.ids(texts[a:b])
-                for name, x in zip(own[a:b], np.split(found, np.cumsum(sizes)[:-1]), strict=True):
-                    names.append(name)
-                    ids.append(np.append(x, np.uint32(end_id)))
-                    held += len(ids[-1])
-                    if held >= shard_tokens:
-                        yield shard()
+        for batch in small_parts(batches, 1):
+            found, sizes = words.ids([t or "" for t in batch.column(1).to_pylist()])
+            for name, x in zip(batch.column(0).to_pylist(), np.split(found, np.cumsum(sizes)[:-1]), strict=True):
+                names.append(name)
+                ids.append(np.append(x, np.uint32(end_id)))
+                held += len(ids[-1])
+                if held >= shard_tokens:
+                    yield shard()
         if names:
             yield shard()
 
@@ -157,7 +154,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     spread = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
-    files = spread.sortWithinPartitions("doc_id").mapInArrow(_shards(lambda: WordEncoder(tokenizer_path, lower), end_id, shard_tokens), "part int, shard int, before long, tokens long, docs long, file binary")
+    files = spread.sortWithinPartitions("doc_id").mapInArrow(_shards(lambda: encoder(tokenizer_path, lower), end_id, shard_tokens), "part int, shard int, before long, tokens long, docs long, file binary")
     files.write.parquet(folder)
 
 
