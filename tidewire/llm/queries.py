@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, near_dedup, packing, topk, wavelet
+from . import exact_dedup, html_diff, langid, mixing, near_dedup, packing, pii, topk, toxicity, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +21,19 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_diff.extract(_table(spark, sf_dir, "pages"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), window=1024, end_id=0)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = wavelet.token_folder(spark)
     wavelet.write_shards(_table(spark, sf_dir, "documents"), folder, _tokenizer("word_bpe_49k.json"), end_id=1)
@@ -36,6 +44,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_table(spark, sf_dir, "documents"), words=3, num=85, den=100)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal(_table(spark, sf_dir, "documents")))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +64,11 @@ FROM t WINDOW g AS (PARTITION BY norm)
 """
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_by_labels(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return mixed.select("doc_id", "tokens", *(f"p_{d}" for d in mixing.DOMAINS), "rate", "copies")
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -71,7 +88,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def queries() -> dict:
-    return {"op2_packing": op2_packing, "op4_wavelet": op4_wavelet, "op5_near_dedup": op5_near_dedup, "op7_langid": op7_langid, "op8_exact_dedup": op8_exact_dedup, "op10_topk": op10_topk}
+    found = (op1_html, op2_packing, op3_toxicity, op4_wavelet, op5_near_dedup, op6_pii, op7_langid, op8_exact_dedup, op9_mixing, op10_topk)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
