@@ -3,7 +3,8 @@
 The base patterns are matched on the text as it is. Then transducers rewrite disguises (look-alike characters, spelled
 digits, letters used as digits, at and dot in words or brackets) into plain characters, and keep for every character
 written the span of the source that it came from. The same patterns are matched on the rewritten text; matches that
-contain a rewritten part are mapped back to source offsets and added to the base spans, which always stay.
+contain a rewritten part are mapped back to source offsets and added to the base spans, which always stay. So are cards
+and phone numbers inside a base match that failed because it ran on into the next number.
 """
 
 from __future__ import annotations
@@ -90,6 +91,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+#: Identifiers inside a match that failed because it ran on into the next number.
+_WITHIN = {
+    "card": re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -]?[0-9]{1,3})?)(?![0-9])"),
+    "phone": re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9])"),
+}
+
+
+def _run_together(text: str) -> list[tuple[str, int, int]]:
+    """Cards and phone numbers within base matches that failed."""
+    out = []
+    for kind, inner in _WITHIN.items():
+        if kind == "phone" and "+" not in text:
+            continue
+        for m in PATTERNS[kind].finditer(text):
+            if m.end() - m.start() > 16 and not _valid(kind, m[0]):
+                out += [(kind, i.start(), i.end()) for i in inner.finditer(text, m.start(), m.end()) if _valid(kind, i[0])]
+    return out
+
+
 class Tape:
     """A rewritten text: characters with the source span of each and whether a transducer wrote it."""
 
@@ -155,12 +175,12 @@ def _hinted(text: str) -> bool:
 
 def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, spans added), each by kind, then start."""
-    base, added = base_spans(text), []
+    base, added = base_spans(text), _run_together(text)
     if _hinted(text) and (tape := _transduced(text)):
         for kind, a, b in base_spans(tape.text):
             start, end = tape.start[a], tape.end[b - 1]
             rewritten = any(tape.changed[a:b]) or end - start != b - a
-            if rewritten and not any(k == kind and s < end and start < e for k, s, e in base):
+            if rewritten and not any(k == kind and s < end and start < e for k, s, e in base + added):
                 added.append((kind, start, end))
     return base, added
 
