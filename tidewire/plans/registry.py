@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tidewire.plans import cash_queries
+
+MODULES = (cash_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, (f, _) in m.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
