@@ -4,7 +4,9 @@ full shingle sets, and connected components by alternating large-star and small-
 Documents with equal sets form a class, which its least id represents; only representatives are compared. A bucket of a
 band is never turned into all its pairs. First every member meets the bucket's least member and then its greatest, and
 confirmed links give components; of a bucket whose members are in one component nothing more can be learnt. Only for the
-others are pairs across different components compared. The components are those that all pairs would give.
+others are pairs across different components compared, and of these only the pairs that could be linked: a shingle that
+no other open document has can't be common, so the other shingles of both bound what the pair shares. The components are
+those that all pairs would give.
 """
 
 from __future__ import annotations
@@ -127,6 +129,21 @@ def _signed(words: int, bands: int, rows: int):
     return sign
 
 
+def _sets(words: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows doc_id, text -> doc_id, distinct shingles."""
+        shingle = Shingler(words)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in _runs(texts):
+                value, counts = shingle(texts[a:b])
+                own = [np.unique(x) for x in np.split(value, np.cumsum(counts)[:-1])]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).view(np.int64)))], ["doc_id", "shingles"])
+
+    return sets
+
+
 def _confirmed(words: int, num: int, den: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows a, b, text_a, text_b -> a, b of those that are linked. A batch makes each text's set once."""
@@ -209,19 +226,35 @@ def near_dedup(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, i
         """Members, with their components, of buckets in which several meet."""
         named = members.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         several = named.groupBy("band", "key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("band", "key")
-        return named.join(several, ["band", "key"], "left_semi")
+        return staged(named.join(several, ["band", "key"], "left_semi"), "open")
+
+    def merged(more: DataFrame) -> DataFrame:
+        """The components with those joined that more links tie; only the ties go through the stars again."""
+        of = lambda name: components.select(F.col("node").alias(name), F.col("component").alias(f"c_{name}"))
+        ties = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+        joined = staged(connected_components(ties), "ties")
+        known = components.join(joined.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+        return staged(known.unionByName(joined.join(components.select("node"), "node", "left_anti")), "components")
 
-    left = staged(open_members(), "open")
+    left = open_members()
     tops = left.select(F.col("doc_id").alias("high"), F.col("component").alias("top")).distinct()
     second = left.where("doc_id <> high").join(tops, "high").where("component <> top").select(F.col("doc_id").alias("a"), F.col("high").alias("b")).distinct()
-    links = links.unionByName(linked(sized(second), "high"))
-    components = staged(connected_components(links), "components")
-    left = staged(open_members(), "open")
-    other = left.select("band", "key", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    across = left.join(other, ["band", "key"]).where((F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("other")) & fits).select(F.col("doc_id").alias("a"), "b").distinct()
+    more = linked(sized(second), "high")
+    if not more.isEmpty():
+        components = merged(more)
+        left = open_members()
+    # How many shingles of each open document another one has.
+    shingles = texts.join(left.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles array<long>").select("doc_id", F.explode("shingles").alias("s"))
+    alone = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("doc_id")).where("k = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
+    ready = staged(left.select("band", "key", "doc_id", "n", "component").join(alone, "doc_id", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0))), "bounded")
+    # A document that shares too little of itself can be linked with none.
+    ready = ready.where(f"{den} * c >= {num} * n")
+    other = ready.select("band", "key", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("c").alias("d"))
+    possible = F.expr(f"{den} * least(c, d) >= {num} * (n + m - least(c, d))")
+    across = ready.join(other, ["band", "key"]).where((F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("other")) & possible).select(F.col("doc_id").alias("a"), "b").distinct()
     more = linked(across, "across")
     if not more.isEmpty():
-        components = staged(connected_components(links.unionByName(more)), "components")
+        components = merged(more)
     out = ranked.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     return out.withColumnRenamed("doc_id", id_col)
