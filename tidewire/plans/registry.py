@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewire.plans import cash_queries
+from tidewire.plans import cash_queries, event_queries
 
-MODULES = (cash_queries,)
+MODULES = (cash_queries, event_queries)
 
 
 def queries() -> dict:
