@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewire.plans import cash_queries, event_queries
+from tidewire.plans import cash_queries, event_queries, render_queries, source_queries
 
-MODULES = (cash_queries, event_queries)
+MODULES = (cash_queries, event_queries, source_queries, render_queries)
 
 
 def queries() -> dict:
