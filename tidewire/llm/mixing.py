@@ -28,25 +28,25 @@ STEPS, CLOSE = 12, 1e-3
 BINS = 8
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
-
-
 def _share_bin(part: Column, whole: Column) -> Column:
     """0 to BINS - 1, finer for small shares."""
     share = part / F.greatest(whole, F.lit(1))
     return F.least(F.lit(BINS - 1), F.ceil(F.sqrt(share) * BINS)).cast("int")
 
 
-def _features(text: Column, telling: dict[str, list[str]]) -> list[Column]:
-    """Bins of: signs, capitals, distinct words among all, telling words of each domain."""
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
-    signs = F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s.,]+", ""))
-    capitals = F.length(F.regexp_replace(text, r"[^\p{Lu}]+", ""))
-    words = F.split(text, " ")
-    distinct = F.array_distinct(words)
-    hits = [F.least(F.lit(BINS - 1), F.size(F.array_intersect(F.transform(distinct, lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}]+", ""))), F.array(*map(F.lit, telling[d])))) if telling[d] else F.lit(0)) for d in telling]
-    return [_share_bin(signs, F.length(text)), _share_bin(capitals, letters), _share_bin(F.size(distinct), F.size(words)), *hits]
+def _spelled(df: DataFrame, text: Column) -> DataFrame:
+    """df with what the features need, each computed once: counts of letters and capitals, distinct words, tokens."""
+    letters = F.regexp_replace(text, r"[^\p{L} ]+", "")
+    df = df.withColumn(f"{OWN}chars", F.length(text)).withColumn(f"{OWN}tokens", F.when(F.length(text) == 0, 0).otherwise(F.size(F.split(text, " "))).cast("long")).withColumn(f"{OWN}letters", letters)
+    capitals = F.length(f"{OWN}letters") - F.length(F.translate(F.col(f"{OWN}letters"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    return df.withColumns({f"{OWN}kept": F.length(f"{OWN}letters"), f"{OWN}capitals": capitals, f"{OWN}words": F.array_distinct(F.split(F.lower(f"{OWN}letters"), " "))}).drop(f"{OWN}letters")
+
+
+def _features(telling: dict[str, list[str]]) -> list[Column]:
+    """Bins of: characters that are no letters, capitals, distinct words among all, telling words of each domain."""
+    own = lambda name: F.col(f"{OWN}{name}")
+    hits = [F.least(F.lit(BINS - 1), F.size(F.array_intersect(own("words"), F.array(*map(F.lit, words))))) if words else F.lit(0) for words in telling.values()]
+    return [_share_bin(own("chars") - own("kept"), own("chars")), _share_bin(own("capitals"), own("kept")), _share_bin(F.size(own("words")), own("tokens")), *hits]
 
 
 class Classifier:
@@ -55,12 +55,16 @@ class Classifier:
     def __init__(self, domains: Sequence[str], telling: dict[str, list[str]], prior: np.ndarray, table: np.ndarray):
         self.domains, self.telling, self.prior, self.table = tuple(domains), telling, prior, table
 
-    def posteriors(self, text: Column) -> Column:
-        """An array with the posterior of each domain."""
-        bins = F.array(*_features(text, self.telling))
-        table = F.array(*(F.array(*(F.array(*(F.lit(float(round(x, 6))) for x in row)) for row in feature)) for feature in self.table))
-        at = lambda d: F.aggregate(F.arrays_zip(bins.alias("b"), table.alias("t")), F.lit(float(round(self.prior[d], 6))), lambda acc, x: acc + x["t"][x["b"]][d])
-        return F.array(*map(at, range(len(self.domains))))
+    def judged(self, df: DataFrame, text: Column) -> DataFrame:
+        """df with an array of the posterior of each domain, and the tokens."""
+        df = _spelled(df, text).withColumn(f"{OWN}bins", F.array(*_features(self.telling))).drop(f"{OWN}words")
+        look = lambda f, d: F.get(F.array(*(F.lit(float(round(x, 6))) for x in self.table[f, :, d])), F.get(f"{OWN}bins", F.lit(f)))
+        logs = [sum((look(f, d) for f in range(len(self.table))), F.lit(float(round(self.prior[d], 6)))) for d in range(len(self.domains))]
+        df = df.withColumn(f"{OWN}logs", F.array(*logs)).withColumn(f"{OWN}top", F.array_max(f"{OWN}logs"))
+        df = df.withColumn(f"{OWN}w", F.array(*(F.exp(F.get(f"{OWN}logs", F.lit(d)) - F.col(f"{OWN}top")) for d in range(len(self.domains)))))
+        total = sum((F.get(f"{OWN}w", F.lit(d)) for d in range(len(self.domains))), F.lit(0.0))
+        p = F.array(*(F.round(F.get(f"{OWN}w", F.lit(d)) / total, 9) for d in range(len(self.domains))))
+        return df.withColumn(f"{OWN}p", p).drop(*(f"{OWN}{c}" for c in ("chars", "kept", "capitals", "bins", "logs", "top", "w")))
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, domains: Sequence[str] = DOMAINS) -> Classifier:
@@ -75,7 +79,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: Sequence[str] =
     sample = staged(docs.join(F.broadcast(chosen), "doc_id").select("d", F.coalesce("text", F.lit("")).alias("text")), "mix-sample")
     have = {r["d"]: r["n"] for r in sample.groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(have.values())
-    counts = sample.select("d", F.explode(F.array_distinct(F.transform(F.array_distinct(F.split("text", " ")), lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}]+", ""))))).alias("w")).where(F.length("w") >= 3).groupBy("w").agg(*(F.count(F.when(F.col("d") == i + 1, 1)).alias(f"n{i}") for i in range(len(domains))), F.count(F.lit(1)).alias("n"))
+    spelled = _spelled(sample, F.col("text"))
+    counts = spelled.select("d", F.explode(f"{OWN}words").alias("w")).where(F.length("w") >= 3).groupBy("w").agg(*(F.count(F.when(F.col("d") == i + 1, 1)).alias(f"n{i}") for i in range(len(domains))), F.count(F.lit(1)).alias("n"))
     counts = counts.where("n >= 4")
     telling: dict[str, list[str]] = {}
     for i, name in enumerate(domains):
@@ -83,7 +88,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: Sequence[str] =
         odds = F.log((F.col(f"n{i}") + 0.5) / mine) - F.log((F.col("n") - F.col(f"n{i}") + 0.5) / others)
         best = counts.withColumn("odds", odds).where((F.col(f"n{i}") >= 4) & (F.col("odds") - 2 / F.sqrt(f"n{i}") > 1)).orderBy(F.desc("odds"), "w").limit(TELLING)
         telling[name] = [r["w"] for r in best.select("w").collect()]
-    features = sample.select("d", F.posexplode(F.array(*_features(F.col("text"), telling))).alias("f", "b")).groupBy("d", "f", "b").agg(F.count(F.lit(1)).alias("n")).collect()
+    features = spelled.select("d", F.posexplode(F.array(*_features(telling))).alias("f", "b")).groupBy("d", "f", "b").agg(F.count(F.lit(1)).alias("n")).collect()
     table = np.full((3 + len(domains), BINS, len(domains)), 0.5)
     for r in features:
         table[r["f"], r["b"], r["d"] - 1] += r["n"]
@@ -91,12 +96,6 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: Sequence[str] =
     return Classifier(domains, telling, prior - np.logaddexp.reduce(prior), np.log(table / table.sum(axis=1, keepdims=True)))
 
 
-def _normalised(logs: Column) -> Column:
-    top = F.array_max(logs)
-    weights = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(weights, lambda w: w / F.aggregate(weights, F.lit(0.0), lambda a, x: a + x))
-
-
 def rate_of(posterior: Column, moves: list[list[float]]) -> Column:
     """The rate that the moves so far give: from 1, each adds its dot product with the posterior, and 0 bounds it below."""
     if not moves:
@@ -143,10 +142,9 @@ def mix(docs: DataFrame, labels: DataFrame, weights: Sequence[float] = WEIGHTS,
     text = F.coalesce(F.col(text_col), F.lit(""))
     model = fit_classifier(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).where("doc_id is not null"), labels, domains)
     own = lambda name: f"{OWN}{name}"
-    tokens = F.when(F.length(text) == 0, 0).otherwise(F.size(F.split(text, " "))).cast("long")
-    judged = docs.withColumn(own("logs"), model.posteriors(text)).withColumn(own("tokens"), tokens)
-    judged = judged.withColumn(own("p"), F.transform(_normalised(F.col(own("logs"))), lambda x: F.round(x, 9)))
-    members = staged(judged.select(F.col(own("tokens")).alias("tokens"), F.col(own("p")).alias("p")), "mix-members")
+    # Judged once and written, so that neither the descent nor the result reads the texts' words again.
+    judged = staged(model.judged(docs, text), "mix-judged")
+    members = judged.select(F.col(own("tokens")).alias("tokens"), F.col(own("p")).alias("p"))
     total = members.agg(F.sum("tokens")).first()[0] or 0
     targets = [w / sum(weights) * budget * total for w in weights]
     moves = fit_rates(members, targets) if total else []
