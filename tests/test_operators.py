@@ -77,8 +77,8 @@ def test_nested_trees(spark, tree):
 def test_branches(spark):
     cases = [("T[1]/D[0]", "T[1]/D[0]/S[0]", True, 2), ("T[1]/L[0]", "T[1]/D[0]", True, 1), ("S[0]/A[0]", "T[0]", True, 0), ("S[1]", "T[0]", False, 0), ("T[0]", "T[1]", False, 0), ("T[0]/A[0]/B[0]", "T[0]/C[0]", False, 1), ("$", "T[0]", False, None)]
     df = spark.createDataFrame([(a, b) for a, b, *_ in cases], "a string, b string")
-    got = df.select(*entities.branch(F.col("a"), F.col("b"))).collect()
-    assert [(r[0], r[1] if c[3] is not None else None) for r, c in zip(got, cases, strict=True)] == [(c[2], c[3]) for c in cases]
+    got = df.select(*entities.branch(entities.path_parts(F.col("a")), entities.path_parts(F.col("b")))).collect()
+    assert [(r[0], r[1] if r[0] else None) for r in got] == [(c[2], c[3] if c[2] else None) for c in cases]
 
 
 def test_penalties(spark):

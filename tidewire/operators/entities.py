@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,17 +57,21 @@ def isin_of(blob: Column) -> tuple[Column, Column]:
     return F.regexp_extract(first, r"([A-Za-z0-9]{12})$", 1), F.nullif(F.array_join(rest, " "), F.lit(""))
 
 
-def branch(candidate: Column, instrument: Column) -> tuple[Column, Column]:
-    """(whether two paths are in one branch, how many leading parts they share): ancestor or self, siblings under one parent
-    occurrence, or, apart from the first part on, the same occurrence."""
-    a, b = F.split(candidate, "/"), F.split(instrument, "/")
-    least = F.least(F.size(a), F.size(b))
-    same = F.zip_with(F.slice(a, 1, least), F.slice(b, 1, least), lambda x, y: x == y)
-    differs = F.array_position(same, F.lit(False))  # from 1; 0 if none
-    shared = F.when(differs == 0, least).otherwise(differs - 1)
-    number = lambda p: F.regexp_extract(p[0], r"\[(\d+)\]$", 1)
-    inside = F.when(differs == 0, True).when(differs == 1, number(a) == number(b)).otherwise((F.size(a) == F.size(b)) & (differs == F.size(a)))
-    return F.when((candidate == "$") | (instrument == "$"), False).otherwise(inside), shared
+def path_parts(path: Column) -> Column:
+    """What branch needs of a sequence path: itself, its first part, that part's occurrence, all but its last part, its depth."""
+    first = F.substring_index(path, "/", 1)
+    return F.struct(path.alias("path"), first.alias("first"), F.regexp_extract(first, r"\[(\d+)\]$", 1).alias("occurrence"), F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise("").alias("parent"), F.size(F.split(path, "/")).alias("depth"))
+
+
+def branch(a: Column, b: Column) -> tuple[Column, Column]:
+    """(whether two paths are in one branch, how many leading parts they then share), from their path_parts: ancestor or self,
+    siblings under one parent occurrence, or, apart from the first part on, the same occurrence."""
+    x, y = a["path"], b["path"]
+    line = (x == y) | x.startswith(F.concat(y, F.lit("/"))) | y.startswith(F.concat(x, F.lit("/")))
+    siblings = (a["parent"] != "") & (a["parent"] == b["parent"])
+    cousins = (a["first"] != b["first"]) & (a["occurrence"] == b["occurrence"])
+    inside = F.when((x == "$") | (y == "$"), False).otherwise(line | siblings | cousins)
+    return inside, F.when(line, F.least(a["depth"], b["depth"])).when(siblings, a["depth"] - 1).otherwise(0)
 
 
 #: attribute -> (condition on entity and column, preference) in falling preference.
@@ -98,11 +103,12 @@ def security_events(values: DataFrame, field_rows: DataFrame, messages: DataFram
     facts = values.where("value is not null and value <> ''").select("message_id", "entity", "column", "seq_index", "value", "raw", "row_ord").unionByName(dates)
     wanted = [c for tests in LOOKUPS.values() for c, _ in tests] + ["column = '#date'", "entity = 'mt537_statement' and column = 'sender_reference'"]
     facts = facts.where(" or ".join(f"({c})" for c in wanted))
-    inside, shared = branch(F.col("seq_index"), F.col("at"))
-    joined = keyed.select("message_id", "row_seq", "at").join(facts, "message_id").withColumn("inside", F.coalesce(inside, F.lit(False))).withColumn("shared", shared)
+    inside, shared = branch(F.col("fact_path"), F.col("own_path"))
+    joined = keyed.select("message_id", "row_seq", "at", path_parts(F.col("at")).alias("own_path")).join(facts.withColumn("fact_path", path_parts(F.col("seq_index"))), "message_id").withColumn("inside", F.coalesce(inside, F.lit(False))).withColumn("shared", shared)
     root = F.col("seq_index") == "$"
     near = F.when(F.col("at").isNull(), F.lit(0)).when(F.col("inside"), F.col("shared") + 1).when(root, F.lit(0))
-    joined = joined.withColumn("near", near)
+    # What no lookup can use goes before the aggregation.
+    joined = joined.withColumn("near", near).drop("fact_path", "own_path").where("near is not null or column = 'sender_reference'")
 
     def look(tests: list, what: str) -> Column:
         rank = F.coalesce(*(F.when(F.expr(c), F.lit(p)) for c, p in tests))
@@ -127,6 +133,7 @@ def events_of(messages: DataFrame, catalog=rules.CATALOG) -> DataFrame:
     from . import structure
 
     spark = messages.sparkSession
-    rows = structure.field_rows(messages)
+    # Read by three branches of the plan; a lost executor's part is computed again from the messages.
+    rows = structure.field_rows(messages).select("message_id", "message_type", "field_seq", "tag", "value", "qualifier", "seq_index", "seq_path").persist(StorageLevel.MEMORY_AND_DISK)
     values = entity_values(rules.captured(rules.matched(rows, rules.rules(spark, catalog)), rules.compiled(spark, catalog)))
     return security_events(values, rows, messages)
