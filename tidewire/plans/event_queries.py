@@ -58,7 +58,7 @@ def r12_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.tag_coverage(structure.field_rows(bindings.mt540(spark, sf_dir)), rules.rules(spark)).select("message_id", "tags", "matched", "unknown")
 
 
-R12 = "SELECT 'mt540-' || o_orderkey AS message_id, 8 - CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 33 = 0 THEN 1 ELSE 0 END + 1 AS tags, 7 - CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS matched, CASE WHEN o_orderkey % 33 = 0 THEN '22F,23G,70E' ELSE '22F,23G' END AS unknown FROM orders"
+R12 = "SELECT 'mt540-' || o_orderkey AS message_id, CAST(8 - CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 33 = 0 THEN 1 ELSE 0 END + 1 AS BIGINT) AS tags, CAST(7 - CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS BIGINT) AS matched, CASE WHEN o_orderkey % 33 = 0 THEN '22F,23G,70E' ELSE '22F,23G' END AS unknown FROM orders"
 
 
 def v1_missing_required(spark: SparkSession, sf_dir: str) -> DataFrame:

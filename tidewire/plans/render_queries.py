@@ -87,7 +87,7 @@ def a12_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.file_report(found, structure.fields(found), structure.diagnostics(found))
 
 
-A12 = "SELECT 'nation' || c_nationkey || '.fin' AS name, 'MT940' AS message_type, count(*) AS messages, CAST(sum(5 + 2 * coalesce(n, 0)) AS BIGINT) AS fields, 0 AS diagnosed FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey GROUP BY c_nationkey"
+A12 = "SELECT 'nation' || c_nationkey || '.fin' AS name, 'MT940' AS message_type, count(*) AS messages, CAST(sum(5 + 2 * coalesce(n, 0)) AS BIGINT) AS fields, CAST(0 AS BIGINT) AS diagnosed FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey GROUP BY c_nationkey"
 
 
 def p2_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
