@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewire.llm import exact_dedup, html_diff, mixing, packing, pii, topk, toxicity, wavelet
 from tidewire.llm.queries import _tokenizer
@@ -212,3 +213,35 @@ def test_mixing(spark):
     assert np.allclose(rate, got.rate, atol=1e-6)
     assert (np.abs(got.copies - got.rate) < 1).all()
     assert mixing.mix_by_labels(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+
+
+def _totals(members, moves):
+    rows = members.select("tokens", "p", mixing.rate_of(F.col("p"), moves).alias("r")).toPandas()
+    p = np.array(rows.p.tolist())
+    return (rows.r * rows.tokens).to_numpy() @ p / rows.tokens.sum(), rows, p
+
+
+@pytest.mark.parametrize("shares", [(0.5, 0.4, 0.1), (0.2, 0.7, 0.1), (0.1, 0.2, 0.7)])
+def test_mixing_meets_targets_beyond_the_first_steps(spark, shares):
+    """Soft posteriors far from the targets: most rates are clipped at 0."""
+    r = np.random.default_rng(5)
+    logs = np.eye(3)[r.choice(3, 3000, p=shares)] * 2 + r.normal(size=(3000, 3)) * 2
+    p = np.exp(logs) / np.exp(logs).sum(axis=1, keepdims=True)
+    members = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(r.integers(1, 500, 3000), p, strict=True)], "tokens long, p array<double>")
+    total = members.agg(F.sum("tokens")).first()[0]
+    moves = mixing.fit_rates(members, [w * total for w in mixing.WEIGHTS])
+    assert np.abs(_totals(members, moves[: mixing.STEPS])[0] - mixing.WEIGHTS).max() > mixing.CLOSE
+    assert np.abs(_totals(members, moves)[0] - mixing.WEIGHTS).max() <= mixing.CLOSE * 0.85
+
+
+def test_mixing_warns_of_targets_out_of_reach(spark):
+    """All posteriors between 0.2 and 0.6: the rated totals are the closest, by the conditions of the optimum."""
+    r = np.random.default_rng(6)
+    p = 0.2 + 0.4 * r.dirichlet([1, 1, 1], 500)
+    members = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(r.integers(1, 500, 500), p, strict=True)], "tokens long, p array<double>")
+    total = members.agg(F.sum("tokens")).first()[0]
+    with pytest.warns(UserWarning, match="no rates reach the targets"):
+        moves = mixing.fit_rates(members, [w * total for w in mixing.WEIGHTS])
+    got, rows, p = _totals(members, moves)
+    pull = p @ (got - mixing.WEIGHTS)
+    assert pull.min() > -1e-3 and np.abs(pull[rows.r > 0]).max() < 1e-3 and np.isfinite(rows.r).all()
