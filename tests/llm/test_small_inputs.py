@@ -144,6 +144,30 @@ def test_pii(spark, docs):
     assert pii.find_personal(docs).count() == len(given(docs))
 
 
+def _cut(text):
+    return [text[a:b] for _, a, b in pii.all_spans(text)[1]]
+
+
+def test_pii_letters_apart_from_digits():
+    assert _cut("call +1 555 OOO 1234") == ["+1 555 OOO 1234"]
+    assert _cut("card 4111 1111 llll 1111 here") == ["4111 1111 llll 1111"]
+    assert _cut("host 1O.0.0.1, or 192.16.O.l") == ["1O.0.0.1", "192.16.O.l"]
+    assert _cut("write john.doe at example\tdot\tcom") == ["john.doe at example\tdot\tcom"]
+    assert _cut("+1 ſix ſix FİVE five nıne two three four ſix ſix") == ["+1 ſix ſix FİVE five nıne two three four ſix ſix"]
+    assert _cut("version 1.0.0.1, oil or lol 12 ill.") == []
+
+
+def test_pii_hint_misses_nothing(monkeypatch):
+    r = random.Random(11)
+    parts = ["+1 555 OOO 1234", "4111 1111 llll 1111", "1O.0.0.1", "l.2.3.4", "plus", "one", "Five,", "ſix", "nıne", "at", "dot", "com", "example", "(at)", "[dot]", "jоhn", "²", "\xad", "О", "12", "3", "4111", "OO", "l", "(", ")", ".", "-", "_", "of", "Il", "été"]
+    texts = ["".join(x + r.choice(["", " ", " ", "\t", "\n", "-", ", "]) for x in r.choices(parts, k=r.randint(1, 14))) for _ in range(20_000)]
+    texts += [r.choice(["one ", "ſix ", "nıne-", "SİX\n"]) * r.randint(6, 12) for _ in range(200)]
+    got = [pii.all_spans(t) for t in texts]
+    monkeypatch.setattr(pii, "_hinted", lambda t: True)
+    assert got == [pii.all_spans(t) for t in texts]
+    assert sum(len(added) for _, added in got) > 1000
+
+
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><nav><ul><li>x</ul></nav>{}<article><h1>A &amp; B</h1><p>one\n two<b>x</b></p><script>var t='</p>'</script><div class='comments'><p>me too</p></div></article><footer>f</footer></body></html>"
     rows = [(1, "http://h.org/a/1", page.format("<div>Site line</div>")), (2, "http://h.org/a/2", page.format("<div>Site line</div><p>own &lt;")), (3, "http://other.org/", page.format("<div>Site line</div>")), (4, None, None), (4, None, ""), (None, "x", "<p>a<br>b")]

@@ -58,9 +58,13 @@ _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 _SPELLED_RUN = re.compile(rf"(?<![^\W_])(?:{_WORD})(?:[\s,-]{{1,3}}(?:{_WORD})){{6,}}(?![^\W_])", re.I)
 _AT = r"\s{0,2}[\[({<]\s?(?:at|arroba|@)\s?[\])}>]\s{0,2}"
 _DOT = r"\s{0,2}[\[({<]\s?(?:dot|punkt|punto|point|\.)\s?[\])}>]\s{0,2}"
+# What re.I takes for letters of these words and lower() leaves.
+_CASELESS = str.maketrans("ſıİ", "sii")
 _BRACKETED = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.I)
 _SAID = re.compile(r"(?<![^\s])(?P<user>[A-Za-z0-9._%+-]{1,64})\s+at\s+(?P<host>[A-Za-z0-9-]{1,63}(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]{1,63}){0,4}\s+dot\s+(?:com|org|net|edu|gov|mil|info|biz|io|co|ai|app|dev|de|at|ch|fr|be|es|mx|it|nl|eu|uk|us|ca|ru|cn|jp|br))(?![^\W_])", re.I)
 _LETTER_DIGITS = re.compile(r"(?<![A-Za-z0-9])\+?[0-9OolI](?:[ .()-]{0,2}[0-9OolI]){8,22}(?![A-Za-z0-9])")
+#: Short addresses, which have fewer digits than a run.
+_LETTER_IP = re.compile(r"(?<![A-Za-z0-9])[0-9OolI]+(?:\.[0-9OolI]+){3}(?![A-Za-z0-9])")
 _AS_DIGIT = {"O": "0", "o": "0", "l": "1", "I": "1"}
 
 
@@ -140,15 +144,20 @@ def _digits(run: str) -> str | None:
     return "".join(_AS_DIGIT.get(c, c) for c in run) if like and real >= 2 * like else None
 
 
+def _letter_digits(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int, str]]:
+    return ((m.start(), m.end(), d) for m in pattern.finditer(text) if (d := _digits(m[0])))
+
+
 def _transduced(text: str) -> Tape | None:
     """The text without its disguises, or None if it has none."""
     tape = Tape(text)
     steps = (
         lambda t: [(m.start(), m.end(), _glyph(m[0])) for m in _GLYPH.finditer(t)],
         lambda t: [(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKETED.finditer(t)] if _BRACKETED.search(t) else [],
-        lambda t: [x for m in _SAID.finditer(t) for x in ((m.end("user"), m.start("host"), "@"), *((m.start("host") + d.start(), m.start("host") + d.end(), ".") for d in re.finditer(r"\s+dot\s+", m["host"], re.I)))] if " dot " in t.lower() else [],
-        lambda t: [(m.start(), m.end(), "".join(SPELLED[w.lower()] for w in re.findall(_WORD, m[0], re.I))) for m in _SPELLED_RUN.finditer(t)],
-        lambda t: [(m.start(), m.end(), d) for m in _LETTER_DIGITS.finditer(t) if (d := _digits(m[0]))],
+        lambda t: [x for m in _SAID.finditer(t) for x in ((m.end("user"), m.start("host"), "@"), *((m.start("host") + d.start(), m.start("host") + d.end(), ".") for d in re.finditer(r"\s+dot\s+", m["host"], re.I)))] if "dot" in t.lower().split() else [],
+        lambda t: [(m.start(), m.end(), "".join(SPELLED[w.translate(_CASELESS).lower()] for w in re.findall(_WORD, m[0], re.I))) for m in _SPELLED_RUN.finditer(t)],
+        lambda t: list(_letter_digits(t, _LETTER_DIGITS)),
+        lambda t: list(_letter_digits(t, _LETTER_IP)),
     )
     for step in steps:
         if edits := step(tape.text):
@@ -157,19 +166,19 @@ def _transduced(text: str) -> Tape | None:
 
 
 _LATIN_GLYPH = re.compile("[\xad²³¹]")
-_NEXT_TO_DIGIT = re.compile("[0-9][OolI]|[OolI][0-9]")
 _APART = str.maketrans(",-", "  ")
 
 
 def _hinted(text: str) -> bool:
-    """Whether a transducer could find something; quick, and true rather too often."""
+    """Whether a transducer could find something: true at least wherever the first of them to change text would do so."""
     if not text.isascii() and (_GLYPH if max(text) > "\xff" else _LATIN_GLYPH).search(text):
         return True
     if any(c in text for c in "[({<") and _BRACKETED.search(text):
         return True
-    if _NEXT_TO_DIGIT.search(text):
+    if any(_letter_digits(text, _LETTER_DIGITS)) or any(_letter_digits(text, _LETTER_IP)):
         return True
-    words = text.lower().translate(_APART).split()
+    plain = text if text.isascii() else text.translate(_CASELESS)
+    words = plain.lower().translate(_APART).split()
     return "dot" in words or not SPELLED.keys().isdisjoint(words)
 
 
