@@ -28,6 +28,22 @@ def test_statement_lines(spark):
     assert cash.verdicts(heads, rows).first()["reconciles"]
 
 
+def test_limits_are_recorded_and_cash_is_whole(spark):
+    lines = [":61:2605010501C1,NTRFREF\n:86:x"] * (structure.MAX_FIELDS // 2)
+    hot = fin("\n".join([":20:S", ":25:A", ":60F:C260501EUR0,", *lines, f":62F:C260503EUR{len(lines)},"]))
+    heavy = fin(":20:S\n:25:A\n:60F:C260501EUR0,\n:61:2605010501C1,NTRFREF\n:86:" + "x" * structure.MAX_BLOCK_BYTES + "\n:62F:C260503EUR1,")
+    huge = heavy.replace("\n:62F", "x" * (structure.MAX_MESSAGE_BYTES - structure.MAX_BLOCK_BYTES) + "\n:62F")
+    m = messages(spark, hot, heavy, huge, "{1:F01{2:I537}", "{1:F01}{2:I537}{3:{108:x}}{4:\n:20:{a:\n-}{5:{CHK:1}}", "{1:a}{4:\n{5:b", kind="MT940")
+    found = sorted((r.message_id, r.kind, r.detail) for r in structure.diagnostics(m).collect())
+    size = len(heavy) - heavy.index("{4:")
+    assert found == [("m0", "limit_fields", "10001"), ("m1", "limit_block_bytes", str(size)), ("m2", "limit_message_bytes", str(len(huge))), ("m3", "unclosed_block", ""), ("m5", "unclosed_text_block", "")]
+    kept = {r.message_id: r["count"] for r in structure.fields(m).groupBy("message_id").count().collect()}
+    assert kept == {"m0": structure.MAX_FIELDS, "m4": 1}
+    heads, rows = cash.cash_star(m.where("message_id in ('m0', 'm1', 'm2')"))
+    got = {r.message_id: (r.net, r.reconciles) for r in cash.verdicts(heads, rows).collect()}
+    assert got == {"m0": (float(len(lines)), True), "m1": (1.0, True), "m2": (1.0, True)}
+
+
 def test_paths_and_defects(spark):
     body = fin("lost\n:16R:A\n:16R:B\n:20C::SEME//X\n  two\n:16S:B\n:16R:B\n:16S:C\n:bad line\n:16S:B\n:16S:A\n:16R:A")
     rows = structure.with_paths(structure.walked(structure.fields(messages(spark, body, "", "no blocks", "{4:\n"))))

@@ -66,8 +66,8 @@ def statements(flat: DataFrame) -> DataFrame:
 
 
 def cash_star(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(statement rows, entry rows with the statement's account and currency)."""
-    flat = structure.fields(messages)
+    """(statement rows, entry rows with the statement's account and currency); statements are read whole, without limits."""
+    flat = structure.fields(messages, limits=False)
     heads = statements(flat)
     return heads, entries(flat).join(heads.select("message_id", "account", "currency"), "message_id", "left")
 

@@ -49,14 +49,17 @@ def qualifier(value: Column) -> Column:
     return F.nullif(F.regexp_extract(value, r"^:([A-Za-z0-9]{4})//", 1), F.lit(""))
 
 
-def fields(messages: DataFrame, text: str | None = None) -> DataFrame:
-    """message_id, message_type, field_seq, tag, value of block 4 in order; text before the first tag line is no field."""
+def fields(messages: DataFrame, text: str | None = None, limits: bool = True) -> DataFrame:
+    """message_id, message_type, field_seq, tag, value of block 4 in order; text before the first tag line is no field. What lies
+    beyond the limits is left out, and diagnostics has a row for it; without limits all fields are kept."""
     source = blocks(messages) if text is None else messages.withColumn("block4", F.col(text))
-    pieces = source.where("block4 is not null and octet_length(body) <= %d" % MAX_MESSAGE_BYTES).select("message_id", "message_type", F.posexplode(F.split("block4", r"\n(?=:[A-Za-z0-9]{2,4}:)")).alias("place", "piece"))
+    within = "octet_length(body) <= %d and octet_length(block4) + 5 <= %d" % (MAX_MESSAGE_BYTES, MAX_BLOCK_BYTES) if limits else "true"
+    pieces = source.where(f"block4 is not null and {within}").select("message_id", "message_type", F.posexplode(F.split("block4", r"\n(?=:[A-Za-z0-9]{2,4}:)")).alias("place", "piece"))
     tag = F.regexp_extract("piece", r"^:([A-Za-z0-9]{2,4}):", 1)
     rows = pieces.select("message_id", "message_type", "place", tag.alias("tag"), "piece").where("tag <> ''")
     order = Window.partitionBy("message_id").orderBy("place")
-    return rows.select("message_id", "message_type", (F.row_number().over(order) - 1).cast("long").alias("field_seq"), "tag", trimmed(F.expr("substring(piece, length(tag) + 3)")).alias("value")).where(F.col("field_seq") < MAX_FIELDS)
+    numbered = rows.select("message_id", "message_type", (F.row_number().over(order) - 1).cast("long").alias("field_seq"), "tag", trimmed(F.expr("substring(piece, length(tag) + 3)")).alias("value"))
+    return numbered.where(F.col("field_seq") < MAX_FIELDS) if limits else numbered
 
 
 #: State of the walk: the open sequences, how often each has begun under its parents, and the rows.
@@ -205,10 +208,18 @@ def diagnostics(messages: DataFrame) -> DataFrame:
     bare = messages.where(F.col("body").rlike(r"\{[^:{}]*\}")).selectExpr("message_id", "'missing_block_separator' as kind", "'' as detail")
     bad_line = F.filter(F.split("block4", "\n"), lambda x: x.startswith(":") & ~x.rlike("^:[A-Za-z0-9]{2,4}:"))
     malformed = b.where("block4 is not null").select("message_id", F.explode(bad_line).alias("detail")).selectExpr("message_id", "'malformed_field_tag' as kind", "detail")
+    observed = F.greatest(*(F.octet_length(f"block{i}") + (5 if i == 4 else 4) for i in range(1, 6)))
+    wide = b.where((F.octet_length("body") <= MAX_MESSAGE_BYTES) & (observed > MAX_BLOCK_BYTES)).select("message_id", F.lit("limit_block_bytes").alias("kind"), observed.cast("string").alias("detail"))
+    # Other blocks close by braces; none is read after a block 4 that isn't closed.
+    others = F.regexp_replace(F.regexp_replace("body", r"(?s)\{4:.*?-\}", ""), r"(?s)\{4:.*", "")
+    inner = F.regexp_replace(F.regexp_replace(others, r"\{[^{}]*\}", ""), r"\{[^{}]*\}", "")
+    open_other = messages.where(inner.rlike(r"\{[^:{}]*:")).selectExpr("message_id", "'unclosed_block' as kind", "'' as detail")
+    whole = fields(messages.where(F.octet_length("body") <= MAX_MESSAGE_BYTES), limits=False)
+    many = whole.where(F.col("field_seq") == MAX_FIELDS).selectExpr("message_id", "'limit_fields' as kind", "cast(field_seq + 1 as string) as detail")
     rows = walked(fields(messages))
     ends = rows.where("problem is not null").selectExpr("message_id", "if(problem = 'depth', 'limit_sequence_depth', 'mismatched_sequence_end') as kind", "value as detail")
     unclosed = rows.where("size(unclosed) > 0").select("message_id", "unclosed").distinct().select("message_id", F.explode("unclosed").alias("u")).selectExpr("message_id", "'unclosed_sequence' as kind", "regexp_replace(u, '\\\\[[0-9]+\\\\]$', '') as detail")
     out = big
-    for more in (open4, bare, malformed, ends, unclosed):
+    for more in (open4, open_other, wide, many, bare, malformed, ends, unclosed):
         out = out.unionByName(more)
     return out
