@@ -45,7 +45,6 @@ def _ids(name, texts, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(_tokenizer(name))
-    t.encode_special_tokens = True
     return [np.array([*e.ids, end], "<u4") for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -94,18 +93,28 @@ def test_wavelet(spark, docs, tmp_path):
         want.append((i, start, len(x), x.tobytes()))
         start += len(x)
     assert got == sorted(want)
+    assert len(list((tmp_path / "shards").glob("*.parquet"))) == spark.read.parquet(folder).count() >= 3  # a file per shard
+    ids = {i: np.frombuffer(x, "<u4").tolist() for i, _, _, x in want if i != 99}
+    some = [1, 320, 49407]
+    places = sorted((t, i, k) for t in some for i, x in ids.items() for k in range(len(x)) if x[k] == t)
+    assert sorted(tuple(r) for r in wavelet.occurrences(spark, folder, some).where("doc_id <> 99").collect()) == places
+    assert {r.token: r.n for r in wavelet.counts(spark, folder, some).collect()} == {t: sum(np.frombuffer(x, "<u4").tolist().count(t) for *_, x in want) for t in some}
     wavelet.write_shards(docs.limit(0), f"{folder}-none", _tokenizer("word_bpe_49k.json"))
     assert wavelet.read_shards(spark, f"{folder}-none").count() == 0
 
 
-def test_wavelet_lookup():
-    ids = np.random.default_rng(1).integers(0, 50, 999)
-    m = wavelet.WaveletMatrix(wavelet.encode(ids, np.array([1]), np.array([999])))
-    assert m.all().tolist() == ids.tolist() == [m.access(i) for i in range(999)]
-    for token in (0, 7, 49, 50, 1 << 20):
+@pytest.mark.parametrize(("top", "n"), [(50, 999), (1, 1), (70_000, 20_000), (2, 1536), (3, 0)])
+def test_wavelet_lookup(top, n):
+    ids = np.random.default_rng(1).integers(0, top, n)
+    m = wavelet.WaveletMatrix(wavelet.encode(ids, np.array([1]), np.array([n])))
+    places = np.arange(0, n, 7)
+    assert m.all().tolist() == ids.tolist() and m.access(places).tolist() == ids[places].tolist()
+    # A bit per id and plane and a sixteenth of it for the counts, but for the last block.
+    assert m.nbytes <= m.bits * (n / 8 * 17 / 16 + 80)
+    for token in (0, 7, 49, 50, 1 << 20, *ids[:3].tolist()):
         where = np.flatnonzero(ids == token).tolist()
-        assert [m.select(token, k) for k in range(len(where) + 1)] == [*where, -1]
-        assert m.rank(token) == len(where) and m.rank(token, 500) == sum(w < 500 for w in where)
+        assert m.select(token).tolist() == where and m.select(token, [len(where), 0, -1]).tolist() == [-1, where[0] if where else -1, -1]
+        assert m.rank(token) == len(where) and m.rank(token, n // 2) == sum(w < n // 2 for w in where)
 
 
 def test_top_k(spark):

@@ -3,7 +3,9 @@
 Both kinds of vocabulary used here cut a text into words before they merge, and always cut between a run of letters and
 what is no letter (but for apostrophes) and before a space that follows no white space. So a text is cut there, each
 distinct part is encoded once and remembered, and a text's ids are its parts' ids in order: the ids that the library
-gives for the whole text.
+gives for the whole text. A part of Latin-1 letters alone is one word, which goes to the library's merges directly; any
+other goes through the whole tokenizer, and so does the whole of a text that spells a special token, which the library
+takes for that token.
 """
 
 from __future__ import annotations
@@ -22,6 +24,9 @@ _ODD_SPACES = ("  ", " \n", "\n ", "\n\n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _PARTS = re.compile(f" ?[{_LETTER}]++(?!')| ?[^{_LETTER}' ]++(?!')| ?[^ ]+| ")
+#: How byte-level vocabularies write a byte: printable ones as they are, the others as the characters from 256 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE = {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)) - _SHOWN))}
 
 
 class _Places(dict):
@@ -44,7 +49,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.lower = Tokenizer.from_file(path), lower
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -66,19 +71,34 @@ class WordEncoder:
         self.flat = flat[np.repeat(starts[kept] - (ends - size), size) + np.arange(int(size.sum()))]
         self.uses = np.minimum(uses[kept], 1000) // 2
 
+    def _word(self, part: str) -> str | None:
+        """The part as the merges see it, if it is one word of Latin-1 letters."""
+        core = part[1:] if part[0] == " " else part
+        if not core.isalpha() or (self.lower and not core.islower()):
+            return None
+        if not core.isascii():
+            if max(core) > "\xff":
+                return None
+            core = core.encode().decode("latin-1").translate(_BYTE)
+        return core if self.lower or part[0] != " " else _BYTE[32] + core
+
     def _learn(self) -> None:
         new, self.places.new = self.places.new, []
-        sizes, ids = [self.starts], [self.flat]
-        for i in range(0, len(new), 8192):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new[i : i + 8192], add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-            ids.append(np.fromiter(itertools.chain.from_iterable(found), np.uint32))
-        more = np.concatenate(sizes[1:]) if new else np.zeros(0, np.int64)
+        merged = self.tokenizer.model.tokenize
+        found = [[t.id for t in merged(w)] if (w := self._word(p)) else None for p in new]
+        others = [i for i, x in enumerate(found) if x is None]
+        for i in range(0, len(others), 8192):
+            own = others[i : i + 8192]
+            for k, e in zip(own, self.tokenizer.encode_batch_fast([new[k] for k in own], add_special_tokens=False), strict=True):
+                found[k] = e.ids
+        more = np.fromiter(map(len, found), np.int64, len(found))
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(more)])
-        self.flat = np.concatenate(ids)
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(more.sum()))])
         self.chars += sum(map(len, new))
 
     def _split(self, text: str) -> list[str]:
+        if any(x in text for x in self.special):
+            return [text]
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
