@@ -2,6 +2,7 @@
 
 import random
 
+from tidewire.llm import near_dedup as near_module
 from tidewire.llm.components import connected_components
 from tidewire.llm.near_dedup import near_dedup
 
@@ -52,11 +53,57 @@ def test_brute_force(spark):
         assert got == want, (k, sorted(got - want)[:9], sorted(want - got)[:9])
 
 
+def test_large_group_about_the_threshold(spark, monkeypatch):
+    """Near copies of one text, each changed in up to ten places, their pairs on both sides of the threshold; and copies of
+    a second text that is half the first. Every component is as brute force has it, and few pairs are looked at."""
+    r = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    first = [r.choice(vocabulary) for _ in range(150)]
+    second = first[:75] + [r.choice(vocabulary) for _ in range(75)]
+    rows = []
+    for n in range(600):
+        words = list(first if n % 3 else second)
+        for _ in range(r.randint(1, 10)):
+            words[r.randrange(150)] = r.choice(vocabulary)
+        rows.append((n, " ".join(words)))
+    looked = []
+    possible = near_module._possible
+    monkeypatch.setattr(near_module, "_possible", lambda *a: looked.append(possible(*a)) or looked[-1])
+    got = {tuple(x) for x in near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), words=3, num=85).collect()}
+    want = brute(rows, 3, 85, 100)
+    assert got == want and 20 < len({c for _, _, c, _ in want}) < 580
+    assert sum(x.count() for x in looked) < 2 * len(rows)
+
+
+def test_prefixes_find_what_hubs_dont(spark):
+    """Differences from a hub, for every hub of a group: a pair that is linked, but not with the hub, shares a prefix."""
+    r = random.Random(4)
+    base = [f"w{r.randrange(4000)}" for _ in range(60)]
+    kin = [list(base) for _ in range(8)]
+    for words in kin:
+        for at in r.sample(range(60), 4):
+            words[at] = f"k{r.randrange(4000)}"
+    rows = []
+    for n in range(90):
+        words = list(r.choice([*kin, base]))
+        for at in r.sample(range(60), r.randint(0, 3)):
+            words[at] = f"m{r.randrange(40)}"
+        rows.append((n, " ".join(words)))
+    sets = {i: {tuple(t.split()[j : j + 3]) for j in range(58)} for i, t in rows}
+    linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    hubs = (0, 17, 44)
+    members = [(i, h, len(sets[i]), 1, h if linked(i, h) else 1000 + i) for h in hubs for i in sets]
+    given = spark.createDataFrame(members, "row long, hub long, n long, deals long, component long")
+    found = {(x.a, x.b) for x in near_module._possible(given, spark.createDataFrame(rows, "row long, text string"), 3, 80, 100).collect()}
+    want = {(a, b) for h in hubs for a in sets for b in sets if a < b and linked(a, b) and not (linked(a, h) and linked(b, h))}
+    assert want <= found and len(want) > 100 and len(found) < 90 * 89 / 2 * 0.7
+
+
 def test_empty_null_and_repeated(spark):
     schema = "doc_id long, text string"
     assert near_dedup(spark.createDataFrame([], schema)).count() == 0
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")]
-    assert sorted(map(tuple, near_dedup(spark.createDataFrame(rows, schema)).collect()))[-1][:3] == (2, 2, 1)
+    assert sorted(map(tuple, near_dedup(spark.createDataFrame(rows, schema)).collect())) == [(1, 2, 1, False), (1, 2, 1, True), (2, 2, 1, False)]
 
 
 def test_components(spark):

@@ -10,15 +10,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The token of a name that no user column has.
 OWN = "__tw_"
+#: The key that tells rows apart, also such that repeat an id.
+ROW = f"{OWN}row"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a fresh one if Spark runs in this
+    process alone; on a cluster that is an error, since no other machine would see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not (master.startswith("local[") or master == "local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -33,6 +40,17 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """docs with a number for every row in the column ROW; written, so that a row keeps its number."""
+    return staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
+    """row, doc_id, text of the rows with an id. row_col tells rows apart; where there is none, rows are numbered."""
+    picked = docs.select(*([F.col(row_col).alias("row")] if row_col else []), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    return picked if row_col else with_rows(picked).withColumnRenamed(ROW, "row")
+
+
 def small_parts(batches: Iterator[pa.RecordBatch], text_col: int, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each has about size bytes of text, or one row, so that few texts are Python strings at once."""
     for batch in batches:

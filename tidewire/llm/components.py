@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from .common import staged
 
 
-def _star(edges: DataFrame, least: DataFrame) -> DataFrame:
-    return edges.join(least, "u")
-
-
 def _large(edges: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to the least of its neighbours and itself."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -1,12 +1,20 @@
 """Near-duplicate detection: MinHash with many universal hash functions, banding, signature verification, confirmation on
 full shingle sets, and connected components by alternating large-star and small-star.
 
-Documents with equal sets form a class, which its least id represents; only representatives are compared. A bucket of a
-band is never turned into all its pairs. First every member meets the bucket's least member and then its greatest, and
-confirmed links give components; of a bucket whose members are in one component nothing more can be learnt. Only for the
-others are pairs across different components compared, and of these only the pairs that could be linked: a shingle that
-no other open document has can't be common, so the other shingles of both bound what the pair shares. The components are
-those that all pairs would give.
+Rows with equal sets form a class, which its least row represents; only representatives are compared. A bucket of a band
+is never turned into all its pairs. Every bucket has a hub, the member that meets most others in all buckets, and each
+member is compared with the hub. Confirmed links give components; around a hub all of whose members are in one component
+nothing more can be learnt. The members around the other hubs are described by how their sets differ from the hub's:
+
+- A member of whose shingles fewer than the threshold's share are found in any other such member is linked with none.
+- Two members differ by |A| + |B| - 2 |A and B|, where A and B are their differences from the hub. They are linked only
+  if that is small against their sizes, so A and B must have a number of shingles in common, at least one unless both are
+  linked with the hub, that follows from |A|, |B| and the sizes.
+- So, with the shingles of differences in order of how many of the hub's members have them, the prefixes of A and B that
+  are one longer than what may be missing share a shingle. Members that share none are never paired; those that do are
+  paired if what is left behind the shared place can still suffice.
+
+The components are those that all pairs of all buckets would give.
 """
 
 from __future__ import annotations
@@ -15,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import keyed, staged
 from .components import connected_components
 
 ROWS, BANDS = 4, 28
@@ -28,6 +36,10 @@ SLACK = 0.22
 
 _MULTIPLY, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(32)
 _PRIME = np.uint64(0x100000001B3)
+#: Rows of one key that a task should meet at most; a key with more is dealt over several tasks.
+DEALT = 2048
+#: Tasks that a key of unknown weight is dealt over.
+SALTS = 16
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -95,7 +107,7 @@ def _runs(texts: list[str], chars: int = 400_000):
         yield start, len(texts)
 
 
-SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, signature binary"
+SIGNED = "row long, n_shingles long, s1 long, s2 long, bands array<long>, signature binary"
 
 
 def _signed(words: int, bands: int, rows: int):
@@ -123,7 +135,7 @@ def _signed(words: int, bands: int, rows: int):
                 keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)), pa.array(key[some].reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [names.slice(a, b - a).cast(pa.int64()), pa.array(sizes), *(pa.array(s.view(np.int64)) for s in sums), keys, pa.array([x.tobytes() for x in least], pa.binary())],
-                    ["doc_id", "n_shingles", "s1", "s2", "bands", "signature"],
+                    ["row", "n_shingles", "s1", "s2", "bands", "signature"],
                 )
 
     return sign
@@ -131,7 +143,7 @@ def _signed(words: int, bands: int, rows: int):
 
 def _sets(words: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows doc_id, text -> doc_id, distinct shingles."""
+        """Rows row, text -> row, distinct shingles."""
         shingle = Shingler(words)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -139,28 +151,33 @@ def _sets(words: int):
                 value, counts = shingle(texts[a:b])
                 own = [np.unique(x) for x in np.split(value, np.cumsum(counts)[:-1])]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).view(np.int64)))], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).view(np.int64)))], ["row", "shingles"])
 
     return sets
 
 
+def _set_pairs(batch: pa.RecordBatch, shingle: Shingler) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sets of both texts of each row a, b, text_a, text_b; each text's set is made once a batch."""
+    a, b = (batch.column(i).to_pylist() for i in (0, 1))
+    texts: dict[int, str] = {}
+    for ids, col in ((a, batch.column(2)), (b, batch.column(3))):
+        for at, name in enumerate(ids):
+            if name not in texts:
+                texts[name] = col[at].as_py() or ""
+    names, sets = list(texts), {}
+    for i, j in _runs(list(texts.values())):
+        value, counts = shingle([texts[x] for x in names[i:j]])
+        sets |= {x: np.unique(v) for x, v in zip(names[i:j], np.split(value, np.cumsum(counts)[:-1]), strict=True)}
+    return ((sets[x], sets[y]) for x, y in zip(a, b, strict=True))
+
+
 def _confirmed(words: int, num: int, den: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows a, b, text_a, text_b -> a, b of those that are linked. A batch makes each text's set once."""
+        """Rows a, b, text_a, text_b -> a, b of those that are linked."""
         shingle = Shingler(words)
         for batch in batches:
-            a, b = (batch.column(i).to_numpy() for i in (0, 1))
-            texts: dict[int, str] = {}
-            for ids, col in ((a, batch.column(2)), (b, batch.column(3))):
-                for at in np.unique(ids, return_index=True)[1]:
-                    texts.setdefault(int(ids[at]), col[int(at)].as_py() or "")
-            names, sets = list(texts), {}
-            for i, j in _runs(list(texts.values())):
-                value, counts = shingle([texts[x] for x in names[i:j]])
-                sets |= {x: np.unique(v) for x, v in zip(names[i:j], np.split(value, np.cumsum(counts)[:-1]), strict=True)}
-            keep = np.zeros(len(a), bool)
-            for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-                p, q = sets[x], sets[y]
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (p, q) in enumerate(_set_pairs(batch, shingle)):
                 if len(p) > len(q):
                     p, q = q, p
                 if not len(p) or den * len(p) < num * len(q):
@@ -168,11 +185,26 @@ def _confirmed(words: int, num: int, den: int):
                 at = np.searchsorted(q, p)
                 both = int(np.count_nonzero(q[np.minimum(at, len(q) - 1)] == p))
                 keep[i] = den * both >= num * (len(p) + len(q) - both)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
 
     return confirm
 
 
+def _differing(words: int):
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows a, b, text_a, text_b -> row, hub, sizes of both sets, shingles that one of them has."""
+        shingle = Shingler(words)
+        for batch in batches:
+            sets = list(_set_pairs(batch, shingle))
+            apart = [np.setxor1d(p, q, assume_unique=True) for p, q in sets]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in apart])]).astype(np.int32)
+            flat = np.concatenate(apart).view(np.int64) if apart else np.zeros(0, np.int64)
+            sizes = (pa.array([len(x[k]) for x in sets], pa.int64()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sizes, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["row", "hub", "n", "h", "apart"])
+
+    return differ
+
+
 def _alike(bands_rows: int, share: float):
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Signature verification: rows a, b and both signatures -> a, b of those that agree in enough places."""
@@ -185,76 +217,119 @@ def _alike(bands_rows: int, share: float):
     return alike
 
 
-def _pairs_linked(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, words: int, num: int, den: int, bands_rows: int, what: str) -> DataFrame:
-    """The confirmed ones of pairs (a, b)."""
-    side = lambda df, name, col: df.select(F.col("doc_id").alias(name), F.col(col).alias(f"{col}_{name}"))
-    near = pairs.join(side(signatures, "a", "signature"), "a").join(side(signatures, "b", "signature"), "b").select("a", "b", "signature_a", "signature_b").mapInArrow(_alike(bands_rows, num / den - SLACK), "a long, b long")
-    near = staged(near, f"{what}-alike")
-    both = near.join(side(texts, "a", "text"), "a").join(side(texts, "b", "text"), "b").select("a", "b", "text_a", "text_b")
-    return staged(both.mapInArrow(_confirmed(words, num, den), "a long, b long"), f"{what}-links")
-
-
-def near_dedup(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per document: id_col, n_shingles long, component_id long, kept boolean.
+def _both(pairs: DataFrame, of: DataFrame, col: str) -> DataFrame:
+    """pairs (a, b, deals) with col of both. Many pairs may have one b: its rows are dealt over deals tasks."""
+    side = lambda name: of.select(F.col("row").alias(name), F.col(col).alias(f"{col}_{name}"))
+    pairs = pairs.withColumn("deal", F.pmod(F.xxhash64("a"), F.col("deals")))
+    hubs = pairs.groupBy("b").agg(F.max("deals").alias("deals")).join(side("b"), "b").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
+    return pairs.join(side("a"), "a").join(hubs, ["b", "deal"]).select("a", "b", f"{col}_a", f"{col}_b")
+
+
+def _dealt(n: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(n / DEALT)).cast("long")
+
+
+class _Comparer:
+    """Confirms links between rows of texts (row, text) with signatures (row, signature)."""
+
+    def __init__(self, signatures: DataFrame, texts: DataFrame, words: int, num: int, den: int, functions: int):
+        self.signatures, self.texts, self.words, self.num, self.den, self.functions = signatures, texts, words, num, den, functions
+
+    def links(self, pairs: DataFrame, what: str) -> DataFrame:
+        """Those of pairs (a, b, deals) that are linked."""
+        near = _both(pairs, self.signatures, "signature").mapInArrow(_alike(self.functions, self.num / self.den - SLACK), "a long, b long")
+        near = staged(near.join(pairs, ["a", "b"]), f"{what}-alike")
+        return staged(_both(near, self.texts, "text").mapInArrow(_confirmed(self.words, self.num, self.den), "a long, b long"), f"{what}-links")
+
+
+def _classes(signed: DataFrame, given: DataFrame, words: int) -> DataFrame:
+    """row, rep: the least row with the same set, confirmed on the sets themselves; rows with an empty set have none."""
+    sums = ["n_shingles", "s1", "s2"]
+    several = signed.where("n_shingles > 0").groupBy(*sums).agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    salted = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = signed.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, [*sums, "salt"]).where("row <> rep").select(F.col("row").alias("a"), F.col("rep").alias("b"), _dealt(F.col("k")).alias("deals"))
+    pairs = staged(pairs, "class-pairs")
+    involved = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row")).distinct())
+    same = staged(_both(pairs, given.join(involved, "row", "left_semi"), "text").mapInArrow(_confirmed(words, 1, 1), "a long, b long"), "classes")
+    return same.select(F.col("a").alias("row"), F.col("b").alias("rep"))
+
+
+def _members(reps: DataFrame) -> DataFrame:
+    """row, n, hub, deals: the members of buckets of several and their buckets' hubs, which stand among them too."""
+    places = reps.select("row", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
+    sizes = places.groupBy("band", "key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    shared = staged(places.join(sizes, ["band", "key"]), "buckets")
+    met = shared.groupBy("row").agg(F.sum("k").alias("met"))
+    hubs = shared.join(met, "row").groupBy("band", "key").agg(F.max(F.struct("met", (-F.col("row")).alias("minus"))).alias("top"))
+    around = shared.select("band", "key", "row", "n").join(hubs, ["band", "key"]).select("row", "n", (-F.col("top.minus")).alias("hub"), _dealt(F.col("top.met")).alias("deals"))
+    return staged(around.distinct(), "members")
+
+
+def _ceil_div(x: Column, by: int) -> Column:
+    return F.ceil(x / F.lit(by)).cast("long")
+
+
+def _possible(members: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b, deals) of different components around one hub that may be linked; members: row, hub, n, deals, component,
+    with the hub itself."""
+    shared = texts.join(members.select("row").distinct(), "row", "left_semi").mapInArrow(_sets(words), "row long, shingles array<long>").select("row", F.explode("shingles").alias("s"))
+    alone = shared.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("row").alias("row")).where("k = 1").groupBy("row").agg(F.count(F.lit(1)).alias("alone"))
+    able = members.join(alone, "row", "left").where(f"{den} * (n - coalesce(alone, 0)) >= {num} * n").drop("alone")
+    pairs = staged(_open(able).select(F.col("row").alias("a"), F.col("hub").alias("b"), "deals", "component"), "open")
+    apart = _both(pairs, texts, "text").mapInArrow(_differing(words), "row long, hub long, n long, h long, apart array<long>")
+    apart = staged(apart, "apart").withColumn("d", F.size("apart").cast("long"))
+    # Twice what a pair must share, in parts of den + num: with anyone, or, if linked with the hub, with one who isn't.
+    total, less = den + num, den - num
+    near = total * F.col("d") <= less * (F.col("n") + F.col("h"))
+    least = F.when(near, total * F.col("d") + less * (F.col("h") - F.col("n"))).otherwise(total * F.col("d") - less * (F.col("n") + F.col("h")))
+    told = apart.select("row", "hub", "n", "d", F.greatest(F.lit(1), _ceil_div(least, 2 * total)).alias("must"), F.explode("apart").alias("s"))
+    often = told.groupBy("hub", "s").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    ordered = told.join(often, ["hub", "s"]).groupBy("hub", "row", "n", "d", "must").agg(F.sort_array(F.collect_list(F.struct("k", "s"))).alias("own"))
+    prefix = ordered.withColumn("left", F.size("own").cast("long")).where("left >= must").withColumn("own", F.slice("own", F.lit(1), (F.col("left") - F.col("must") + 1).cast("int")))
+    prefix = prefix.join(pairs.select(F.col("a").alias("row"), F.col("b").alias("hub"), "component"), ["row", "hub"]).select("row", "hub", "n", "d", "left", "component", F.posexplode("own").alias("at", "x"))
+    prefix = staged(prefix.select("row", "hub", "n", "d", "component", F.col("x.s").alias("s"), (F.col("left") - F.col("at")).alias("rest")), "prefixes")
+    other = prefix.select(F.col("row").alias("b"), "hub", F.col("n").alias("m"), F.col("d").alias("e"), F.col("component").alias("c"), "s", F.col("rest").alias("tail"))
+    fits = F.expr(f"{den} * least(n, m) >= {num} * greatest(n, m) and {2 * total} * least(rest, tail) >= {total} * (d + e) - {less} * (n + m)")
+    found = prefix.join(other, ["hub", "s"]).where((F.col("row") < F.col("b")) & (F.col("component") != F.col("c")) & fits)
+    found = found.select(F.col("row").alias("a"), "b").distinct()
+    return staged(found.join(found.groupBy("b").agg(_dealt(F.count(F.lit(1))).alias("deals")), "b"), "possible")
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """Those of members whose hub has several components around it."""
+    several = members.groupBy("hub").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("hub")
+    return members.join(several, "hub", "left_semi")
+
+
+def near_dedup(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, row_col: str | None = None) -> DataFrame:
+    """Per document: id_col, n_shingles long, component_id long, kept boolean, and row_col if it is given.
 
     Two documents are linked if den * common shingles >= num * shingles of either. component_id is the least id that a
-    document reaches over links, itself included; kept marks that document. A null text, or one without words, has an
-    empty set and is linked with nothing. Rows without an id are left out; rows that repeat an id are each a row of the
-    result and are kept or dropped together. An empty table gives an empty result. Other columns are not read.
+    document reaches over links, itself included; kept marks the document with that id, and of rows that repeat the id
+    one. A null text, or one without words, has an empty set and is linked with nothing. Very long texts are taken whole.
+    Rows without an id are left out. An empty table gives an empty result. row_col names a long column that tells rows
+    apart; without it rows are numbered. Other columns are not read.
     """
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    signed = staged(given.mapInArrow(_signed(words, bands, rows), SIGNED), "signed")
-    # Equal sets: the least id stands for them.
-    classes = signed.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    ranked = staged(signed.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "classes")
-    reps = signed.where("n_shingles > 0").join(ranked.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
-    places = reps.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
-    buckets = places.groupBy("band", "key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    members = staged(places.join(buckets, ["band", "key"]), "buckets")
-    shared = members.select("doc_id").distinct()
-    signatures = staged(reps.select("doc_id", "signature").join(shared, "doc_id", "left_semi"), "signatures")
-    texts = staged(given.join(shared, "doc_id", "left_semi"), "bucket-texts")
-    linked = lambda pairs, what: _pairs_linked(pairs, signatures, texts, words, num, den, bands * rows, what)
-    sizes = members.select("doc_id", "n").distinct()
-    fits = F.expr(f"{den} * least(n, m) >= {num} * greatest(n, m)")
-    pair = lambda col: members.where(F.col("doc_id") != F.col(col)).select(F.least("doc_id", col).alias("a"), F.greatest("doc_id", col).alias("b")).distinct()
-    sized = lambda pairs: pairs.join(sizes.withColumnRenamed("doc_id", "a"), "a").join(sizes.toDF("b", "m"), "b").where(fits).select("a", "b")
-    links = linked(sized(pair("low")), "low")
+    given = keyed(docs, id_col, text_col, row_col)
+    signed = staged(given.select("row", "text").mapInArrow(_signed(words, bands, rows), SIGNED), "signed")
+    classes = _classes(signed, given, words)
+    members = _members(signed.where("n_shingles > 0").join(classes, "row", "left_anti"))
+    shared = staged(members.select("row").distinct(), "shared")
+    texts = staged(given.select("row", "text").join(shared, "row", "left_semi"), "bucket-texts")
+    compare = _Comparer(signed.select("row", "signature").join(shared, "row", "left_semi"), texts, words, num, den, bands * rows)
+    sizes = members.where("row = hub").select("hub", F.col("n").alias("h")).distinct()
+    asked = members.where("row <> hub").join(sizes, "hub").where(f"{den} * least(n, h) >= {num} * greatest(n, h)").select(F.col("row").alias("a"), F.col("hub").alias("b"), "deals")
+    links = compare.links(staged(asked, "hub-pairs"), "hub")
     components = staged(connected_components(links), "components")
-
-    def open_members() -> DataFrame:
-        """Members, with their components, of buckets in which several meet."""
-        named = members.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        several = named.groupBy("band", "key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("band", "key")
-        return staged(named.join(several, ["band", "key"], "left_semi"), "open")
-
-    def merged(more: DataFrame) -> DataFrame:
-        """The components with those joined that more links tie; only the ties go through the stars again."""
-        of = lambda name: components.select(F.col("node").alias(name), F.col("component").alias(f"c_{name}"))
-        ties = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
-        joined = staged(connected_components(ties), "ties")
-        known = components.join(joined.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left").select("node", F.coalesce("least", "component").alias("component"))
-        return staged(known.unionByName(joined.join(components.select("node"), "node", "left_anti")), "components")
-
-    left = open_members()
-    tops = left.select(F.col("doc_id").alias("high"), F.col("component").alias("top")).distinct()
-    second = left.where("doc_id <> high").join(tops, "high").where("component <> top").select(F.col("doc_id").alias("a"), F.col("high").alias("b")).distinct()
-    more = linked(sized(second), "high")
-    if not more.isEmpty():
-        components = merged(more)
-        left = open_members()
-    # How many shingles of each open document another one has.
-    shingles = texts.join(left.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles array<long>").select("doc_id", F.explode("shingles").alias("s"))
-    alone = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("doc_id")).where("k = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
-    ready = staged(left.select("band", "key", "doc_id", "n", "component").join(alone, "doc_id", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0))), "bounded")
-    # A document that shares too little of itself can be linked with none.
-    ready = ready.where(f"{den} * c >= {num} * n")
-    other = ready.select("band", "key", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("c").alias("d"))
-    possible = F.expr(f"{den} * least(c, d) >= {num} * (n + m - least(c, d))")
-    across = ready.join(other, ["band", "key"]).where((F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("other")) & possible).select(F.col("doc_id").alias("a"), "b").distinct()
-    more = linked(across, "across")
-    if not more.isEmpty():
-        components = merged(more)
-    out = ranked.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    return out.withColumnRenamed("doc_id", id_col)
+    named = members.join(components.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
+    open_ = staged(_open(named), "around")
+    if not open_.isEmpty():
+        more = compare.links(_possible(open_, texts, words, num, den), "more")
+        if not more.isEmpty():
+            components = staged(connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
+    of_row = signed.select("row", "n_shingles").join(classes, "row", "left").withColumn("rep", F.coalesce("rep", "row"))
+    of_row = of_row.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("row", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    ended = staged(of_row.join(given.select("row", "doc_id"), "row"), "ended")
+    first = ended.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = ended.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(first, ["component", "salt"], "left").withColumn("first", F.coalesce("first", F.struct("doc_id", "row")))
+    return out.select(*([F.col("row").alias(row_col)] if row_col else []), F.col("doc_id").cast("long").alias(id_col), "n_shingles", F.col("first.doc_id").cast("long").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"))
