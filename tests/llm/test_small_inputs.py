@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -180,14 +181,89 @@ def test_pii_hint_misses_nothing(monkeypatch):
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><nav><ul><li>x</ul></nav>{}<article><h1>A &amp; B</h1><p>one\n two<b>x</b></p><script>var t='</p>'</script><div class='comments'><p>me too</p></div></article><footer>f</footer></body></html>"
     rows = [(1, "http://h.org/a/1", page.format("<div>Site line</div>")), (2, "http://h.org/a/2", page.format("<div>Site line</div><p>own &lt;")), (3, "http://other.org/", page.format("<div>Site line</div>")), (4, None, None), (4, None, ""), (None, "x", "<p>a<br>b")]
-    got = {(r.page_id, r.url): (r.text, r.n_chars) for r in html_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), partitions=1).collect()}
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, text string, host int")
+    got = {(r.page_id, r.url): (r.text, r.n_chars) for r in html_diff.extract(df).collect()}
     assert got[1, rows[0][1]] == ("A & B one twox", 14)
     assert got[2, rows[1][1]][0] == "own < A & B one twox"
     assert got[3, rows[2][1]][0] == "Site line A & B one twox"
     assert got[4, None] == ("", 0) and got[None, "x"][0] == "a b"
+    assert html_diff.extract(df).count() == len(rows)
     assert html_diff.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def _plain_pages(r, hosts):
+    """Pages of plain divs: lines of the site around own ones; among them copies, near copies and thin pages."""
+    rows, n = [], 0
+    for h in range(hosts):
+        menu = [f"menu {h} {i}" for i in range(r.randint(2, 5))]
+        foot = [f"foot {h} {i}" for i in range(r.randint(1, 3))]
+        for _ in range(r.choice([1, 2, 3, 9, 14])):
+            own = [f"own {n} {i}" for i in range(r.choice([1, 4, 9]))]
+            for _ in range(r.choice([1, 1, 1, 2, 4])):
+                near = list(own)
+                if r.random() < 0.5:
+                    near[r.randrange(len(near))] = f"changed {n}"
+                url = f"http://h{h}.org/{r.choice('abc')}/{r.choice('xyz')}/{r.choice([n, n, n % 3])}"
+                rows.append((n, url, "".join(f"<div>{x}</div>" for x in [*menu, *near, *foot])))
+                n += 1
+    return rows
+
+
+def _brute_html(rows):
+    """Every page against the pages of its host, taken from a sorted list."""
+    text, order = {}, {}
+    for _, url, page in rows:
+        _, _, host, path = url.split("/", 3)
+        k = host, page
+        order[k] = min(order.get(k, "~"), f"/{path}")
+    for i, url, page in rows:
+        host = url.split("/")[2]
+        units = sorted((p, hashlib.md5(x.encode()).hexdigest(), x) for (h, x), p in order.items() if h == host)
+        at = [x for _, _, x in units].index(page)
+        mine = re.findall("<div>(.*?)</div>", page)
+        gone, met, asked, d = set(), None, 0, 1
+        while at - d >= 0 or at + d < len(units):
+            near = [units[x] for x in (at - d, at + d) if 0 <= x < len(units)]
+            near.sort(key=lambda u: -next((k for k, (x, y) in enumerate(zip(u[0], units[at][0])) if x != y), min(len(u[0]), len(units[at][0]))))
+            settled = False
+            for _, _, other in near:
+                found, asked = html_diff.shared(mine, re.findall("<div>(.*?)</div>", other)), asked + 1
+                if len(found) <= 0.8 * len(mine):
+                    gone, settled = found, True
+                    break
+                met = found if met is None else met & found
+            if settled:
+                break
+            d *= 2
+        else:
+            gone = met if asked > 1 else set()
+        text[i] = " ".join(x for k, x in enumerate(mine) if k not in gone)
+    return text
+
+
+def test_html_differencing_decides(spark, monkeypatch):
+    """Pages without a telling tag or class, against brute force over each host's pages; without the alignment the site's
+    lines stay."""
+    rows = _plain_pages(random.Random(12), 25)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = {r.page_id: r.text for r in html_diff.extract(df).collect()}
+    assert got == _brute_html(rows)
+    clean = [i for i, _, page in rows if got[i] == " ".join(x for x in re.findall("<div>(.*?)</div>", page) if x[:4] not in ("menu", "foot"))]
+    untouched = [i for i, _, page in rows if got[i] == " ".join(re.findall("<div>(.*?)</div>", page))]
+    assert len(clean) > 0.6 * len(rows) > len(untouched) + len(clean) * 0.4
+
+
+def test_html_awkward_pages_in_linear_time():
+    for page in ("<a '" * 250_000, "<a b" * 250_000, "<p>x" * 250_000, "<" * 1_000_000, "<a '>" * 200_000, "<!--" * 250_000, "<script>" * 125_000, "<p title=\"" * 100_000 + ">", "&lt" * 300_000, "<a href='x\"" * 90_000 + ">", "<p class='" + "ad " * 300_000 + "'>x</p>"):
+        start = time.perf_counter()
+        html_diff.kept_text(html_diff.lines(page), set())
+        assert time.perf_counter() - start < 10, page[:10]
+    words = lambda page: [x for x, _, _ in html_diff.lines(page)]
+    assert words("<p>a <3 b</p><p title='>'>c</p><!-- <p>no --><?x y?>d</br>e<") == ["a <3 b", "c", "d", "e<"]
+    assert words("<p>a</p><p title='b>c</p><p>d</p>") == ["a", "c", "d"]
+    assert words("<b>a</b>b<SCRIPT>x</p></Script >c<textarea>no</textarea>d<style>p{}") == ["abc", "d"]
+
+
 def test_shared_lines():
     r = random.Random(9)
     for _ in range(200):
