@@ -5,8 +5,9 @@ A text is parsed against each language: the longest match from where the last on
 that the sample lacks is a phrase of its own. The language that needs the fewest phrases, each weighted by the logarithm
 of its sample's length, wins. Letters count in lower case; anything else is one boundary symbol.
 
-All texts of a batch are parsed side by side, one character a step. A text longer than a span is parsed span by span,
-which adds at most one phrase a span.
+All texts of a batch are parsed side by side, one character a step, long ones in spans: each span is parsed as if a
+phrase began with it, and then again from the state that the span before ended in, until both parses are in one state,
+from where they agree. The phrases counted are those of one parse of the whole text.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Characters of labelled text per language at most; whole documents, in the order of a hash of their ids, none longer
-#: than a tenth of it.
+from .common import OWN
+
+#: Characters of labelled text per language at most, of documents in the order of a hash of their ids, of each no more than
+#: a tenth of it.
 SAMPLE_CHARS = 30_000
 SAMPLE_SALTS, SAMPLE_PER_SALT = 32, 16
 SPAN = 1024
@@ -110,25 +113,57 @@ class CrossParser:
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(phrases per text and language, symbols per text)."""
         values, sizes = self.symbols([t.lower() for t in texts])
-        spans = np.maximum(1, -(-sizes // SPAN))
+        n, spans = len(self.languages), np.maximum(1, -(-sizes // SPAN))
         text = np.repeat(np.arange(len(texts)), spans)
         inner = np.arange(len(text)) - np.repeat(np.cumsum(spans) - spans, spans)
         begin = np.repeat(np.cumsum(sizes) - sizes, spans) + inner * SPAN
         long = np.minimum(SPAN, np.repeat(sizes, spans) - inner * SPAN)
         order = np.argsort(-long, kind="stable")
-        text, begin, long = text[order], begin[order], long[order]
-        n = len(self.languages)
         state = np.repeat(self.roots[:, None], len(text), axis=1)
-        count = np.zeros((n, len(text)), np.int32)
-        live = np.searchsorted(-long, -np.arange(int(long[0]) if len(long) else 0), side="left")  # spans longer than a step
+        count = np.zeros((n, len(text)), np.int64)
+        live = np.searchsorted(-long[order], -np.arange(int(long.max()) if len(long) else 0), side="left")  # spans longer than a step
+        first = begin[order]
         for step, m in enumerate(live.tolist()):
-            entry = self.table.take(state[:, :m] + values[begin[:m] + step])
+            entry = self.table.take(state[:, :m] + values[first[:m] + step])
             count[:, :m] += entry & 3
             state[:, :m] = entry >> 2
-        out = np.zeros((n, len(texts)))
-        for i in range(n):
-            out[i] = np.bincount(text, count[i] + (state[i] != self.roots[i]), len(texts))
-        return out.T, sizes
+        back = np.empty(len(text), np.int64)
+        back[order] = np.arange(len(text))
+        state, count = state[:, back], count[:, back]  # in the order of the texts again
+        more, apart = self._stitched(values, state, begin, long, np.flatnonzero(inner > 0))
+        last = np.cumsum(spans) - 1
+        out = np.add.reduceat(count + more, last - spans + 1, axis=1) if len(texts) else np.zeros((n, 0), np.int64)
+        out = out + (state[:, last] != self.roots[:, None])
+        for k, i in {(k, int(text[i])) for k, i in apart}:  # a text with a span whose parses don't meet, as of one word again and again
+            out[k, i] = self._parsed(values[begin[last[i] - spans[i] + 1] :][: sizes[i]], int(self.roots[k]))
+        return out.T.astype(float), sizes
+
+    def _parsed(self, symbols: np.ndarray, root: int) -> int:
+        table, state, count = self.table, root, 0
+        for s in symbols.tolist():
+            entry = int(table[state + s])
+            count += entry & 3
+            state = entry >> 2
+        return count + (state != root)
+
+    def _stitched(self, values: np.ndarray, ended: np.ndarray, begin: np.ndarray, long: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """(what to add to the count of each span because the phrase before it goes on, languages and spans whose parses don't
+        meet); ended: states at the ends of spans."""
+        more = np.zeros(ended.shape, np.int64)
+        lang, span = (x.ravel() for x in np.meshgrid(np.arange(len(ended)), spans, indexing="ij"))
+        true, own = ended[lang, span - 1], self.roots[lang]
+        apart, step, late = np.flatnonzero(true != own), 0, []
+        lang, span, true, own = lang[apart], span[apart], true[apart], own[apart]
+        while len(span):
+            symbol = values[begin[span] + step]
+            a, b = self.table.take(true + symbol), self.table.take(own + symbol)
+            more[lang, span] += (a & 3).astype(np.int64) - (b & 3)
+            true, own, step = a >> 2, b >> 2, step + 1
+            apart, over = true != own, step >= long[span]
+            late += zip(lang[apart & over].tolist(), span[apart & over].tolist(), strict=True)
+            go_on = apart & ~over
+            lang, span, true, own = lang[go_on], span[go_on], true[go_on], own[go_on]
+        return more, late
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         counts, sizes = self.phrases(texts)
@@ -143,7 +178,7 @@ def _parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
     return CrossParser(dict(samples))
 
 
-def _predicted(samples):
+def _predicted(samples, names_out: list[str]):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(samples.value)
         for batch in batches:
@@ -161,36 +196,40 @@ def _predicted(samples):
                 for i, x in zip(own, found, strict=True):
                     names[i] = x
                 start = end
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(names), pa.array(scores), *batch.columns[3:]], names_out)
 
     return predict
 
 
 def training_sample(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """language -> labelled text, of documents that aren't held out; at most sample_chars characters each."""
+    """language -> labelled text, of documents that aren't held out; at most sample_chars characters each. The driver holds
+    that much per language that the labels name."""
     key = F.xxhash64("doc_id", "lang")
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id"))).select("doc_id", "lang", F.length("text").alias("n"), key.alias("key")).where(F.col("n") <= sample_chars // 10)
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id"))).select("doc_id", "lang", F.least(F.length("text"), F.lit(sample_chars // 10)).alias("n"), key.alias("key"))
     salted = rows.withColumn("salt", F.pmod("key", F.lit(SAMPLE_SALTS))).withColumn("r", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("key", "doc_id"))).where(F.col("r") <= SAMPLE_PER_SALT)
     total = F.sum("n").over(Window.partitionBy("lang").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     # At most SAMPLE_SALTS * SAMPLE_PER_SALT rows a language.
     chosen = salted.withColumn("total", total).where(F.col("total") <= sample_chars).select("doc_id", "lang", "key").distinct()
-    texts = docs.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "key", "doc_id", "text").collect()
+    texts = docs.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "key", "doc_id", F.substring("text", 1, sample_chars // 10).alias("text")).collect()
     found: dict[str, list[str]] = {}
     for row in sorted(texts, key=lambda r: (r["lang"], r["key"], r["doc_id"], r["text"] or "")):
         found.setdefault(row["lang"], []).append(row["text"] or "")
     return {k: "\n".join(v)[: 2 * sample_chars] for k, v in found.items()}
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = SAMPLE_CHARS, samples: dict[str, str] | None = None) -> DataFrame:
-    """Per document: doc_id, held_out, lang_pred, score (0 to 1).
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = SAMPLE_CHARS, samples: dict[str, str] | None = None, row_col: str | None = None) -> DataFrame:
+    """Per document: doc_id, held_out, lang_pred, score (0 to 1), and row_col if it is given.
 
     samples: labelled text per language; if None, it is taken from docs, from rows with crc32(id) mod 3 other than 1
     alone. A text that is null or has no letter, or any text if there are no samples, gets "und" and score 0. Ties go to
-    the first language by name. Rows without an id are left out; repeated ones are predicted alike. Other columns are
-    not read.
+    the first language by name. Very long texts are parsed whole. Rows without an id are left out; repeated ones are
+    predicted alike. An empty table gives an empty result. Other columns are not read.
     """
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), *([F.col(row_col).alias(f"{OWN}key")] if row_col else []))
     samples = training_sample(given, sample_chars) if samples is None else samples
     shared = docs.sparkSession.sparkContext.broadcast(tuple(sorted(samples.items())))
-    rows = given.where("doc_id is not null").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(_predicted(shared), PREDICTED)
+    more = [f"{OWN}key"] if row_col else []
+    rows = given.where("doc_id is not null").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", *more)
+    schema = PREDICTED + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in more)
+    found = rows.mapInArrow(_predicted(shared, ["doc_id", "held_out", "lang_pred", "score", *more]), schema)
+    return found.withColumnRenamed(f"{OWN}key", row_col) if row_col else found
