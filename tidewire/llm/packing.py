@@ -4,9 +4,10 @@ Every task packs the documents of its own partition, so that nothing is shuffled
 document of more than one window gives full windows and a rest. The rests of a batch wait by length. A bitset dynamic
 programme over the counts of waiting lengths finds which totals up to the window can be reached; the total closest to
 the window is taken, the counts that reach it are found by going back through the programme, and that choice is used as
-often as the counts allow. Exact choices are used at once; the others wait for the next batch's rests. At the end of a
-partition what still waits is laid end to end and cut where a window is full, so that only the last sequence of a
-partition can be padded.
+often as the counts allow. Choices that fill the window are used at once; the others wait for the next batch's rests. At
+the end of a partition, and where many rests wait, the closest choice is used although it leaves a slack, which is filled
+with a piece cut from one more rest; what is left of that rest waits on. So only the last sequence of a partition can be
+padded.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .common import small_parts
 from .tokens import encoder
 
 WINDOW = 1024
-#: Rests that wait until the programme runs, and that may go on waiting for better partners.
+#: Rests that wait until the programme runs; of those that fill no window together, four times as many may go on waiting.
 BATCH_DOCS = 4096
 #: Sequences of a partition are numbered from its number times this.
 PER_PARTITION = 1 << 33
@@ -80,6 +81,7 @@ class Packer:
                 yield from self._emit(chosen)
 
     def _emit(self, chosen: dict[int, int]) -> Iterator[tuple]:
+        """A sequence of the chosen lengths and, if rests are left, of a piece of one of these in the slack."""
         offset = 0
         for length, n in chosen.items():
             for _ in range(n):
@@ -89,23 +91,25 @@ class Packer:
             if not self.waiting[length]:
                 del self.waiting[length]
             self.count -= n
+        slack = self.window - offset
+        if slack and self.waiting:
+            # Any rest left is longer than the slack, or it would have made the choice closer.
+            length = max(self.waiting)
+            doc, start = self.waiting[length].popleft()
+            if not self.waiting[length]:
+                del self.waiting[length]
+            yield doc, start, slack, self.next, offset
+            self.waiting.setdefault(length - slack, deque()).append((doc, start + slack))
         self.next += 1
 
-    def rest(self) -> Iterator[tuple]:
-        """What waits, end to end, cut at full windows."""
-        offset = 0
-        for length in sorted(self.waiting, reverse=True):
-            for doc, start in self.waiting[length]:
-                left = length
-                while left:
-                    n = min(left, self.window - offset)
-                    yield doc, start + length - left, n, self.next, offset
-                    left, offset = left - n, offset + n
-                    if offset == self.window:
-                        self.next, offset = self.next + 1, 0
-        if offset:
-            self.next += 1
-        self.waiting, self.count = {}, 0
+    def rest(self, allowed: int = 0) -> Iterator[tuple]:
+        """Sequences of what waits, each choice the closest to the window, until no more than allowed rests wait, or fewer ids
+        than a window takes."""
+        while self.count > allowed:
+            total, chosen = fill({k: len(v) for k, v in self.waiting.items()}, self.window)
+            if allowed and total < self.window and sum(chosen.values()) == self.count:
+                return
+            yield from self._emit(chosen)
 
 
 def _packed(make, window: int, end_id: int, batch_docs: int):
@@ -142,9 +146,9 @@ def _packed(make, window: int, end_id: int, batch_docs: int):
             if packer.count >= waited + batch_docs:
                 pieces += packer.exact()
                 waited = packer.count
-                if waited > 4 * batch_docs:  # rests that fit nothing don't pile up
-                    pieces += packer.rest()
-                    waited = 0
+                if waited > 4 * batch_docs:
+                    pieces += packer.rest(batch_docs)
+                    waited = packer.count
             yield from out(pieces)
         yield from out([*packer.exact(), *packer.rest()])
 
