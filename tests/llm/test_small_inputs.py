@@ -73,6 +73,25 @@ def test_packing(docs):
     assert packing.pack(docs.limit(0), _tokenizer("byte_bpe_50k.json")).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [[600] * 500, [700, 90] * 100, [1] * 3000, [63, 64, 65] * 50, [], [5]])
+def test_packer_leaves_no_slack(sizes):
+    """Every token once, and only the last sequence padded, also where no rests fill a window together."""
+    packer, pieces = packing.Packer(1024), []
+    for i, n in enumerate(sizes):
+        pieces += packer.add(i, n)
+        if i % 64 == 63:
+            pieces += packer.exact()
+            pieces += packer.rest(100)
+            assert packer.count <= 100 or sum(k * len(v) for k, v in packer.waiting.items()) < 1024
+    pieces += [*packer.exact(), *packer.rest()]
+    used = {}
+    for doc, start, length, sequence, offset in sorted(pieces, key=lambda p: (p[3], p[4])):
+        assert offset == used.get(sequence, 0)
+        used[sequence] = offset + length
+    assert sorted(used.values())[1:] == [1024] * (len(used) - 1) and sum(used.values()) == sum(sizes)
+    assert sorted((d, s + k) for d, s, n, *_ in pieces for k in range(n)) == [(i, k) for i, n in enumerate(sizes) for k in range(n)]
+
+
 def test_fill():
     r = random.Random(2)
     for _ in range(200):
@@ -154,6 +173,36 @@ def test_pii(spark, docs):
     assert pii.find_personal(docs).count() == len(given(docs))
 
 
+def _brute_base(text):
+    """The base patterns as the contract spells them."""
+    found = []
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    for kind, pattern in patterns.items():
+        for m in re.finditer(pattern, text):
+            digits = [int(c) for c in m[0] if c in "0123456789"]
+            luhn = sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+            if {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in m[0].split(".")), "card": 13 <= len(digits) <= 19 and luhn, "phone": 9 <= len(digits) <= 15}[kind]:
+                found.append((kind, m.start(), m.end()))
+    return found
+
+
+def test_pii_base_patterns():
+    r = random.Random(21)
+    parts = ["a", "b.c", "@", "@", ".", "-", "_", "+", " ", "1", "12", "255", "256", "0", "00", ".1", "4111111111111111", "(", ")", "%", "x@y.z", "é"]
+    for _ in range(30_000):
+        text = "".join(r.choices(parts, k=r.randint(1, 16)))
+        assert pii.base_spans(text) == _brute_base(text), text
+
+
+def test_pii_awkward_texts_in_linear_time():
+    n = 1_000_000
+    for text in ("0" * 5000 + "1.1.1.1", "x" * n + " @", "1" * n, "x@" * (n // 2), "a@b." * (n // 4), "1." * (n // 2), "+1 " * (n // 3), "+1" + " " * n, "1 " * (n // 2), "O0" * (n // 2), "l1 " * (n // 3), "one " * (n // 4), "at dot " * (n // 8), "(" * n, "[ at " * (n // 5), "а" * n, "x" * n + " at y dot com"):
+        start = time.perf_counter()
+        pii.all_spans(text)
+        assert time.perf_counter() - start < 12, text[:10]
+    assert _cut("0" * 5000 + "1.1.1.1") == [] and pii.base_spans("0" * 5000 + "1.1.1.1") == [("ip", 0, 5007)]
+
+
 def _cut(text):
     return [text[a:b] for _, a, b in pii.all_spans(text)[1]]
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 import unicodedata
 from collections.abc import Iterator
 
@@ -21,13 +22,15 @@ from pyspark.sql import functions as F
 from .common import small_parts
 
 KINDS = ("email", "ip", "card", "phone")
-# The base patterns.
+# The base patterns. That of addresses is found from its at sign, behind which it is _DOMAIN; the look back in
+# that of ips keeps a long run of digits from being read again from each of its digits, where no match can begin.
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "ip": re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+_USER = string.ascii_letters + string.digits + "._%+-"
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 # Cyrillic and Greek letters and the Latin ones that they look like, dots, at signs and hyphens.
 LOOK_ALIKE = dict(
     zip(
@@ -62,6 +65,8 @@ _DOT = r"\s{0,2}[\[({<]\s?(?:dot|punkt|punto|point|\.)\s?[\])}>]\s{0,2}"
 _CASELESS = str.maketrans("ſıİ", "sii")
 _BRACKETED = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.I)
 _SAID = re.compile(r"(?<![^\s])(?P<user>[A-Za-z0-9._%+-]{1,64})\s+at\s+(?P<host>[A-Za-z0-9-]{1,63}(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]{1,63}){0,4}\s+dot\s+(?:com|org|net|edu|gov|mil|info|biz|io|co|ai|app|dev|de|at|ch|fr|be|es|mx|it|nl|eu|uk|us|ca|ru|cn|jp|br))(?![^\W_])", re.I)
+# User, labels and labels of a host are as long as the format of addresses allows; digits with letters for some are looked
+# for up to the length of a card number and a little more, as no identifier has more.
 _LETTER_DIGITS = re.compile(r"(?<![A-Za-z0-9])\+?[0-9OolI](?:[ .()-]{0,2}[0-9OolI]){8,22}(?![A-Za-z0-9])")
 #: Short addresses, which have fewer digits than a run.
 _LETTER_IP = re.compile(r"(?<![A-Za-z0-9])[0-9OolI]+(?:\.[0-9OolI]+){3}(?![A-Za-z0-9])")
@@ -80,36 +85,47 @@ def _valid(kind: str, found: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in found.split(".")))
     digits = "".join(c for c in found if "0" <= c <= "9")
     return 13 <= len(digits) <= 19 and _luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """What [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+ matches, leftmost and without overlaps. No match has another at
+    sign before its own, so each is looked at once, with the run of letters before it."""
+    free = 0
+    while (at := text.find("@", free)) >= 0:
+        begin = at - len(text[free:at]) + len(text[free:at].rstrip(_USER))
+        domain = _DOMAIN.match(text, at) if begin < at else None
+        if domain:
+            yield begin, domain.end()
+        free = domain.end() if domain else at + 1
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind, then start; leftmost matches that don't overlap, failing ones dropped."""
-    out = []
-    for kind in KINDS:
-        if (kind == "email" and "@" not in text) or (kind == "phone" and "+" not in text):
-            continue
-        out += [(kind, m.start(), m.end()) for m in PATTERNS[kind].finditer(text) if _valid(kind, m[0])]
+    out = [("email", *x) for x in _emails(text)]
+    for kind, pattern in PATTERNS.items():
+        if kind != "phone" or "+" in text:
+            out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if _valid(kind, m[0])]
     return out
 
 
-#: Identifiers inside a match that failed because it ran on into the next number.
+#: Identifiers inside a match that failed because it ran on into the next number, and how many characters one has at least.
 _WITHIN = {
-    "card": re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -]?[0-9]{1,3})?)(?![0-9])"),
-    "phone": re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9])"),
+    "card": (13, re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -]?[0-9]{1,3})?)(?![0-9])")),
+    "phone": (10, re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9])")),
 }
 
 
 def _run_together(text: str) -> list[tuple[str, int, int]]:
     """Cards and phone numbers within base matches that failed."""
     out = []
-    for kind, inner in _WITHIN.items():
+    for kind, (least, inner) in _WITHIN.items():
         if kind == "phone" and "+" not in text:
             continue
         for m in PATTERNS[kind].finditer(text):
-            if m.end() - m.start() > 16 and not _valid(kind, m[0]):
+            if m.end() - m.start() > least and not _valid(kind, m[0]):
                 out += [(kind, i.start(), i.end()) for i in inner.finditer(text, m.start(), m.end()) if _valid(kind, i[0])]
     return out
 
@@ -216,8 +232,9 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, spans (kind, start, end exclusive, base, found), in code points of the source, by kind and start.
 
-    A null text counts as empty and has no spans. Rows without an id are left out; repeated rows give the same spans
-    each. Other columns are not read.
+    A null text counts as empty and has no spans. Very long texts are read whole, in time that grows with their length. Rows
+    without an id are left out; repeated rows give the same spans each. An empty table gives an empty result. Other columns
+    are not read.
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null").mapInArrow(_find, FOUND)
 
