@@ -345,6 +345,63 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def _decoded(token, model):
+    """The best log probability over all paths of the lattice, state by state in a dict."""
+    states = {"": 0.0}  # the letters of the word so far, whole, so that nothing is merged that differs
+    before = ""
+    for c in token:
+        now = {}
+        apart = c in toxicity.PUT_IN or c.isspace()
+        for word, p in states.items():
+            ways = [(c, toxicity.PLAIN)] if c.isalpha() else [(x, toxicity.FOR_LETTER) for x in toxicity.STANDS_FOR.get(c, "")]
+            if c in toxicity.HIDDEN:
+                ways += [(x, toxicity.ANY_LETTER) for x in toxicity.LETTERS if x not in [y for y, _ in ways]]
+            step = lambda x, word=word: model[tuple(0 if k == "^" else ord(k) - 96 for k in ("^^" + word)[-2:]) + (0 if x == "$" else ord(x) - 96,)]
+            offers = [(word + x, p + cost + step(x)) for x, cost in ways]
+            if apart:
+                offers.append((word, p + toxicity.PUT))
+                if word:
+                    offers.append(("", p + toxicity.ENDS + step("$")))
+            elif not c.isalpha():
+                offers.append((word, p + toxicity.ODD))
+            elif c == before:
+                offers.append((word, p + toxicity.AGAIN))
+            for w, q in offers:
+                now[w] = max(q, now.get(w, -np.inf))
+        states = now
+        before = before if apart else c
+    end = lambda w: model[tuple(0 if k == "^" else ord(k) - 96 for k in ("^^" + w)[-2:]) + (0,)] if w else 0.0
+    return max(p + end(w) for w, p in states.items())
+
+
+def test_restore():
+    r = random.Random(17)
+    words = ["".join(r.choice("abcdeilost") for _ in range(r.randint(2, 7))) for _ in range(300)] + ["blorkhead", "grumpf"]
+    model = toxicity.char_model(toxicity.trigrams(" ".join(words)), ["blorkhead", "grumpf"])
+    assert abs(float(np.exp(model).sum(axis=2)[0, 0]) - 1) < 0.05
+    for _ in range(400):
+        token = "".join(r.choice("abelost140@!.-_ ab*") for _ in range(r.randint(1, 9)))
+        if token.count("*") + token.count("_") <= 2:
+            assert abs(toxicity.restore(token, model)[1] - _decoded(token, model)) < 1e-6, token
+    for token, want in (("bl0rkh3ad", ["blorkhead"]), ("g.r.u.m.p.f", ["grumpf"]), ("g r u m p f", ["grumpf"]), ("grrrruuumpf", ["grumpf"]), ("gr*mpf", ["grumpf"]), ("жgrumpf", ["жgrumpf"])):
+        assert toxicity.restore(token, model)[0] == want
+    assert toxicity.Scorer({"grumpf": 3.0}, model, (1, 0)).evidence("so g r u m p f and GRÜMPF, so") == 4.5
+    # Ways that meet early are settled early; the result is that of one piece.
+    long = "".join(r.choice(["bl0rkhead", "ab1e.", "co-st", "s0", "l**t"]) for _ in range(500))
+    got, p = toxicity.restore(long, model)
+    parts = [toxicity.restore(long[:i], model)[1] for i in (100, 500)]
+    assert np.isfinite(p) and p < parts[1] < parts[0] and len("".join(got)) > 1000
+
+
+def test_toxic_awkward_texts_in_linear_time():
+    model = toxicity.char_model(toxicity.trigrams("some words of a corpus"), ["grumpf"])
+    scorer = toxicity.Scorer({"grumpf": 3.0}, model, (1.0, 0.0))
+    for text in ("a" + "-" * 60_000 + "bc", "a " * 20_000, "a4" * 20_000, "x*" * 5_000, "word " * 400_000, "1" * 1_000_000, "é" * 20_000, "." * 1_000_000, "(" * 100_000 + "x"):
+        start = time.perf_counter()
+        scorer.score(text)
+        assert time.perf_counter() - start < 20, text[:10]
+
+
 def test_mixing(spark):
     r = random.Random(3)
     kinds = {"good": "pleasant words of prose", "poor": "BUY!! NOW!! $$$ %%% ###", "toxic": "you horrible creature there"}

@@ -1,11 +1,12 @@
 """Toxicity scores with noisy-channel deobfuscation.
 
 A disguised word (digits and signs for letters, letters spaced or dotted apart, letters repeated) is read as the output
-of a channel. A lattice offers for every character the letters that it may stand for, and the possibility that it was
-put in; a Viterbi search under a character trigram model finds the likeliest word. The restored text is scored by the
-evidence of its words and of their beginnings, as learnt from labelled rows; a logistic curve turns that into a score.
-Words that need no restoring pass through the channel as they are. Whole texts are read; each distinct word is looked
-at once per worker.
+of a channel. A lattice offers for every character the letters that it may stand for, and the possibilities that it was
+put in, that it repeats the letter before, or that it ends a word; a Viterbi search under a character trigram model finds
+the likeliest words. The trigrams are counted over all documents; words that tell label 1 count as a part of the model
+of their own. The restored words are scored by their evidence and that of their beginnings, as learnt from labelled
+rows; a logistic curve turns that into a score. Words that need no restoring pass through the channel as they are. Whole
+texts are read; each distinct word is looked at once per worker. Accents are left off throughout.
 """
 
 from __future__ import annotations
@@ -13,30 +14,41 @@ from __future__ import annotations
 import functools
 import math
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled rows per class that the model is fitted on, at most, in the order of a hash of their ids.
+from .common import small_parts, staged
+
+#: Labelled rows per class that the evidence is learnt from, at most, in the order of a hash of their ids.
 SAMPLE_SALTS, SAMPLE_PER_SALT = 64, 96
-#: Features and words of the character model that are kept, the strongest and commonest.
-FEATURES, MODEL_WORDS = 20_000, 20_000
+#: Features that are kept, the strongest.
+FEATURES = 20_000
 #: Rows of a class that a feature must occur in.
 LEAST_ROWS = 3
+#: Words that a worker remembers; it then begins anew, which changes nothing but speed.
 REMEMBERED = 500_000
+#: Part of the telling words in the character model, and what a trigram's, a pair's and a letter's share count for.
+TELLING, SHARES = 0.25, (0.7, 0.25, 0.05)
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 # What signs and digits stand for in disguised words.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "{": "c", "€": "e", "£": "l", "¥": "y", "#": "h", "&": "e", "%": "o"}
 HIDDEN, PUT_IN = "*?#_%", "*.-_~^,'/\\+=:;|"
-
-_EDGES = re.compile(r"^\W+|\W+$")
-_SPACED = re.compile(r"(?<!\S)\S(?:[ .\-_*]{1,2}\S){2,}(?!\S)")
-_SPACED_HINT = re.compile(r"(?<!\S)\S \S \S")
+#: Log costs of the channel: a letter as it is, a sign for a letter, a hidden letter, a sign put in, any other character put
+#: in, a letter again, the end of a word at a sign put in.
+PLAIN, FOR_LETTER, ANY_LETTER, PUT, ODD, AGAIN, ENDS = -0.05, -0.7, -2.5, -0.3, -8.0, -0.4, -1.5
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_BARE = {c: unicodedata.normalize("NFKD", c)[0] for c in map(chr, range(0xC0, 0x250)) if "a" <= unicodedata.normalize("NFKD", c)[0] <= "z"} | {"ß": "s"}
+_FOLD = str.maketrans(_BARE)
+_WORDY = re.compile(r"\w")
+_SPACED = re.compile(r"(?<!\S)\S(?: {1,2}\S(?!\S)){2,}")
 _RUN = re.compile(r"([^\w\s])\1")
 _REPEATED = re.compile(r"(.)\1\1")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -46,90 +58,158 @@ def held_out(id_col) -> F.Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(False))
 
 
-class CharModel:
-    """A character trigram model with interpolation; words: word -> weight."""
-
-    def __init__(self, words: dict[str, float]):
-        self.tri: dict[str, float] = {}
-        self.bi: dict[str, float] = {}
-        self.uni: dict[str, float] = {}
-        context: dict[str, float] = {}
-        short: dict[str, float] = {}
-        total = 0.0
-        for word, w in words.items():
-            s = f"^^{word}$"
-            for i in range(2, len(s)):
-                for table, key in ((self.tri, s[i - 2 : i + 1]), (self.bi, s[i - 1 : i + 1]), (self.uni, s[i]), (context, s[i - 2 : i]), (short, s[i - 1])):
-                    table[key] = table.get(key, 0.0) + w
-                total += w
-        self.context, self.short, self.total = context, short, max(total, 1.0)
-
-    @functools.lru_cache(maxsize=200_000)  # noqa: B019
-    def log(self, before: str, c: str) -> float:
-        """log P(c | the two characters before)."""
-        three = self.tri.get(before + c, 0.0) / max(self.context.get(before, 0.0), 1e-9)
-        two = self.bi.get(before[1] + c, 0.0) / max(self.short.get(before[1], 0.0), 1e-9)
-        return math.log(0.7 * min(three, 1) + 0.25 * min(two, 1) + 0.05 * (self.uni.get(c, 0.0) + 0.5) / (self.total + 50))
-
-
-def restore(token: str, model: CharModel, beam: int = 64, near: float = 6.0) -> list[str]:
-    """The likeliest words behind a token, which is in lower case: the best, then any other end of the lattice that is at
-    most near worse."""
-    # state: the last two letters -> (log probability, letters so far)
-    states: dict[tuple[str, str], tuple[float, str]] = {("^^", ""): (0.0, "")}
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    for c in token:
-        ways = [(c, -0.05)] if c.isalpha() else []
-        ways += [(x, -0.7) for x in STANDS_FOR.get(c, "")]
-        if c in HIDDEN:
-            ways += [(x, -2.5) for x in letters]
-        drop = -0.3 if c in PUT_IN or c.isspace() else None if c.isalpha() else -8.0
-        now: dict[tuple[str, str], tuple[float, str]] = {}
-
-        def offer(key: tuple[str, str], p: float, word: str, now=now) -> None:
-            if key not in now or now[key][0] < p:
-                now[key] = p, word
-
-        for (before, seen), (p, word) in states.items():
-            for x, cost in ways:
-                offer((before[1] + x, c), p + cost + model.log(before, x), word + x)
-            if drop is not None:
-                offer((before, seen), p + drop, word)
-            elif c == seen:  # a letter again
-                offer((before, c), p - 0.4, word)
-        if not now:
-            return [token]
-        states = dict(sorted(now.items(), key=lambda kv: -kv[1][0])[:beam]) if len(now) > beam else now
-    ends = sorted(((p + model.log(before, "$"), word) for (before, _), (p, word) in states.items()), reverse=True)
-    return list(dict.fromkeys(word for p, word in ends[:8] if p >= ends[0][0] - near))
+def folded(text: str) -> str:
+    return text.lower().translate(_FOLD)
+
+
+def trigrams(text: str) -> np.ndarray:
+    """How often each trigram occurs in the words of text, in lower case and without accents: an array [two before, before,
+    letter] of 27 each, 0 being what is no letter, before a word and at its end."""
+    text = text.lower()
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        raw = folded(text).encode("latin-1", "replace")
+    code = _CODES[np.frombuffer(raw, np.uint8)]
+    code = np.concatenate([[0, 0], code, [0]]).astype(np.int64)
+    last, one, two = code[2:], code[1:-1], code[:-2] * (code[1:-1] > 0)
+    at = (two * 27 + one) * 27 + last
+    return np.bincount(at[(last > 0) | (one > 0)], minlength=27**3).reshape(27, 27, 27)
+
+
+_CODES = np.zeros(256, np.uint8)
+_CODES[[ord(c) for c in LETTERS]] = np.arange(1, 27)
+for _c, _bare in _BARE.items():
+    if _c <= "\xff":
+        _CODES[ord(_c)] = ord(_bare) - 96
+
+
+def char_model(counts: np.ndarray, telling: Iterable[str]) -> np.ndarray:
+    """log P(letter | the two before) as an array like trigrams gives, from counts of all documents and telling words."""
+
+    def shares(counts: np.ndarray) -> np.ndarray:
+        by = lambda x, axes: x / np.maximum(x.sum(axis=axes, keepdims=True), 1e-9)
+        three, two, one = by(counts, 2), by(counts.sum(axis=0), 1), by(counts.sum(axis=(0, 1)) + 0.5, 0)
+        return SHARES[0] * three + SHARES[1] * two[None] + SHARES[2] * one[None, None]
+
+    words = sorted(set(telling))
+    found = shares(counts.astype(float))
+    if words:
+        found = (1 - TELLING) * found + TELLING * shares(trigrams(" ".join(words)).astype(float))
+    return np.log(found)
+
+
+class _Lattice:
+    """What each character of a token may be: letters with their costs, and costs of being put in or a repeat (stay) and of
+    ending a word (end), None where it can't."""
+
+    def __init__(self, token: str):
+        self.steps: list[tuple[np.ndarray, np.ndarray, float | None, float | None]] = []
+        before = ""
+        for c in token:
+            ways = {ord(c) - 96: PLAIN} if "a" <= c <= "z" else {ord(x) - 96: FOR_LETTER for x in STANDS_FOR.get(c, "")}
+            if c in HIDDEN:
+                ways = {i: ways.get(i, ANY_LETTER) for i in range(1, 27)}
+            apart = c in PUT_IN or c.isspace()
+            stay = PUT if apart else (AGAIN if c == before else None) if c.isalpha() else ODD
+            self.steps.append((np.array([*ways], np.int64), np.array([*ways.values()]), stay, ENDS if apart else None))
+            if not apart:
+                before = c
+
+
+def restore(token: str, model: np.ndarray) -> tuple[list[str], float]:
+    """(the likeliest words behind a token, which is folded, their log probability). A token with a character that no way
+    leads through, as a letter of another script, is one word as it is."""
+    none = -np.inf
+    score = np.full((27, 27), none)
+    score[0, 0] = 0.0
+    back: list[np.ndarray] = []  # per step and state: the letter two before, 27 for stayed, 28 for ended (from best state)
+    ended: list[int] = []
+    out: list[int] = []
+    limit = 512
+
+    def trace(state: int, upto: int) -> list[int]:
+        """Letters (0 for an end of a word) on the way to a state after the last step, down to step upto."""
+        found = []
+        for step in range(len(back) - 1, upto - 1, -1):
+            way = int(back[step][state])
+            if way == 28:
+                found.append(0)
+                state = ended[step]
+            elif way != 27:
+                found.append(state % 27)
+                state = way * 27 + state // 27
+        return found[::-1]
+
+    for letters, costs, stay, end in _Lattice(token).steps:
+        now, way = np.full((27, 27), none), np.full((27, 27), 27, np.int8)
+        if stay is not None:
+            now = score + stay
+        if len(letters):
+            reach = score[:, :, None] + model[:, :, letters]
+            best = reach.argmax(axis=0)
+            value = np.take_along_axis(reach, best[None], 0)[0] + costs
+            better = value > now[:, letters]
+            now[:, letters] = np.where(better, value, now[:, letters])
+            way[:, letters] = np.where(better, best, way[:, letters])
+        if end is not None:
+            ends = score + model[:, :, 0]
+            ends[0, 0] = none  # a word has letters
+            k = int(ends.argmax())
+            if ends.flat[k] + end > now[0, 0]:
+                now[0, 0], way[0, 0] = ends.flat[k] + end, 28
+            ended.append(k)
+        else:
+            ended.append(0)
+        if now.max() == none:
+            return [token], none
+        score = now
+        back.append(way.ravel())
+        if len(back) >= limit:  # what all ways share is settled and need not be kept
+            states, step = np.flatnonzero(np.isfinite(score)), len(back)
+            while len(states) > 1 and step:
+                step -= 1
+                ways = back[step][states].astype(np.int64)
+                states = np.unique(np.where(ways == 27, states, np.where(ways == 28, ended[step], ways * 27 + states // 27)))
+            if len(states) == 1 and step:
+                kept = back[step:], ended[step:]
+                back, ended = back[:step], ended[:step]
+                out += trace(int(states[0]), 0)
+                back, ended = kept
+            limit = max(512, 2 * len(back))
+    last = score + model[:, :, 0]
+    last[0, 0] = score[0, 0] if len(token) else 0.0
+    k = int(last.argmax())
+    out += trace(k, 0)
+    return "".join(" " if x == 0 else LETTERS[x - 1] for x in out).split(), float(last.flat[k])
 
 
 def features(word: str) -> list[str]:
-    """A word of letters in lower case, and its beginnings."""
+    """A folded word of letters, and its beginnings."""
     return [word, *(f"{word[:n]}~" for n in (4, 5) if len(word) > n)] if len(word) >= 3 else []
 
 
 class Scorer:
-    """evidence(text): how strongly its words speak for label 1."""
+    """evidence(text): how strongly its words speak for label 1; model: log probabilities, or None for no restoring."""
 
-    def __init__(self, weights: dict[str, float], words: dict[str, float], curve: tuple[float, float]):
-        self.weights, self.curve = weights, curve
-        self.model = CharModel(words)
+    def __init__(self, weights: dict[str, float], model: np.ndarray | None, curve: tuple[float, float]):
+        self.weights, self.model, self.curve = weights, model, curve
         self.known: dict[str, float] = {}
 
     def word(self, token: str) -> float:
         """The strongest evidence of one token, as it is and restored."""
-        get, token = self.weights.get, token.lower()
+        get, token = self.weights.get, folded(token)
         spelled = _LETTERS.findall(token)
         best = max((get(f, -9.0) for w in spelled for f in features(w)), default=-9.0)
-        bare = _EDGES.sub("", token)
+        if self.model is None or not spelled:
+            return best
+        bare = token[_WORDY.search(token).start() : len(token) - _WORDY.search(token[::-1]).start()]
         core = token.strip(".,;:\"()[]{}<>")
         # Signs at an edge may stand for letters, but a run of one sign only adorns.
         for odd in {bare} if _RUN.search(core) else {core, bare}:
             # White space, signs or digits among letters, or a letter three times.
-            if 3 <= len(odd) <= 40 and spelled and (not odd.isalpha() or _REPEATED.search(odd)) and sum(map(odd.count, HIDDEN)) <= 3:
-                for word in restore(odd, self.model):
-                    best = max(best, max((get(f, -9.0) for f in features(word)), default=-9.0))
+            if len(odd) >= 3 and (not odd.isalpha() or _REPEATED.search(odd)):
+                best = max(best, max((get(f, -9.0) for w in restore(odd, self.model)[0] for f in features(w)), default=-9.0))
         return best
 
     def evidence(self, text: str) -> float:
@@ -137,13 +217,12 @@ class Scorer:
         if len(known) > REMEMBERED:
             known.clear()
         tokens = set(text.split())
-        if _SPACED_HINT.search(text) or "." in text or "-" in text or "_" in text:
-            tokens.update(m[0] for m in _SPACED.finditer(text) if len(m[0]) <= 40)
+        tokens.update(m[0] for m in _SPACED.finditer(text))
         found = []
         for t in tokens:
             e = known.get(t)
             if e is None:
-                e = known[t] = self.word(t) if len(t) <= 64 else max(map(self.word, _LETTERS.findall(t)), default=-9.0)
+                e = known[t] = self.word(t)
             if e > 0:
                 found.append(e)
         found.sort(reverse=True)
@@ -155,14 +234,14 @@ class Scorer:
 
 
 @functools.lru_cache(maxsize=1)
-def _scorer(weights: tuple, words: tuple, curve: tuple) -> Scorer:
-    return Scorer(dict(weights), dict(words), curve)
+def _scorer(weights: tuple, model: bytes, curve: tuple) -> Scorer:
+    return Scorer(dict(weights), np.frombuffer(model).reshape(27, 27, 27), curve)
 
 
 def _scored(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(*shared.value)
-        for batch in batches:
+        for batch in small_parts(batches, 2):
             found = np.array([scorer.score(t or "") for t in batch.column(2).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found), pa.array((found >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -179,6 +258,23 @@ def _weighed(shared):
     return weigh
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows text -> trigram, n: the counts of all trigrams of a task's texts."""
+    total = np.zeros(27**3, np.int64)
+    for batch in small_parts(batches, 0):
+        total += trigrams("\n".join(t for t in batch.column(0).to_pylist() if t)).ravel()
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["trigram", "n"])
+
+
+def count_trigrams(docs: DataFrame) -> np.ndarray:
+    """trigrams of all texts of docs together; at most 27 ** 3 sums reach the driver."""
+    counts = np.zeros(27**3, np.int64)
+    for r in docs.select("text").mapInArrow(_counted, "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n")).collect():
+        counts[r["trigram"]] = r["n"]
+    return counts.reshape(27, 27, 27)
+
+
 def _curve(counts: dict[int, tuple[float, float]]) -> tuple[float, float]:
     """Logistic slope and offset over evidence, by Newton steps with a small penalty; counts: tenths -> rows of label 0, 1."""
     x = np.array([k / 10 for k in counts])
@@ -196,7 +292,8 @@ def _curve(counts: dict[int, tuple[float, float]]) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple:
-    """(weights, words of the character model, curve) from rows that aren't held out; docs: doc_id, text; labels: doc_id, label."""
+    """(weights, character model, curve); weights and curve from rows that aren't held out; docs: doc_id, text; labels:
+    doc_id, label."""
     session = docs.sparkSession
     key = F.xxhash64("doc_id", F.lit(17))
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("key", key)
@@ -204,11 +301,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple:
     # At most SAMPLE_SALTS * SAMPLE_PER_SALT rows a class.
     chosen = marks.withColumn("r", rank).where(F.col("r") <= SAMPLE_PER_SALT).select("doc_id", "label")
     sample = docs.join(F.broadcast(chosen), "doc_id").select("label", F.coalesce("text", F.lit("")).alias("text"))
-    from .common import staged
-
     sample = staged(sample, "toxic-sample")
     rows = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    spelled = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{2,}"), F.lit(0))
+    spelled = F.regexp_extract_all(F.translate(F.lower("text"), "".join(_BARE), "".join(_BARE.values())), F.lit(r"\p{L}{2,}"), F.lit(0))
     rowed = sample.select("label", F.monotonically_increasing_id().alias("row"), spelled.alias("ws"))
     starts = F.transform(F.array(F.lit(4), F.lit(5)), lambda n: F.when(F.length("w") > n, F.concat(F.substring(F.col("w"), F.lit(1), n), F.lit("~"))))
     named = lambda df: df.withColumn("f", F.explode(F.concat(F.array("w"), starts))).where("f is not null and length(f) >= 3")
@@ -220,17 +315,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple:
     told = told.groupBy("f").agg(F.countDistinct("row").alias("rows"), F.countDistinct("before").alias("places")).select("f", F.least("rows", "places").alias("t")).where(F.col("t") >= LEAST_ROWS)
     clean = named(rowed.where("label = 0").select("row", F.explode(F.array_distinct("ws")).alias("w"))).select("f", "row").distinct().groupBy("f").agg(F.count(F.lit(1)).alias("c"))
     counts = told.join(clean, "f", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    words = rowed.select(F.explode(F.array_distinct("ws")).alias("w"))
     n1, n0 = rows.get(1, 0) + 1.0, rows.get(0, 0) + 1.0
     odds = F.log((F.col("t") + 0.3) / n1) - F.log((F.col("c") + 0.3) / n0)
     # Only what is far commoner in label 1 than chance makes it.
     strong = counts.withColumn("weight", odds).where(F.col("weight") - 2.5 / F.sqrt("t") > 1.0).orderBy(F.desc("weight"), "f").limit(FEATURES).collect()
     weights = {r["f"]: float(r["weight"]) for r in strong}
-    common = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.length("w") <= 30).orderBy(F.desc("n"), "w").limit(MODEL_WORDS).collect()
-    spelling = {r["w"]: math.log1p(r["n"]) for r in common}
-    # Telling words count for more than their share, so that a disguise of one is read as it.
-    spelling |= {f: 30.0 for f in weights if not f.endswith("~")}
-    state = tuple(sorted(weights.items())), tuple(sorted(spelling.items()))
+    model = char_model(count_trigrams(docs), (f for f in weights if not f.endswith("~")))
+    state = tuple(sorted(weights.items())), model.tobytes()
     shared = session.sparkContext.broadcast((*state, (1.0, 0.0)))
     bins = sample.mapInArrow(_weighed(shared), "label int, tenths long").groupBy("tenths").agg(F.sum(1 - F.col("label")).alias("n0"), F.sum("label").alias("n1")).collect()
     return (*state, _curve({r["tenths"]: (r["n0"], r["n1"]) for r in bins}))
@@ -240,9 +331,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Per document: doc_id, held_out, score (0 to 1), predicted (1 from 0.5 on).
 
     Labels are learnt from rows with crc32(id) mod 5 other than 0 alone, a bounded sample of each class; a row labelled
-    twice counts as 1 if either label is. A null or empty text has the score of a text without evidence. Rows without an
-    id are left out, repeated ones scored alike. Without any label 1 all scores are close to 0. Other columns are not
-    read.
+    twice counts as 1 if either label is. A null or empty text has the score of a text without evidence. Very long texts
+    and tokens are read whole, in time that grows with their length. Rows without an id are left out, repeated ones scored
+    alike. Without any label 1 all scores are close to 0. An empty table gives an empty result. Other columns are not read.
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     model = fit(given, labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")))
