@@ -385,7 +385,7 @@ def test_restore():
             assert abs(toxicity.restore(token, model)[1] - _decoded(token, model)) < 1e-6, token
     for token, want in (("bl0rkh3ad", ["blorkhead"]), ("g.r.u.m.p.f", ["grumpf"]), ("g r u m p f", ["grumpf"]), ("grrrruuumpf", ["grumpf"]), ("gr*mpf", ["grumpf"]), ("жgrumpf", ["жgrumpf"])):
         assert toxicity.restore(token, model)[0] == want
-    assert toxicity.Scorer({"grumpf": 3.0}, model, (1, 0)).evidence("so g r u m p f and GRÜMPF, so") == 4.5
+    assert toxicity.Scorer({"grumpf": 3.0}, model, (1, 0)).evidence("so g r u m p f and GRUMPF, so") == 4.5
     # Ways that meet early are settled early; the result is that of one piece.
     long = "".join(r.choice(["bl0rkhead", "ab1e.", "co-st", "s0", "l**t"]) for _ in range(500))
     got, p = toxicity.restore(long, model)

@@ -6,7 +6,8 @@ put in, that it repeats the letter before, or that it ends a word; a Viterbi sea
 the likeliest words. The trigrams are counted over all documents; words that tell label 1 count as a part of the model
 of their own. The restored words are scored by their evidence and that of their beginnings, as learnt from labelled
 rows; a logistic curve turns that into a score. Words that need no restoring pass through the channel as they are. Whole
-texts are read; each distinct word is looked at once per worker. Accents are left off throughout.
+texts are read; each distinct word is looked at once per worker. Restored words have no accents, and are found among the
+telling words without theirs.
 """
 
 from __future__ import annotations
@@ -92,7 +93,7 @@ def char_model(counts: np.ndarray, telling: Iterable[str]) -> np.ndarray:
         three, two, one = by(counts, 2), by(counts.sum(axis=0), 1), by(counts.sum(axis=(0, 1)) + 0.5, 0)
         return SHARES[0] * three + SHARES[1] * two[None] + SHARES[2] * one[None, None]
 
-    words = sorted(set(telling))
+    words = sorted(set(map(folded, telling)))
     found = shares(counts.astype(float))
     if words:
         found = (1 - TELLING) * found + TELLING * shares(trigrams(" ".join(words)).astype(float))
@@ -185,7 +186,7 @@ def restore(token: str, model: np.ndarray) -> tuple[list[str], float]:
 
 
 def features(word: str) -> list[str]:
-    """A folded word of letters, and its beginnings."""
+    """A word of letters in lower case, and its beginnings."""
     return [word, *(f"{word[:n]}~" for n in (4, 5) if len(word) > n)] if len(word) >= 3 else []
 
 
@@ -194,11 +195,14 @@ class Scorer:
 
     def __init__(self, weights: dict[str, float], model: np.ndarray | None, curve: tuple[float, float]):
         self.weights, self.model, self.curve = weights, model, curve
+        self.bare: dict[str, float] = {}
+        for f, w in weights.items():
+            self.bare[folded(f)] = max(w, self.bare.get(folded(f), w))
         self.known: dict[str, float] = {}
 
     def word(self, token: str) -> float:
         """The strongest evidence of one token, as it is and restored."""
-        get, token = self.weights.get, folded(token)
+        get, token = self.weights.get, token.lower()
         spelled = _LETTERS.findall(token)
         best = max((get(f, -9.0) for w in spelled for f in features(w)), default=-9.0)
         if self.model is None or not spelled:
@@ -209,7 +213,7 @@ class Scorer:
         for odd in {bare} if _RUN.search(core) else {core, bare}:
             # White space, signs or digits among letters, or a letter three times.
             if len(odd) >= 3 and (not odd.isalpha() or _REPEATED.search(odd)):
-                best = max(best, max((get(f, -9.0) for w in restore(odd, self.model)[0] for f in features(w)), default=-9.0))
+                best = max(best, max((self.bare.get(f, -9.0) for w in restore(folded(odd), self.model)[0] for f in features(w)), default=-9.0))
         return best
 
     def evidence(self, text: str) -> float:
@@ -303,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple:
     sample = docs.join(F.broadcast(chosen), "doc_id").select("label", F.coalesce("text", F.lit("")).alias("text"))
     sample = staged(sample, "toxic-sample")
     rows = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    spelled = F.regexp_extract_all(F.translate(F.lower("text"), "".join(_BARE), "".join(_BARE.values())), F.lit(r"\p{L}{2,}"), F.lit(0))
+    spelled = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{2,}"), F.lit(0))
     rowed = sample.select("label", F.monotonically_increasing_id().alias("row"), spelled.alias("ws"))
     starts = F.transform(F.array(F.lit(4), F.lit(5)), lambda n: F.when(F.length("w") > n, F.concat(F.substring(F.col("w"), F.lit(1), n), F.lit("~"))))
     named = lambda df: df.withColumn("f", F.explode(F.concat(F.array("w"), starts))).where("f is not null and length(f) >= 3")
