@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import keyed, staged
 
 #: One run of white space, as the contract has it.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -55,14 +55,16 @@ def _block_names(texts: DataFrame, found: DataFrame, chars: int, key: Callable[[
     return named.unionByName(spelled.join(more.withColumn("name", F.col("name") + F.lit(above)), "block").select("row", "pos", "name"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, key: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
-    """One row per document: id_col, keep_id, group_size long, kept boolean, text_sha256 string.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, key: Callable[[Column], Column] = F.xxhash64, row_col: str | None = None) -> DataFrame:
+    """One row per document: id_col, keep_id, group_size long, kept boolean, text_sha256 string, and row_col if it is given.
 
     Texts are equal when identical after each run of white space became one space; a null text counts as empty. The row
-    with the smallest id stays; of rows that repeat that id, one stays. Rows without an id are left out. Other columns
-    are not read, so their names don't matter. An empty table gives an empty result.
+    with the smallest id stays; of rows that repeat that id, one stays. Very long texts are cut into blocks of block_chars
+    characters, and all blocks count. Rows without an id are left out. row_col names a long column that tells rows apart;
+    without it rows are numbered, in a written copy, so that a number stays a row's own. Other columns are not read, so
+    their names don't matter. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm")).where("doc_id is not null").withColumn("row", F.monotonically_increasing_id())
+    rows = keyed(docs, id_col, text_col, row_col).select("row", "doc_id", normalised(F.col("text")).alias("norm"))
     found = staged(
         rows.select("row", "doc_id", F.sha2("norm", 256).alias("text_sha256"), F.transform(_blocks(F.col("norm"), block_chars), lambda b: F.struct(key(b).alias("h"), F.length(b).alias("len"))).alias("blocks")).withColumn("n", F.size("blocks")),
         "dedup-rows",
@@ -89,4 +91,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             identity = identity.unionByName(more)
     known = staged(found.select("row", "doc_id", "text_sha256").join(identity, "row"), "dedup-identity")
     groups = known.groupBy("n", "name").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("group_size"))
-    return known.join(groups, ["n", "name"]).select(F.col("doc_id").alias(id_col), F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256")
+    return known.join(groups, ["n", "name"]).select(*([F.col("row").alias(row_col)] if row_col else []), F.col("doc_id").alias(id_col), F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256")
