@@ -1,7 +1,9 @@
 """A corpus pipeline over documents: language, exact copies, near copies, mixture, packed sequences.
 
-Each stage takes all that the one before kept and returns the columns of documents, but for the last, which returns the
-pieces of the packed sequences.
+Each stage takes all that the one before kept and returns the columns of documents, whatever they are called, but for the
+last, which returns the pieces of the packed sequences. Rows are told apart by a number of their own, so that of rows that
+repeat an id and a text one stays. Rows without an id are rejected by the first stage, since the pieces name documents by
+it. Null texts have no language and are rejected with it; very long texts are taken whole. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -10,33 +12,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import exact_dedup, langid, mixing, near_dedup, packing
-from tidewire.llm.common import OWN, staged
+from tidewire.llm.common import OWN, ROW, staged, with_rows
 from tidewire.llm.queries import _tokenizer
 
+#: The least score of a language: below it two languages need about as few phrases, and the text is in none of them.
+SURE = 0.5
+
+
+def _of(rows: DataFrame, kept: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows that kept names, with the columns of docs."""
+    return rows.join(kept.select(ROW), ROW, "left_semi").select(*(f"`{c}`" for c in docs.columns))
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told; those without any letter go."""
-    told = langid.identify(docs).where("lang_pred <> 'und'").select("doc_id").distinct()
-    return docs.join(told, "doc_id", "left_semi").select(*docs.columns)
+    """Documents whose language is told with a score of SURE at least; those without any letter have none."""
+    rows = with_rows(docs.where("doc_id is not null"))
+    told = langid.identify(rows, row_col=ROW).where((F.col("lang_pred") != "und") & (F.col("score") >= SURE))
+    return _of(rows, told, docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    rows = with_rows(docs)
+    return _of(rows, exact_dedup.exact_dedup(rows, row_col=ROW).where("kept"), docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    kept = near_dedup.near_dedup(docs, words=5, num=80, den=100).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    rows = with_rows(docs)
+    return _of(rows, near_dedup.near_dedup(rows, words=5, num=80, den=100, row_col=ROW).where("kept"), docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rate says, so that the domains' token totals meet the target weights."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rated = mixing.mix_by_labels(docs, labels).where("copies > 0")
-    return rated.withColumn(f"{OWN}copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    own = f"{OWN}copies"
+    rated = mixing.mix_by_labels(docs.select("doc_id", "text", F.struct(*(f"`{c}`" for c in docs.columns)).alias(f"{OWN}doc")), labels).where("copies > 0")
+    return rated.withColumn(own, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(f"{OWN}doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
