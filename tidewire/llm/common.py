@@ -40,13 +40,18 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_rows(docs: DataFrame) -> DataFrame:
-    """docs with a number for every row in the column ROW; written, so that a row keeps its number."""
+def with_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs that have an id, with a long in the column ROW that tells them apart: the id itself where it is a whole
+    number and no row repeats another's, else a number, in a written copy, so that a row keeps it."""
+    docs = docs.where(F.col(id_col).isNotNull())
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    if whole and docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty():
+        return docs.withColumn(ROW, F.col(id_col).cast("long"))
     return staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
-    """row, doc_id, text of the rows with an id. row_col tells rows apart; where there is none, rows are numbered."""
+    """row, doc_id, text of the rows with an id. row_col tells rows apart; where there is none, with_rows does."""
     picked = docs.select(*([F.col(row_col).alias("row")] if row_col else []), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     return picked if row_col else with_rows(picked).withColumnRenamed(ROW, "row")
 

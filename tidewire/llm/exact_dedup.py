@@ -61,8 +61,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal when identical after each run of white space became one space; a null text counts as empty. The row
     with the smallest id stays; of rows that repeat that id, one stays. Very long texts are cut into blocks of block_chars
     characters, and all blocks count. Rows without an id are left out. row_col names a long column that tells rows apart;
-    without it rows are numbered, in a written copy, so that a number stays a row's own. Other columns are not read, so
-    their names don't matter. An empty table gives an empty result.
+    without it ids do, or, where they repeat, numbers in a written copy. Other columns are not read, so their names don't
+    matter. An empty table gives an empty result.
     """
     rows = keyed(docs, id_col, text_col, row_col).select("row", "doc_id", normalised(F.col("text")).alias("norm"))
     found = staged(

@@ -308,7 +308,7 @@ def near_dedup(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, i
     document reaches over links, itself included; kept marks the document with that id, and of rows that repeat the id
     one. A null text, or one without words, has an empty set and is linked with nothing. Very long texts are taken whole.
     Rows without an id are left out. An empty table gives an empty result. row_col names a long column that tells rows
-    apart; without it rows are numbered. Other columns are not read.
+    apart; without it ids do, or, where they repeat, numbers in a written copy. Other columns are not read.
     """
     given = keyed(docs, id_col, text_col, row_col)
     signed = staged(given.select("row", "text").mapInArrow(_signed(words, bands, rows), SIGNED), "signed")
