@@ -1,8 +1,8 @@
 """A corpus pipeline over documents: language, exact copies, near copies, mixture, packed sequences.
 
 Each stage takes all that the one before kept and returns the columns of documents, whatever they are called, but for the
-last, which returns the pieces of the packed sequences. Rows are told apart by a number of their own, so that of rows that
-repeat an id and a text one stays. Rows without an id are rejected by the first stage, since the pieces name documents by
+last, which returns the pieces of the packed sequences. Rows are told apart also where they repeat an id, so that of rows
+that repeat an id and a text one stays. Rows without an id are rejected by the first stage, since the pieces name documents by
 it. Null texts have no language and are rejected with it; very long texts are taken whole. An empty table stays empty.
 """
 
@@ -26,7 +26,7 @@ def _of(rows: DataFrame, kept: DataFrame, docs: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a score of SURE at least; those without any letter have none."""
-    rows = with_rows(docs.where("doc_id is not null"))
+    rows = with_rows(docs)
     told = langid.identify(rows, row_col=ROW).where((F.col("lang_pred") != "und") & (F.col("score") >= SURE))
     return _of(rows, told, docs)
 
