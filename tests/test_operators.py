@@ -1,7 +1,9 @@
 """Known answers and awkward messages."""
 
 import random
+import re
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -46,21 +48,65 @@ def test_limits_are_recorded_and_cash_is_whole(spark):
 
 def test_paths_and_defects(spark):
     body = fin("lost\n:16R:A\n:16R:B\n:20C::SEME//X\n  two\n:16S:B\n:16R:B\n:16S:C\n:bad line\n:16S:B\n:16S:A\n:16R:A")
-    rows = structure.with_paths(structure.walked(structure.fields(messages(spark, body, "", "no blocks", "{4:\n"))))
+    rows = structure.field_rows(messages(spark, body, "", "no blocks", "{4:\n"))
     got = [(r.tag, r.seq_index) for r in rows.orderBy("field_seq").collect()]
     assert got == [("16R", "$"), ("16R", "A[0]"), ("20C", "A[0]/B[0]"), ("16S", "A[0]/B[0]"), ("16R", "A[0]"), ("16S", "A[0]/B[1]"), ("16S", "A[0]"), ("16R", "$")]
     kinds = sorted((r.message_id, r.kind) for r in structure.diagnostics(messages(spark, body, "{4:\n", "{x}")).collect())
     assert kinds == [("m0", "malformed_field_tag"), ("m0", "mismatched_sequence_end"), ("m0", "unclosed_sequence"), ("m1", "unclosed_text_block"), ("m2", "missing_block_separator")]
 
 
-def test_long_walk_is_the_same(spark):
+def _walk_by_hand(fields):
+    """Rows (seq, tag, path, problem, occurrence) of one message, and what is left open."""
+    stack, counts, seen, rows = [], {}, {}, []
+    for i, (tag, value) in enumerate(fields):
+        path, problem = "/".join(stack) or "$", None
+        if tag == "16S":
+            if stack and stack[-1].split("[")[0] == value:
+                stack.pop()
+            else:
+                problem = "mismatched_end"
+        elif tag == "16R" and len(stack) < structure.MAX_DEPTH:
+            at = (path, value)
+            counts[at] = counts.get(at, -1) + 1
+            stack.append(f"{value}[{counts[at]}]")
+        elif tag == "16R":
+            problem = "depth"
+        qual = value[1:5] if re.match(":[A-Za-z0-9]{4}//", value) else None
+        n = seen.get((path, tag, qual), 0)
+        if problem != "mismatched_end":
+            seen[path, tag, qual] = n + 1
+        rows.append((i, tag, path, problem, None if problem == "mismatched_end" else n, qual))
+    return rows, stack
+
+
+def test_walk_by_hand(monkeypatch):
     r = random.Random(1)
-    lines = []
-    for _ in range(120):
-        lines.append(r.choice([":16R:A", ":16R:B", ":16S:A", ":16S:B", ":70E:x"]))
-    flat = structure.fields(messages(spark, fin("\n".join(lines))))
-    mark = lambda df: sorted((x.field_seq, x.tag, tuple(x.path), x.problem) for x in df.collect())
-    assert mark(structure.walked(flat)) == mark(structure.walked(flat, long_fields=5))
+    monkeypatch.setattr(structure, "BATCH_FIELDS", 50)
+    given = []
+    for _ in range(60):
+        deep = r.random() < 0.2
+        given.append([r.choice([("16R", "A"), ("16R", "B"), *([] if deep else [("16S", "A"), ("16S", "B")]), ("70E", "x"), ("20C", ":SEME//1"), ("20C", ":RELA//2")]) for _ in range(r.choice([0, 3, 30, 120]))])
+    text = pa.list_(pa.string())
+    batch = pa.RecordBatch.from_arrays([pa.array([f"m{i}" for i in range(60)]), pa.array(["MT"] * 60), pa.array([[t for t, _ in m] for m in given], text), pa.array([[v for _, v in m] for m in given], text)], ["message_id", "message_type", "tags", "values"])
+    got = {}
+    for part in structure._walked(True)(iter([batch.slice(0, 25), batch.slice(25)])):
+        for x in part.to_pylist():
+            got.setdefault(x["message_id"], []).append(x)
+    for i, m in enumerate(given):
+        rows, left = _walk_by_hand(m)
+        mine = got.get(f"m{i}", [])
+        assert [(x["field_seq"], x["tag"], x["seq_index"], x["problem"], None if x["problem"] == "mismatched_end" else x["occurrence"], x["qualifier"]) for x in mine] == rows
+        assert [("/".join(x["path"]) or "$", re.sub(r"\[\d+\]", "", x["seq_index"])) for x in mine] == [(x["seq_index"], x["seq_path"]) for x in mine]
+        assert not mine or (mine[-1]["unclosed"] == left and not any(x["unclosed"] for x in mine[:-1]))
+
+
+def test_split_at_any_number_of_separators(spark):
+    one, two = "{1:A}{2:I537}{4:\n-}", "{1:B}{2:I540}"
+    text = f"{one}{'$ \r\n' * 500}{two}\0\2x}}\0\3\0{{1:C}}}} {{1:"
+    df = spark.createDataFrame([("s", "f", bytearray(text.encode()))], "source_id string, name string, content binary")
+    got = structure.messages_of_files(df).orderBy("fragment").collect()
+    assert [(x.body, x.kept) for x in got] == [(one, True), (f"{two}\0\2x}}\0\3\0{{1:C}}}}", True), ("{1:", False)]
+    assert [text.encode()[x.byte_offset :].startswith(x.body.encode()) for x in got] == [True] * 3
 
 
 trees = st.recursive(st.lists(st.just("f"), max_size=2), lambda t: st.lists(st.tuples(st.sampled_from("AB"), t), max_size=3), max_leaves=8)

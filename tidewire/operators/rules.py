@@ -114,10 +114,11 @@ def compiled(spark: SparkSession, catalog: Catalog = CATALOG) -> DataFrame:
 
 
 def expanded(rule_rows: DataFrame) -> DataFrame:
-    """A row per concrete tag, qualifier and path of each rule, so that matching is an equality join; a null qualifier fits any."""
+    """A row per concrete tag, qualifier and path of each rule, so that matching is an equality join; a null qualifier fits any.
+    Alternatives that a rule repeats count once, so that a field meets a rule once."""
     tags = F.when(F.col("options").isNull(), F.array(F.upper("tag"))).otherwise(F.transform("options", lambda o: F.upper(F.concat(F.col("tag"), o))))
     alternatives = lambda c: F.when(F.col(c).isNull(), F.array(F.lit(None).cast("string"))).otherwise(F.split(c, r"\|"))
-    return rule_rows.withColumn("tag_key", F.explode(tags)).withColumn("want", F.explode(alternatives("qualifier"))).withColumn("seq_path", F.explode(F.split("path", r"\|")))
+    return rule_rows.withColumn("tag_key", F.explode(tags)).withColumn("want", F.explode(alternatives("qualifier"))).withColumn("seq_path", F.explode(F.split("path", r"\|"))).dropDuplicates(["message_type", "rule_ord", "tag_key", "want", "seq_path"])
 
 
 def matched(field_rows: DataFrame, rule_rows: DataFrame) -> DataFrame:
@@ -127,7 +128,7 @@ def matched(field_rows: DataFrame, rule_rows: DataFrame) -> DataFrame:
     joined = f.join(r, ["message_type", "tag_key", "seq_path"]).where(F.col("want").isNull() | (F.col("want") == F.col("qualifier")))
     letter = F.upper(F.substring("tag", -1, 1))
     own = F.try_element_at(F.coalesce("option_types", F.create_map().cast("map<string,string>")), letter)
-    return joined.withColumn("field_type", F.coalesce(own, "field_type")).dropDuplicates(["message_id", "field_seq", "rule_ord"])
+    return joined.withColumn("field_type", F.coalesce(own, "field_type"))
 
 
 def normalised(field_type: Column, value: Column) -> Column:
@@ -150,10 +151,7 @@ def captured(matches: DataFrame, compiled_types: DataFrame) -> DataFrame:
 
 def scopes(field_rows: DataFrame) -> DataFrame:
     """message_id, message_type, seq_path, seq_index of every sequence occurrence that a message opens."""
-    opened = field_rows.where("tag = '16R'").withColumn("at", F.when(F.col("seq_index") == "$", F.col("value")).otherwise(F.concat_ws("/", "seq_path", "value")))
-    inside = field_rows.where("seq_index <> '$'").select("message_id", "message_type", "seq_path", "seq_index")
-    held = inside.unionByName(opened.where("false").selectExpr("message_id", "message_type", "at as seq_path", "seq_index"))
-    return held.distinct()
+    return field_rows.where("seq_index <> '$'").select("message_id", "message_type", "seq_path", "seq_index").distinct()
 
 
 def cardinality(field_rows: DataFrame, matches: DataFrame, rule_rows: DataFrame) -> DataFrame:

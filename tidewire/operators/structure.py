@@ -1,27 +1,37 @@
-"""Messages to blocks, fields and sequence paths."""
+"""Messages to blocks, fields and sequence paths.
+
+Everything up to the field rows happens within a message, so that nothing is shuffled before a business key. Fields are
+cut and numbered by array functions. The stack of open sequences is walked by an Arrow function over whole messages, since
+a fold in SQL copies what it has at every step; only rows that open or close a sequence are visited one by one.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_MESSAGE_BYTES, MAX_BLOCK_BYTES, MAX_FIELDS, MAX_DEPTH = 10 * 1024 * 1024, 4 * 1024 * 1024, 10_000, 16
-#: Messages of more fields are walked by a grouped Arrow function: appending to an array is quadratic.
-LONG_FIELDS = 2_000
-
-_SPACE = r"[ \t\n\x0C\r]"
+#: Fields that are walked at once, or one message.
+BATCH_FIELDS = 100_000
 
 
 def trimmed(value: Column) -> Column:
     """Without ASCII white space at the ends."""
-    return F.regexp_replace(value, rf"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(value, F.lit(" \t\n\f\r"))
 
 
 def split_fin(text: Column) -> Column:
     """The pieces of a file of messages: each starts at {1: at the start or after a closing brace with only $, white space, SOH or
-    ETX between. Longer runs of separators are shortened first, since the pattern looks back a bounded way; so offsets
-    come from the pieces of the text as given."""
-    return F.split(text, r"(?<=\}[$ \t\n\f\r\x01\x03]{0,64})(?=\{1:)")
+    ETX between, however many. A pattern can't look back without a bound, so a mark is put behind such separators and
+    the text cut at the marks; what looks like a mark in the text is spelled otherwise meanwhile."""
+    spelled = F.replace(text, F.lit("\0"), F.lit("\0\2"))
+    marked = F.regexp_replace(spelled, r"(\}[$ \t\n\f\r\x01\x03]*+)(?=\{1:)", "$1\0\3\0")
+    return F.transform(F.split(marked, "\0\3\0"), lambda x: F.replace(x, F.lit("\0\2"), F.lit("\0")))
 
 
 def messages_of_files(files: DataFrame) -> DataFrame:
@@ -49,75 +59,118 @@ def qualifier(value: Column) -> Column:
     return F.nullif(F.regexp_extract(value, r"^:([A-Za-z0-9]{4})//", 1), F.lit(""))
 
 
-def fields(messages: DataFrame, text: str | None = None, limits: bool = True) -> DataFrame:
-    """message_id, message_type, field_seq, tag, value of block 4 in order; text before the first tag line is no field. What lies
-    beyond the limits is left out, and diagnostics has a row for it; without limits all fields are kept."""
+def _pieces(messages: DataFrame, text: str | None, limits: bool) -> DataFrame:
+    """message_id, message_type, pieces: the fields of block 4 as they are written."""
     source = blocks(messages) if text is None else messages.withColumn("block4", F.col(text))
-    within = "octet_length(body) <= %d and octet_length(block4) + 5 <= %d" % (MAX_MESSAGE_BYTES, MAX_BLOCK_BYTES) if limits else "true"
-    pieces = source.where(f"block4 is not null and {within}").select("message_id", "message_type", F.posexplode(F.split("block4", r"\n(?=:[A-Za-z0-9]{2,4}:)")).alias("place", "piece"))
-    tag = F.regexp_extract("piece", r"^:([A-Za-z0-9]{2,4}):", 1)
-    rows = pieces.select("message_id", "message_type", "place", tag.alias("tag"), "piece").where("tag <> ''")
-    order = Window.partitionBy("message_id").orderBy("place")
-    numbered = rows.select("message_id", "message_type", (F.row_number().over(order) - 1).cast("long").alias("field_seq"), "tag", trimmed(F.expr("substring(piece, length(tag) + 3)")).alias("value"))
-    return numbered.where(F.col("field_seq") < MAX_FIELDS) if limits else numbered
-
-
-#: State of the walk: the open sequences, how often each has begun under its parents, and the rows.
-_ROW = "struct<field_seq:bigint,tag:string,value:string,path:array<string>,problem:string>"
-_WALK = f"""aggregate(fs,
-  named_struct('stack', cast(array() as array<string>), 'counts', cast(map() as map<string,int>), 'out', cast(array() as array<{_ROW}>)),
-  (s, f) -> case
-    when f.tag = '16S' and size(s.stack) > 0 and regexp_replace(element_at(s.stack, -1), '\\\\[[0-9]+\\\\]$', '') = f.value then named_struct('stack', slice(s.stack, 1, size(s.stack) - 1), 'counts', s.counts,
-      'out', concat(s.out, array(named_struct('field_seq', f.field_seq, 'tag', f.tag, 'value', f.value, 'path', s.stack, 'problem', cast(null as string)))))
-    when f.tag = '16S' then named_struct('stack', s.stack, 'counts', s.counts,
-      'out', concat(s.out, array(named_struct('field_seq', f.field_seq, 'tag', f.tag, 'value', f.value, 'path', s.stack, 'problem', 'mismatched_end'))))
-    when f.tag = '16R' and size(s.stack) < {MAX_DEPTH} then named_struct(
-      'stack', concat(s.stack, array(concat(f.value, '[', coalesce(s.counts[concat_ws('/', s.stack, f.value)], 0), ']'))),
-      'counts', map_concat(map_filter(s.counts, (k, v) -> k <> concat_ws('/', s.stack, f.value)), map(concat_ws('/', s.stack, f.value), coalesce(s.counts[concat_ws('/', s.stack, f.value)], 0) + 1)),
-      'out', concat(s.out, array(named_struct('field_seq', f.field_seq, 'tag', f.tag, 'value', f.value, 'path', s.stack, 'problem', cast(null as string)))))
-    else named_struct('stack', s.stack, 'counts', s.counts,
-      'out', concat(s.out, array(named_struct('field_seq', f.field_seq, 'tag', f.tag, 'value', f.value, 'path', s.stack, 'problem', if(f.tag = '16R', 'depth', cast(null as string)))))) end)"""
-
-
-def _walk_long(rows):
-    """The same walk over one message, for long ones."""
-    import pyarrow as pa
-
-    rows = rows.sort_by("field_seq")
-    stack: list[str] = []
-    counts: dict[tuple, int] = {}
-    paths, problems = [], []
-    for tag, value in zip(rows["tag"].to_pylist(), rows["value"].to_pylist(), strict=True):
-        problem = None
-        paths.append(list(stack))
-        if tag == "16S":
-            if stack and stack[-1].rsplit("[", 1)[0] == value:
-                stack.pop()
-            else:
-                problem = "mismatched_end"
-        elif tag == "16R":
-            if len(stack) < MAX_DEPTH:
-                n = counts[*stack, value] = counts.get((*stack, value), -1) + 1
-                stack.append(f"{value}[{n}]")
-            else:
-                problem = "depth"
-        problems.append(problem)
-    unclosed = pa.array([list(stack)] * len(paths), pa.list_(pa.string()))
-    return pa.table({**{c: rows[c] for c in ("message_id", "message_type", "field_seq", "tag", "value")}, "path": pa.array(paths, pa.list_(pa.string())), "problem": pa.array(problems, pa.string()), "unclosed": unclosed})
+    within = f"octet_length(body) <= {MAX_MESSAGE_BYTES} and octet_length(block4) + 5 <= {MAX_BLOCK_BYTES}" if limits else "true"
+    pieces = F.filter(F.split("block4", r"\n(?=:[A-Za-z0-9]{2,4}:)"), lambda p: p.rlike("^:[A-Za-z0-9]{2,4}:"))
+    return source.where(f"block4 is not null and {within}").select("message_id", "message_type", (F.slice(pieces, 1, MAX_FIELDS) if limits else pieces).alias("pieces"))
+
 
+def _tag(piece: Column) -> Column:
+    return F.substring_index(F.substring(piece, 2, 5), ":", 1)
 
-_WALKED = "message_id string, message_type string, field_seq long, tag string, value string, path array<string>, problem string, unclosed array<string>"
 
+def _value(piece: Column) -> Column:
+    return trimmed(F.substr(piece, F.length(_tag(piece)) + 3))
 
-def walked(flat: DataFrame, long_fields: int = LONG_FIELDS) -> DataFrame:
-    """Field rows with path (the sequences that hold the row; a 16R row has its parents', a 16S row its own), problem, and the
-    sequences of the message that were never closed."""
-    sized = flat.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("message_id")))
-    short = sized.where(F.col("n") <= long_fields).groupBy("message_id", "message_type").agg(F.array_sort(F.collect_list(F.struct("field_seq", "tag", "value"))).alias("fs"))
-    walk = short.select("message_id", "message_type", F.expr(_WALK).alias("s"))
-    rows = walk.select("message_id", "message_type", F.explode("s.out").alias("o"), F.col("s.stack").alias("unclosed")).select("message_id", "message_type", "o.*", "unclosed")
-    long = sized.where(F.col("n") > long_fields).drop("n").groupBy("message_id").applyInArrow(_walk_long, _WALKED)
-    return rows.unionByName(long)
+
+def fields(messages: DataFrame, text: str | None = None, limits: bool = True) -> DataFrame:
+    """message_id, message_type, field_seq, tag, value of block 4 in order; text before the first tag line is no field. What lies
+    beyond the limits is left out, and diagnostics has a row for it; without limits all fields are kept."""
+    rows = _pieces(messages, text, limits).select("message_id", "message_type", F.posexplode("pieces").alias("place", "piece"))
+    return rows.select("message_id", "message_type", F.col("place").cast("long").alias("field_seq"), _tag(F.col("piece")).alias("tag"), _value(F.col("piece")).alias("value"))
+
+
+_WALKED = "message_id string, message_type string, field_seq long, tag string, value string, problem string, qualifier string, seq_index string, seq_path string, occurrence long"
+
+
+class _Walk:
+    """The walk over some messages; lens: fields per message."""
+
+    def __init__(self, tags: pa.StringArray, values: pa.StringArray, lens: np.ndarray):
+        self.first, n = np.cumsum(lens) - lens, len(tags)
+        self.message = np.repeat(np.arange(len(lens)), lens)
+        self.paths: list[tuple[str, ...]] = [()]
+        self.problems: dict[int, str] = {}
+        self.unclosed = np.zeros(len(lens), np.int64)
+        opens = pc.equal(tags, "16R").to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(opens | pc.equal(tags, "16S").to_numpy(zero_copy_only=False))
+        known, own = {(): 0}, np.full(n + 1, -1, np.int64)
+        message, stack, counts = -1, (), {}
+        for i, m, name, opening in zip(at.tolist(), self.message[at].tolist(), values.take(pa.array(at)).to_pylist(), opens[at].tolist(), strict=True):
+            if m != message:
+                message, stack, counts = m, (), {}
+            if opening and len(stack) < MAX_DEPTH:
+                k = counts[stack, name] = counts.get((stack, name), -1) + 1
+                stack = (*stack, f"{name}[{k}]")
+            elif opening:
+                self.problems[i] = "depth"
+            elif stack and stack[-1].rpartition("[")[0] == name:
+                stack = stack[:-1]
+            else:
+                self.problems[i] = "mismatched_end"
+            if stack not in known:
+                known[stack] = len(self.paths)
+                self.paths.append(stack)
+            own[i + 1] = self.unclosed[m] = known[stack]
+        own[self.first[lens > 0]] = 0
+        # The path of a row is the last that was set at or before it.
+        self.path = own[np.maximum.accumulate(np.where(own[:n] >= 0, np.arange(n), 0))] if n else own[:0]
+
+    def occurrences(self, *keys: pa.Array) -> np.ndarray:
+        """How many rows before each have its message, path and keys, closing rows that match nothing apart."""
+        code = self.message * len(self.paths) + self.path
+        for key in keys:
+            found = pc.fill_null(key, "").dictionary_encode()
+            code = code * (len(found.dictionary) + 1) + found.indices.to_numpy()
+        lost = [i for i, p in self.problems.items() if p == "mismatched_end"]
+        code[lost] = -1 - np.arange(len(lost))
+        order = np.argsort(code, kind="stable")
+        starts = np.concatenate([[True], np.diff(code[order]) != 0])[: len(order)]
+        out = np.empty(len(order), np.int64)
+        out[order] = np.arange(len(order)) - np.flatnonzero(starts)[np.cumsum(starts) - 1] if len(order) else 0
+        return out
+
+
+def _walked(full: bool):
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows message_id, message_type, tags, values -> a row per field."""
+        for batch in batches:
+            ends, at = np.cumsum(pc.list_value_length(batch.column(2)).to_numpy()), 0
+            while at < batch.num_rows:
+                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_FIELDS, side="right")))
+                part, at = batch.slice(at, upto - at), upto
+                lens = pc.list_value_length(part.column(2)).to_numpy()
+                tags, values = part.column(2).flatten(), part.column(3).flatten()
+                w = _Walk(tags, values, lens)
+                qualified = pc.match_substring_regex(values, "^:[A-Za-z0-9]{4}//")
+                qualifier = pc.if_else(qualified, pc.utf8_slice_codeunits(values, 1, 5), pa.scalar(None, pa.string()))
+                problem = np.full(len(tags), None, object)
+                for i, p in w.problems.items():
+                    problem[i] = p
+                index = pa.array(["/".join(p) or "$" for p in w.paths]).take(pa.array(w.path))
+                plain = pa.array(["/".join(x.rpartition("[")[0] for x in p) or "$" for p in w.paths]).take(pa.array(w.path))
+                message = pa.array(w.message)
+                cols = [part.column(0).take(message), part.column(1).take(message), pa.array(np.arange(len(tags)) - w.first[w.message]), tags, values, pa.array(problem, pa.string()), qualifier, index, plain, pa.array(w.occurrences(tags, qualifier))]
+                names = ["message_id", "message_type", "field_seq", "tag", "value", "problem", "qualifier", "seq_index", "seq_path", "occurrence"]
+                if full:
+                    paths = pa.array([list(p) for p in w.paths], pa.list_(pa.string()))
+                    left = np.zeros(len(tags), np.int64)
+                    some = np.flatnonzero(lens > 0)
+                    left[w.first[some] + lens[some] - 1] = w.unclosed[some]
+                    cols, names = [*cols, paths.take(pa.array(w.path)), paths.take(pa.array(left))], [*names, "path", "unclosed"]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    return walk
+
+
+def walked(messages: DataFrame, full: bool = True) -> DataFrame:
+    """Field rows with seq_index and seq_path (the sequences that hold the row, $ at root; a 16R row has its parents', a 16S row
+    its own), problem, qualifier, and occurrence per (seq_index, tag, qualifier); if full also path, an array, and unclosed:
+    at the last field of a message the sequences that were never closed. Nothing is shuffled."""
+    pieces = _pieces(messages, None, True).select("message_id", "message_type", F.transform("pieces", _tag).alias("tags"), F.transform("pieces", _value).alias("values"))
+    return pieces.mapInArrow(_walked(full), _WALKED + (", path array<string>, unclosed array<string>" if full else ""))
 
 
 def anchored(rows: DataFrame, anchors: dict[str, tuple[str, tuple[str, ...]]]) -> DataFrame:
@@ -140,16 +193,18 @@ def anchored(rows: DataFrame, anchors: dict[str, tuple[str, tuple[str, ...]]]) -
 
 
 def with_paths(rows: DataFrame) -> DataFrame:
-    """Rows that are fields, with qualifier, seq_index, seq_path ($ at root) and occurrence per (seq_index, tag, qualifier)."""
+    """Rows that are fields, with qualifier, seq_index, seq_path ($ at root) and occurrence by their path anew."""
     index = F.when(F.size("path") == 0, F.lit("$")).otherwise(F.array_join("path", "/"))
-    out = rows.where("problem is null or problem <> 'mismatched_end'").withColumn("qualifier", qualifier(F.col("value"))).withColumn("seq_index", index).withColumn("seq_path", F.regexp_replace("seq_index", r"\[\d+\]", ""))
+    out = rows.where("problem is null or problem <> 'mismatched_end'").withColumn("seq_index", index).withColumn("seq_path", F.regexp_replace("seq_index", r"\[\d+\]", ""))
     order = Window.partitionBy("message_id", "seq_index", "tag", "qualifier").orderBy("field_seq")
     return out.withColumn("occurrence", (F.row_number().over(order) - 1).cast("long"))
 
 
 def field_rows(messages: DataFrame, anchors: dict | None = None) -> DataFrame:
-    rows = walked(fields(messages))
-    return with_paths(anchored(rows, anchors) if anchors else rows)
+    """Rows that are fields, with their paths; anchors: see anchored."""
+    if anchors:
+        return with_paths(anchored(walked(messages), anchors))
+    return walked(messages, full=False).where("problem is null or problem <> 'mismatched_end'")
 
 
 def issuer_form(value: Column) -> tuple[Column, Column, Column]:
@@ -216,9 +271,9 @@ def diagnostics(messages: DataFrame) -> DataFrame:
     open_other = messages.where(inner.rlike(r"\{[^:{}]*:")).selectExpr("message_id", "'unclosed_block' as kind", "'' as detail")
     whole = fields(messages.where(F.octet_length("body") <= MAX_MESSAGE_BYTES), limits=False)
     many = whole.where(F.col("field_seq") == MAX_FIELDS).selectExpr("message_id", "'limit_fields' as kind", "cast(field_seq + 1 as string) as detail")
-    rows = walked(fields(messages))
+    rows = walked(messages)
     ends = rows.where("problem is not null").selectExpr("message_id", "if(problem = 'depth', 'limit_sequence_depth', 'mismatched_sequence_end') as kind", "value as detail")
-    unclosed = rows.where("size(unclosed) > 0").select("message_id", "unclosed").distinct().select("message_id", F.explode("unclosed").alias("u")).selectExpr("message_id", "'unclosed_sequence' as kind", "regexp_replace(u, '\\\\[[0-9]+\\\\]$', '') as detail")
+    unclosed = rows.where("size(unclosed) > 0").select("message_id", F.explode("unclosed").alias("u")).selectExpr("message_id", "'unclosed_sequence' as kind", "regexp_replace(u, '\\\\[[0-9]+\\\\]$', '') as detail")
     out = big
     for more in (open4, open_other, wide, many, bare, malformed, ends, unclosed):
         out = out.unionByName(more)
