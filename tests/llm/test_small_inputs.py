@@ -140,17 +140,28 @@ def test_wavelet_lookup(top, n):
 def test_top_k(spark):
     r = np.random.default_rng(4)
     rows = [(int(i), [float(x) for x in r.normal(size=6)], "v", 1) for i in range(300)] + [(1000, rows0, "v", 1) for rows0 in ([0.5] * 6, None, [float("nan")] * 6, [1.0, None, 1.0, 1.0, 1.0, 1.0])]
-    rows += [(1050 + i, [0.25] * 6, "v", 1) for i in range(8)] + [(None, [1.0] * 6, "v", 1)]
+    rows += [(1050 + i, [0.25] * 6, "v", 1) for i in range(8)] + [(None, [1.0] * 6, "v", 1), (50, [0.75] * 6, "v", 1), (50, [0.75] * 6, "v", 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, v string, score int")
-    got = sorted(map(tuple, topk.top_k(df, df.where("vec_id % 50 = 0"), k=5, shard_rows=64, query_block=4).collect()))
+    got = sorted(map(tuple, topk.top_k(df, "vec_id % 50 = 0", k=5, shard_rows=64, query_block=4).collect()))
     whole = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v, *_ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q, qv in whole:
+    for at, (q, qv) in enumerate(whole):
         if q % 50 == 0:
-            best = sorted(((-sum(a * b for a, b in zip(qv, v, strict=True)), i) for i, v in whole if i != q))[:5]
+            best = sorted((-sum(a * b for a, b in zip(qv, v, strict=True)), i) for j, (i, v) in enumerate(whole) if j != at)[:5]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert got == sorted(want)
-    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+    assert topk.top_k(df.limit(0), "vec_id = 0").count() == 0
+
+
+def test_max_score_probes_less_than_it_scores():
+    """Bounds that differ by term: most products of the weak terms are never taken, and the answers are exact."""
+    r = np.random.default_rng(8)
+    values = np.floor(r.normal(size=(8192, 32)) * 256 / np.arange(1, 33) ** 1.5).astype(np.int64)
+    shard = topk.Shard(np.arange(8192), np.arange(8192), values)
+    for own in range(0, 8192, 1024):
+        scores = values @ values[own]
+        want = sorted(((int(s), i) for i, s in enumerate(scores) if i != own), key=lambda x: (-x[0], x[1]))[:5]
+        assert shard.best(values[own], own, 5) == want
 
 
 PII = [

@@ -70,8 +70,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _table(spark, sf_dir, "embeddings")
-    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
 
 
 OP10_SQL = """
