@@ -154,7 +154,7 @@ def test_sources(spark):
     files = spark.createDataFrame([("p.csv", "Quantity,ISIN,extra\n5,us0000000001,x\nx,BAD,y\n\n")], "name string, text string")
     assert [(r.isin, r.quantity) for r in inbox.positions(files).orderBy("message_id").collect()] == [("US0000000001", 5.0), (None, None)]
     red = spark.createDataFrame([("to AAAABBCCXXX pay 1234567 not 12345 or AAAABB",)], "t string").select(text.redacted(F.col("t"))).first()[0]
-    assert red == "to [REDACTED] pay [REDACTED] not 12345 or AAAABB"
+    assert red == "to [REDACTED_BIC] pay [REDACTED_ACCOUNT] not 12345 or AAAABB"
     runs = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], "job_id string, updated_at int, status string")
     assert ledger.upserted(runs, runs.limit(0)).first().status == "y"
     assert rules.catalog_issues(rules.rules(spark), rules.sequences(spark), rules.types(spark)).count() == 0

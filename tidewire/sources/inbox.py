@@ -80,7 +80,7 @@ def split_bare(files: DataFrame) -> DataFrame:
     rows = pieces.where(F.col("raw").startswith(":20:")).withColumn("clean", structure.trimmed(clean)).where(F.col("clean").rlike(r"(?m)^:25P?:"))
     interim = F.col("clean").rlike(r"(?m)^:(34F|90D|90C):") | (F.col("clean").rlike(r"(?m)^:13D:") & ~F.col("clean").rlike(r"(?m)^:60"))
     kind = F.when(interim, "942").otherwise("940")
-    body = F.concat(F.lit("{1:F01XXXXXXXXXXXX0000000000}{2:I"), kind, F.lit("XXXXXXXXXXXXN}{4:\n"), F.col("clean"), F.lit("\n-}"))
+    body = F.concat(F.lit("{1:F01XXXXXXXXAXXX0000000000}{2:I"), kind, F.lit("XXXXXXXXXXXXN}{4:\n"), F.col("clean"), F.lit("\n-}"))
     return rows.select("source_id", "name", "fragment", "raw", F.concat(F.lit("MT"), kind).alias("message_type"), body.alias("body"))
 
 
