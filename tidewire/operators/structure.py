@@ -214,6 +214,11 @@ def issuer_form(value: Column) -> tuple[Column, Column, Column]:
     return pick(1), pick(2), pick(3)
 
 
+def without_payload(messages: DataFrame, rows: DataFrame, raw_text: bool = False, raw_values: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(messages, field rows) with the raw text and the raw values emptied, unless they are asked for."""
+    return messages if raw_text else messages.withColumn("body", F.lit("")), rows if raw_values else rows.withColumn("value", F.lit(""))
+
+
 def bic11(terminal: Column) -> Column:
     """The eleven characters of a twelve-character terminal address."""
     return F.concat(F.substring(terminal, 1, 8), F.substring(terminal, 10, 3))

@@ -118,6 +118,19 @@ SELECT * FROM (
   UNION ALL SELECT '19A', 'SETT', n, n FROM o UNION ALL SELECT '70E', 'SPRO', wrong, wrong FROM o) WHERE n > 0"""
 
 
+def m7_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7: per message the raw text and values that the switches leave: both off, and values on."""
+    messages = bindings.mt540(spark, sf_dir)
+    bare, off = structure.without_payload(messages, structure.fields(messages))
+    _, on = structure.without_payload(messages, structure.fields(messages), raw_values=True)
+    filled = lambda rows, name: rows.groupBy("message_id").agg(F.count(F.lit(1)).alias(f"{name}_fields"), F.count(F.when(F.col("value") != "", 1)).alias(f"{name}_filled"))
+    return bare.select("message_id", F.length("body").alias("raw_chars")).join(filled(off, "off"), "message_id").join(filled(on, "on"), "message_id")
+
+
+M7 = """SELECT 'mt540-' || o_orderkey AS message_id, 0 AS raw_chars, n AS off_fields, CAST(0 AS BIGINT) AS off_filled, n AS on_fields, n AS on_filled
+  FROM (SELECT o_orderkey, CAST(20 + CASE WHEN o_orderkey % 10 <> 0 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 15 = 0 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 21 = 0 THEN 3 ELSE 0 END + CASE WHEN o_orderkey % 33 = 0 THEN 3 ELSE 0 END AS BIGINT) AS n FROM orders)"""
+
+
 def f3_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sequence path of every link reference, with its occurrence."""
     rows = structure.field_rows(bindings.mt537(spark, sf_dir))
@@ -180,6 +193,6 @@ F14 = "SELECT o_orderkey % 5 <> 0 AS complete, count(*) AS messages FROM orders
 
 QUERIES = {
     "a1_net_movement": (a1_net_movement, A1), "a4_cash_pnl": (a4_cash_pnl, A4), "a5_by_type": (a5_by_type, A5), "s16_mt940": (s16_mt940, S16), "s16_statements": (s16_statements, S16S),
-    "s7_split_fin": (s7_split_fin, S7), "f15_identity": (f15_identity, F15), "f1_blocks": (f1_blocks, F1), "f2_fields": (f2_fields, F2), "f3_paths": (f3_paths, F3), "f4_anchored": (f4_anchored, F4),
+    "s7_split_fin": (s7_split_fin, S7), "f15_identity": (f15_identity, F15), "f1_blocks": (f1_blocks, F1), "f2_fields": (f2_fields, F2), "m7_payload": (m7_payload, M7), "f3_paths": (f3_paths, F3), "f4_anchored": (f4_anchored, F4),
     "f13_diagnostics": (f13_diagnostics, F13), "f14_block4": (f14_block4, F14),
 }

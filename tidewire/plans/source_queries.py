@@ -100,6 +100,18 @@ def s13_camt(spark: SparkSession, sf_dir: str) -> DataFrame:
 S13 = f"SELECT replace(message_id, 'mt940-', 'camt') || '-1' AS message_id, 'DE' || c_custkey AS account, 'EUR' AS currency, opening, round(i, 2) AS net, round(opening + i, 2) AS closing, true AS reconciles FROM (SELECT s.*, coalesce((SELECT sum(signed_amount) FROM ({E_SQL}) e WHERE e.o_custkey = s.c_custkey), 0) AS i FROM ({S_SQL}) s)"
 
 
+def s9_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """XML files cut off before their end are refused with a reason, the others are read."""
+    files = _camt(spark, sf_dir)
+    cut = F.regexp_extract("name", r"(\d+)", 1).cast("long") % 7 == 0
+    broken = files.withColumn("text", F.when(cut, F.expr("substring(text, 1, length(text) - 20)")).otherwise(F.col("text")))
+    heads, _ = inbox.camt_statements(broken)
+    return inbox.refused_camt(broken).unionByName(heads.select(F.regexp_replace("message_id", "-1$", "").alias("name"), F.lit(None).cast("string").alias("reason")))
+
+
+S9 = f"SELECT replace(message_id, 'mt940-', 'camt') AS name, CASE WHEN c_custkey % 7 = 0 THEN 'malformed_xml' END AS reason FROM ({S_SQL})"
+
+
 def s15_penalty_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S15, P-D: reported penalties from quoted lines."""
     bindings._view(spark, sf_dir, "orders")
@@ -208,6 +220,6 @@ X10 = f"""SELECT doc_id, sha256(regexp_replace(replace(regexp_replace(regexp_rep
 
 
 QUERIES = {
-    "s1_inbox_batch": (s1_inbox_batch, S1), "s5_detect_format": (s5_detect_format, S5), "s8_split_bare": (s8_split_bare, S8), "s10_csv_positions": (s10_csv_positions, S10), "f16_csv_fields": (f16_csv_fields, F16), "s13_camt": (s13_camt, S13), "s15_penalty_csv": (s15_penalty_csv, S15), "s17_read_model": (s17_read_model, A4),
+    "s1_inbox_batch": (s1_inbox_batch, S1), "s5_detect_format": (s5_detect_format, S5), "s8_split_bare": (s8_split_bare, S8), "s10_csv_positions": (s10_csv_positions, S10), "f16_csv_fields": (f16_csv_fields, F16), "s13_camt": (s13_camt, S13), "s9_refused": (s9_refused, S9), "s15_penalty_csv": (s15_penalty_csv, S15), "s17_read_model": (s17_read_model, A4),
     "v7_catalog": (v7_catalog, V7), "v9_coverage": (v9_coverage, V9), "a13_runs": (a13_runs, A13), "a14_histogram": (a14_histogram, A14), "l1_ledger": (l1_ledger, L1), "l2_durations": (l2_durations, L2), "t2_newest": (t2_newest, T2), "x10_redact": (x10_redact, X10),
 }

@@ -154,6 +154,12 @@ def camt_statements(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return heads, rows.join(heads.select("message_id", "account", "currency"), "message_id")
 
 
+def refused_camt(files: DataFrame) -> DataFrame:
+    """name, reason of the documents (name, text) that are no well-formed XML; camt_statements has no row of them."""
+    doc = F.from_xml("text", f"{CAMT}, _corrupt_record string", {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return files.select("name", doc.alias("doc")).where("doc is null or doc._corrupt_record is not null").select("name", F.lit("malformed_xml").alias("reason"))
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """A Parquet table, or an empty frame of its schema where there is none yet."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
