@@ -91,8 +91,27 @@ def v6_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.errors(_broken(spark, sf_dir)).groupBy("kind").agg(F.countDistinct("message_id").alias("messages"))
 
 
+V6 = """SELECT * FROM (SELECT kind, count(*) AS messages FROM (
+  SELECT o_orderkey AS k, unnest([
+    CASE WHEN k % 4 = 0 THEN 'unclosed_text_block' END, CASE WHEN k % 4 <> 0 AND k % 6 = 0 THEN 'malformed_field_tag' END,
+    CASE WHEN k % 4 <> 0 AND k % 9 = 0 THEN 'mismatched_sequence_end' END, CASE WHEN k % 4 <> 0 AND k % 9 = 0 THEN 'unclosed_sequence' END,
+    CASE WHEN k % 4 <> 0 AND k % 10 = 0 THEN 'missing_required' END, CASE WHEN k % 4 <> 0 AND (k % 10 = 0 OR k % 15 = 0) THEN 'cardinality' END,
+    CASE WHEN k % 4 <> 0 AND k % 33 = 0 THEN 'unknown_sequence' END, CASE WHEN k % 4 <> 0 AND (k % 21 = 0 OR k % 9 = 0) THEN 'wrong_parent' END]) AS kind FROM orders)
+  WHERE kind IS NOT NULL GROUP BY kind)"""
+
+
+def v2_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2: per message the fields that a scope has too few or too many of."""
+    rows, rule_rows = structure.field_rows(bindings.mt540(spark, sf_dir)), rules.rules(spark)
+    return rules.bad_cardinality(rules.cardinality(rows, rules.matched(rows, rule_rows), rule_rows)).select("message_id", "detail")
+
+
+V2 = """SELECT 'mt540-' || o_orderkey AS message_id, 'GENL[0] sender reference 0' AS detail FROM orders WHERE o_orderkey % 10 = 0
+  UNION ALL SELECT 'mt540-' || o_orderkey, 'TRADDET[0] instrument 2' FROM orders WHERE o_orderkey % 15 = 0"""
+
+
 def m1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M1, M2, M4, M7, M8: the transaction entity as a typed table with its raw captures."""
+    """M1, M2, M4, M8: the transaction entity as a typed table with its raw captures."""
     rows = structure.field_rows(bindings.mt537(spark, sf_dir))
     values = entities.entity_values(rules.captured(rules.matched(rows, rules.rules(spark)), rules.compiled(spark)))
     table = entities.entity_table(values, rules.layout(rules.rules(spark)).collect(), "mt537_transaction")
@@ -270,7 +289,7 @@ PK = """WITH p AS (SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS period FROM
     CASE WHEN now < st THEN 'upcoming' WHEN now > cu THEN 'closed' WHEN (SELECT count(*) FROM n WHERE day > now AND day <= cu) <= 3 THEN 'closing' ELSE 'open' END AS state FROM w, t"""
 
 QUERIES = {
-    "r4_rule_match": (r4_rule_match, R4), "r6_captures": (r6_captures, R6), "r7_failures": (r7_failures, R7), "r10_no_rules": (r10_no_rules, R10), "r12_coverage": (r12_coverage, R12), "v1_missing_required": (v1_missing_required, V1), "v3_sequences": (v3_sequences, V3), "v6_errors": (v6_errors, None),
+    "r4_rule_match": (r4_rule_match, R4), "r6_captures": (r6_captures, R6), "r7_failures": (r7_failures, R7), "r10_no_rules": (r10_no_rules, R10), "r12_coverage": (r12_coverage, R12), "v1_missing_required": (v1_missing_required, V1), "v3_sequences": (v3_sequences, V3), "v2_cardinality": (v2_cardinality, V2), "v6_errors": (v6_errors, V6),
     "m1_entities": (m1_entities, M1), "e3_events": (e3_events, E3), "e5_scoped": (e5_scoped, E5), "a7_positions": (a7_positions, A7), "a8_accounts": (a8_accounts, A8), "a9_sources": (a9_sources, A9), "a11_types": (a11_types, A11),
     "pc_accruals": (pc_accruals, PC), "pe_recon": (pe_recon, PE), "pf_summary": (pf_summary, PF), "pg_workqueue": (pg_workqueue, PG), "ph_open": (ph_open, PH), "pi_netting": (pi_netting, PI), "pj_period": (pj_period, PJ), "pk_window": (pk_window, PK),
 }
