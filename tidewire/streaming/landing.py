@@ -18,23 +18,20 @@ def parsed(files: DataFrame) -> DataFrame:
 
 
 def land(messages: DataFrame, table: str) -> dict[str, int]:
-    """Append messages whose id the table (a Parquet folder) hasn't, once each; counts of landed and already there. The raw text is
-    the last table to be written, so a reader never sees a message half landed."""
+    """Append messages whose id the table (a Parquet folder) hasn't, once each; counts of landed and already there. All of a
+    message, its position too, is one row of one append, so that a reader never sees a message half landed, and a batch
+    that failed can be landed again."""
     from tidewire.sources.inbox import read_or_empty
 
-    spark = messages.sparkSession
-    there = read_or_empty(spark, f"{table}/raw", LANDED).select("message_id")
-    batch = messages.dropDuplicates(["message_id"]).persist()
+    there = read_or_empty(messages.sparkSession, f"{table}/raw", LANDED).select("message_id")
+    batch = messages.dropDuplicates(["message_id"])
+    marked = batch.join(there.distinct().withColumn("there", F.lit(True)), "message_id", "left").persist()
     try:
-        total = batch.count()
-        new = batch.join(there, "message_id", "left_anti")
-        marks = new.select("message_id", "source_id", "byte_offset")
-        marks.write.mode("append").parquet(f"{table}/position")
-        new.select(*[c.split()[0] for c in LANDED.split(", ")]).write.mode("append").parquet(f"{table}/raw")
-        landed = spark.read.schema(LANDED).parquet(f"{table}/raw").join(batch.select("message_id"), "message_id", "left_semi").count() - batch.join(there, "message_id", "left_semi").count() if total else 0
+        counts = marked.agg(F.count(F.lit(1)), F.count("there")).first()
+        marked.where("there is null").select(*[c.split()[0] for c in LANDED.split(", ")]).write.mode("append").parquet(f"{table}/raw")
     finally:
-        batch.unpersist()
-    return {"landed": max(0, landed), "already": total - max(0, landed)}
+        marked.unpersist()
+    return {"landed": counts[0] - counts[1], "already": counts[1]}
 
 
 def stream(spark: SparkSession, inbox: str, table: str, checkpoint: str, source_id: str = "broker:stream"):
