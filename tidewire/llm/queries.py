@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_diff, langid, mixing, near_dedup, packing, pii, topk, toxicity, wavelet
+from . import centroids, exact_dedup, html_diff, langid, mixing, near_dedup, negatives, packing, pieces, pii, topk, toxicity, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,10 +86,63 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = _tokenizer("piece_bpe_32k.model")
+    shown = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents"), model), model)
+    return shown.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", moved), "vec_id % 100 = 0")
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS other, a.label = c.label AS alike, CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT * FROM (SELECT anchor_id, other AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) AS place FROM s WHERE alike) WHERE place <= 5
+), n AS (
+  SELECT anchor_id, positive_id, other AS negative_id, positive_score, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 80 * positive_score <= 100 * score AND score <= positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql() -> str:
+    """Each round as three common tables: distances to all centroids, the nearest, the new centroids."""
+    steps = [
+        """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "c0 AS (SELECT CAST(row_number() OVER (ORDER BY h) AS INTEGER) AS k, v AS c FROM (SELECT sha256('1:' || vec_id) AS h, v FROM v WHERE vec_id IS NOT NULL ORDER BY h LIMIT 16))",
+    ]
+    for r in range(4):
+        steps.append(f"""a{r} AS (SELECT vec_id, v, list_min(ds) AS distance, list_position(ds, list_min(ds)) AS k FROM (
+  SELECT vec_id, v, list_transform(cs, lambda c: CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)) AS ds FROM v, (SELECT list(c ORDER BY k) AS cs FROM c{r})))""")
+        if r < 3:
+            steps.append(f"""m{r} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (
+  SELECT k, i, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY k, i) GROUP BY k)""")
+            steps.append(f"c{r + 1} AS (SELECT k, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (k))")
+    return (
+        "WITH " + ",\n".join(steps) + """
+SELECT vec_id, CAST(k - 1 AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a3 JOIN c3 USING (k)"""
+    )
+
+
 def queries() -> dict:
-    found = (op1_html, op2_packing, op3_toxicity, op4_wavelet, op5_near_dedup, op6_pii, op7_langid, op8_exact_dedup, op9_mixing, op10_topk)
+    found = (op1_html, op2_packing, op3_toxicity, op4_wavelet, op5_near_dedup, op6_pii, op7_langid, op8_exact_dedup, op9_mixing, op10_topk, op11_pieces, op12_negatives, op13_centroids)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL, "op10_topk": OP10_SQL}
+    return {"op8_exact_dedup": OP8_SQL, "op10_topk": OP10_SQL, "op12_negatives": OP12_SQL, "op13_centroids": _op13_sql()}
