@@ -170,11 +170,3 @@ def test_landing_stream(spark, tmp_path):
     landing.stream(spark, str(box), table, mark).awaitTermination()
     got = spark.read.parquet(f"{table}/raw")
     assert got.count() == got.select("message_id").distinct().count() == 6
-
-
-def test_first_per_key_stream(spark, tmp_path):
-    rows = spark.createDataFrame([("k", "2026-01-01 00:00:00", 1), ("k", "2026-01-01 01:00:00", 2), ("j", "2026-01-01 02:00:00", 3)], "key string, ts string, n int").withColumn("ts", F.to_timestamp("ts"))
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    live = landing.first_per_key(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "key", "ts")
-    live.writeStream.format("memory").queryName("first_keys").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
-    assert sorted(r.key for r in spark.table("first_keys").collect()) == ["j", "k"]

@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.operators import books, cash, entities, penalty, render, rules, structure
 from tidewire.plans import bindings, event_queries
-from tidewire.sources import sinks
-from tidewire.streaming import landing
-
-
-def _folder(spark: SparkSession, what: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+from tidewire.sources import shared, sinks
+from tidewire.streaming import first_seen, landing
 
 
 def _values(messages: DataFrame) -> DataFrame:
@@ -92,7 +85,7 @@ A12 = "SELECT 'nation' || c_nationkey || '.fin' AS name, 'MT940' AS message_type
 
 def p2_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files landed, sent again under other names, and landed in part before; counts of both landings."""
-    folder = _folder(spark, "landing")
+    folder = shared.new_folder(spark, "landing")
     files = bindings.files(spark, sf_dir)
     first = landing.land(landing.parsed(files.where("name < 'nation2'")), folder)
     second = landing.land(landing.parsed(files.withColumn("name", F.concat(F.lit("again-"), "name"))), folder)
@@ -106,12 +99,25 @@ P2 = "SELECT count(*) AS rows, count(*) AS ids, CAST(count(*) AS BIGINT) AS in_c
 
 
 def p4_first_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first event of each key within a day."""
+    """The first event of each user, and again the first later than 24 hours after it."""
     e = bindings.table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts"), "event_id")
-    return landing.first_per_key(e, "key", "ts").select("key", "event_id")
+    return first_seen.first_per_key(e, "key", "ts").select("key", "event_id")
+
+
+P4 = """WITH RECURSIVE a AS (
+    SELECT user_id, min(ts) AS ts FROM events WHERE user_id IS NOT NULL GROUP BY 1
+    UNION ALL SELECT a.user_id, min(e.ts) FROM a JOIN events e ON e.user_id = a.user_id AND e.ts > a.ts + INTERVAL 24 HOUR GROUP BY 1)
+  SELECT a.user_id AS key, min(event_id) AS event_id FROM a JOIN events e ON e.user_id = a.user_id AND e.ts = a.ts GROUP BY a.user_id, a.ts"""
 
 
-P4 = "SELECT key, event_id FROM (SELECT user_id AS key, event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS r FROM events) WHERE r = 1"
+def p4_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P4 on a stream: the same events come a day at a time."""
+    folder = shared.new_folder(spark, "events")
+    e = bindings.table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    e.orderBy("ts", "event_id").write.parquet(f"{folder}/in")
+    live = first_seen.first_per_key(spark.readStream.schema(e.schema).parquet(f"{folder}/in"), "key", "ts")
+    live.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(e.schema).parquet(f"{folder}/out").select("key", "event_id")
 
 
 def s2_prefix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +129,7 @@ def s2_prefix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def k_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2 to K6, K8, X11: every writer, with the rows read back from each."""
-    folder = _folder(spark, "sinks")
+    folder = shared.new_folder(spark, "sinks")
     messages = bindings.mt940(spark, sf_dir)
     heads, rows = cash.cash_star(messages)
     sinks.write_star({"cash_statement": heads, "cash_entry": rows}, f"{folder}/star")
@@ -145,6 +151,6 @@ KS = """WITH c AS (SELECT count(*) AS n FROM customer) SELECT 'star' AS sink, (S
   UNION ALL SELECT 'certificate', (SELECT count(DISTINCT 'L' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey) FROM lineitem WHERE l_returnflag IN ('A', 'R')) UNION ALL SELECT 'manifest', 1"""
 
 QUERIES = {
-    "n7_render": (n7_render, N7), "n9_roundtrip": (n9_roundtrip, N9), "n1_missing": (n1_missing, N1), "j6_headers": (j6_headers, J6), "m3_layout": (m3_layout, M3), "a12_report": (a12_report, A12), "p2_landing": (p2_landing, P2), "p4_first_per_key": (p4_first_per_key, P4),
+    "n7_render": (n7_render, N7), "n9_roundtrip": (n9_roundtrip, N9), "n1_missing": (n1_missing, N1), "j6_headers": (j6_headers, J6), "m3_layout": (m3_layout, M3), "a12_report": (a12_report, A12), "p2_landing": (p2_landing, P2), "p4_first_per_key": (p4_first_per_key, P4), "p4_stream": (p4_stream, P4),
     "s2_prefix_scan": (s2_prefix_scan, None), "k_sinks": (k_sinks, KS),
 }

@@ -9,7 +9,7 @@ from tidewire.functions import text as texts
 from tidewire.operators import books, cash, ledger, rules
 from tidewire.plans import bindings
 from tidewire.plans.cash_queries import A4, E_SQL, S_SQL
-from tidewire.sources import inbox
+from tidewire.sources import inbox, shared
 
 
 def s1_inbox_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,9 +124,7 @@ S15 = "SELECT 'P' || o_orderkey AS penalty_ref, 'L' || o_orderkey AS transaction
 
 def s17_read_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The star written as Parquet, read back, a missing table as empty, then cash P&L."""
-    import uuid
-
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + f"/star-{uuid.uuid4().hex}"
+    folder = shared.new_folder(spark, "star")
     heads, rows = cash.cash_star(bindings.mt940(spark, sf_dir))
     heads.write.parquet(f"{folder}/cash_statement")
     rows.write.parquet(f"{folder}/cash_entry")

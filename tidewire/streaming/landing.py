@@ -45,14 +45,6 @@ def stream(spark: SparkSession, inbox: str, table: str, checkpoint: str, source_
     return named.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def first_per_key(events: DataFrame, key: str, ts: str, hours: int = 24) -> DataFrame:
-    """The first event of each key within a window of hours; on a stream the watermark bounds what is remembered."""
-    if events.isStreaming:
-        return events.withWatermark(ts, f"{hours} hours").dropDuplicatesWithinWatermark([key])
-    window = F.window(ts, f"{hours} hours")
-    return events.groupBy(key, window.alias("w")).agg(F.min(F.struct(ts, *[c for c in events.columns if c not in (key, ts)])).alias("v")).select(key, "v.*")
-
-
 def chunks(messages: DataFrame, size: int = CHUNK) -> DataFrame:
     """Per file and chunk of so many messages: how many, and the last offset, which is the position to send on from."""
     from pyspark.sql import Window
