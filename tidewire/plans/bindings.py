@@ -113,12 +113,18 @@ def mt536(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source_id, name, content: per nation the statements of its customers in one file, an acknowledgement before each, $ and
-    line ends between."""
-    _view(spark, sf_dir, "customer")
+#: Customers whose statements are in one file, so that files don't grow with the tables.
+PER_FILE = 100
+
+
+def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """batch, k, body: the statements of PER_FILE customers in each batch, an acknowledgement before each."""
     messages = mt940(spark, sf_dir).withColumn("k", F.expr("cast(substring(message_id, 7) as long)"))
-    owner = spark.sql("select c_custkey, c_nationkey from tw_customer")
     one = F.concat(F.lit("{1:F21BANKUS33AXXX0000000000}{4:{177:2501010000}{451:0}}"), F.col("body"))
-    grouped = messages.join(owner, F.col("k") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("k", one.alias("b")))).alias("bs"))
-    return grouped.selectExpr("concat('broker:nation-', c_nationkey) as source_id", "concat('nation', c_nationkey, '.fin') as name", "cast(array_join(transform(bs, x -> x.b), '$\\r\\n') as binary) as content")
+    return messages.select(F.floor(F.col("k") / PER_FILE).alias("batch"), "k", one.alias("body"))
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_id, name, content: a file per batch, $ and line ends between its statements."""
+    grouped = filed(spark, sf_dir).groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("k", F.col("body").alias("b")))).alias("bs"))
+    return grouped.selectExpr("concat('broker:batch-', batch) as source_id", "concat('batch', batch, '.fin') as name", "cast(array_join(transform(bs, x -> x.b), '$\\r\\n') as binary) as content")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.operators import cash, structure
 from tidewire.plans import bindings
+from tidewire.sources import inbox, reader, shared
 
 #: The lines of a statement as DuckDB sees them.
 E_SQL = """
@@ -67,16 +68,41 @@ def s16_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 S16S = f"SELECT message_id, 'MT940' AS message_type, 'ST' || c_custkey AS reference, 'ACC' || c_custkey AS account, '1/1' AS statement_number, currency, opening, closing, CAST(NULL AS DOUBLE) AS available FROM ({S_SQL})"
 
 
+def _written_files(spark: SparkSession, sf_dir: str) -> str:
+    folder = shared.new_folder(spark, "fin")
+    reader.write_files(bindings.filed(spark, sf_dir), folder, "batch", "k", "body")
+    return folder
+
+
 def s7_split_fin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages of files, acknowledgements skipped; ids by file stem and place."""
+    """Messages of written files, read in splits, acknowledgements skipped; ids by file and place."""
     from pyspark.sql import Window
 
-    split = structure.messages_of_files(bindings.files(spark, sf_dir)).where("kept")
-    place = F.row_number().over(Window.partitionBy("source_id", "name").orderBy("byte_offset"))
+    split = reader.read_messages(spark, _written_files(spark, sf_dir)).where("kept").withColumn("name", F.concat(F.lit("batch"), F.regexp_extract("path", r"batch=(\d+)", 1), F.lit(".fin")))
+    place = F.row_number().over(Window.partitionBy("name").orderBy("byte_offset"))
     return split.select("name", F.concat(F.regexp_replace("name", r"\.fin$", ""), F.lit("-"), place.cast("string")).alias("message_id"), structure.message_type(F.col("body")).alias("message_type"), F.regexp_extract("body", r":20:(\w+)", 1).alias("reference"))
 
 
-S7 = "SELECT 'nation' || c_nationkey || '.fin' AS name, 'nation' || c_nationkey || '-' || row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS message_id, 'MT940' AS message_type, 'ST' || c_custkey AS reference FROM customer"
+_BATCH = f"(c_custkey // {bindings.PER_FILE})"
+S7 = f"SELECT 'batch' || {_BATCH} || '.fin' AS name, 'batch' || {_BATCH} || '-' || row_number() OVER (PARTITION BY {_BATCH} ORDER BY c_custkey) AS message_id, 'MT940' AS message_type, 'ST' || c_custkey AS reference FROM customer"
+
+
+def s2_prefix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files under a prefix by suffix, with how many messages each holds, and the two refusals: no file, too many."""
+    folder = _written_files(spark, sf_dir)
+    found = inbox.scan_prefix(spark, folder, suffix=".txt", at_most=1_000_000)
+    text = F.decode("content", "UTF-8")
+    out = found.select(F.regexp_extract("path", "batch=[0-9]+", 0).alias("what"), ((F.length(text) - F.length(F.replace(text, F.lit("{2:")))) / 3).cast("long").alias("n"))
+    for suffix, most in ((".none", None), (".txt", 0)):
+        try:
+            inbox.scan_prefix(spark, folder, suffix=suffix, at_most=most)
+        except ValueError as e:
+            reason = "none" if str(e).startswith("no file") else "too_many"
+            out = out.unionByName(found.limit(1).select(F.lit(reason).alias("what"), F.lit(most).cast("long").alias("n")))
+    return out
+
+
+S2 = f"SELECT 'batch=' || {_BATCH} AS what, count(*) AS n FROM customer GROUP BY 1 UNION ALL SELECT 'none', NULL UNION ALL SELECT 'too_many', 0"
 
 
 def f15_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +116,7 @@ def f15_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.join(skipped, "source_id")
 
 
-F15 = "SELECT 'broker:nation-' || c_nationkey AS source_id, count(*) AS messages, count(*) AS ids, count(*) AS same_ids, count(*) AS skipped_fragments FROM customer GROUP BY c_nationkey"
+F15 = f"SELECT 'broker:batch-' || {_BATCH} AS source_id, count(*) AS messages, count(*) AS ids, count(*) AS same_ids, count(*) AS skipped_fragments FROM customer GROUP BY 1"
 
 
 def f1_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,6 +219,6 @@ F14 = "SELECT o_orderkey % 5 <> 0 AS complete, count(*) AS messages FROM orders
 
 QUERIES = {
     "a1_net_movement": (a1_net_movement, A1), "a4_cash_pnl": (a4_cash_pnl, A4), "a5_by_type": (a5_by_type, A5), "s16_mt940": (s16_mt940, S16), "s16_statements": (s16_statements, S16S),
-    "s7_split_fin": (s7_split_fin, S7), "f15_identity": (f15_identity, F15), "f1_blocks": (f1_blocks, F1), "f2_fields": (f2_fields, F2), "m7_payload": (m7_payload, M7), "f3_paths": (f3_paths, F3), "f4_anchored": (f4_anchored, F4),
+    "s7_split_fin": (s7_split_fin, S7), "s2_prefix_scan": (s2_prefix_scan, S2), "f15_identity": (f15_identity, F15), "f1_blocks": (f1_blocks, F1), "f2_fields": (f2_fields, F2), "m7_payload": (m7_payload, M7), "f3_paths": (f3_paths, F3), "f4_anchored": (f4_anchored, F4),
     "f13_diagnostics": (f13_diagnostics, F13), "f14_block4": (f14_block4, F14),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.operators import books, cash, entities, penalty, render, rules, structure
 from tidewire.plans import bindings, event_queries
+from tidewire.plans.cash_queries import _BATCH
 from tidewire.sources import shared, sinks
 from tidewire.streaming import first_seen, landing
 
@@ -80,14 +81,14 @@ def a12_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.file_report(found, structure.fields(found), structure.diagnostics(found))
 
 
-A12 = "SELECT 'nation' || c_nationkey || '.fin' AS name, 'MT940' AS message_type, count(*) AS messages, CAST(sum(5 + 2 * coalesce(n, 0)) AS BIGINT) AS fields, CAST(0 AS BIGINT) AS diagnosed FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey GROUP BY c_nationkey"
+A12 = f"SELECT 'batch' || {_BATCH} || '.fin' AS name, 'MT940' AS message_type, count(*) AS messages, CAST(sum(5 + 2 * coalesce(n, 0)) AS BIGINT) AS fields, CAST(0 AS BIGINT) AS diagnosed FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey GROUP BY 1"
 
 
 def p2_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files landed, sent again under other names, and landed in part before; counts of both landings."""
     folder = shared.new_folder(spark, "landing")
     files = bindings.files(spark, sf_dir)
-    first = landing.land(landing.parsed(files.where("name < 'nation2'")), folder)
+    first = landing.land(landing.parsed(files.where("name < 'batch2'")), folder)
     second = landing.land(landing.parsed(files.withColumn("name", F.concat(F.lit("again-"), "name"))), folder)
     back = spark.read.schema(landing.LANDED).parquet(f"{folder}/raw")
     counts = back.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("message_id").alias("ids"))
@@ -95,7 +96,7 @@ def p2_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.crossJoin(sent).select("rows", "ids", "in_chunks", F.lit(first["landed"]).cast("long").alias("first_landed"), F.lit(second["already"]).cast("long").alias("second_already"))
 
 
-P2 = "SELECT count(*) AS rows, count(*) AS ids, CAST(count(*) AS BIGINT) AS in_chunks, count(*) FILTER ('nation' || c_nationkey || '.fin' < 'nation2') AS first_landed, count(*) FILTER ('nation' || c_nationkey || '.fin' < 'nation2') AS second_already FROM customer"
+P2 = f"SELECT count(*) AS rows, count(*) AS ids, CAST(count(*) AS BIGINT) AS in_chunks, count(*) FILTER ('batch' || {_BATCH} || '.fin' < 'batch2') AS first_landed, count(*) FILTER ('batch' || {_BATCH} || '.fin' < 'batch2') AS second_already FROM customer"
 
 
 def p4_first_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,13 +121,6 @@ def p4_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(e.schema).parquet(f"{folder}/out").select("key", "event_id")
 
 
-def s2_prefix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A prefix listed recursively by suffix; the driver's own tables are the files."""
-    from tidewire.sources import inbox
-
-    return inbox.scan_prefix(spark, sf_dir, suffix=".parquet", at_most=100_000).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
-
-
 def k_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2 to K6, K8, X11: every writer, with the rows read back from each."""
     folder = shared.new_folder(spark, "sinks")
@@ -152,5 +146,5 @@ KS = """WITH c AS (SELECT count(*) AS n FROM customer) SELECT 'star' AS sink, (S
 
 QUERIES = {
     "n7_render": (n7_render, N7), "n9_roundtrip": (n9_roundtrip, N9), "n1_missing": (n1_missing, N1), "j6_headers": (j6_headers, J6), "m3_layout": (m3_layout, M3), "a12_report": (a12_report, A12), "p2_landing": (p2_landing, P2), "p4_first_per_key": (p4_first_per_key, P4), "p4_stream": (p4_stream, P4),
-    "s2_prefix_scan": (s2_prefix_scan, None), "k_sinks": (k_sinks, KS),
+    "k_sinks": (k_sinks, KS),
 }

@@ -52,12 +52,12 @@ def s8_split_bare(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     text = F.when(k % 6 == 0, F.concat("text", F.lit("\n:34F:USD0,"))).when(k % 10 == 0, F.regexp_replace("text", r"(?m)^:25:.*\n", "")).otherwise(F.col("text"))
     one = bindings.bare_mt940(spark, sf_dir).withColumn("text", F.concat(text, F.lit("\n-\n")))
-    files = one.groupBy((k % 50).alias("g")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "text"))), lambda x: x["text"]), "").alias("text")).select(F.lit("broker:b").alias("source_id"), F.concat(F.lit("g"), F.col("g").cast("string")).alias("name"), "text")
+    files = one.groupBy(F.floor(k / bindings.PER_FILE).alias("g")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "text"))), lambda x: x["text"]), "").alias("text")).select(F.lit("broker:b").alias("source_id"), F.concat(F.lit("g"), F.col("g").cast("string")).alias("name"), "text")
     out = inbox.split_bare(files)
     return out.select("name", "message_type", F.regexp_extract("raw", r":20:(\w+)", 1).alias("reference"), F.regexp_extract("body", r"\{2:I(\d+)X", 1).alias("wrapped"))
 
 
-S8 = "SELECT 'g' || (c_custkey % 50) AS name, CASE WHEN c_custkey % 6 = 0 THEN 'MT942' ELSE 'MT940' END AS message_type, 'ST' || c_custkey AS reference, CASE WHEN c_custkey % 6 = 0 THEN '942' ELSE '940' END AS wrapped FROM customer WHERE c_custkey % 10 <> 0 OR c_custkey % 6 = 0"
+S8 = f"SELECT 'g' || (c_custkey // {bindings.PER_FILE}) AS name, CASE WHEN c_custkey % 6 = 0 THEN 'MT942' ELSE 'MT940' END AS message_type, 'ST' || c_custkey AS reference, CASE WHEN c_custkey % 6 = 0 THEN '942' ELSE '940' END AS wrapped FROM customer WHERE c_custkey % 10 <> 0 OR c_custkey % 6 = 0"
 
 
 def _csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
