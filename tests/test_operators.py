@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewire.functions import text
-from tidewire.operators import cash, entities, ledger, penalty, rules, structure
+from tidewire.operators import cash, entities, ledger, parse, penalty, rules, structure
 from tidewire.sources import inbox
 from tidewire.streaming import landing
 
@@ -81,15 +81,15 @@ def _walk_by_hand(fields):
 
 def test_walk_by_hand(monkeypatch):
     r = random.Random(1)
-    monkeypatch.setattr(structure, "BATCH_FIELDS", 50)
+    monkeypatch.setattr(parse, "PART_BYTES", 500)
     given = []
     for _ in range(60):
         deep = r.random() < 0.2
         given.append([r.choice([("16R", "A"), ("16R", "B"), *([] if deep else [("16S", "A"), ("16S", "B")]), ("70E", "x"), ("20C", ":SEME//1"), ("20C", ":RELA//2")]) for _ in range(r.choice([0, 3, 30, 120]))])
-    text = pa.list_(pa.string())
-    batch = pa.RecordBatch.from_arrays([pa.array([f"m{i}" for i in range(60)]), pa.array(["MT"] * 60), pa.array([[t for t, _ in m] for m in given], text), pa.array([[v for _, v in m] for m in given], text)], ["message_id", "message_type", "tags", "values"])
+    bodies = ["{4:" + "".join(f"\n:{t}:{v}" for t, v in m) + "\n-}" for m in given]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"m{i}" for i in range(60)]), pa.array(["MT"] * 60), pa.array(bodies)], ["message_id", "message_type", "body"])
     got = {}
-    for part in structure._walked(True)(iter([batch.slice(0, 25), batch.slice(25)])):
+    for part in parse.walk_fields(True, None)(iter([batch.slice(0, 25), batch.slice(25)])):
         for x in part.to_pylist():
             got.setdefault(x["message_id"], []).append(x)
     for i, m in enumerate(given):

@@ -41,6 +41,8 @@ def schema_of(spark: SparkSession, layout_rows: list, entity: str) -> DataFrame:
 
 
 def event_kind(message_type: Column) -> Column:
+    """The kind of events that a type tells of, in whatever case and between whatever white space it is written."""
+    message_type = F.upper(F.trim(message_type))
     return F.when(message_type == "MT535", "holding").when(message_type.isin(*SETTLEMENT), "settlement").when(message_type.isin(*TRADE), "trade_confirm").otherwise("other")
 
 

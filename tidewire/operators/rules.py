@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.sources.shared import written
+
 from . import structure
 
 
@@ -195,13 +197,13 @@ def capture_errors(captures: DataFrame) -> DataFrame:
 
 
 def errors(messages: DataFrame, catalog: Catalog = CATALOG) -> DataFrame:
-    """message_id, kind, detail of all defects of messages."""
+    """message_id, kind, detail of all defects of messages. The field rows are written once, as every check reads them."""
     spark = messages.sparkSession
-    rows = structure.field_rows(messages)
+    rows = written(structure.field_rows(messages), "fields")
     rule_rows = rules(spark, catalog)
     matches = matched(rows, rule_rows)
     counted = cardinality(rows, matches, rule_rows)
-    out = structure.diagnostics(messages)
+    out = structure.diagnostics(messages).select("message_id", "kind", "detail")
     for more in (missing_required(counted), bad_cardinality(counted), sequence_errors(rows, sequences(spark, catalog)), capture_errors(captured(matches, compiled(spark, catalog))), without_rules(messages, rule_rows)):
         out = out.unionByName(more)
     return out

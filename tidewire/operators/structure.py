@@ -1,23 +1,16 @@
 """Messages to blocks, fields and sequence paths.
 
-Everything up to the field rows happens within a message, so that nothing is shuffled before a business key. Fields are
-cut and numbered by array functions. The stack of open sequences is walked by an Arrow function over whole messages, since
-a fold in SQL copies what it has at every step; only rows that open or close a sequence are visited one by one.
+Everything up to the field rows happens within a message, in one pass of an Arrow function over whole messages (see parse),
+so that nothing is shuffled before a business key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_MESSAGE_BYTES, MAX_BLOCK_BYTES, MAX_FIELDS, MAX_DEPTH = 10 * 1024 * 1024, 4 * 1024 * 1024, 10_000, 16
-#: Fields that are walked at once, or one message.
-BATCH_FIELDS = 100_000
+from . import parse
+from .parse import MAX_BLOCK_BYTES, MAX_DEPTH, MAX_FIELDS, MAX_MESSAGE_BYTES  # noqa: F401
 
 
 def trimmed(value: Column) -> Column:
@@ -48,163 +41,38 @@ def message_type(body: Column) -> Column:
 
 
 def blocks(messages: DataFrame) -> DataFrame:
-    """messages with block1 to block5; null where there is none."""
-    plain = r"\{%d:([^}]*)\}"
-    nested = r"\{%d:((?:[^{}]|\{[^{}]*\})*)\}"
-    patterns = {1: plain % 1, 2: plain % 2, 3: nested % 3, 4: r"(?s)\{4:(.*?)-\}", 5: nested % 5}
-    return messages.withColumns({f"block{i}": F.when(F.col("body").rlike(p), F.regexp_extract("body", p, 1)) for i, p in patterns.items()})
+    """messages with block1 to block5: the contents of the first block of each, matched by the depth of braces, block 4 up to
+    the next -}; null where there is none, or only after a block that isn't closed."""
+    rest = messages.drop(*(f"block{b}" for b in parse.BLOCKS))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), *(f"block{b} string" for b in parse.BLOCKS)])
+    return rest.mapInArrow(parse.add_blocks(rest.columns.index("body")), schema)
 
 
 def qualifier(value: Column) -> Column:
     return F.nullif(F.regexp_extract(value, r"^:([A-Za-z0-9]{4})//", 1), F.lit(""))
 
 
-def _pieces(messages: DataFrame, text: str | None, limits: bool) -> DataFrame:
-    """message_id, message_type, pieces: the fields of block 4 as they are written."""
-    source = blocks(messages) if text is None else messages.withColumn("block4", F.col(text))
-    within = f"octet_length(body) <= {MAX_MESSAGE_BYTES} and octet_length(block4) + 5 <= {MAX_BLOCK_BYTES}" if limits else "true"
-    pieces = F.filter(F.split("block4", r"\n(?=:[A-Za-z0-9]{2,4}:)"), lambda p: p.rlike("^:[A-Za-z0-9]{2,4}:"))
-    return source.where(f"block4 is not null and {within}").select("message_id", "message_type", (F.slice(pieces, 1, MAX_FIELDS) if limits else pieces).alias("pieces"))
-
-
-def _tag(piece: Column) -> Column:
-    return F.substring_index(F.substring(piece, 2, 5), ":", 1)
-
-
-def _value(piece: Column) -> Column:
-    return trimmed(F.substr(piece, F.length(_tag(piece)) + 3))
+def fields(messages: DataFrame, limits: bool = True) -> DataFrame:
+    """message_id, message_type, field_seq, tag, value of block 4 in order; text before the first tag line is no field. What lies
+    beyond the limits is left out, or held by the last field within them, and diagnostics has a row for it; without limits
+    all fields are kept."""
+    return messages.select("message_id", "message_type", "body").mapInArrow(parse.cut_fields(limits), parse.FIELDS)
 
 
-def fields(messages: DataFrame, text: str | None = None, limits: bool = True) -> DataFrame:
-    """message_id, message_type, field_seq, tag, value of block 4 in order; text before the first tag line is no field. What lies
-    beyond the limits is left out, and diagnostics has a row for it; without limits all fields are kept."""
-    rows = _pieces(messages, text, limits).select("message_id", "message_type", F.posexplode("pieces").alias("place", "piece"))
-    return rows.select("message_id", "message_type", F.col("place").cast("long").alias("field_seq"), _tag(F.col("piece")).alias("tag"), _value(F.col("piece")).alias("value"))
-
-
-_WALKED = "message_id string, message_type string, field_seq long, tag string, value string, problem string, qualifier string, seq_index string, seq_path string, occurrence long"
-
-
-class _Walk:
-    """The walk over some messages; lens: fields per message."""
-
-    def __init__(self, tags: pa.StringArray, values: pa.StringArray, lens: np.ndarray):
-        self.first, n = np.cumsum(lens) - lens, len(tags)
-        self.message = np.repeat(np.arange(len(lens)), lens)
-        self.paths: list[tuple[str, ...]] = [()]
-        self.problems: dict[int, str] = {}
-        self.unclosed = np.zeros(len(lens), np.int64)
-        opens = pc.equal(tags, "16R").to_numpy(zero_copy_only=False)
-        at = np.flatnonzero(opens | pc.equal(tags, "16S").to_numpy(zero_copy_only=False))
-        known, own = {(): 0}, np.full(n + 1, -1, np.int64)
-        message, stack, counts = -1, (), {}
-        for i, m, name, opening in zip(at.tolist(), self.message[at].tolist(), values.take(pa.array(at)).to_pylist(), opens[at].tolist(), strict=True):
-            if m != message:
-                message, stack, counts = m, (), {}
-            if opening and len(stack) < MAX_DEPTH:
-                k = counts[stack, name] = counts.get((stack, name), -1) + 1
-                stack = (*stack, f"{name}[{k}]")
-            elif opening:
-                self.problems[i] = "depth"
-            elif stack and stack[-1].rpartition("[")[0] == name:
-                stack = stack[:-1]
-            else:
-                self.problems[i] = "mismatched_end"
-            if stack not in known:
-                known[stack] = len(self.paths)
-                self.paths.append(stack)
-            own[i + 1] = self.unclosed[m] = known[stack]
-        own[self.first[lens > 0]] = 0
-        # The path of a row is the last that was set at or before it.
-        self.path = own[np.maximum.accumulate(np.where(own[:n] >= 0, np.arange(n), 0))] if n else own[:0]
-
-    def occurrences(self, *keys: pa.Array) -> np.ndarray:
-        """How many rows before each have its message, path and keys, closing rows that match nothing apart."""
-        code = self.message * len(self.paths) + self.path
-        for key in keys:
-            found = pc.fill_null(key, "").dictionary_encode()
-            code = code * (len(found.dictionary) + 1) + found.indices.to_numpy()
-        lost = [i for i, p in self.problems.items() if p == "mismatched_end"]
-        code[lost] = -1 - np.arange(len(lost))
-        order = np.argsort(code, kind="stable")
-        starts = np.concatenate([[True], np.diff(code[order]) != 0])[: len(order)]
-        out = np.empty(len(order), np.int64)
-        out[order] = np.arange(len(order)) - np.flatnonzero(starts)[np.cumsum(starts) - 1] if len(order) else 0
-        return out
-
-
-def _walked(full: bool):
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows message_id, message_type, tags, values -> a row per field."""
-        for batch in batches:
-            ends, at = np.cumsum(pc.list_value_length(batch.column(2)).to_numpy()), 0
-            while at < batch.num_rows:
-                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_FIELDS, side="right")))
-                part, at = batch.slice(at, upto - at), upto
-                lens = pc.list_value_length(part.column(2)).to_numpy()
-                tags, values = part.column(2).flatten(), part.column(3).flatten()
-                w = _Walk(tags, values, lens)
-                qualified = pc.match_substring_regex(values, "^:[A-Za-z0-9]{4}//")
-                qualifier = pc.if_else(qualified, pc.utf8_slice_codeunits(values, 1, 5), pa.scalar(None, pa.string()))
-                problem = np.full(len(tags), None, object)
-                for i, p in w.problems.items():
-                    problem[i] = p
-                index = pa.array(["/".join(p) or "$" for p in w.paths]).take(pa.array(w.path))
-                plain = pa.array(["/".join(x.rpartition("[")[0] for x in p) or "$" for p in w.paths]).take(pa.array(w.path))
-                message = pa.array(w.message)
-                cols = [part.column(0).take(message), part.column(1).take(message), pa.array(np.arange(len(tags)) - w.first[w.message]), tags, values, pa.array(problem, pa.string()), qualifier, index, plain, pa.array(w.occurrences(tags, qualifier))]
-                names = ["message_id", "message_type", "field_seq", "tag", "value", "problem", "qualifier", "seq_index", "seq_path", "occurrence"]
-                if full:
-                    paths = pa.array([list(p) for p in w.paths], pa.list_(pa.string()))
-                    left = np.zeros(len(tags), np.int64)
-                    some = np.flatnonzero(lens > 0)
-                    left[w.first[some] + lens[some] - 1] = w.unclosed[some]
-                    cols, names = [*cols, paths.take(pa.array(w.path)), paths.take(pa.array(left))], [*names, "path", "unclosed"]
-                yield pa.RecordBatch.from_arrays(cols, names)
-
-    return walk
-
-
-def walked(messages: DataFrame, full: bool = True) -> DataFrame:
+def walked(messages: DataFrame, full: bool = True, anchors: dict | None = None) -> DataFrame:
     """Field rows with seq_index and seq_path (the sequences that hold the row, $ at root; a 16R row has its parents', a 16S row
     its own), problem, qualifier, and occurrence per (seq_index, tag, qualifier); if full also path, an array, and unclosed:
-    at the last field of a message the sequences that were never closed. Nothing is shuffled."""
-    pieces = _pieces(messages, None, True).select("message_id", "message_type", F.transform("pieces", _tag).alias("tags"), F.transform("pieces", _value).alias("values"))
-    return pieces.mapInArrow(_walked(full), _WALKED + (", path array<string>, unclosed array<string>" if full else ""))
-
-
-def anchored(rows: DataFrame, anchors: dict[str, tuple[str, tuple[str, ...]]]) -> DataFrame:
-    """Root rows in groups without brackets: an anchor tag starts an occurrence of its sequence, member tags stay in it, any other
-    tag closes it. anchors: name -> (anchor tag, member tags)."""
-    root = F.size("path") == 0
-    order = Window.partitionBy("message_id").orderBy("field_seq")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    starts = {name: root & (F.col("tag") == tag) for name, (tag, _) in anchors.items()}
-    opened = F.coalesce(*(F.when(c, F.lit(name)) for name, c in starts.items()))
-    # The last anchor, and whether any row since it at root was no member.
-    rows = rows.withColumn("_anchor", F.last(opened, ignorenulls=True).over(so_far)).withColumn("_since", F.sum(F.when(opened.isNotNull(), 1).otherwise(0)).over(so_far))
-    member = F.coalesce(*(F.when((F.col("_anchor") == name) & (F.col("tag").isin(tag, *members)), True) for name, (tag, members) in anchors.items()), F.lit(False))
-    inside = Window.partitionBy("message_id", "_since").orderBy("field_seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_open", F.min((member & root).cast("int")).over(inside))
-    count = {name: F.sum(F.when(c, 1).otherwise(0)).over(so_far) - 1 for name, c in starts.items()}
-    number = F.coalesce(*(F.when(F.col("_anchor") == name, n) for name, n in count.items()))
-    path = F.when((F.col("_open") == 1) & root, F.array(F.concat("_anchor", F.lit("["), number.cast("string"), F.lit("]")))).otherwise(F.col("path"))
-    return rows.withColumn("path", path).drop("_anchor", "_since", "_open")
-
-
-def with_paths(rows: DataFrame) -> DataFrame:
-    """Rows that are fields, with qualifier, seq_index, seq_path ($ at root) and occurrence by their path anew."""
-    index = F.when(F.size("path") == 0, F.lit("$")).otherwise(F.array_join("path", "/"))
-    out = rows.where("problem is null or problem <> 'mismatched_end'").withColumn("seq_index", index).withColumn("seq_path", F.regexp_replace("seq_index", r"\[\d+\]", ""))
-    order = Window.partitionBy("message_id", "seq_index", "tag", "qualifier").orderBy("field_seq")
-    return out.withColumn("occurrence", (F.row_number().over(order) - 1).cast("long"))
+    at the last field of a message the sequences that were never closed. Nothing is shuffled.
+
+    anchors: name -> (anchor tag or tags, member tags) of groups without brackets. At root an anchor tag begins an
+    occurrence of its group, member tags stay in it, any other field ends it. A bracketed sequence of the name counts with it."""
+    known = {name: ((tags,) if isinstance(tags, str) else tuple(tags), tuple(members)) for name, (tags, members) in (anchors or {}).items()}
+    return messages.select("message_id", "message_type", "body").mapInArrow(parse.walk_fields(full, known), parse.FULL if full else parse.WALKED)
 
 
 def field_rows(messages: DataFrame, anchors: dict | None = None) -> DataFrame:
-    """Rows that are fields, with their paths; anchors: see anchored."""
-    if anchors:
-        return with_paths(anchored(walked(messages), anchors))
-    return walked(messages, full=False).where("problem is null or problem <> 'mismatched_end'")
+    """Rows that are fields, with their paths; anchors: see walked."""
+    return walked(messages, False, anchors).where("problem is null or problem <> 'mismatched_end'")
 
 
 def issuer_form(value: Column) -> tuple[Column, Column, Column]:
@@ -261,25 +129,10 @@ def block4_complete(messages: DataFrame) -> DataFrame:
 
 
 def diagnostics(messages: DataFrame) -> DataFrame:
-    """message_id, kind, detail of what is wrong with the structure of a message."""
-    b = blocks(messages)
-    big = messages.where(F.octet_length("body") > MAX_MESSAGE_BYTES).selectExpr("message_id", "'limit_message_bytes' as kind", "cast(octet_length(body) as string) as detail")
-    open4 = messages.where(F.col("body").contains("{4:") & ~F.col("body").rlike(r"(?s)\{4:.*?-\}")).selectExpr("message_id", "'unclosed_text_block' as kind", "'' as detail")
-    bare = messages.where(F.col("body").rlike(r"\{[^:{}]*\}")).selectExpr("message_id", "'missing_block_separator' as kind", "'' as detail")
-    bad_line = F.filter(F.split("block4", "\n"), lambda x: x.startswith(":") & ~x.rlike("^:[A-Za-z0-9]{2,4}:"))
-    malformed = b.where("block4 is not null").select("message_id", F.explode(bad_line).alias("detail")).selectExpr("message_id", "'malformed_field_tag' as kind", "detail")
-    observed = F.greatest(*(F.octet_length(f"block{i}") + (5 if i == 4 else 4) for i in range(1, 6)))
-    wide = b.where((F.octet_length("body") <= MAX_MESSAGE_BYTES) & (observed > MAX_BLOCK_BYTES)).select("message_id", F.lit("limit_block_bytes").alias("kind"), observed.cast("string").alias("detail"))
-    # Other blocks close by braces; none is read after a block 4 that isn't closed.
-    others = F.regexp_replace(F.regexp_replace("body", r"(?s)\{4:.*?-\}", ""), r"(?s)\{4:.*", "")
-    inner = F.regexp_replace(F.regexp_replace(others, r"\{[^{}]*\}", ""), r"\{[^{}]*\}", "")
-    open_other = messages.where(inner.rlike(r"\{[^:{}]*:")).selectExpr("message_id", "'unclosed_block' as kind", "'' as detail")
-    whole = fields(messages.where(F.octet_length("body") <= MAX_MESSAGE_BYTES), limits=False)
-    many = whole.where(F.col("field_seq") == MAX_FIELDS).selectExpr("message_id", "'limit_fields' as kind", "cast(field_seq + 1 as string) as detail")
-    rows = walked(messages)
-    ends = rows.where("problem is not null").selectExpr("message_id", "if(problem = 'depth', 'limit_sequence_depth', 'mismatched_sequence_end') as kind", "value as detail")
-    unclosed = rows.where("size(unclosed) > 0").select("message_id", F.explode("unclosed").alias("u")).selectExpr("message_id", "'unclosed_sequence' as kind", "regexp_replace(u, '\\\\[[0-9]+\\\\]$', '') as detail")
-    out = big
-    for more in (open4, open_other, wide, many, bare, malformed, ends, unclosed):
-        out = out.unionByName(more)
-    return out
+    """message_id, kind, byte_offset, detail, expected of what is wrong with the structure of a message.
+
+    byte_offset counts in the UTF-8 of the body; it is there for missing_block_separator, unclosed_block, unclosed_text_block
+    (the brace that opens) and malformed_field_tag (the line's colon). detail: what was observed of a limit (limit_message_bytes,
+    limit_block_bytes, limit_fields, limit_sequence_depth), or the name of a sequence (mismatched_sequence_end with what was
+    expected, null at root; unclosed_sequence, innermost first). Reading ends at the first defect of a block."""
+    return messages.select("message_id", "message_type", "body").mapInArrow(parse.find_defects(), parse.DEFECTS)

@@ -120,17 +120,19 @@ F15 = f"SELECT 'broker:batch-' || {_BATCH} AS source_id, count(*) AS messages, c
 
 
 def f1_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """envelope parts and sender reference."""
-    messages = bindings.mt540(spark, sf_dir)
+    """envelope parts, a user block three levels deep and a trailer, and the sender reference."""
+    more = F.concat(F.regexp_replace("body", r"\{4:", F.concat(F.lit("{3:{108:{A:{B:"), "message_id", F.lit("}}}}{4:"))), F.lit("{5:{CHK:{X:1}}{TNG:}}"))
+    messages = bindings.mt540(spark, sf_dir).withColumn("body", more)
     refs = structure.sender_reference(structure.field_rows(messages))
-    return structure.envelope(messages).join(refs, "message_id", "left").select("message_id", "io", "message_type3", "sender_bic", "receiver_bic", "session", "sequence", "application", "service", "priority", "sender_ref")
+    deep = structure.blocks(messages).select("message_id", "block3", "block5")
+    return structure.envelope(messages).join(refs, "message_id", "left").join(deep, "message_id").select("message_id", "io", "message_type3", "sender_bic", "receiver_bic", "session", "sequence", "application", "service", "priority", "sender_ref", "block3", "block5")
 
 
-F1 = "SELECT 'mt540-' || o_orderkey AS message_id, 'I' AS io, '540' AS message_type3, 'CUSTUS33XXX' AS sender_bic, 'CSDXUS33XXX' AS receiver_bic, '0000' AS session, '000000' AS sequence, 'F' AS application, '01' AS service, 'N' AS priority, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 'O' || o_orderkey END AS sender_ref FROM orders"
+F1 = "SELECT 'mt540-' || o_orderkey AS message_id, 'I' AS io, '540' AS message_type3, 'CUSTUS33XXX' AS sender_bic, 'CSDXUS33XXX' AS receiver_bic, '0000' AS session, '000000' AS sequence, 'F' AS application, '01' AS service, 'N' AS priority, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 'O' || o_orderkey END AS sender_ref, '{108:{A:{B:mt540-' || o_orderkey || '}}}' AS block3, '{CHK:{X:1}}{TNG:}' AS block5 FROM orders"
 
 
 def f2_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """how many fields of each tag and qualifier a type has."""
+    """how many fields of each tag and qualifier a type has."""
     rows = structure.fields(bindings.mt540(spark, sf_dir)).withColumn("qualifier", structure.qualifier(F.col("value")))
     return rows.groupBy("tag", "qualifier").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("message_id").alias("messages"))
 
@@ -172,19 +174,20 @@ I_SQL = """
 F3 = f"SELECT 'mt537-' || l_orderkey AS message_id, 'STAT[' || i || ']/TRAN[0]/LINK[0]' AS seq_index, 'STAT/TRAN/LINK' AS seq_path, CAST(0 AS BIGINT) AS occurrence, ref FROM ({I_SQL})"
 
 
-ANCHORS = {"ENTRY": ("61", ("86",))}
+ANCHORS = {"ENTRY": ("61", ("86",)), "BALANCE": (("60F", "62F"), ("64",))}
 
 
 def f4_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """statement lines and their narratives as groups that no brackets hold."""
-    rows = structure.field_rows(bindings.mt940(spark, sf_dir), ANCHORS)
-    return rows.where("tag in ('61', '86', '62F', '20')").select("message_id", "tag", "seq_index", "seq_path", F.regexp_extract("value", r"ORD(?:ER )?(\d+)", 1).alias("order_key"))
+    """statement lines with their narratives, and balances with either of two anchors, as groups that no brackets hold, beside a
+    sequence in brackets."""
+    noted = F.regexp_replace("body", "\n:62F:", "\n:16R:NOTE\n:70E:x\n:16S:NOTE\n:62F:")
+    rows = structure.field_rows(bindings.mt940(spark, sf_dir).withColumn("body", noted), ANCHORS)
+    return rows.where("tag in ('61', '86', '60F', '62F', '20', '70E')").select("message_id", "tag", "seq_index", "seq_path", "occurrence", F.regexp_extract("value", r"ORD(?:ER )?(\d+)", 1).alias("order_key"))
 
 
-F4 = f"""SELECT 'mt940-' || o_custkey AS message_id, t AS tag, 'ENTRY[' || (row_number() OVER (PARTITION BY o_custkey, t ORDER BY o_orderkey) - 1) || ']' AS seq_index, 'ENTRY' AS seq_path, CAST(o_orderkey AS VARCHAR) AS order_key
+F4 = f"""SELECT 'mt940-' || o_custkey AS message_id, t AS tag, 'ENTRY[' || (row_number() OVER (PARTITION BY o_custkey, t ORDER BY o_orderkey) - 1) || ']' AS seq_index, 'ENTRY' AS seq_path, CAST(0 AS BIGINT) AS occurrence, CAST(o_orderkey AS VARCHAR) AS order_key
   FROM orders JOIN customer ON o_custkey = c_custkey, (VALUES ('61'), ('86')) v(t)
-  UNION ALL SELECT 'mt940-' || c_custkey, t, '$', '$', '' FROM customer, (VALUES ('62F'), ('20')) v(t)"""
-
+  UNION ALL SELECT 'mt940-' || c_custkey, t, i, p, 0, '' FROM customer, (VALUES ('60F', 'BALANCE[0]', 'BALANCE'), ('62F', 'BALANCE[1]', 'BALANCE'), ('20', '$', '$'), ('70E', 'NOTE[0]', 'NOTE')) v(t, i, p)"""
 
 def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """mt540 with an unclosed block 4 (every 4th order), a malformed tag (every 6th), a sequence end that matches none (every 9th)."""
@@ -196,17 +199,47 @@ def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bindings.mt540(spark, sf_dir).withColumn("body", body)
 
 
+#: A message per order k, in SQL of both engines: every defect of structure by k, and text whose bytes and characters differ.
+_DEFECTIVE = """'{1:F01CUSTUS33AXXX0000000000}{2:I540CSDXUS33XXXXN}' || case when k % 8 = 2 then '{X}' else '' end || '{3:{108:{A:{B:é' || cast(k as string) || case when k % 8 = 1 then '' else '}}}}' end
+  || '{4:' || chr(10) || ':16R:GENL' || chr(10) || ':20C::SEME//é' || cast(k as string) || chr(10) || case when k % 8 = 4 then ':TOOLONG:X' || chr(10) else '' end || case when k % 8 = 5 then ':16S:OTHER' || chr(10) else '' end
+  || case when k % 24 = 0 then '' else ':16S:GENL' || chr(10) end || case when k % 8 = 6 then repeat(':16R:D' || chr(10), 17) else '' end || case when k % 10000 = 7 then repeat(':70E:x' || chr(10), 10000) else '' end
+  || case when k % 10000 = 16 then ':70E:' || repeat('x', 4194304) || chr(10) when k % 10000 = 8 then ':70E:' || repeat('x', 10485760) || chr(10) else '' end || case when k % 8 = 3 then '' else '-}' end"""
+
+
 def f13_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Structural defects by kind."""
-    return structure.diagnostics(_broken(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("message_id").alias("messages"))
+    """every kind of defect of structure, with its byte offset."""
+    bindings._view(spark, sf_dir, "orders")
+    messages = spark.sql(f"select concat('d', k) as message_id, 'MT540' as message_type, {_DEFECTIVE} as body from (select o_orderkey as k from tw_orders)")
+    return structure.diagnostics(messages)
 
 
-F13 = """
-SELECT * FROM (
-  SELECT 'unclosed_text_block' AS kind, count(*) AS n, count(*) AS messages FROM orders WHERE o_orderkey % 4 = 0
-  UNION ALL SELECT 'malformed_field_tag', count(*), count(*) FROM orders WHERE o_orderkey % 6 = 0 AND o_orderkey % 4 <> 0
-  UNION ALL SELECT 'mismatched_sequence_end', count(*), count(*) FROM orders WHERE o_orderkey % 9 = 0 AND o_orderkey % 4 <> 0
-  UNION ALL SELECT 'unclosed_sequence', count(*), count(*) FROM orders WHERE o_orderkey % 9 = 0 AND o_orderkey % 4 <> 0) WHERE n > 0"""
+F13 = f"""
+WITH b AS (SELECT k, {_DEFECTIVE} AS body FROM (SELECT o_orderkey AS k FROM orders)),
+  p AS (SELECT k, 'd' || k AS id, strlen(body) AS n, strlen(split_part(body, '{{X}}', 1)) AS x, strlen(split_part(body, '{{3:', 1)) AS b3, strlen(split_part(body, '{{4:', 1)) AS b4, strlen(split_part(body, ':TOOLONG', 1)) AS t FROM b),
+  r AS (
+  SELECT id, 'missing_block_separator' AS kind, x AS o, '' AS detail, CAST(NULL AS VARCHAR) AS expected FROM p WHERE k % 8 = 2
+  UNION ALL SELECT id, 'unclosed_block', b3, '', NULL FROM p WHERE k % 8 = 1
+  UNION ALL SELECT id, 'unclosed_text_block', b4, '', NULL FROM p WHERE k % 8 = 3
+  UNION ALL SELECT id, 'malformed_field_tag', t, '', NULL FROM p WHERE k % 8 = 4
+  UNION ALL SELECT id, 'mismatched_sequence_end', NULL, 'OTHER', 'GENL' FROM p WHERE k % 8 = 5
+  UNION ALL SELECT id, 'limit_sequence_depth', NULL, '17', NULL FROM p WHERE k % 8 = 6
+  UNION ALL SELECT id, 'unclosed_sequence', NULL, 'D', NULL FROM p, range(16) WHERE k % 8 = 6
+  UNION ALL SELECT id, 'unclosed_sequence', NULL, 'GENL', NULL FROM p WHERE k % 24 = 0 AND k % 10000 NOT IN (8, 16)
+  UNION ALL SELECT id, 'limit_fields', NULL, '10001', NULL FROM p WHERE k % 10000 = 7
+  UNION ALL SELECT id, 'limit_block_bytes', NULL, CAST(n - b4 AS VARCHAR), NULL FROM p WHERE k % 10000 = 16
+  UNION ALL SELECT id, 'limit_message_bytes', NULL, CAST(n AS VARCHAR), NULL FROM p WHERE k % 10000 = 8)
+SELECT id AS message_id, kind, CAST(o AS BIGINT) AS byte_offset, detail, expected FROM r"""
+
+
+def f6_issuer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the parties whose field names an issuer, told apart from those of another form."""
+    bindings._view(spark, sf_dir, "orders")
+    messages = spark.sql("""select concat('i', o_orderkey) as message_id, 'MT540' as message_type, concat('{4:\n:95R::', case o_orderkey % 3 when 0 then 'DEAG/CRST/' when 1 then 'REAG/' else 'SELL//' end, 'P', o_custkey, '\r\nX\n-}') as body from tw_orders""")
+    value = F.col("value")
+    return structure.fields(messages).select("message_id", *(c.alias(n) for c, n in zip(structure.issuer_form(value), ("qualifier", "issuer", "rest"), strict=True)))
+
+
+F6 = "SELECT 'i' || o_orderkey AS message_id, CASE WHEN o_orderkey % 3 = 0 THEN 'DEAG' END AS qualifier, CASE WHEN o_orderkey % 3 = 0 THEN 'CRST' END AS issuer, CASE WHEN o_orderkey % 3 = 0 THEN 'P' || o_custkey || chr(10) || 'X' END AS rest FROM orders"
 
 
 def f14_block4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,5 +253,5 @@ F14 = "SELECT o_orderkey % 5 <> 0 AS complete, count(*) AS messages FROM orders
 QUERIES = {
     "a1_net_movement": (a1_net_movement, A1), "a4_cash_pnl": (a4_cash_pnl, A4), "a5_by_type": (a5_by_type, A5), "s16_mt940": (s16_mt940, S16), "s16_statements": (s16_statements, S16S),
     "s7_split_fin": (s7_split_fin, S7), "s2_prefix_scan": (s2_prefix_scan, S2), "f15_identity": (f15_identity, F15), "f1_blocks": (f1_blocks, F1), "f2_fields": (f2_fields, F2), "m7_payload": (m7_payload, M7), "f3_paths": (f3_paths, F3), "f4_anchored": (f4_anchored, F4),
-    "f13_diagnostics": (f13_diagnostics, F13), "f14_block4": (f14_block4, F14),
+    "f13_diagnostics": (f13_diagnostics, F13), "f6_issuer": (f6_issuer, F6), "f14_block4": (f14_block4, F14),
 }
