@@ -4,6 +4,7 @@ import random
 import re
 
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -136,11 +137,58 @@ def test_nested_trees(spark, tree):
     assert got == want and structure.diagnostics(m).count() == 0
 
 
-def test_branches(spark):
-    cases = [("T[1]/D[0]", "T[1]/D[0]/S[0]", True, 2), ("T[1]/L[0]", "T[1]/D[0]", True, 1), ("S[0]/A[0]", "T[0]", True, 0), ("S[1]", "T[0]", False, 0), ("T[0]", "T[1]", False, 0), ("T[0]/A[0]/B[0]", "T[0]/C[0]", False, 1), ("$", "T[0]", False, None)]
-    df = spark.createDataFrame([(a, b) for a, b, *_ in cases], "a string, b string")
-    got = df.select(*entities.branch(entities.path_parts(F.col("a")), entities.path_parts(F.col("b")))).collect()
-    assert [(r[0], r[1] if r[0] else None) for r in got] == [(c[2], c[3] if c[2] else None) for c in cases]
+def _nearness(at, fact):
+    """How near a fact is to an event, None where it doesn't count: one more than the leading parts they share in a branch."""
+    if at is None:
+        return 0
+    if fact == "$":
+        return 0
+    if at == "$":
+        return None
+    a, b = at.split("/"), fact.split("/")
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n + 1
+    if len(a) == len(b) > 1 and a[:-1] == b[:-1]:
+        return len(a)
+    return 1 if a[0] != b[0] and a[0].split("[")[1] == b[0].split("[")[1] else None
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_nearest_facts(spark, seed):
+    """Lookups by keys against comparing every event with every fact of its message."""
+    r = random.Random(seed)
+    part = lambda: f"{r.choice('ABC')}[{r.randrange(2)}]"
+    path = lambda: r.choice(["$", part(), f"{part()}/{part()}", f"{part()}/{part()}/{part()}"])
+    kinds = [("x_transaction", "amount"), ("x", "amount"), ("settlement_quantity", "quantity"), ("x", "quantity"), ("x", "safekeeping"), ("settlement_account", "an_account"), ("a_party", "account"), ("x_status", "status_code"), ("mt537_statement", "sender_reference"), ("y", "other")]
+    values, dates = [], []
+    for m in range(6):
+        for i in range(r.randrange(4)):
+            values.append((f"m{m}", "MT537", "x", "instrument", path(), f"ISIN US000000000{i}", "", 10 * i))
+        for i in range(r.randrange(25)):
+            entity, column = r.choice(kinds)
+            values.append((f"m{m}", "MT537", entity, column, path(), str(r.randrange(1000)), f"EUR{i}", 1000 + r.randrange(1000)))
+        dates += [(f"m{m}", path(), f"202605{r.randrange(10, 31)}", 3000 + i) for i in range(r.randrange(4))]
+    v = spark.createDataFrame(values, "message_id string, message_type string, entity string, column string, seq_index string, value string, raw string, row_ord long")
+    rows = spark.createDataFrame([(m, "98A", "SETT", p, d, n) for m, p, d, n in dates], "message_id string, tag string, qualifier string, seq_index string, value string, field_seq long")
+    m = spark.createDataFrame([(f"m{i}", "MT537") for i in range(6)], "message_id string, message_type string")
+    tests = {
+        "amount": [(lambda e, c: "transaction" in e and c == "amount", 2), (lambda e, c: c == "amount", 1)], "quantity": [(lambda e, c: e == "settlement_quantity" and c == "quantity", 2), (lambda e, c: c == "quantity", 1)],
+        "safekeeping_account": [(lambda e, c: "safekeep" in c, 3), (lambda e, c: e == "settlement_account" and "account" in c, 2), (lambda e, c: c == "account" and ("account" in e or "party" in e), 1)], "status": [(lambda e, c: c == "status_code" and "status" in e, 2)],
+    }
+    want = []
+    for i in range(6):
+        own = sorted((x for x in values if x[0] == f"m{i}" and x[3] == "instrument"), key=lambda x: x[7])
+        for k, x in enumerate(own or [(f"m{i}", "", "", "", None, "", "", 0)]):
+            out = [f"m{i}", k]
+            for choices in tests.values():
+                fit = [(next(p for f, p in choices if f(y[2], y[3])), n, -y[7], y[5]) for y in values if y[0] == f"m{i}" and any(f(y[2], y[3]) for f, _ in choices) and (n := _nearness(x[4], y[4])) is not None]
+                out.append(max(fit)[3] if fit else None)
+            days = [(n, -seq, d) for mm, p, d, seq in dates if mm == f"m{i}" and (n := _nearness(x[4], p)) is not None and (x[4] is None or n > 0)]
+            sent = [(y[7], y[5]) for y in values if y[0] == f"m{i}" and y[3] == "sender_reference"]
+            want.append((*out, f"2026-05-{max(days)[2][-2:]}" if days else None, min(sent)[1] if sent else None))
+    got = entities.security_events(v, rows, m).select("message_id", "row_seq", F.col("amount").cast("int").cast("string"), F.col("quantity").cast("int").cast("string"), "safekeeping_account", "status", "settlement_date", "transaction_ref").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_penalties(spark):

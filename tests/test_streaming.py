@@ -3,8 +3,11 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 
-from tidewire.streaming import first_seen
+from pyspark.sql import functions as F
+
+from tidewire.streaming import first_seen, landing, marks
 
 EVENTS = "key string, ts timestamp, n int, t int"
 DAY = datetime(2026, 1, 1)
@@ -48,3 +51,46 @@ def test_first_per_key_stream(spark, tmp_path):
         live = first_seen.first_per_key(spark.readStream.schema(df.schema).parquet(box), "key", "ts")
         live.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()) == chain(rows)
+
+
+@pytest.mark.parametrize("fails", ["before the marks", "after the marks"])
+def test_consumed_once(spark, tmp_path, fails):
+    """A batch that dies on either side of its marks is run again, handles the same rows and marks them once."""
+    box, ledger, out = str(tmp_path / "in"), str(tmp_path / "ledger"), str(tmp_path / "out")
+    rows = spark.createDataFrame([(f"i{n}", n == 3) for n in range(8)] + [("i1", False), (None, False)], "id string, processed boolean")
+    rows.coalesce(1).write.parquet(box)
+    runs = []
+
+    def handle(df, batch):
+        runs.append(batch)
+        df.select("id").write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        if len(runs) == 1:
+            if fails == "after the marks":
+                marks.mark(df, ledger, batch)
+            raise RuntimeError("lost")
+
+    consume = lambda: marks.consume(marks.stream_inbox(spark, box, rows.schema), ledger, str(tmp_path / "c"), handle)
+    with pytest.raises(Exception, match="lost"):
+        consume().awaitTermination()
+    consume().awaitTermination()
+    rows.where("id in ('i1', 'i2')").unionByName(spark.createDataFrame([("new", None)], rows.schema)).coalesce(1).write.mode("append").parquet(box)
+    consume().awaitTermination()
+    done = sorted(r.id for r in spark.read.parquet(f"{out}/*").collect())
+    assert done == sorted([f"i{n}" for n in range(8) if n != 3] + ["new"]) and runs[0] == runs[1] and len(set(runs)) == 2
+    assert sorted(r.id for r in spark.read.parquet(ledger).collect()) == done
+    assert marks.unprocessed(rows, ledger).count() == 0
+
+
+def test_landing_reads_the_shards_of_its_files(spark, tmp_path):
+    table = str(tmp_path / "table")
+    text = "{1:F01X}{2:I940X}{4:\n:20:%s\n-}"
+    files = spark.createDataFrame([("broker:a", f"f{i}", bytearray("".join(text % f"{i}-{j}" for j in range(3)).encode())) for i in range(40)], "source_id string, name string, content binary")
+    assert landing.land(landing.parsed(files), table) == {"landed": 120, "already": 0}
+    again = landing.parsed(files.where("name in ('f1', 'f2')"))
+    assert landing.land(again, table) == {"landed": 0, "already": 6}
+    shards = [r[0] for r in again.select(landing._shard("file_sha256")).distinct().collect()]
+    read = landing.landed(spark, table, shards)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(shard" in plan or "PartitionFilters: [shard" in plan
+    assert read.select(F.input_file_name()).distinct().count() < landing.landed(spark, table).select(F.input_file_name()).distinct().count()
+    assert landing.landed(spark, table).select("message_id").distinct().count() == 120

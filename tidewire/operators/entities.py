@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewire.sources.shared import written
+
 from . import rules
 
 SETTLEMENT = ("MT536", "MT537", "MT538", *(f"MT54{i}" for i in range(9)))
@@ -58,23 +60,6 @@ def isin_of(blob: Column) -> tuple[Column, Column]:
     return F.regexp_extract(first, r"([A-Za-z0-9]{12})$", 1), F.nullif(F.array_join(rest, " "), F.lit(""))
 
 
-def path_parts(path: Column) -> Column:
-    """What branch needs of a sequence path: itself, its first part, that part's occurrence, all but its last part, its depth."""
-    first = F.substring_index(path, "/", 1)
-    return F.struct(path.alias("path"), first.alias("first"), F.regexp_extract(first, r"\[(\d+)\]$", 1).alias("occurrence"), F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise("").alias("parent"), F.size(F.split(path, "/")).alias("depth"))
-
-
-def branch(a: Column, b: Column) -> tuple[Column, Column]:
-    """(whether two paths are in one branch, how many leading parts they then share), from their path_parts: ancestor or self,
-    siblings under one parent occurrence, or, apart from the first part on, the same occurrence."""
-    x, y = a["path"], b["path"]
-    line = (x == y) | x.startswith(F.concat(y, F.lit("/"))) | y.startswith(F.concat(x, F.lit("/")))
-    siblings = (a["parent"] != "") & (a["parent"] == b["parent"])
-    cousins = (a["first"] != b["first"]) & (a["occurrence"] == b["occurrence"])
-    inside = F.when((x == "$") | (y == "$"), False).otherwise(line | siblings | cousins)
-    return inside, F.when(line, F.least(a["depth"], b["depth"])).when(siblings, a["depth"] - 1).otherwise(0)
-
-
 #: attribute -> (condition on entity and column, preference) in falling preference.
 LOOKUPS = {
     "amount": [("entity like '%transaction%' and column = 'amount'", 2), ("column = 'amount'", 1)],
@@ -86,11 +71,71 @@ LOOKUPS = {
 }
 
 
+_SENDER = "entity = 'mt537_statement' and column = 'sender_reference'"
+
+
+def _parts(path: Column) -> Column:
+    return F.split(path, "/")
+
+
+def _first(path: Column) -> tuple[Column, Column]:
+    """(first part of a path, its occurrence)."""
+    first = F.substring_index(path, "/", 1)
+    return first, F.regexp_extract(first, r"\[(\d+)\]$", 1)
+
+
+def _prefixes(path: Column) -> Column:
+    parts = _parts(path)
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda j: F.array_join(F.slice(parts, F.lit(1), j), "/"))
+
+
+def _parent(path: Column) -> Column:
+    return F.regexp_replace(path, "/[^/]*$", "")
+
+
+def _index(facts: DataFrame) -> DataFrame:
+    """message_id, key, first, a struct per attribute: the best fact of each attribute under each key of the facts' paths.
+
+    Keys of a path: A all of the message; R root; U each path from its first part to itself, for those above; S itself, for those
+    below; C its parent, for its siblings; O the occurrence of its first part (with that part in first), for the same
+    occurrence of other first parts."""
+
+    def best(tests: list) -> Column:
+        rank = F.coalesce(*(F.when(F.expr(c), F.lit(p)) for c, p in tests))
+        return F.max(F.when(rank.isNotNull(), F.struct(rank.alias("rank"), (-F.col("row_ord")).alias("order"), "value", "raw")))
+
+    wanted = {**LOOKUPS, "sett": [("column = '#date'", 1)], "sender": [(_SENDER, 1)]}
+    paths = facts.groupBy("message_id", "seq_index").agg(*(best(tests).alias(name) for name, tests in wanted.items()))
+    path = F.col("seq_index")
+    first, occurrence = _first(path)
+    key = lambda kind, c, of=None: F.struct(F.concat(F.lit(kind), c).alias("key"), (F.lit(None).cast("string") if of is None else of).alias("first"))
+    deep = F.concat(F.transform(_prefixes(path), lambda x: key("U", x)), F.array(key("S", path), key("O", occurrence, first)), F.when(path.contains("/"), F.array(key("C", _parent(path)))).otherwise(F.array().cast("array<struct<key:string,first:string>>")))
+    keys = F.concat(F.array(key("A", F.lit(""))), F.when(path == "$", F.array(key("R", F.lit("")))).otherwise(deep))
+    each = paths.withColumn("k", F.explode(keys))
+    return each.groupBy("message_id", F.col("k.key").alias("key"), F.col("k.first").alias("first")).agg(*(F.max(name).alias(name) for name in wanted))
+
+
+def _probes(keyed: DataFrame) -> DataFrame:
+    """message_id, row_seq, key, near, own, free: the keys at which each row at a path finds its facts, from the nearest on. near is
+    one more than the leading parts shared, 0 at root, -1 where only the sender counts; free: the row has no path."""
+    at = F.col("at")
+    first, occurrence = _first(at)
+    depth = F.size(_parts(at))
+    key = lambda kind, c, near: F.struct(F.concat(F.lit(kind), c).alias("key"), near.cast("int").alias("near"))
+    empty = F.array().cast("array<struct<key:string,near:int>>")
+    above = F.transform(F.slice(_prefixes(at), F.lit(1), depth - 1), lambda x, j: key("S", x, j + 2))
+    deep = F.concat(F.array(key("U", at, depth + 1), key("O", occurrence, F.lit(1))), F.when(depth > 1, F.concat(above, F.array(key("C", _parent(at), depth)))).otherwise(empty))
+    keys = F.when(at.isNull(), F.array(key("A", F.lit(""), F.lit(0)))).otherwise(F.concat(F.array(key("A", F.lit(""), F.lit(-1)), key("R", F.lit(""), F.lit(0))), F.when(at == "$", empty).otherwise(deep)))
+    return keyed.select("message_id", "row_seq", first.alias("own"), at.isNull().alias("free"), F.explode(keys).alias("k")).select("message_id", "row_seq", "own", "free", "k.key", "k.near")
+
+
 def security_events(values: DataFrame, field_rows: DataFrame, messages: DataFrame) -> DataFrame:
     """One event per row that yields an ISIN, else one per message of a type with events.
 
-    All attributes are looked up in one join on the message: values in the event's branch, the nearest first, then those
-    at root; without a path all values of the message count.
+    Attributes are looked up nearest first: facts in the event's branch (above, below or beside it, or under the same
+    occurrence of another first sequence), then those at root; without a path all facts of the message count. Facts are reduced
+    to the best one per attribute under each key of their paths, and an event meets one row per key of its own path, so
+    the work grows with the facts and the events, not with their product. values and field_rows are read more than once.
     """
     blob = values.where(F.col("column").contains("instrument"))
     isin, desc = isin_of(F.col("value"))
@@ -102,38 +147,30 @@ def security_events(values: DataFrame, field_rows: DataFrame, messages: DataFram
 
     dates = field_rows.where("qualifier = 'SETT' and tag like '98%'").select("message_id", F.lit("#field").alias("entity"), F.lit("#date").alias("column"), "seq_index", F.regexp_extract("value", r"(\d{8})", 1).alias("value"), F.col("value").alias("raw"), F.col("field_seq").alias("row_ord"))
     facts = values.where("value is not null and value <> ''").select("message_id", "entity", "column", "seq_index", "value", "raw", "row_ord").unionByName(dates)
-    wanted = [c for tests in LOOKUPS.values() for c, _ in tests] + ["column = '#date'", "entity = 'mt537_statement' and column = 'sender_reference'"]
-    facts = facts.where(" or ".join(f"({c})" for c in wanted))
-    inside, shared = branch(F.col("fact_path"), F.col("own_path"))
-    joined = keyed.select("message_id", "row_seq", "at", path_parts(F.col("at")).alias("own_path")).join(facts.withColumn("fact_path", path_parts(F.col("seq_index"))), "message_id").withColumn("inside", F.coalesce(inside, F.lit(False))).withColumn("shared", shared)
-    root = F.col("seq_index") == "$"
-    near = F.when(F.col("at").isNull(), F.lit(0)).when(F.col("inside"), F.col("shared") + 1).when(root, F.lit(0))
-    # What no lookup can use goes before the aggregation.
-    joined = joined.withColumn("near", near).drop("fact_path", "own_path").where("near is not null or column = 'sender_reference'")
-
-    def look(tests: list, what: str) -> Column:
-        rank = F.coalesce(*(F.when(F.expr(c), F.lit(p)) for c, p in tests))
-        usable = rank.isNotNull() & F.col("near").isNotNull()
-        return F.max_by(F.when(usable, F.col(what)), F.when(usable, F.struct(rank, F.col("near"), -F.col("row_ord"))))
-
-    date_ok = (F.col("column") == "#date") & (F.col("at").isNull() | F.col("inside"))
-    date_rank = F.when(date_ok, F.struct(F.coalesce("shared", F.lit(0)), -F.col("row_ord")))
-    looked = joined.groupBy("message_id", "row_seq").agg(
-        *(look(tests, "value").alias(name) for name, tests in LOOKUPS.items()), look(LOOKUPS["amount"], "raw").alias("amount_raw"), F.max_by(F.when(date_ok, F.col("value")), date_rank).alias("sett"),
-        F.min_by(F.when(F.expr("entity = 'mt537_statement' and column = 'sender_reference'"), F.col("value")), F.when(F.expr("entity = 'mt537_statement' and column = 'sender_reference'"), F.col("row_ord"))).alias("sender"),
-    )
+    wanted = [c for tests in LOOKUPS.values() for c, _ in tests] + ["column = '#date'", _SENDER]
+    index = _index(facts.where(" or ".join(f"({c})" for c in wanted)))
+    met = _probes(keyed).join(index, ["message_id", "key"]).where("first is null or first <> own")
+
+    def look(name: str, usable: Column) -> Column:
+        own = F.col(name)
+        return F.max(F.when(usable & own.isNotNull(), F.struct(own["rank"].alias("rank"), F.col("near").alias("near"), own["order"].alias("order"), own["value"].alias("value"), own["raw"].alias("raw")))).alias(name)
+
+    near = F.col("near") >= 0
+    looked = met.groupBy("message_id", "row_seq").agg(*(look(name, near) for name in LOOKUPS), look("sett", (F.col("near") > 0) | F.col("free")), look("sender", F.col("key") == "A"))
     out = keyed.join(looked, ["message_id", "row_seq"], "left")
+    value = lambda name: F.col(name)["value"]
     return out.select(
-        F.lit("swift").alias("source"), "message_id", "row_seq", F.coalesce("transaction_ref", "sender").alias("transaction_ref"), "message_type", event_kind(F.col("message_type")).alias("kind"), "isin", "instrument_desc",
-        F.col("quantity").try_cast("double").alias("quantity"), F.col("amount").try_cast("double").alias("amount"), F.nullif(F.regexp_extract("amount_raw", r"^N?([A-Z]{3})\d", 1), F.lit("")).alias("currency"),
-        F.regexp_replace(F.nullif("sett", F.lit("")), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3").alias("settlement_date"), "safekeeping_account", "party_bic", "status",
+        F.lit("swift").alias("source"), "message_id", "row_seq", F.coalesce(value("transaction_ref"), value("sender")).alias("transaction_ref"), "message_type", event_kind(F.col("message_type")).alias("kind"), "isin", "instrument_desc",
+        value("quantity").try_cast("double").alias("quantity"), value("amount").try_cast("double").alias("amount"), F.nullif(F.regexp_extract(F.col("amount")["raw"], r"^N?([A-Z]{3})\d", 1), F.lit("")).alias("currency"),
+        F.regexp_replace(F.nullif(value("sett"), F.lit("")), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3").alias("settlement_date"), value("safekeeping_account").alias("safekeeping_account"), value("party_bic").alias("party_bic"), value("status").alias("status"),
     )
 
 
 def events_of(messages: DataFrame, catalog=rules.CATALOG) -> DataFrame:
+    """The events of messages, which are parsed once: field rows and values are written, as several steps read them."""
     from . import structure
 
     spark = messages.sparkSession
-    rows = structure.field_rows(messages)
-    values = entity_values(rules.captured(rules.matched(rows, rules.rules(spark, catalog)), rules.compiled(spark, catalog)))
+    rows = written(structure.field_rows(messages), "fields")
+    values = written(entity_values(rules.captured(rules.matched(rows, rules.rules(spark, catalog)), rules.compiled(spark, catalog))), "values")
     return security_events(values, rows, messages)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewire.operators import books, entities, penalty, rules, structure
 from tidewire.plans import bindings
 from tidewire.plans.cash_queries import I_SQL, _broken
+from tidewire.sources import shared
 
 
 def r4_rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +178,9 @@ A11 = "SELECT 'MT940' AS message_type, (SELECT count(*) FROM customer) AS messag
 
 
 def _accruals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return penalty.accruals(entities.events_of(bindings.mt537(spark, sf_dir)), penalty.rates(spark))
+    """Accruals, written once: the queries read them more than once."""
+    rows = penalty.accruals(entities.events_of(bindings.mt537(spark, sf_dir)), penalty.rates(spark))
+    return shared.written(rows, "accruals")
 
 
 def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from tidewire.operators import books, cash, entities, penalty, render, rules, st
 from tidewire.plans import bindings, event_queries
 from tidewire.plans.cash_queries import _BATCH
 from tidewire.sources import shared, sinks
-from tidewire.streaming import first_seen, landing
+from tidewire.streaming import first_seen, landing, marks
 
 
 def _values(messages: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def p2_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = bindings.files(spark, sf_dir)
     first = landing.land(landing.parsed(files.where("name < 'batch2'")), folder)
     second = landing.land(landing.parsed(files.withColumn("name", F.concat(F.lit("again-"), "name"))), folder)
-    back = spark.read.schema(landing.LANDED).parquet(f"{folder}/raw")
+    back = landing.landed(spark, folder)
     counts = back.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("message_id").alias("ids"))
     sent = landing.chunks(back, 100).agg(F.sum("messages").alias("in_chunks"))
     return counts.crossJoin(sent).select("rows", "ids", "in_chunks", F.lit(first["landed"]).cast("long").alias("first_landed"), F.lit(second["already"]).cast("long").alias("second_already"))
@@ -121,6 +121,29 @@ def p4_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(e.schema).parquet(f"{folder}/out").select("key", "event_id")
 
 
+def p1_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An inbox consumed as a stream, sent again with more, and consumed again; how often each message was handled, and the
+    batches that marked it."""
+    folder = shared.new_folder(spark, "inbox")
+    k = F.expr("cast(substring(id, 7) as long)")
+    box = bindings.mt940(spark, sf_dir).withColumnRenamed("message_id", "id").withColumn("processed", k % 5 == 0)
+
+    def handle(rows: DataFrame, batch: str) -> None:
+        rows.select("id", "message_type", F.regexp_extract("body", r":20:(\w+)", 1).alias("reference")).write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+
+    for sent in (box.where(k % 2 == 0), box):
+        sent.repartition(3).write.mode("append").parquet(f"{folder}/in")
+        marks.consume(marks.stream_inbox(spark, f"{folder}/in", box.schema), f"{folder}/ledger", f"{folder}/checkpoint", handle).awaitTermination()
+    out = spark.read.schema("id string, message_type string, reference string, batch string").parquet(f"{folder}/out")
+    done = spark.read.schema(marks.MARKS).parquet(f"{folder}/ledger").groupBy("id").agg(F.count(F.lit(1)).alias("marks"))
+    left = marks.unprocessed(box, f"{folder}/ledger").agg(F.count(F.lit(1)).alias("left"))
+    handled = out.groupBy("id", "message_type", "reference").agg(F.count(F.lit(1)).alias("times")).join(done, "id")
+    return handled.unionByName(left.selectExpr("'unprocessed' as id", "cast(null as string) as message_type", "cast(null as string) as reference", "left as times", "0L as marks"))
+
+
+P1 = "SELECT 'mt940-' || c_custkey AS id, 'MT940' AS message_type, 'ST' || c_custkey AS reference, CAST(1 AS BIGINT) AS times, CAST(1 AS BIGINT) AS marks FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT 'unprocessed', NULL, NULL, 0, 0"
+
+
 def k_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2 to K6, K8, X11: every writer, with the rows read back from each."""
     folder = shared.new_folder(spark, "sinks")
@@ -131,7 +154,8 @@ def k_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     sinks.errors_ndjson(rules.without_rules(messages, rules.rules(spark)), messages.where("false").selectExpr("message_id", "body as detail"), f"{folder}/errors")
     sinks.rendered_text(messages, f"{folder}/text")
     sinks.snapshot_lines(heads).write.text(f"{folder}/snapshot")
-    work = penalty.work_lines(penalty.reconcile(*(2 * [event_queries._accruals(spark, sf_dir).withColumn("reported_amount", F.col("computed_amount"))])), event_queries._accruals(spark, sf_dir), spark.createDataFrame([], "key string, disposition string"))
+    due = event_queries._accruals(spark, sf_dir)
+    work = penalty.work_lines(penalty.reconcile(*(2 * [due.withColumn("reported_amount", F.col("computed_amount"))])), due, spark.createDataFrame([], "key string, disposition string"))
     sinks.export(sinks.certificate(work), f"{folder}/certificate", "csv")
     sinks.manifest(heads.select("message_id", F.lit(0).alias("errors"))).write.json(f"{folder}/manifest")
     read = lambda df, name: df.agg(F.lit(name).alias("sink"), F.count(F.lit(1)).alias("rows"))
@@ -145,6 +169,6 @@ KS = """WITH c AS (SELECT count(*) AS n FROM customer) SELECT 'star' AS sink, (S
   UNION ALL SELECT 'certificate', (SELECT count(DISTINCT 'L' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey) FROM lineitem WHERE l_returnflag IN ('A', 'R')) UNION ALL SELECT 'manifest', 1"""
 
 QUERIES = {
-    "n7_render": (n7_render, N7), "n9_roundtrip": (n9_roundtrip, N9), "n1_missing": (n1_missing, N1), "j6_headers": (j6_headers, J6), "m3_layout": (m3_layout, M3), "a12_report": (a12_report, A12), "p2_landing": (p2_landing, P2), "p4_first_per_key": (p4_first_per_key, P4), "p4_stream": (p4_stream, P4),
+    "n7_render": (n7_render, N7), "n9_roundtrip": (n9_roundtrip, N9), "n1_missing": (n1_missing, N1), "j6_headers": (j6_headers, J6), "m3_layout": (m3_layout, M3), "a12_report": (a12_report, A12), "p1_stream": (p1_stream, P1), "p2_landing": (p2_landing, P2), "p4_first_per_key": (p4_first_per_key, P4), "p4_stream": (p4_stream, P4),
     "k_sinks": (k_sinks, KS),
 }

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.operators import structure
+from tidewire.sources.inbox import read_or_empty
 
 CHUNK = 2000
-LANDED = "source_id string, name string, fragment int, byte_offset long, body string, file_sha256 string, message_sha256 string, message_id string"
+LANDED = "source_id string, name string, fragment int, byte_offset long, body string, file_sha256 string, message_sha256 string, message_id string, shard string"
 
 
 def parsed(files: DataFrame) -> DataFrame:
@@ -17,20 +18,34 @@ def parsed(files: DataFrame) -> DataFrame:
     return structure.identity(split.where("kept").drop("kept"), files).select("source_id", "name", "fragment", "byte_offset", "body", "file_sha256", "message_sha256", "message_id")
 
 
+def _shard(file_sha256: str) -> Column:
+    """The folder of a file's messages, by the beginning of its hash; a letter keeps Spark from reading it as a number."""
+    return F.concat(F.lit("h"), F.substring(file_sha256, 1, 2))
+
+
+def landed(spark: SparkSession, table: str, shards: list[str] | None = None) -> DataFrame:
+    """What has landed in a table, or in some of its shards; only their files are listed and read."""
+    rows = read_or_empty(spark, f"{table}/raw", LANDED)
+    return rows if shards is None else rows.where(F.col("shard").isin(shards))
+
+
 def land(messages: DataFrame, table: str) -> dict[str, int]:
     """Append messages whose id the table (a Parquet folder) hasn't, once each; counts of landed and already there. All of a
     message, its position too, is one row of one append, so that a reader never sees a message half landed, and a batch
-    that failed can be landed again."""
-    from tidewire.sources.inbox import read_or_empty
+    that failed can be landed again.
 
-    there = read_or_empty(messages.sparkSession, f"{table}/raw", LANDED).select("message_id")
-    batch = messages.dropDuplicates(["message_id"])
-    marked = batch.join(there.distinct().withColumn("there", F.lit(True)), "message_id", "left").persist()
+    The table is partitioned by the beginning of the hash of a message's file, 256 shards. An id is made of that hash,
+    so what a batch repeats lies in the shards of its own files, and only these are read."""
+    spark = messages.sparkSession
+    batch = messages.withColumn("shard", _shard("file_sha256")).dropDuplicates(["message_id"]).persist()
     try:
+        shards = [r[0] for r in batch.select("shard").distinct().collect()]  # 256 at most
+        there = landed(spark, table, shards).select("message_id").distinct().withColumn("there", F.lit(True))
+        marked = batch.join(there, "message_id", "left")
         counts = marked.agg(F.count(F.lit(1)), F.count("there")).first()
-        marked.where("there is null").select(*[c.split()[0] for c in LANDED.split(", ")]).write.mode("append").parquet(f"{table}/raw")
+        marked.where("there is null").select(*[c.split()[0] for c in LANDED.split(", ")]).write.mode("append").partitionBy("shard").parquet(f"{table}/raw")
     finally:
-        marked.unpersist()
+        batch.unpersist()
     return {"landed": counts[0] - counts[1], "already": counts[1]}
 
 
