@@ -27,12 +27,16 @@ def type_counts(items: DataFrame, rules: DataFrame) -> DataFrame:
     return items.groupBy("message_type").agg(F.count(F.lit(1)).alias("messages")).join(known, "message_type", "left").select("message_type", "messages", F.coalesce("known", F.lit(False)).alias("has_rules")).orderBy(F.desc("messages"), "message_type")
 
 
-def file_report(split: DataFrame, field_rows: DataFrame, diagnostics: DataFrame) -> DataFrame:
-    """Per file and type: messages, field rows, messages with diagnostics. split: name, message_id, message_type."""
+def file_report(split: DataFrame, field_rows: DataFrame, diagnostics: DataFrame, complete: DataFrame, fragments: DataFrame) -> DataFrame:
+    """Per file and type: messages, field rows, messages with diagnostics, messages whose fields aren't the whole of block 4, and
+    the fragments that the file's split left out. split: name, message_id, message_type; complete: message_id, complete;
+    fragments: name, kept."""
     n = field_rows.groupBy("message_id").agg(F.count(F.lit(1)).alias("fields"))
     bad = diagnostics.select("message_id").distinct().withColumn("bad", F.lit(1))
-    joined = split.join(n, "message_id", "left").join(bad, "message_id", "left")
-    return joined.groupBy("name", "message_type").agg(F.count(F.lit(1)).alias("messages"), F.coalesce(F.sum("fields"), F.lit(0)).alias("fields"), F.count("bad").alias("diagnosed"))
+    part = complete.where("not complete").select("message_id", F.lit(1).alias("part"))
+    joined = split.join(n, "message_id", "left").join(bad, "message_id", "left").join(part, "message_id", "left")
+    counts = joined.groupBy("name", "message_type").agg(F.count(F.lit(1)).alias("messages"), F.coalesce(F.sum("fields"), F.lit(0)).alias("fields"), F.count("bad").alias("diagnosed"), F.count("part").alias("block4_mismatches"))
+    return counts.join(fragments.groupBy("name").agg(F.count_if(~F.col("kept")).alias("skipped_fragments")), "name")
 
 
 def run_status(run_messages: DataFrame) -> DataFrame:

@@ -126,5 +126,10 @@ def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_id, name, content: a file per batch, $ and line ends between its statements."""
-    grouped = filed(spark, sf_dir).groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("k", F.col("body").alias("b")))).alias("bs"))
+    return content(filed(spark, sf_dir))
+
+
+def content(rows: DataFrame) -> DataFrame:
+    """The files that batch, k and body make."""
+    grouped = rows.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("k", F.col("body").alias("b")))).alias("bs"))
     return grouped.selectExpr("concat('broker:batch-', batch) as source_id", "concat('batch', batch, '.fin') as name", "cast(array_join(transform(bs, x -> x.b), '$\\r\\n') as binary) as content")

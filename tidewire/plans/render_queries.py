@@ -15,7 +15,7 @@ from tidewire.streaming import first_seen, landing, marks
 def _values(messages: DataFrame) -> DataFrame:
     spark = messages.sparkSession
     rows = structure.field_rows(messages)
-    return entities.entity_values(rules.captured(rules.matched(rows, rules.rules(spark)), rules.compiled(spark)))
+    return shared.written(entities.entity_values(rules.captured(rules.matched(rows, rules.rules(spark)), rules.compiled(spark))), "values")
 
 
 def n7_render(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +33,10 @@ SELECT 'mt536-' || l_orderkey AS message_id, 'MT536' AS message_type, '{1:F01CUS
 
 
 def n9_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rendered messages parse to the same field rows when rendered again, and have no defect of structure."""
-    once = render.messages_from(_values(bindings.mt536(spark, sf_dir)), rules.rules(spark))
+    """Rendered messages parse to the same field rows when rendered again, and have no defect of structure or of the rules."""
+    once = shared.written(render.messages_from(_values(bindings.mt536(spark, sf_dir)), rules.rules(spark)), "rendered")
     again = render.messages_from(_values(once), rules.rules(spark))
-    bad = structure.diagnostics(once).select("message_id").distinct().withColumn("bad", F.lit(True))
+    bad = rules.errors(once).select("message_id").distinct().withColumn("bad", F.lit(True))
     return render.round_trip(once, again).join(bad, "message_id", "left").groupBy("verdict", F.coalesce("bad", F.lit(False)).alias("bad")).agg(F.count(F.lit(1)).alias("messages"))
 
 
@@ -52,6 +52,29 @@ def n1_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 N1 = "SELECT 'sender reference' AS name, count(*) AS messages FROM orders WHERE o_orderkey % 10 = 0 HAVING count(*) > 0"
 
 
+def n6_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps instructions from being rendered, by a catalog that leaves an option open, names one that it
+    doesn't have and a type that can't be written, from values of which some are missing, doubled or misplaced."""
+    own = [(*r[:4], ["A", "C"], *r[5:14], None) if r[:2] == ("MT540", 5) else (*r[:14], "Q") if r[:2] == ("MT540", 6) else (*r[:7], "odd", *r[8:]) if r[:2] == ("MT540", 7) else r for r in rules.CATALOG.rules]
+    catalog = rules.Catalog({**rules.TYPES, "odd": [("capture", "elsewhere", "text", 3)]}, own, rules.CATALOG.sequences)
+    k = F.expr("cast(substring(message_id, 7) as long)")
+    values = _values(bindings.mt540(spark, sf_dir))
+    moved = values.withColumn("seq_index", F.when((F.col("column") == "instrument") & (k % 8 == 0), F.lit("FIAC[0]/TRADDET[0]")).otherwise(F.col("seq_index")))
+    twice = values.where((F.col("column") == "instrument") & (k % 12 == 1))
+    given = moved.unionByName(twice).where((F.col("column") != "quantity") | (k % 5 != 0))
+    wide = [(*r[:2], "TRADDET|FIAC/TRADDET", *r[3:]) if r[:2] == ("MT540", 3) else r for r in own]
+    messages = bindings.mt540(spark, sf_dir)
+    rule_rows = rules.rules(spark, rules.Catalog(catalog.types, wide, catalog.sequences))
+    return render.errors(given, messages, rule_rows, rules.sequences(spark, catalog), rules.types(spark, catalog)).groupBy("kind", "detail").agg(F.countDistinct("message_id").alias("messages"))
+
+
+N6 = """WITH o AS (SELECT o_orderkey AS k FROM orders),
+  r AS (SELECT k, 'missing_required' AS kind, 'sender reference' AS detail FROM o WHERE k % 10 = 0 UNION ALL SELECT k, 'missing_required', 'quantity' FROM o WHERE k % 5 = 0
+    UNION ALL SELECT k, 'missing_render_option', 'account' FROM o UNION ALL SELECT k, 'invalid_render_option', 'party' FROM o UNION ALL SELECT k, 'unsupported_capture', 'amount odd' FROM o
+    UNION ALL SELECT k, 'render_cardinality', 'TRADDET[0] instrument 2' FROM o WHERE k % 12 = 1 UNION ALL SELECT k, 'wrong_parent', 'TRADDET in FIAC' FROM o WHERE k % 8 = 0)
+  SELECT kind, detail, count(*) AS messages FROM r GROUP BY 1, 2"""
+
+
 def j6_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids with one type, and ids with several."""
     messages = bindings.mt940(spark, sf_dir)
@@ -75,13 +98,18 @@ M3 = "WITH n AS (SELECT count(*) AS l, count(DISTINCT l_orderkey) AS o FROM line
 
 
 def a12_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages, fields and diagnosed messages per file and type."""
-    files = bindings.files(spark, sf_dir)
-    found = landing.parsed(files).withColumn("message_type", structure.message_type(F.col("body")))
-    return books.file_report(found, structure.fields(found), structure.diagnostics(found))
+    """Messages, fields, diagnosed messages, block-4 mismatches and skipped fragments per file and type; every 3rd statement
+    begins with lines that are no field, every 4th has a tag line that is none."""
+    k = F.col("k")
+    odd = F.when(k % 3 == 0, F.regexp_replace("body", r"\{4:\n:20", "{4:\nlost\n:20")).when(k % 4 == 0, F.regexp_replace("body", "\n:25:", "\n:BAD\n:25:")).otherwise(F.col("body"))
+    files = bindings.content(bindings.filed(spark, sf_dir).withColumn("body", odd))
+    fragments = structure.messages_of_files(files)
+    found = shared.written(landing.parsed(files).withColumn("message_type", structure.message_type(F.col("body"))), "messages")
+    return books.file_report(found, structure.fields(found), structure.diagnostics(found), structure.block4_complete(found), fragments)
 
 
-A12 = f"SELECT 'batch' || {_BATCH} || '.fin' AS name, 'MT940' AS message_type, count(*) AS messages, CAST(sum(5 + 2 * coalesce(n, 0)) AS BIGINT) AS fields, CAST(0 AS BIGINT) AS diagnosed FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey GROUP BY 1"
+A12 = f"""SELECT 'batch' || {_BATCH} || '.fin' AS name, 'MT940' AS message_type, count(*) AS messages, CAST(sum(5 + 2 * coalesce(n, 0)) AS BIGINT) AS fields, count(*) FILTER (c_custkey % 3 <> 0 AND c_custkey % 4 = 0) AS diagnosed,
+  count(*) FILTER (c_custkey % 3 = 0) AS block4_mismatches, count(*) AS skipped_fragments FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey GROUP BY 1"""
 
 
 def p2_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,6 +197,6 @@ KS = """WITH c AS (SELECT count(*) AS n FROM customer) SELECT 'star' AS sink, (S
   UNION ALL SELECT 'certificate', (SELECT count(DISTINCT 'L' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey) FROM lineitem WHERE l_returnflag IN ('A', 'R')) UNION ALL SELECT 'manifest', 1"""
 
 QUERIES = {
-    "n7_render": (n7_render, N7), "n9_roundtrip": (n9_roundtrip, N9), "n1_missing": (n1_missing, N1), "j6_headers": (j6_headers, J6), "m3_layout": (m3_layout, M3), "a12_report": (a12_report, A12), "p1_stream": (p1_stream, P1), "p2_landing": (p2_landing, P2), "p4_first_per_key": (p4_first_per_key, P4), "p4_stream": (p4_stream, P4),
+    "n7_render": (n7_render, N7), "n9_roundtrip": (n9_roundtrip, N9), "n1_missing": (n1_missing, N1), "n6_errors": (n6_errors, N6), "j6_headers": (j6_headers, J6), "m3_layout": (m3_layout, M3), "a12_report": (a12_report, A12), "p1_stream": (p1_stream, P1), "p2_landing": (p2_landing, P2), "p4_first_per_key": (p4_first_per_key, P4), "p4_stream": (p4_stream, P4),
     "k_sinks": (k_sinks, KS),
 }
