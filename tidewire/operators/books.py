@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -45,6 +47,19 @@ def run_status(run_messages: DataFrame) -> DataFrame:
     return run_messages.groupBy("job_id").agg(F.count(F.lit(1)).alias("messages"), F.sum("errors").alias("parse_errors"), F.count_if("rendered").alias("rendered"), status.alias("status"))
 
 
+def metered(df: DataFrame, kind: str, size: str, kinds: list[str], edges: list[int], write: Callable[[DataFrame], None]) -> DataFrame:
+    """metric, label, n of what write writes, measured in that pass by observing it: messages per kind (others under other), rows,
+    bytes, and rows at or below each edge of size (cumulative). kinds and edges are fixed lists, so the metrics are few."""
+    own = lambda k: F.col(kind) == k
+    wanted = {("rows", ""): F.count(F.lit(1)), ("bytes", ""): F.coalesce(F.sum(F.col(size).cast("long")), F.lit(0).cast("long"))}
+    wanted |= {("messages", k): F.count_if(own(k)) for k in kinds} | {("messages", "other"): F.count_if(~F.coalesce(F.col(kind).isin(kinds), F.lit(False)))}
+    wanted |= {("size_at_most", str(e)): F.count_if(F.col(size) <= e) for e in edges}
+    seen = Observation()
+    write(df.observe(seen, *(c.alias(f"m{i}") for i, c in enumerate(wanted.values()))))
+    got = seen.get
+    return df.sparkSession.createDataFrame([(metric, label, got[f"m{i}"]) for i, (metric, label) in enumerate(wanted)], "metric string, label string, n long")
+
+
 def histogram(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
     """Rows at or below each edge (cumulative), and in all (a null edge)."""
     marks = F.array(*(F.lit(float(e)) for e in edges), F.lit(float("inf")))

@@ -37,9 +37,18 @@ def render_column(column: str) -> str:
     return f"{column}__render_" + re.sub(r"[^a-z0-9]+", "_", column.lower()).strip("_")
 
 
+def long_form(table: DataFrame, layout_rows: list, entity: str, message_type: str) -> DataFrame:
+    """An entity's typed table (or one message's rows of it) back as values with their raw captures, as rendering takes them."""
+    columns = [r["column"] for r in layout_rows if r["entity"] == entity]
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), F.col(render_column(c)).alias("raw")) for c in columns)))
+    rows = table.select("message_id", F.col("sequence_path").alias("seq_index"), each.alias("e")).where("e.value is not null or e.raw is not null")
+    return rows.select(F.lit(entity).alias("entity"), "message_id", F.lit(message_type).alias("message_type"), "seq_index", "e.column", "e.value", "e.raw")
+
+
 def schema_of(spark: SparkSession, layout_rows: list, entity: str) -> DataFrame:
-    """An empty table of an entity's layout, to evolve an older one by unionByName."""
-    return spark.createDataFrame([], ", ".join(["message_id string", "sequence_path string", *(f"{r['column']} {dict(TEXT='string').get(r['type'], r['type'].lower())}" for r in layout_rows if r["entity"] == entity)]))
+    """An empty table of an entity's layout, whose schema an older table is read in."""
+    columns = [(r["column"], dict(TEXT="string").get(r["type"], r["type"].lower())) for r in layout_rows if r["entity"] == entity]
+    return spark.createDataFrame([], ", ".join(["message_id string", "sequence_path string", *(f"{c} {t}" for c, t in columns), *(f"{render_column(c)} string" for c, _ in columns)]))
 
 
 def event_kind(message_type: Column) -> Column:

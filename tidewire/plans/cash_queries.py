@@ -200,7 +200,7 @@ def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: A message per order k, in SQL of both engines: every defect of structure by k, and text whose bytes and characters differ.
-_DEFECTIVE = """'{1:F01CUSTUS33AXXX0000000000}{2:I540CSDXUS33XXXXN}' || case when k % 8 = 2 then '{X}' else '' end || '{3:{108:{A:{B:é' || cast(k as string) || case when k % 8 = 1 then '' else '}}}}' end
+DEFECTIVE = """'{1:F01CUSTUS33AXXX0000000000}{2:I540CSDXUS33XXXXN}' || case when k % 8 = 2 then '{X}' else '' end || '{3:{108:{A:{B:é' || cast(k as string) || case when k % 8 = 1 then '' else '}}}}' end
   || '{4:' || chr(10) || ':16R:GENL' || chr(10) || ':20C::SEME//é' || cast(k as string) || chr(10) || case when k % 8 = 4 then ':TOOLONG:X' || chr(10) else '' end || case when k % 8 = 5 then ':16S:OTHER' || chr(10) else '' end
   || case when k % 24 = 0 then '' else ':16S:GENL' || chr(10) end || case when k % 8 = 6 then repeat(':16R:D' || chr(10), 17) else '' end || case when k % 10000 = 7 then repeat(':70E:x' || chr(10), 10000) else '' end
   || case when k % 10000 = 16 then ':70E:' || repeat('x', 4194304) || chr(10) when k % 10000 = 8 then ':70E:' || repeat('x', 10485760) || chr(10) else '' end || case when k % 8 = 3 then '' else '-}' end"""
@@ -209,12 +209,12 @@ _DEFECTIVE = """'{1:F01CUSTUS33AXXX0000000000}{2:I540CSDXUS33XXXXN}' || case whe
 def f13_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """every kind of defect of structure, with its byte offset."""
     bindings._view(spark, sf_dir, "orders")
-    messages = spark.sql(f"select concat('d', k) as message_id, 'MT540' as message_type, {_DEFECTIVE} as body from (select o_orderkey as k from tw_orders)")
+    messages = spark.sql(f"select concat('d', k) as message_id, 'MT540' as message_type, {DEFECTIVE} as body from (select o_orderkey as k from tw_orders)")
     return structure.diagnostics(messages)
 
 
 F13 = f"""
-WITH b AS (SELECT k, {_DEFECTIVE} AS body FROM (SELECT o_orderkey AS k FROM orders)),
+WITH b AS (SELECT k, {DEFECTIVE} AS body FROM (SELECT o_orderkey AS k FROM orders)),
   p AS (SELECT k, 'd' || k AS id, strlen(body) AS n, strlen(split_part(body, '{{X}}', 1)) AS x, strlen(split_part(body, '{{3:', 1)) AS b3, strlen(split_part(body, '{{4:', 1)) AS b4, strlen(split_part(body, ':TOOLONG', 1)) AS t FROM b),
   r AS (
   SELECT id, 'missing_block_separator' AS kind, x AS o, '' AS detail, CAST(NULL AS VARCHAR) AS expected FROM p WHERE k % 8 = 2

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.operators import books, cash, entities, penalty, render, rules, structure
 from tidewire.plans import bindings, event_queries
 from tidewire.plans.cash_queries import _BATCH
-from tidewire.sources import shared, sinks
+from tidewire.sources import evolve, shared, sinks
 from tidewire.streaming import first_seen, landing, marks
 
 
@@ -32,6 +34,34 @@ WITH i AS (SELECT l_orderkey, o_custkey, row_number() OVER (PARTITION BY l_order
 SELECT 'mt536-' || l_orderkey AS message_id, 'MT536' AS message_type, '{1:F01CUSTUS33AXXX0000000000}{2:I536CSDXUS33XXXXN}{4:' || chr(10) || ':16R:GENL' || chr(10) || ':20C::SEME//P' || l_orderkey || chr(10) || ':97A::SAFE//ACC' || any_value(o_custkey) || chr(10) || ':16S:GENL' || string_agg(t, '' ORDER BY n) || string_agg(s, '' ORDER BY n) || chr(10) || '-}' AS body FROM i GROUP BY l_orderkey"""
 
 
+def j7_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements rendered from their entity tables as written and read back."""
+    folder, rule_rows = shared.new_folder(spark, "entities"), rules.rules(spark)
+    values, layout = _values(bindings.mt536(spark, sf_dir)), rules.layout(rule_rows.where("message_type = 'MT536'")).collect()  # as long as a catalog
+    names = sorted({r["entity"] for r in layout})
+    sinks.write_star({e: entities.entity_table(values, layout, e) for e in names}, folder)
+    stored = [entities.long_form(spark.read.parquet(f"{folder}/{e}"), layout, e, "MT536") for e in names]
+    return render.messages_from(functools.reduce(DataFrame.unionByName, stored), rule_rows)
+
+
+def m5_evolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5: an entity's table whose first half was written in an older layout, with a column less and one as text, read in today's."""
+    folder, rule_rows = shared.new_folder(spark, "evolved"), rules.rules(spark)
+    values, layout = _values(bindings.mt537(spark, sf_dir)), rules.layout(rule_rows.where("message_type = 'MT537'")).collect()  # as long as a catalog
+    even = F.expr("cast(substring(message_id, 7) as long) % 2 = 0")
+    now = entities.entity_table(values, layout, "mt537_transaction")
+    old = now.where(even).withColumn("amount", F.col("amount").cast("string")).drop("date", "date__render_date")
+    for part in (old, now.where(~even)):
+        evolve.append(part, folder)
+    wanted = entities.schema_of(spark, layout, "mt537_transaction").schema
+    return evolve.read(spark, folder, wanted).select("message_id", "sequence_path", F.col("amount").cast("double").alias("amount"), F.col("date").cast("string").alias("date"), "amount__render_amount")
+
+
+M5 = """SELECT 'mt537-' || l_orderkey AS message_id, 'STAT[' || i || ']/TRAN[0]/TRANSDET[0]' AS sequence_path, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS amount,
+  CASE WHEN l_orderkey % 2 <> 0 THEN strftime(l_shipdate, '%Y-%m-%d') END AS date, 'USD' || replace(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR), '.', ',') AS amount__render_amount
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_returnflag) - 1 AS i FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)"""
+
+
 def n9_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered messages parse to the same field rows when rendered again, and have no defect of structure or of the rules."""
     once = shared.written(render.messages_from(_values(bindings.mt536(spark, sf_dir)), rules.rules(spark)), "rendered")
@@ -197,6 +227,6 @@ KS = """WITH c AS (SELECT count(*) AS n FROM customer) SELECT 'star' AS sink, (S
   UNION ALL SELECT 'certificate', (SELECT count(DISTINCT 'L' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey) FROM lineitem WHERE l_returnflag IN ('A', 'R')) UNION ALL SELECT 'manifest', 1"""
 
 QUERIES = {
-    "n7_render": (n7_render, N7), "n9_roundtrip": (n9_roundtrip, N9), "n1_missing": (n1_missing, N1), "n6_errors": (n6_errors, N6), "j6_headers": (j6_headers, J6), "m3_layout": (m3_layout, M3), "a12_report": (a12_report, A12), "p1_stream": (p1_stream, P1), "p2_landing": (p2_landing, P2), "p4_first_per_key": (p4_first_per_key, P4), "p4_stream": (p4_stream, P4),
+    "n7_render": (n7_render, N7), "j7_stored": (j7_stored, N7), "m5_evolved": (m5_evolved, M5), "n9_roundtrip": (n9_roundtrip, N9), "n1_missing": (n1_missing, N1), "n6_errors": (n6_errors, N6), "j6_headers": (j6_headers, J6), "m3_layout": (m3_layout, M3), "a12_report": (a12_report, A12), "p1_stream": (p1_stream, P1), "p2_landing": (p2_landing, P2), "p4_first_per_key": (p4_first_per_key, P4), "p4_stream": (p4_stream, P4),
     "k_sinks": (k_sinks, KS),
 }

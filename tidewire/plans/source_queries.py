@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import text as texts
 from tidewire.operators import books, cash, ledger, rules
 from tidewire.plans import bindings
-from tidewire.plans.cash_queries import A4, E_SQL, S_SQL
+from tidewire.plans.cash_queries import A4, DEFECTIVE, E_SQL, S_SQL
 from tidewire.sources import inbox, shared
 
 
@@ -177,6 +177,42 @@ def a14_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 A14 = "SELECT CAST(e AS DOUBLE) AS le, count(*) AS n FROM documents, (VALUES (256), (1024), (4096), (16384), (65536), (NULL)) v(e) WHERE e IS NULL OR strlen(text) <= e GROUP BY 1"
 
 
+def a14_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages per type, rows, bytes and a histogram of sizes, measured while the messages are written."""
+    bindings._view(spark, sf_dir, "orders")
+    messages = spark.sql(f"select k as id, case k % 4 when 0 then 'MT540' when 1 then 'MT541' else 'MT599' end as message_type, {DEFECTIVE} as body from (select o_orderkey as k from tw_orders)")
+    folder = shared.new_folder(spark, "metered")
+    return books.metered(messages.withColumn("size", F.octet_length("body")), "message_type", "size", ["MT540", "MT541", "MT542"], [100, 160, 200, 1000, 100_000], lambda df: df.drop("size").write.parquet(folder))
+
+
+A14M = f"""WITH b AS (SELECT k, strlen({DEFECTIVE}) AS n FROM (SELECT o_orderkey AS k FROM orders))
+  SELECT 'rows' AS metric, '' AS label, count(*) AS n FROM b UNION ALL SELECT 'bytes', '', CAST(sum(n) AS BIGINT) FROM b
+  UNION ALL SELECT 'messages', 'MT540', count(*) FILTER (k % 4 = 0) FROM b UNION ALL SELECT 'messages', 'MT541', count(*) FILTER (k % 4 = 1) FROM b UNION ALL SELECT 'messages', 'MT542', 0 UNION ALL SELECT 'messages', 'other', count(*) FILTER (k % 4 > 1) FROM b
+  UNION ALL SELECT 'size_at_most', CAST(e AS VARCHAR), count(*) FILTER (n <= e) FROM b, (VALUES (100), (160), (200), (1000), (100000)) v(e) GROUP BY e"""
+
+
+def k9_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K9: runs upserted by batches into a kept ledger, compacted between them, read by one who began before and by one after;
+    with how many changes the audit has of each."""
+    folder, by, schema = shared.new_folder(spark, "ledger"), ("ts", "event_id"), "job_id long, ts timestamp_ntz, event_id long, status string, value double"
+    e = bindings.table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), "ts", "event_id", F.col("event_type").alias("status"), "value")
+    now = lambda: ledger.current(spark, folder, schema, "job_id", by)
+    for batch in range(3):
+        if batch == 2:
+            ledger.compact(spark, folder, schema, "job_id", by)
+        ledger.append(e.where(F.col("event_id") % 4 == batch), folder, batch)
+    begun = now()
+    ledger.compact(spark, folder, schema, "job_id", by)
+    ledger.append(e.where("event_id % 4 = 3"), folder, 3)
+    changes = ledger.audit(spark, folder, schema).groupBy("job_id").agg(F.count(F.lit(1)).alias("changes"))
+    before = begun.select("job_id", F.col("event_id").alias("before"))
+    return now().join(changes, "job_id").join(before, "job_id", "left").select("job_id", "event_id", "status", F.round("value", 4).alias("value"), "changes", "before")
+
+
+K9 = """SELECT user_id AS job_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS status, round(arg_max(value, (ts, event_id)), 4) AS value, count(*) AS changes,
+  arg_max(event_id, (ts, event_id)) FILTER (event_id % 4 < 3) AS before FROM events GROUP BY 1"""
+
+
 def l1_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1, K9: latest row per job over an old and a new ledger."""
     e = bindings.table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.struct("ts", "event_id").alias("updated_at"), F.col("event_type").alias("status"), "value")
@@ -219,5 +255,5 @@ X10 = f"""SELECT doc_id, sha256(regexp_replace(replace(regexp_replace(regexp_rep
 
 QUERIES = {
     "s1_inbox_batch": (s1_inbox_batch, S1), "s5_detect_format": (s5_detect_format, S5), "s8_split_bare": (s8_split_bare, S8), "s10_csv_positions": (s10_csv_positions, S10), "f16_csv_fields": (f16_csv_fields, F16), "s13_camt": (s13_camt, S13), "s9_refused": (s9_refused, S9), "s15_penalty_csv": (s15_penalty_csv, S15), "s17_read_model": (s17_read_model, A4),
-    "v7_catalog": (v7_catalog, V7), "v9_coverage": (v9_coverage, V9), "a13_runs": (a13_runs, A13), "a14_histogram": (a14_histogram, A14), "l1_ledger": (l1_ledger, L1), "l2_durations": (l2_durations, L2), "t2_newest": (t2_newest, T2), "x10_redact": (x10_redact, X10),
+    "v7_catalog": (v7_catalog, V7), "v9_coverage": (v9_coverage, V9), "a13_runs": (a13_runs, A13), "a14_histogram": (a14_histogram, A14), "l1_ledger": (l1_ledger, L1), "k9_ledger": (k9_ledger, K9), "a14_metrics": (a14_metrics, A14M), "l2_durations": (l2_durations, L2), "t2_newest": (t2_newest, T2), "x10_redact": (x10_redact, X10),
 }
