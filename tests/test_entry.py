@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = Path("/root/testdata/sf0.001")
-FAST = ("a1_net_movement", "a4_cash_pnl", "s16_mt940", "s7_split_fin", "f1_blocks", "f2_fields", "f3_paths", "f4_anchored", "f13_diagnostics", "r7_failures", "v1_missing_required", "v3_sequences", "v7_catalog", "s5_detect_format", "s10_csv_positions", "s13_camt", "pk_window", "l1_ledger", "p2_landing", "n7_render")
+FAST = ("a1_net_movement", "a4_cash_pnl", "s16_mt940", "s7_split_fin", "f1_blocks", "f2_fields", "f3_paths", "f4_anchored", "f13_diagnostics", "r7_failures", "v1_missing_required", "v3_sequences", "v7_catalog", "s5_detect_format", "s10_csv_positions", "s13_camt", "pk_window", "l1_ledger", "p2_landing", "n7_render", "s2_prefix_scan", "f6_issuer", "p1_stream", "p4_first_per_key", "k9_ledger", "a14_metrics", "a12_report", "e16_snapshot")
 
 
 @pytest.fixture(scope="module")

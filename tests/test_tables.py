@@ -1,6 +1,8 @@
 """Evolving tables, kept ledgers, metrics and render errors on small inputs."""
 
-from tidewire.operators import books, ledger, render, rules
+import pytest
+
+from tidewire.operators import books, ledger, penalty, render, rules
 from tidewire.sources import evolve
 
 ROWS = "job_id string, at int, status string"
@@ -53,3 +55,20 @@ def test_open_options_are_not_rendered(spark):
     got = render.errors(values, values.select("message_id", "message_type"), rule_rows, rules.sequences(spark, catalog), rules.types(spark, catalog))
     assert sorted(map(tuple, got.collect())) == [("m2", "missing_render_option", "b"), ("m3", "invalid_render_option", "c")]
     assert render.errors(values.limit(0), values.select("message_id", "message_type").limit(0), rule_rows, rules.sequences(spark, catalog), rules.types(spark, catalog)).count() == 0
+
+
+def test_run_fails_without_rules(spark):
+    catalog = rules.rules(spark)
+    odd = spark.createDataFrame([("m", "MT999")], "message_id string, message_type string")
+    with pytest.raises(ValueError, match="MT999"):
+        rules.without_rules(odd, catalog, fail=True)
+    assert rules.without_rules(odd.where("false"), catalog, fail=True).count() == 0
+
+
+def test_dispositions_of_their_period(spark):
+    amounts = "0.0D as computed_amount, -2.0D as reported_amount, -2.0D as diff, 'missing_computed' as status"
+    lines = spark.sql(f"select 'k' as key, '2026-01' as period, {amounts} union all select 'k', '2026-02', {amounts}")
+    none = spark.sql("select 'r' as transaction_ref, 'i' as isin, 'SEFP' as penalty_type, 1.0D as reference_amount, 1.0D as penalty_rate_bps where false")
+    given = spark.createDataFrame([("2026-02", "k", "accepted")], "period string, key string, disposition string")
+    got = {r.period: r.disposition for r in penalty.work_lines(lines, none, given).collect()}
+    assert got == {"2026-01": "open", "2026-02": "accepted"}

@@ -83,13 +83,14 @@ def verdicts(heads: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
-def cash_pnl(heads: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
-    """Per group of statements: inflows, outflows (negative), net, statements, entries, breaks, all_reconciled."""
+def cash_pnl(heads: DataFrame, rows: DataFrame, by: list[str], positive_outflows: bool = False) -> DataFrame:
+    """Per group of statements: inflows, outflows (negative, or as a size), net, statements, entries, breaks, all_reconciled."""
+    side = F.lit(-1.0 if positive_outflows else 1.0)
     per = rows.groupBy("message_id").agg(F.sum(F.when(F.col("signed_amount") >= 0, F.col("signed_amount")).otherwise(0.0)).alias("inflow"), F.sum(F.when(F.col("signed_amount") < 0, F.col("signed_amount")).otherwise(0.0)).alias("outflow"), F.count(F.lit(1)).alias("n"))
     judged = verdicts(heads, rows).join(per, "message_id", "left")
     ok = F.coalesce(F.bool_and("reconciles"), F.lit(False))
     return judged.groupBy(*by).agg(
-        F.round(F.coalesce(F.sum("inflow"), F.lit(0.0)), 2).alias("inflows"), F.round(F.coalesce(F.sum("outflow"), F.lit(0.0)), 2).alias("outflows"), F.round(F.coalesce(F.sum(F.col("inflow") + F.col("outflow")), F.lit(0.0)), 2).alias("net"),
+        F.round(F.coalesce(F.sum("inflow"), F.lit(0.0)), 2).alias("inflows"), F.round(side * F.coalesce(F.sum("outflow"), F.lit(0.0)), 2).alias("outflows"), F.round(F.coalesce(F.sum(F.col("inflow") + F.col("outflow")), F.lit(0.0)), 2).alias("net"),
         F.count(F.lit(1)).alias("statements"), F.coalesce(F.sum("n"), F.lit(0)).alias("entries"), F.count_if(~F.col("reconciles_zero")).alias("breaks"), ok.alias("all_reconciled"),
     )
 

@@ -78,10 +78,11 @@ def summary(lines: DataFrame) -> DataFrame:
 
 
 def work_lines(lines: DataFrame, accrual_rows: DataFrame, dispositions: DataFrame) -> DataFrame:
-    """lines with reason, abs_diff and disposition (open where none is given); dispositions: key, disposition."""
+    """lines with reason, abs_diff and disposition (open where none is given); dispositions: key, disposition, and period if they and
+    the lines have one: then a line has that of its own period alone."""
     keyed = accrual_rows.withColumn("key", recon_key(F.col("transaction_ref"), F.col("isin"), F.col("penalty_type")))
     one = keyed.groupBy("key").agg(F.max_by(F.struct("reference_amount", "penalty_rate_bps"), F.struct("reference_amount", "penalty_rate_bps")).alias("a"))
-    joined = lines.join(one, "key", "left").join(dispositions, "key", "left")
+    joined = lines.join(one, "key", "left").join(dispositions, [c for c in ("period", "key") if c in dispositions.columns and c in lines.columns], "left")
     amount, ours = F.col("a.reference_amount"), F.col("a.penalty_rate_bps")
     implied = F.abs("reported_amount") / amount * 10000
     day = ours / 10000 * amount

@@ -209,9 +209,11 @@ def errors(messages: DataFrame, catalog: Catalog = CATALOG) -> DataFrame:
     return out
 
 
-def without_rules(messages: DataFrame, rule_rows: DataFrame) -> DataFrame:
-    """Messages of types that no rule is for."""
+def without_rules(messages: DataFrame, rule_rows: DataFrame, fail: bool = False) -> DataFrame:
+    """Messages of types that no rule is for; if fail, an error as soon as there is one. Rules are bounded reference data."""
     known = F.broadcast(rule_rows.select("message_type").distinct())
+    if fail and (first := messages.join(known, "message_type", "left_anti").select("message_type").first()):
+        raise ValueError(f"no rules for messages of type {first[0]}")
     return messages.join(known, "message_type", "left_anti").selectExpr("message_id", "'no_rules' as kind", "message_type as detail")
 
 

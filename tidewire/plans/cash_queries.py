@@ -42,6 +42,14 @@ def a4_cash_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
 A4 = f"SELECT currency, round(sum(inflow), 2) AS inflows, round(sum(outflow), 2) AS outflows, round(sum(inflow + outflow), 2) AS net, count(*) AS statements, CAST(sum(n) AS BIGINT) AS entries, count(*) FILTER (NOT ok) AS breaks, bool_and(ok) AS all_reconciled FROM ({S_SQL}) GROUP BY 1"
 
 
+def a6_console(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cash P&L with outflows as sizes."""
+    return cash.cash_pnl(*cash.cash_star(bindings.mt940(spark, sf_dir)), by=["currency"], positive_outflows=True)
+
+
+A6 = A4.replace("round(sum(outflow), 2) AS outflows", "round(-sum(outflow), 2) AS outflows")
+
+
 def a5_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signed total per transaction type."""
     return cash.by_type(cash.cash_star(bindings.mt940(spark, sf_dir))[1])
@@ -251,7 +259,7 @@ def f14_block4(spark: SparkSession, sf_dir: str) -> DataFrame:
 F14 = "SELECT o_orderkey % 5 <> 0 AS complete, count(*) AS messages FROM orders GROUP BY 1"
 
 QUERIES = {
-    "a1_net_movement": (a1_net_movement, A1), "a4_cash_pnl": (a4_cash_pnl, A4), "a5_by_type": (a5_by_type, A5), "s16_mt940": (s16_mt940, S16), "s16_statements": (s16_statements, S16S),
+    "a1_net_movement": (a1_net_movement, A1), "a4_cash_pnl": (a4_cash_pnl, A4), "a6_console": (a6_console, A6), "a5_by_type": (a5_by_type, A5), "s16_mt940": (s16_mt940, S16), "s16_statements": (s16_statements, S16S),
     "s7_split_fin": (s7_split_fin, S7), "s2_prefix_scan": (s2_prefix_scan, S2), "f15_identity": (f15_identity, F15), "f1_blocks": (f1_blocks, F1), "f2_fields": (f2_fields, F2), "m7_payload": (m7_payload, M7), "f3_paths": (f3_paths, F3), "f4_anchored": (f4_anchored, F4),
     "f13_diagnostics": (f13_diagnostics, F13), "f6_issuer": (f6_issuer, F6), "f14_block4": (f14_block4, F14),
 }

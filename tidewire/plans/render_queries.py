@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewire.operators import books, cash, entities, penalty, render, rules, structure
 from tidewire.plans import bindings, event_queries
-from tidewire.plans.cash_queries import _BATCH
+from tidewire.plans.cash_queries import _BATCH, S16
 from tidewire.sources import evolve, shared, sinks
 from tidewire.streaming import first_seen, landing, marks
 
@@ -202,31 +202,70 @@ def p1_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 P1 = "SELECT 'mt940-' || c_custkey AS id, 'MT940' AS message_type, 'ST' || c_custkey AS reference, CAST(1 AS BIGINT) AS times, CAST(1 AS BIGINT) AS marks FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT 'unprocessed', NULL, NULL, 0, 0"
 
 
+def e16_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements with their entries as snapshot documents, written and read back; a row per entry."""
+    folder = shared.new_folder(spark, "snapshot")
+    heads, rows = cash.cash_star(bindings.mt940(spark, sf_dir))
+    k = F.expr("cast(substring(message_id, 7) as long)")
+    bare = rows.withColumn("customer_ref", F.when(k % 2 == 0, F.col("customer_ref"))).withColumn("info", F.when(k % 3 == 0, F.col("info"))).withColumn("entry_date", F.col("value_date")).withColumn("value_date", F.when(k % 5 == 0, F.col("value_date")))
+    sinks.snapshot_lines(heads, bare).write.text(folder)
+    entry = "valueDate string, direction string, amount double, signedAmount double, transactionType string, reference string, info string"
+    docs = spark.read.text(folder).select(F.from_json("value", f"version int, source string, messageId string, messageType string, account string, currency string, opening double, closing double, entries array<struct<{entry.replace(' ', ':')}>>".replace(",:", ",")).alias("d")).select("d.*")
+    return docs.select("version", "messageId", "account", "currency", "opening", F.posexplode("entries").alias("place", "e")).select("version", "messageId", "account", "currency", "opening", "place", "e.*")
+
+
+E16 = f"""SELECT 1 AS version, message_id AS "messageId", account, currency, opening, CAST(row_seq AS INTEGER) AS place, value_date AS "valueDate", direction, amount, signed_amount AS "signedAmount", transaction_type AS "transactionType",
+    CASE WHEN c_custkey % 2 = 0 THEN customer_ref ELSE bank_ref END AS reference, CASE WHEN c_custkey % 3 = 0 THEN info END AS info
+  FROM ({S16}) e JOIN (SELECT 'mt940-' || c_custkey AS id, c_custkey, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS opening FROM customer) ON id = message_id"""
+
+
+def k5_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5: the penalty snapshot, written and read back: its lines, and how many accruals and summaries it has."""
+    folder, due = shared.new_folder(spark, "penalties"), event_queries._accruals(spark, sf_dir)
+    lines = penalty.reconcile(due, event_queries._reported(spark, sf_dir))
+    sinks.penalty_snapshot(due, lines, penalty.summary(lines)).write.text(folder)
+    docs = spark.read.text(folder).select(F.from_json("value", "version int, kind string, transactionRef string, isin string, counterparty string, computed double, reported double, diff double, status string, computedTotal double").alias("d")).select("d.*")
+    counted = docs.where("kind <> 'line'").groupBy("version", "kind").agg(F.count(F.lit(1)).cast("double").alias("computed"))
+    return docs.where("kind = 'line'").select("version", "kind", "transactionRef", "isin", "counterparty", "computed", "reported", "diff", "status").unionByName(counted, allowMissingColumns=True)
+
+
+K5 = event_queries.LINES + """SELECT 2 AS version, 'line' AS kind, transaction_ref AS "transactionRef", isin, counterparty_bic AS counterparty, computed_amount AS computed, reported_amount AS reported, diff, status FROM l
+  UNION ALL SELECT 2, 'accrual', NULL, NULL, NULL, CAST(count(*) AS DOUBLE), NULL, NULL, NULL FROM c0 UNION ALL SELECT 2, 'summary', NULL, NULL, NULL, 1.0, NULL, NULL, NULL"""
+
+
 def k_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K2 to K6, K8, X11: every writer, with the rows read back from each."""
+    """K2 to K6, K8, X11: every writer, with the rows read back from each and a figure that their content gives."""
     folder = shared.new_folder(spark, "sinks")
     messages = bindings.mt940(spark, sf_dir)
     heads, rows = cash.cash_star(messages)
     sinks.write_star({"cash_statement": heads, "cash_entry": rows}, f"{folder}/star")
     sinks.export(heads, f"{folder}/csv", "csv")
-    sinks.errors_ndjson(rules.without_rules(messages, rules.rules(spark)), messages.where("false").selectExpr("message_id", "body as detail"), f"{folder}/errors")
+    failed = messages.where("cast(substring(message_id, 7) as long) % 10 = 0").selectExpr("message_id", "'stopped' as detail")
+    sinks.errors_ndjson(rules.without_rules(messages, rules.rules(spark)), failed, f"{folder}/errors")
     sinks.rendered_text(messages, f"{folder}/text")
     sinks.snapshot_lines(heads).write.text(f"{folder}/snapshot")
     due = event_queries._accruals(spark, sf_dir)
     work = penalty.work_lines(penalty.reconcile(*(2 * [due.withColumn("reported_amount", F.col("computed_amount"))])), due, spark.createDataFrame([], "key string, disposition string"))
     sinks.export(sinks.certificate(work), f"{folder}/certificate", "csv")
     sinks.manifest(heads.select("message_id", F.lit(0).alias("errors"))).write.json(f"{folder}/manifest")
-    read = lambda df, name: df.agg(F.lit(name).alias("sink"), F.count(F.lit(1)).alias("rows"))
-    out = read(spark.read.parquet(f"{folder}/star/cash_entry"), "star")
-    for name, df in (("csv", spark.read.csv(f"{folder}/csv", header=True)), ("errors", spark.read.json(f"{folder}/errors")), ("text", spark.read.text(f"{folder}/text")), ("snapshot", spark.read.text(f"{folder}/snapshot")), ("certificate", spark.read.csv(f"{folder}/certificate", header=True)), ("manifest", spark.read.json(f"{folder}/manifest"))):
-        out = out.unionByName(read(df, name))
-    return out
-
-
-KS = """WITH c AS (SELECT count(*) AS n FROM customer) SELECT 'star' AS sink, (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey) AS rows UNION ALL SELECT 'csv', n FROM c UNION ALL SELECT 'errors', n FROM c UNION ALL SELECT 'text', n FROM c UNION ALL SELECT 'snapshot', n FROM c
-  UNION ALL SELECT 'certificate', (SELECT count(DISTINCT 'L' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey) FROM lineitem WHERE l_returnflag IN ('A', 'R')) UNION ALL SELECT 'manifest', 1"""
+    lines = F.regexp_count("value", F.lit(r"\\n:61:"))
+    money = lambda c: F.round(F.sum(F.col(c).cast("decimal(18,2)")), 2)
+    reread = (
+        ("star", spark.read.parquet(f"{folder}/star/cash_entry"), money("amount")), ("csv", spark.read.csv(f"{folder}/csv", header=True), money("opening")),
+        ("errors", spark.read.json(f"{folder}/errors"), F.count_if((F.col("kind") == "failed") & (F.col("detail") == "stopped"))), ("text", spark.read.text(f"{folder}/text"), F.sum(lines)),
+        ("snapshot", spark.read.text(f"{folder}/snapshot").select(F.from_json("value", "opening double").alias("d")).select("d.*"), money("opening")),
+        ("certificate", spark.read.csv(f"{folder}/certificate", header=True), F.count_if((F.col("status") == "matched") & (F.col("computed_amount") == F.col("reported_amount")))), ("manifest", spark.read.json(f"{folder}/manifest"), F.sum("messages")),
+    )
+    out = [df.agg(F.lit(name).alias("sink"), F.count(F.lit(1)).alias("rows"), figure.cast("double").alias("figure")) for name, df, figure in reread]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+KS = """WITH c AS (SELECT count(*) AS n, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS opening, count(*) FILTER (c_custkey % 10 = 0) AS failed FROM customer), o AS (SELECT count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders JOIN customer ON o_custkey = c_custkey),
+    p AS (SELECT count(DISTINCT 'L' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey) AS n FROM lineitem WHERE l_returnflag IN ('A', 'R'))
+  SELECT 'star' AS sink, n AS rows, total AS figure FROM o UNION ALL SELECT 'csv', n, opening FROM c UNION ALL SELECT 'errors', n + failed, failed FROM c UNION ALL SELECT 'text', c.n, o.n FROM c, o UNION ALL SELECT 'snapshot', n, opening FROM c
+  UNION ALL SELECT 'certificate', n, n FROM p UNION ALL SELECT 'manifest', 1, n FROM c"""
 
 QUERIES = {
     "n7_render": (n7_render, N7), "j7_stored": (j7_stored, N7), "m5_evolved": (m5_evolved, M5), "n9_roundtrip": (n9_roundtrip, N9), "n1_missing": (n1_missing, N1), "n6_errors": (n6_errors, N6), "j6_headers": (j6_headers, J6), "m3_layout": (m3_layout, M3), "a12_report": (a12_report, A12), "p1_stream": (p1_stream, P1), "p2_landing": (p2_landing, P2), "p4_first_per_key": (p4_first_per_key, P4), "p4_stream": (p4_stream, P4),
-    "k_sinks": (k_sinks, KS),
+    "k_sinks": (k_sinks, KS), "e16_snapshot": (e16_snapshot, E16), "k5_penalties": (k5_penalties, K5),
 }
