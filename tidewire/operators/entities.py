@@ -125,8 +125,9 @@ def _index(facts: DataFrame) -> DataFrame:
 
 
 def _probes(keyed: DataFrame) -> DataFrame:
-    """message_id, row_seq, key, near, own, free: the keys at which each row at a path finds its facts, from the nearest on. near is
-    one more than the leading parts shared, 0 at root, -1 where only the sender counts; free: the row has no path."""
+    """The columns of keyed (message_id, at, ...) with key, near, own, free: the keys at which each row finds its facts. near is one
+    more than the leading parts shared, 0 at root, -1 where only the sender counts; own: the first part of its path; free: it
+    has none. Every row has the key A."""
     at = F.col("at")
     first, occurrence = _first(at)
     depth = F.size(_parts(at))
@@ -135,7 +136,7 @@ def _probes(keyed: DataFrame) -> DataFrame:
     above = F.transform(F.slice(_prefixes(at), F.lit(1), depth - 1), lambda x, j: key("S", x, j + 2))
     deep = F.concat(F.array(key("U", at, depth + 1), key("O", occurrence, F.lit(1))), F.when(depth > 1, F.concat(above, F.array(key("C", _parent(at), depth)))).otherwise(empty))
     keys = F.when(at.isNull(), F.array(key("A", F.lit(""), F.lit(0)))).otherwise(F.concat(F.array(key("A", F.lit(""), F.lit(-1)), key("R", F.lit(""), F.lit(0))), F.when(at == "$", empty).otherwise(deep)))
-    return keyed.select("message_id", "row_seq", first.alias("own"), at.isNull().alias("free"), F.explode(keys).alias("k")).select("message_id", "row_seq", "own", "free", "k.key", "k.near")
+    return keyed.withColumn("own", first).withColumn("free", at.isNull()).withColumn("k", F.explode(keys)).withColumns({"key": F.col("k.key"), "near": F.col("k.near")}).drop("k", "at")
 
 
 def security_events(values: DataFrame, field_rows: DataFrame, messages: DataFrame) -> DataFrame:
@@ -144,29 +145,36 @@ def security_events(values: DataFrame, field_rows: DataFrame, messages: DataFram
     Attributes are looked up nearest first: facts in the event's branch (above, below or beside it, or under the same
     occurrence of another first sequence), then those at root; without a path all facts of the message count. Facts are reduced
     to the best one per attribute under each key of their paths, and an event meets one row per key of its own path, so
-    the work grows with the facts and the events, not with their product. values and field_rows are read more than once.
+    the work grows with the facts and the events, not with their product. Facts and events are shuffled once, by message,
+    which limits on messages bound; all grouping after that stays within the partitions. values and field_rows are read more
+    than once.
     """
     blob = values.where(F.col("column").contains("instrument"))
     isin, desc = isin_of(F.col("value"))
     found = blob.select("message_id", "message_type", F.col("seq_index").alias("at"), isin.alias("isin"), desc.alias("instrument_desc"), "row_ord").where("isin is not null and isin <> ''")
     kinds = messages.select("message_id", "message_type").distinct().withColumn("kind", event_kind(F.col("message_type"))).where("kind <> 'other'")
     alone = kinds.join(found.select("message_id").distinct(), "message_id", "left_anti").select("message_id", "message_type", F.lit(None).cast("string").alias("at"), F.lit(None).cast("string").alias("isin"), F.lit(None).cast("string").alias("instrument_desc"), F.lit(0).cast("long").alias("row_ord"))
-    events = found.join(kinds.select("message_id"), "message_id", "left_semi").unionByName(alone)
-    keyed = events.withColumn("row_seq", (F.row_number().over(Window.partitionBy("message_id").orderBy("row_ord")) - 1).cast("long"))
+    partitions = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    events = found.join(kinds.select("message_id"), "message_id", "left_semi").unionByName(alone).repartition(partitions, "message_id")
+    keyed = events.withColumn("row_seq", (F.row_number().over(Window.partitionBy("message_id").orderBy("row_ord")) - 1).cast("long")).drop("row_ord")
 
     dates = field_rows.where("qualifier = 'SETT' and tag like '98%'").select("message_id", F.lit("#field").alias("entity"), F.lit("#date").alias("column"), "seq_index", F.regexp_extract("value", r"(\d{8})", 1).alias("value"), F.col("value").alias("raw"), F.col("field_seq").alias("row_ord"))
     facts = values.where("value is not null and value <> ''").select("message_id", "entity", "column", "seq_index", "value", "raw", "row_ord").unionByName(dates)
     wanted = [c for tests in LOOKUPS.values() for c, _ in tests] + ["column = '#date'", _SENDER]
-    index = _index(facts.where(" or ".join(f"({c})" for c in wanted)))
-    met = _probes(keyed).join(index, ["message_id", "key"]).where("first is null or first <> own")
+    index = _index(facts.where(" or ".join(f"({c})" for c in wanted)).repartition(partitions, "message_id"))
+    packed = lambda df, name: F.struct(*(c for c in df.columns if c not in ("message_id", "key"))).alias(name)
+    probes = _probes(keyed)
+    given = index.select("message_id", "key", packed(index, "fact")).unionByName(probes.select("message_id", "key", packed(probes, "asks")), allowMissingColumns=True)
+    met = given.groupBy("message_id", "key").agg(F.collect_list("fact").alias("facts"), F.collect_list("asks").alias("asking")).select("message_id", "key", "facts", F.explode("asking").alias("e"))
+    met = met.select("message_id", "key", "e", F.explode_outer(F.filter("facts", lambda f: f["first"].isNull() | (f["first"] != F.col("e.own")))).alias("f"))
+    near = F.col("e.near")
 
     def look(name: str, usable: Column) -> Column:
-        own = F.col(name)
-        return F.max(F.when(usable & own.isNotNull(), F.struct(own["rank"].alias("rank"), F.col("near").alias("near"), own["order"].alias("order"), own["value"].alias("value"), own["raw"].alias("raw")))).alias(name)
+        own = F.col("f")[name]
+        return F.max(F.when(usable & own.isNotNull(), F.struct(own["rank"].alias("rank"), near.alias("near"), own["order"].alias("order"), own["value"].alias("value"), own["raw"].alias("raw")))).alias(name)
 
-    near = F.col("near") >= 0
-    looked = met.groupBy("message_id", "row_seq").agg(*(look(name, near) for name in LOOKUPS), look("sett", (F.col("near") > 0) | F.col("free")), look("sender", F.col("key") == "A"))
-    out = keyed.join(looked, ["message_id", "row_seq"], "left")
+    about = [F.any_value(F.col(f"e.{c}")).alias(c) for c in ("message_type", "isin", "instrument_desc")]
+    out = met.groupBy("message_id", F.col("e.row_seq").alias("row_seq")).agg(*about, *(look(name, near >= 0) for name in LOOKUPS), look("sett", (near > 0) | F.col("e.free")), look("sender", F.col("key") == "A"))
     value = lambda name: F.col(name)["value"]
     return out.select(
         F.lit("swift").alias("source"), "message_id", "row_seq", F.coalesce(value("transaction_ref"), value("sender")).alias("transaction_ref"), "message_type", event_kind(F.col("message_type")).alias("kind"), "isin", "instrument_desc",
