@@ -225,24 +225,29 @@ def tag_coverage(field_rows: DataFrame, rule_rows: DataFrame) -> DataFrame:
 
 
 def catalog_issues(rule_rows: DataFrame, sequence_rows: DataFrame, type_rows: DataFrame) -> DataFrame:
-    """kind, detail of what is wrong with a catalog."""
+    """kind, detail of what is wrong with a catalog, for reading messages and for rendering them. A type without a pattern is a row of
+    type_rows with a null kind; a message type whose rules are given twice repeats their numbers."""
     names = type_rows.select(F.col("name").alias("field_type")).distinct()
     where = F.concat_ws(" ", "message_type", F.col("rule_ord").cast("string"))
     issue = lambda df, kind: df.select(F.lit(kind).alias("kind"), where.alias("detail"))
-    tail = F.element_at(F.split("path", "/"), -1)
     known = sequence_rows.select("message_type", F.col("name").alias("last")).distinct()
-    parts = rule_rows.where("path <> '$'").withColumn("last", tail)
+    # Every part of every alternative of a path must be a sequence.
+    parts = rule_rows.select("message_type", "rule_ord", F.explode(F.split("path", r"[|/]")).alias("last")).where("last <> '$'")
+    qualified = type_rows.where("word = 'qualifier'").select("name").distinct()
+    used = rule_rows.where("qualifier is null").select("message_type", "rule_ord", F.explode(F.array_append(F.coalesce(F.map_values("option_types"), F.array().cast("array<string>")), F.col("field_type"))).alias("name"))
     parents = sequence_rows.select("message_type", "name", F.explode("parents").alias("last")).where("last <> '$'").join(known, ["message_type", "last"], "left_anti")
     concrete = F.col("tag").rlike("[A-Za-z]$")
     options = F.explode(F.map_entries("option_types"))
     unknown_option = rule_rows.where("option_types is not null").select("message_type", "rule_ord", options.alias("e")).select("message_type", "rule_ord", F.col("e.value").alias("field_type")).join(names, "field_type", "left_anti")
     twice = rule_rows.groupBy("message_type", "entity", "path", "column").agg(F.count(F.lit(1)).alias("n"), F.min("rule_ord").alias("rule_ord")).where("n > 1")
     out = [
-        issue(rule_rows.join(names, "field_type", "left_anti"), "unknown_type"), issue(unknown_option, "unknown_option_type"), issue(parts.join(known, ["message_type", "last"], "left_anti"), "unknown_path"),
+        issue(rule_rows.join(names, "field_type", "left_anti"), "unknown_type"), issue(unknown_option, "unknown_option_type"), issue(parts.join(known, ["message_type", "last"], "left_anti").select("message_type", "rule_ord").distinct(), "unknown_path"),
         parents.select(F.lit("unknown_parent").alias("kind"), F.concat_ws(" ", "message_type", "name").alias("detail")), issue(rule_rows.where("min > max"), "bad_min_max"), issue(rule_rows.where(concrete & F.col("options").isNotNull()), "options_on_concrete_tag"),
         issue(rule_rows.where("entity = '' or column = ''"), "empty_mapping"), type_rows.groupBy("name", "step").count().where("count > 1").select("name").distinct().select(F.lit("duplicate_type").alias("kind"), F.col("name").alias("detail")),
         issue(rule_rows.where(F.col("render_option").isNotNull() & ~F.coalesce(F.array_contains("options", F.col("render_option")), F.lit(False))), "render_option"), issue(rule_rows.where((F.size("options") > 1) & F.col("render_option").isNull()), "render_option_missing"),
-        issue(twice, "duplicate_mapping"),
+        issue(twice, "duplicate_mapping"), issue(used.join(qualified, "name").select("message_type", "rule_ord").distinct(), "missing_qualifier"),
+        type_rows.groupBy("name").agg(F.count("kind").alias("n")).where("n = 0").select(F.lit("empty_pattern").alias("kind"), F.col("name").alias("detail")),
+        rule_rows.groupBy("message_type", "rule_ord").count().where("count > 1").select("message_type").distinct().select(F.lit("duplicate_message").alias("kind"), F.col("message_type").alias("detail")),
     ]
     found = out[0]
     for more in out[1:]:

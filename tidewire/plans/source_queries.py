@@ -134,20 +134,26 @@ def s17_read_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v7_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A catalog with planted defects, one per message type that the orders' statuses name."""
-    bindings._view(spark, sf_dir, "orders")
-    kinds = spark.sql("select distinct concat('MT', ascii(o_orderstatus)) as message_type from tw_orders")
-    bad = rules.Catalog(rules.TYPES, [("X", 1, "NOWHERE", "20C", ["C"], None, "n", "nothing", {"A": "never"}, False, 3, 1, "", "c", "Z")], [("X", "A", ["B"], False, None, None)])
-    of_kinds = lambda rows: kinds.withColumn("all", F.lit(1)).join(F.broadcast(rows.drop("message_type").withColumn("all", F.lit(1))), "all").drop("all")  # noqa: E731  # one row of a catalog for every kind
-    own, seq = of_kinds(rules.rules(spark, bad)), of_kinds(rules.sequences(spark, bad))
-    found = rules.catalog_issues(own.unionByName(rules.rules(spark)), seq.unionByName(rules.sequences(spark)), rules.types(spark, bad))
-    clash = rules.conflicts(rules.types(spark), rules.types(spark, rules.Catalog({**rules.TYPES, "text": rules.TYPES["code"]})))
+    """A catalog with a rule per part, of which some have a defect, two sequences per type, and odd field types."""
+    bindings._view(spark, sf_dir, "part")
+    own = spark.sql("""select concat('MT', p_size % 5) as message_type, cast(k as int) as rule_ord, if(k % 7 = 0, 'GENL|GENL/NOWHERE', 'GENL') as path, if(k % 11 = 0, '20C', '20') as tag, array('C') as options, if(k % 31 = 0, null, 'SEME') as qualifier,
+        concat('n', k) as name, case when k % 13 = 0 then 'nothing' when k % 2 = 0 then 'reference' else 'text' end as field_type, if(k % 17 = 0, map('C', 'never'), null) as option_types, false as required, if(k % 19 = 0, 3, null) as min, if(k % 19 = 0, 1, null) as max,
+        if(k % 23 = 0, '', 'e') as entity, if(k % 37 = 0, 'same', concat('c', k)) as column, if(k % 29 = 0, 'Z', 'C') as render_option from (select p_partkey as k, p_size from tw_part)""")
+    again = own.where("rule_ord % 500 = 0").withColumns({"path": F.lit("GENL"), "tag": F.lit("20"), "qualifier": F.lit("SEME"), "field_type": F.lit("text"), "option_types": F.lit(None).cast("map<string,string>"), "min": F.lit(None).cast("int"), "max": F.lit(None).cast("int"), "entity": F.lit("f"), "column": F.concat(F.lit("d"), F.col("rule_ord").cast("string")), "render_option": F.lit("C")})
+    seq = own.select("message_type").distinct().selectExpr("message_type", "inline(array(named_struct('name', 'GENL', 'parents', array('$')), named_struct('name', 'A', 'parents', array('B'))))").selectExpr("message_type", "name", "parents", "false as repeat", "cast(null as int) as min", "cast(null as int) as max")
+    kinds = rules.types(spark)
+    odd = kinds.unionByName(kinds.where("name = 'text'")).unionByName(kinds.limit(1).selectExpr("'empty' as name", "cast(null as int) as step", "cast(null as string) as kind", "cast(null as string) as word", "cast(null as string) as class", "cast(null as int) as length"))
+    found = rules.catalog_issues(own.unionByName(again), seq, odd)
+    clash = rules.conflicts(kinds, rules.types(spark, rules.Catalog({**rules.TYPES, "text": rules.TYPES["code"]})))
     return found.unionByName(clash.selectExpr("'type_conflict' as kind", "name as detail"))
 
 
-V7 = """WITH m AS (SELECT DISTINCT 'MT' || ascii(o_orderstatus) AS t FROM orders)
-  SELECT k AS kind, t || ' 1' AS detail FROM m, (VALUES ('unknown_type'), ('unknown_option_type'), ('unknown_path'), ('bad_min_max'), ('options_on_concrete_tag'), ('empty_mapping'), ('render_option')) v(k)
-  UNION ALL SELECT 'unknown_parent', t || ' A' FROM m UNION ALL SELECT 'type_conflict', 'text'"""
+V7 = """WITH r AS (SELECT 'MT' || (p_size % 5) AS mt, p_partkey AS k FROM part)
+  SELECT kind, mt || ' ' || k AS detail FROM r, (VALUES ('unknown_type', 13), ('unknown_option_type', 17), ('unknown_path', 7), ('bad_min_max', 19), ('options_on_concrete_tag', 11), ('empty_mapping', 23), ('render_option', 29)) v(kind, n) WHERE k % n = 0
+  UNION ALL SELECT 'missing_qualifier', mt || ' ' || k FROM r WHERE k % 31 = 0 AND k % 13 <> 0 AND k % 2 = 0
+  UNION ALL SELECT 'duplicate_mapping', mt || ' ' || min(k) FROM r WHERE k % 37 = 0 GROUP BY mt, k % 23 = 0, k % 7 = 0 HAVING count(*) > 1
+  UNION ALL SELECT DISTINCT 'duplicate_message', mt FROM r WHERE k % 500 = 0 UNION ALL SELECT DISTINCT 'unknown_parent', mt || ' A' FROM r
+  UNION ALL SELECT * FROM (VALUES ('type_conflict', 'text'), ('duplicate_type', 'text'), ('empty_pattern', 'empty')) v(kind, detail)"""
 
 
 def v9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
