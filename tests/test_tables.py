@@ -3,7 +3,7 @@
 import pytest
 
 from tidewire.operators import books, ledger, penalty, render, rules
-from tidewire.sources import evolve
+from tidewire.sources import adapters, evolve
 
 ROWS = "job_id string, at int, status string"
 
@@ -72,3 +72,17 @@ def test_dispositions_of_their_period(spark):
     given = spark.createDataFrame([("2026-02", "k", "accepted")], "period string, key string, disposition string")
     got = {r.period: r.disposition for r in penalty.work_lines(lines, none, given).collect()}
     assert got == {"2026-01": "open", "2026-02": "accepted"}
+
+
+def test_adapters(spark):
+    """Every adapter of a kind gives the same columns; an unknown one is refused; another can be registered."""
+    files = spark.createDataFrame([("p.csv", "isin,quantity\nUS0000000001,5")], "name string, text string")
+    got = adapters.security_events("csv", files)
+    assert got.columns == [c.split()[0] for c in adapters.EVENT.split(", ")] and got.first()["quantity"] == 5.0
+    with pytest.raises(ValueError, match="no adapter odd; there are camt.053, swift"):
+        adapters.cash_statements("odd", files)
+    adapters.register_security("own", lambda df: df.selectExpr("name as message_id", "'7' as quantity", "'x' as extra"))
+    try:
+        assert [tuple(r)[1:6] for r in adapters.security_events("own", files).collect()] == [("p.csv", None, None, None, 7.0)]
+    finally:
+        del adapters._SECURITY["own"]

@@ -9,7 +9,7 @@ from tidewire.functions import text as texts
 from tidewire.operators import books, cash, ledger, rules
 from tidewire.plans import bindings
 from tidewire.plans.cash_queries import A4, DEFECTIVE, E_SQL, S_SQL
-from tidewire.sources import inbox, shared
+from tidewire.sources import adapters, inbox, shared
 
 
 def s1_inbox_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,7 +259,27 @@ X10 = f"""SELECT doc_id, sha256(regexp_replace(replace(regexp_replace(regexp_rep
   'doc_' || doc_id || '_x' AS stem, '940/' || doc_id AS path FROM documents"""
 
 
+def ext_adapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source traits: one book from two cash adapters, one position list from two security adapters."""
+    cash_inputs = {"swift": bindings.mt940(spark, sf_dir), "camt.053": _camt(spark, sf_dir)}
+    security_inputs = {"swift": bindings.mt536(spark, sf_dir), "csv": _csv_files(spark, sf_dir)}
+    out = None
+    for name, given in cash_inputs.items():
+        heads, rows = adapters.cash_statements(name, given)
+        own = heads.agg(F.lit(name).alias("adapter"), F.lit("statement").alias("kind"), F.count(F.lit(1)).alias("n"), F.round(F.sum("opening"), 2).alias("total"))
+        out = own if out is None else out.unionByName(own)
+        out = out.unionByName(rows.agg(F.lit(name).alias("adapter"), F.lit("entry").alias("kind"), F.count(F.lit(1)).alias("n"), F.round(F.sum("signed_amount"), 2).alias("total")))
+    for name, given in security_inputs.items():
+        out = out.unionByName(adapters.security_events(name, given).agg(F.lit(name).alias("adapter"), F.lit("event").alias("kind"), F.count(F.lit(1)).alias("n"), F.round(F.sum("quantity"), 2).alias("total")))
+    return out
+
+
+EXT = f"""WITH e AS ({E_SQL}), v AS (VALUES ('swift'), ('camt.053')), c AS (SELECT count(*) AS n, round(sum(CAST(c_acctbal AS DECIMAL(18,2)))::DOUBLE, 2) AS total FROM customer)
+  SELECT a AS adapter, 'statement' AS kind, n, total FROM c, v t(a) UNION ALL SELECT a, 'entry', (SELECT count(*) FROM e), (SELECT round(sum(signed_amount), 2) FROM e) FROM v t(a)
+  UNION ALL SELECT 'swift', 'event', count(*), CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) FROM lineitem UNION ALL SELECT 'csv', 'event', count(*), CAST(sum(CASE WHEN l_partkey % 13 <> 0 THEN CAST(l_quantity AS BIGINT) END) AS DOUBLE) FROM lineitem"""
+
+
 QUERIES = {
     "s1_inbox_batch": (s1_inbox_batch, S1), "s5_detect_format": (s5_detect_format, S5), "s8_split_bare": (s8_split_bare, S8), "s10_csv_positions": (s10_csv_positions, S10), "f16_csv_fields": (f16_csv_fields, F16), "s13_camt": (s13_camt, S13), "s9_refused": (s9_refused, S9), "s15_penalty_csv": (s15_penalty_csv, S15), "s17_read_model": (s17_read_model, A4),
-    "v7_catalog": (v7_catalog, V7), "v9_coverage": (v9_coverage, V9), "a13_runs": (a13_runs, A13), "a14_histogram": (a14_histogram, A14), "l1_ledger": (l1_ledger, L1), "k9_ledger": (k9_ledger, K9), "a14_metrics": (a14_metrics, A14M), "l2_durations": (l2_durations, L2), "t2_newest": (t2_newest, T2), "x10_redact": (x10_redact, X10),
+    "v7_catalog": (v7_catalog, V7), "v9_coverage": (v9_coverage, V9), "a13_runs": (a13_runs, A13), "a14_histogram": (a14_histogram, A14), "l1_ledger": (l1_ledger, L1), "k9_ledger": (k9_ledger, K9), "a14_metrics": (a14_metrics, A14M), "l2_durations": (l2_durations, L2), "t2_newest": (t2_newest, T2), "x10_redact": (x10_redact, X10), "ext_adapters": (ext_adapters, EXT),
 }
