@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.operators import structure
-from tidewire.sources import reader
+from tidewire.sources import inbox, reader
 
 
 def some_file(seed):
@@ -31,3 +31,11 @@ def test_read_messages(spark, tmp_path, size):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
         spark.conf.set("spark.sql.files.openCostInBytes", old[1])
     assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect()))
+
+
+def test_statement_ranges(spark):
+    text = '<?xml version="1.0"?><!-- é <Stmt>no</Stmt> --><n:D xmlns:n="u"><n:Stmt a="1"><x/>é</n:Stmt><n:Stmt/> <n:Stmts>s</n:Stmts><![CDATA[<n:Stmt>]]><n:Stmt >2</n:Stmt ></n:D>'
+    df = spark.createDataFrame([("a", text), ("bad", "<D><Stmt>x</Stmt>"), ("none", "<D/>"), ("empty", ""), ("null", None)], "name string, text string")
+    got = sorted(map(tuple, inbox.camt_fragments(df).collect()))
+    assert [r[3] for r in got] == ['<n:Stmt a="1"><x/>é</n:Stmt>', "<n:Stmt/>", "<n:Stmt >2</n:Stmt >"]
+    assert [(r[0], r[1]) for r in got] == [("a", 0), ("a", 1), ("a", 2)] and all(text.encode()[r[2] :].startswith(r[3].encode()) for r in got)

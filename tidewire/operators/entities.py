@@ -9,6 +9,7 @@ from tidewire.sources.shared import written
 
 from . import rules
 
+# The message types of each kind of event.
 SETTLEMENT = ("MT536", "MT537", "MT538", *(f"MT54{i}" for i in range(9)))
 TRADE = ("MT513", "MT515", "MT517", "MT518")
 
@@ -69,6 +70,7 @@ def isin_of(blob: Column) -> tuple[Column, Column]:
     return F.regexp_extract(first, r"([A-Za-z0-9]{12})$", 1), F.nullif(F.array_join(rest, " "), F.lit(""))
 
 
+# Which entities and columns tell of an attribute.
 #: attribute -> (condition on entity and column, preference) in falling preference.
 LOOKUPS = {
     "amount": [("entity like '%transaction%' and column = 'amount'", 2), ("column = 'amount'", 1)],

@@ -40,6 +40,7 @@ def _rule(mt, n, path, tag, options, qual, name, kind, entity, column, required=
     return (mt, n, path, tag, options, qual, name, kind, option_types, required, low, high, entity, column, option)
 
 
+# Names of entities and columns, tags and qualifiers of the formats.
 #: The message types that the queries use.
 CATALOG = Catalog(
     TYPES,
@@ -124,7 +125,8 @@ def expanded(rule_rows: DataFrame) -> DataFrame:
 
 
 def matched(field_rows: DataFrame, rule_rows: DataFrame) -> DataFrame:
-    """Every rule that each field fits, with the field type that the option letter of its tag asks for."""
+    """Every rule that each field fits, with the field type that the option letter of its tag asks for. Rules are a catalog, bounded
+    reference data, and are broadcast, here and in what follows."""
     r = F.broadcast(expanded(rule_rows).drop("tag", "qualifier"))  # a catalog is bounded reference data
     f = field_rows.withColumn("tag_key", F.upper("tag"))
     joined = f.join(r, ["message_type", "tag_key", "seq_path"]).where(F.col("want").isNull() | (F.col("want") == F.col("qualifier")))

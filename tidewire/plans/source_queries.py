@@ -112,6 +112,17 @@ def s9_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
 S9 = f"SELECT replace(message_id, 'mt940-', 'camt') AS name, CASE WHEN c_custkey % 7 = 0 THEN 'malformed_xml' END AS reason FROM ({S_SQL})"
 
 
+def s9_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each of two statements of a document begins, behind a comment that holds one too, and what it holds."""
+    twice = F.regexp_replace(F.regexp_replace("text", "(?s)(<Stmt>.*</Stmt>)", "$1\n$1"), "<BkToCstmrStmt>", "<BkToCstmrStmt><!--é<Stmt>old</Stmt>-->")
+    found = inbox.camt_fragments(_camt(spark, sf_dir).withColumn("text", twice))
+    own = found.where("fragment = 0").select("name", F.col("byte_offset").alias("first"), F.octet_length("raw").alias("bytes"))
+    return found.join(own, "name").select("name", "fragment", (F.col("byte_offset") - F.when(F.col("fragment") > 0, F.col("first") + F.col("bytes")).otherwise(0)).alias("at"), F.regexp_extract("raw", "^<Stmt><Id>(S[0-9]+)</Id>.*</Stmt>$", 1).alias("statement"))
+
+
+S9R = """SELECT 'camt' || c_custkey AS name, CAST(f AS INTEGER) AS fragment, CASE WHEN f = 0 THEN strlen('<?xml version="1.0"?><Document xmlns="urn:iso:std:iso:20022:tech:xsd:camt.053.001.02"><BkToCstmrStmt><!--é<Stmt>old</Stmt>-->') ELSE 1 END AS at, 'S' || c_custkey AS statement FROM customer, range(2) r(f)"""
+
+
 def s15_penalty_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S15, P-D: reported penalties from quoted lines."""
     bindings._view(spark, sf_dir, "orders")
@@ -280,6 +291,6 @@ EXT = f"""WITH e AS ({E_SQL}), v AS (VALUES ('swift'), ('camt.053')), c AS (SELE
 
 
 QUERIES = {
-    "s1_inbox_batch": (s1_inbox_batch, S1), "s5_detect_format": (s5_detect_format, S5), "s8_split_bare": (s8_split_bare, S8), "s10_csv_positions": (s10_csv_positions, S10), "f16_csv_fields": (f16_csv_fields, F16), "s13_camt": (s13_camt, S13), "s9_refused": (s9_refused, S9), "s15_penalty_csv": (s15_penalty_csv, S15), "s17_read_model": (s17_read_model, A4),
+    "s1_inbox_batch": (s1_inbox_batch, S1), "s5_detect_format": (s5_detect_format, S5), "s8_split_bare": (s8_split_bare, S8), "s10_csv_positions": (s10_csv_positions, S10), "f16_csv_fields": (f16_csv_fields, F16), "s13_camt": (s13_camt, S13), "s9_refused": (s9_refused, S9), "s9_ranges": (s9_ranges, S9R), "s15_penalty_csv": (s15_penalty_csv, S15), "s17_read_model": (s17_read_model, A4),
     "v7_catalog": (v7_catalog, V7), "v9_coverage": (v9_coverage, V9), "a13_runs": (a13_runs, A13), "a14_histogram": (a14_histogram, A14), "l1_ledger": (l1_ledger, L1), "k9_ledger": (k9_ledger, K9), "a14_metrics": (a14_metrics, A14M), "l2_durations": (l2_durations, L2), "t2_newest": (t2_newest, T2), "x10_redact": (x10_redact, X10), "ext_adapters": (ext_adapters, EXT),
 }
