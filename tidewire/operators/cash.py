@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.sources.shared import written
+
 from . import structure
 
 RECONCILES = 0.005
@@ -66,8 +68,9 @@ def statements(flat: DataFrame) -> DataFrame:
 
 
 def cash_star(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(statement rows, entry rows with the statement's account and currency); statements are read whole, without limits."""
-    flat = structure.fields(messages, limits=False)
+    """(statement rows, entry rows with the statement's account and currency); statements are read whole, without limits. Their fields
+    are written once, as statements and entries both read them."""
+    flat = written(structure.fields(messages, limits=False), "fields")
     heads = statements(flat)
     return heads, entries(flat).join(heads.select("message_id", "account", "currency"), "message_id", "left")
 
