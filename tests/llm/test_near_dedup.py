@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tidewire.llm import near_dedup as near_module
 from tidewire.llm.components import connected_components
 from tidewire.llm.near_dedup import near_dedup
@@ -67,8 +69,8 @@ def test_large_group_about_the_threshold(spark, monkeypatch):
             words[r.randrange(150)] = r.choice(vocabulary)
         rows.append((n, " ".join(words)))
     looked = []
-    possible = near_module._possible
-    monkeypatch.setattr(near_module, "_possible", lambda *a: looked.append(possible(*a)) or looked[-1])
+    sharing = near_module._sharing
+    monkeypatch.setattr(near_module, "_sharing", lambda *a: looked.append(sharing(*a)) or looked[-1])
     got = {tuple(x) for x in near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), words=3, num=85).collect()}
     want = brute(rows, 3, 85, 100)
     assert got == want and 20 < len({c for _, _, c, _ in want}) < 580
@@ -92,11 +94,52 @@ def test_prefixes_find_what_hubs_dont(spark):
     sets = {i: {tuple(t.split()[j : j + 3]) for j in range(58)} for i, t in rows}
     linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
     hubs = (0, 17, 44)
-    members = [(i, h, len(sets[i]), 1, h if linked(i, h) else 1000 + i) for h in hubs for i in sets]
-    given = spark.createDataFrame(members, "row long, hub long, n long, deals long, component long")
-    found = {(x.a, x.b) for x in near_module._possible(given, spark.createDataFrame(rows, "row long, text string"), 3, 80, 100).collect()}
-    want = {(a, b) for h in hubs for a in sets for b in sets if a < b and linked(a, b) and not (linked(a, h) and linked(b, h))}
-    assert want <= found and len(want) > 100 and len(found) < 90 * 89 / 2 * 0.7
+    things = [(h, h, i, 1000 + i, len(sets[i]), len(sets[i]), 20 * len(sets[i]), 1) for h in hubs for i in sets]
+    given = spark.createDataFrame(things, "grp long, hub long, row long, component long, lo long, hi long, reach long, side int")
+    found = {(x.a, x.b) for x in near_module._sharing(given, spark.createDataFrame(rows, "row long, text string"), 3, 80, 100).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and linked(a, b)}
+    assert want <= found and len(want) > 100
+
+
+def families(r, n, share, size=120, own=1):
+    """n texts of two families that share a part of their words, each with own words of its own."""
+    vocabulary = [f"w{i}" for i in range(5000)]
+    first = [r.choice(vocabulary) for _ in range(size)]
+    cut = int(size * share)
+    second = first[:cut] + [r.choice(vocabulary) for _ in range(size - cut)]
+    rows = []
+    for i in range(n):
+        words = list(first if i % 2 else second)
+        for k in range(own):
+            words[r.randrange(size)] = f"own{i}x{k}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_families_by_pivots(spark):
+    """Families that differ a little more or less than the threshold allows: components are those of all pairs."""
+    seen = set()
+    for seed, share, own in ((1, 0.87, 2), (2, 0.89, 1), (3, 0.9, 3), (4, 0.92, 5), (5, 0.6, 1)):
+        rows = families(random.Random(seed), 120, share, own=own)
+        got = {tuple(x) for x in near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), words=3, num=80).collect()}
+        want = brute(rows, 3, 80, 100)
+        assert got == want, (seed, sorted(got - want)[:5], sorted(want - got)[:5])
+        seen.add(len({c for _, _, c, _ in want}))
+    assert len(seen) > 1
+
+
+def test_families_are_not_paired(spark, monkeypatch):
+    """What the join by prefixes examines, whether it keeps it or not, grows no faster than the documents."""
+    tables = []
+    real = near_module.staged
+    monkeypatch.setattr(near_module, "staged", lambda df, what: (tables.append((what, real(df, what))) or tables[-1][1]))
+    examined = {}
+    for n in (500, 1000):
+        tables.clear()
+        near_dedup(spark.createDataFrame(families(random.Random(1), n, 0.86), "doc_id long, text string"), words=3, num=80).count()
+        sides = [t.groupBy("grp", "s").agg(F.count_if(F.col("side") < 2).alias("x"), F.count_if(F.col("side") > 0).alias("y")).collect() for what, t in tables if what == "prefixes"]
+        examined[n] = sum(k.x * k.y for t in sides for k in t)
+    assert sides and examined[1000] <= 2.5 * examined[500] < 2.5 * 2000, examined
 
 
 def test_empty_null_and_repeated(spark):

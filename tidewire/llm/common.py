@@ -56,10 +56,12 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, row_col: str | None) -> D
     return picked if row_col else with_rows(picked).withColumnRenamed(ROW, "row")
 
 
-def small_parts(batches: Iterator[pa.RecordBatch], text_col: int, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each has about size bytes of text, or one row, so that few texts are Python strings at once."""
+def small_parts(batches: Iterator[pa.RecordBatch], text_col: int | tuple[int, ...], size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each has about size bytes of text in one or several columns, or one row, so that few texts are
+    Python strings at once."""
+    cols = (text_col,) if isinstance(text_col, int) else text_col
     for batch in batches:
-        total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        total = np.cumsum(sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in cols))
         start = 0
         while start < batch.num_rows:
             before = int(total[start - 1]) if start else 0

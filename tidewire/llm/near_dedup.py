@@ -4,15 +4,22 @@ full shingle sets, and connected components by alternating large-star and small-
 Rows with equal sets form a class, which its least row represents; only representatives are compared. A bucket of a band
 is never turned into all its pairs. Every bucket has a hub, the member that meets most others in all buckets, and each
 member is compared with the hub. Confirmed links give components; around a hub all of whose members are in one component
-nothing more can be learnt. The members around the other hubs are described by how their sets differ from the hub's:
-
-- A member of whose shingles fewer than the threshold's share are found in any other such member is linked with none.
-- Two members differ by |A| + |B| - 2 |A and B|, where A and B are their differences from the hub. They are linked only
-  if that is small against their sizes, so A and B must have a number of shingles in common, at least one unless both are
-  linked with the hub, that follows from |A|, |B| and the sizes.
-- So, with the shingles of differences in order of how many of the hub's members have them, the prefixes of A and B that
-  are one longer than what may be missing share a shingle. Members that share none are never paired; those that do are
-  paired if what is left behind the shared place can still suffice.
+nothing more can be learnt. Around the other hubs only links between components count:
+
+- A member of whose shingles fewer than the threshold's share are found in any other component has no such link.
+- A member that is alone at its pivot is paired with others around the hub. The pivot of a member is the hub that it is linked with and that meets most others, or itself; so a family of near
+  copies has few pivots. If A and B are linked, their pivots P and Q differ by no more than d(A, P) + d(B, Q) and the
+  difference that a link of A and B allows. Only pairs of pivots within the reach of their members are alive.
+- Of a pair that is alive, members of the pivot with fewer members that reach far enough are compared with the other pivot.
+  Where that links the components, nothing is left to do; elsewhere only those remain whose difference from that pivot the
+  reach of its members can bridge, and those members of it that can.
+
+Pairs, first of pivots around a hub and last of such members around a pivot, are found by how their sets differ from the
+hub's. Two sets differ by |A| + |B| - 2 |A and B|, where A and B are their differences from the hub, so A and B must
+have a number of shingles in common that follows from |A|, |B| and the reaches. With the shingles of differences in order
+of how many have them, the prefixes of A and B that are one longer than what may be missing share a shingle. Those that
+share none are never paired; those that do are paired if what is left behind the shared place can still suffice. Where no
+shared shingle is needed, the pair is within reach by the triangle over the hub, and so alive.
 
 The components are those that all pairs of all buckets would give.
 """
@@ -26,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, staged
+from .common import keyed, small_parts, staged
 from .components import connected_components
 
 ROWS, BANDS = 4, 28
@@ -38,6 +45,8 @@ _MULTIPLY, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(32)
 _PRIME = np.uint64(0x100000001B3)
 #: Rows of one key that a task should meet at most; a key with more is dealt over several tasks.
 DEALT = 2048
+#: Bytes of both texts of the pairs that are compared at once.
+PAIR_BYTES = 4_000_000
 #: Tasks that a key of unknown weight is dealt over.
 SALTS = 16
 
@@ -113,7 +122,7 @@ SIGNED = "row long, n_shingles long, s1 long, s2 long, bands array<long>, signat
 def _signed(words: int, bands: int, rows: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, (mul, add) = Shingler(words), _hashes(bands * rows)
-        for batch in batches:
+        for batch in small_parts(batches, 1):
             names, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in _runs(texts):
                 value, counts = shingle(texts[a:b])
@@ -145,7 +154,7 @@ def _sets(words: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows row, text -> row, distinct shingles."""
         shingle = Shingler(words)
-        for batch in batches:
+        for batch in small_parts(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in _runs(texts):
                 value, counts = shingle(texts[a:b])
@@ -173,34 +182,50 @@ def _set_pairs(batch: pa.RecordBatch, shingle: Shingler) -> Iterator[tuple[np.nd
 
 def _confirmed(words: int, num: int, den: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows a, b, text_a, text_b -> a, b of those that are linked."""
+        """Rows a, b, text_a, text_b -> a, b of those that are linked, and d, the shingles that one of them has."""
         shingle = Shingler(words)
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
+        for batch in small_parts(batches, (2, 3), PAIR_BYTES):
+            keep, apart = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, np.int64)
             for i, (p, q) in enumerate(_set_pairs(batch, shingle)):
                 if len(p) > len(q):
                     p, q = q, p
                 if not len(p) or den * len(p) < num * len(q):
                     continue
-                at = np.searchsorted(q, p)
-                both = int(np.count_nonzero(q[np.minimum(at, len(q) - 1)] == p))
+                both = _common(p, q)
                 keep[i] = den * both >= num * (len(p) + len(q) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
+                apart[i] = len(p) + len(q) - 2 * both
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(pa.array(keep)) for k in (0, 1)), pa.array(apart[keep])], ["a", "b", "d"])
 
     return confirm
 
 
+def _common(p: np.ndarray, q: np.ndarray) -> int:
+    """How many of the shingles p, no more than q, are in q."""
+    at = np.searchsorted(q, p)
+    return int(np.count_nonzero(q[np.minimum(at, len(q) - 1)] == p)) if len(q) else 0
+
+
+def _distances(words: int):
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows a, b, text_a, text_b -> a, b, sizes of both sets, shingles that one of them has."""
+        shingle = Shingler(words)
+        for batch in small_parts(batches, (2, 3), PAIR_BYTES):
+            sizes = [(len(p), len(q), _common(*sorted((p, q), key=len))) for p, q in _set_pairs(batch, shingle)]
+            n, m, both = (np.array([x[k] for x in sizes], np.int64) for k in range(3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(m), pa.array(n + m - 2 * both)], ["a", "b", "na", "nb", "d"])
+
+    return distances
+
+
 def _differing(words: int):
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows a, b, text_a, text_b -> row, hub, sizes of both sets, shingles that one of them has."""
+        """Rows a, b, text_a, text_b -> row, hub, shingles that one of them has."""
         shingle = Shingler(words)
-        for batch in batches:
-            sets = list(_set_pairs(batch, shingle))
-            apart = [np.setxor1d(p, q, assume_unique=True) for p, q in sets]
+        for batch in small_parts(batches, (2, 3), PAIR_BYTES):
+            apart = [np.setxor1d(p, q, assume_unique=True) for p, q in _set_pairs(batch, shingle)]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in apart])]).astype(np.int32)
             flat = np.concatenate(apart).view(np.int64) if apart else np.zeros(0, np.int64)
-            sizes = (pa.array([len(x[k]) for x in sets], pa.int64()) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sizes, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["row", "hub", "n", "h", "apart"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["row", "hub", "apart"])
 
     return differ
 
@@ -236,10 +261,10 @@ class _Comparer:
         self.signatures, self.texts, self.words, self.num, self.den, self.functions = signatures, texts, words, num, den, functions
 
     def links(self, pairs: DataFrame, what: str) -> DataFrame:
-        """Those of pairs (a, b, deals) that are linked."""
+        """Those of pairs (a, b, deals) that are linked, and the shingles d that one of them has."""
         near = _both(pairs, self.signatures, "signature").mapInArrow(_alike(self.functions, self.num / self.den - SLACK), "a long, b long")
         near = staged(near.join(pairs, ["a", "b"]), f"{what}-alike")
-        return staged(_both(near, self.texts, "text").mapInArrow(_confirmed(self.words, self.num, self.den), "a long, b long"), f"{what}-links")
+        return staged(_both(near, self.texts, "text").mapInArrow(_confirmed(self.words, self.num, self.den), "a long, b long, d long"), f"{what}-links")
 
 
 def _classes(signed: DataFrame, given: DataFrame, words: int) -> DataFrame:
@@ -250,57 +275,134 @@ def _classes(signed: DataFrame, given: DataFrame, words: int) -> DataFrame:
     pairs = signed.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, [*sums, "salt"]).where("row <> rep").select(F.col("row").alias("a"), F.col("rep").alias("b"), _dealt(F.col("k")).alias("deals"))
     pairs = staged(pairs, "class-pairs")
     involved = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row")).distinct())
-    same = staged(_both(pairs, given.join(involved, "row", "left_semi"), "text").mapInArrow(_confirmed(words, 1, 1), "a long, b long"), "classes")
+    same = staged(_both(pairs, given.join(involved, "row", "left_semi"), "text").mapInArrow(_confirmed(words, 1, 1), "a long, b long, d long"), "classes")
     return same.select(F.col("a").alias("row"), F.col("b").alias("rep"))
 
 
 def _members(reps: DataFrame) -> DataFrame:
-    """row, n, hub, deals: the members of buckets of several and their buckets' hubs, which stand among them too."""
+    """row, n, hub, met, deals: the members of buckets of several and their buckets' hubs, which stand among them too; met: how
+    many the hub meets."""
     places = reps.select("row", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
     sizes = places.groupBy("band", "key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     shared = staged(places.join(sizes, ["band", "key"]), "buckets")
     met = shared.groupBy("row").agg(F.sum("k").alias("met"))
     hubs = shared.join(met, "row").groupBy("band", "key").agg(F.max(F.struct("met", (-F.col("row")).alias("minus"))).alias("top"))
-    around = shared.select("band", "key", "row", "n").join(hubs, ["band", "key"]).select("row", "n", (-F.col("top.minus")).alias("hub"), _dealt(F.col("top.met")).alias("deals"))
+    around = shared.select("band", "key", "row", "n").join(hubs, ["band", "key"]).select("row", "n", (-F.col("top.minus")).alias("hub"), F.col("top.met").alias("met"), _dealt(F.col("top.met")).alias("deals"))
     return staged(around.distinct(), "members")
 
 
-def _ceil_div(x: Column, by: int) -> Column:
-    return F.ceil(x / F.lit(by)).cast("long")
-
-
-def _possible(members: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b, deals) of different components around one hub that may be linked; members: row, hub, n, deals, component,
-    with the hub itself."""
-    shared = texts.join(members.select("row").distinct(), "row", "left_semi").mapInArrow(_sets(words), "row long, shingles array<long>").select("row", F.explode("shingles").alias("s"))
-    alone = shared.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("row").alias("row")).where("k = 1").groupBy("row").agg(F.count(F.lit(1)).alias("alone"))
-    able = members.join(alone, "row", "left").where(f"{den} * (n - coalesce(alone, 0)) >= {num} * n").drop("alone")
-    pairs = staged(_open(able).select(F.col("row").alias("a"), F.col("hub").alias("b"), "deals", "component"), "open")
-    apart = _both(pairs, texts, "text").mapInArrow(_differing(words), "row long, hub long, n long, h long, apart array<long>")
-    apart = staged(apart, "apart").withColumn("d", F.size("apart").cast("long"))
-    # Twice what a pair must share, in parts of den + num: with anyone, or, if linked with the hub, with one who isn't.
-    total, less = den + num, den - num
-    near = total * F.col("d") <= less * (F.col("n") + F.col("h"))
-    least = F.when(near, total * F.col("d") + less * (F.col("h") - F.col("n"))).otherwise(total * F.col("d") - less * (F.col("n") + F.col("h")))
-    told = apart.select("row", "hub", "n", "d", F.greatest(F.lit(1), _ceil_div(least, 2 * total)).alias("must"), F.explode("apart").alias("s"))
-    often = told.groupBy("hub", "s").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    ordered = told.join(often, ["hub", "s"]).groupBy("hub", "row", "n", "d", "must").agg(F.sort_array(F.collect_list(F.struct("k", "s"))).alias("own"))
-    prefix = ordered.withColumn("left", F.size("own").cast("long")).where("left >= must").withColumn("own", F.slice("own", F.lit(1), (F.col("left") - F.col("must") + 1).cast("int")))
-    prefix = prefix.join(pairs.select(F.col("a").alias("row"), F.col("b").alias("hub"), "component"), ["row", "hub"]).select("row", "hub", "n", "d", "left", "component", F.posexplode("own").alias("at", "x"))
-    prefix = staged(prefix.select("row", "hub", "n", "d", "component", F.col("x.s").alias("s"), (F.col("left") - F.col("at")).alias("rest")), "prefixes")
-    other = prefix.select(F.col("row").alias("b"), "hub", F.col("n").alias("m"), F.col("d").alias("e"), F.col("component").alias("c"), "s", F.col("rest").alias("tail"))
-    fits = F.expr(f"{den} * least(n, m) >= {num} * greatest(n, m) and {2 * total} * least(rest, tail) >= {total} * (d + e) - {less} * (n + m)")
-    found = prefix.join(other, ["hub", "s"]).where((F.col("row") < F.col("b")) & (F.col("component") != F.col("c")) & fits)
-    found = found.select(F.col("row").alias("a"), "b").distinct()
-    return staged(found.join(found.groupBy("b").agg(_dealt(F.count(F.lit(1))).alias("deals")), "b"), "possible")
-
-
 def _open(members: DataFrame) -> DataFrame:
     """Those of members whose hub has several components around it."""
     several = members.groupBy("hub").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("hub")
     return members.join(several, "hub", "left_semi")
 
 
+def _with_deals(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with the number of tasks that the rows of b are dealt over."""
+    return pairs.join(pairs.groupBy("b").agg(_dealt(F.count(F.lit(1))).alias("deals")), "b")
+
+
+def _able(members: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Members (row, component, n, hub, ...) with enough shingles that another component has too, around hubs with several
+    components."""
+    of = members.select("row", "component").distinct()
+    sets = texts.join(of.select("row"), "row", "left_semi").mapInArrow(_sets(words), "row long, shingles array<long>").join(of, "row")
+    places = staged(sets.select("row", "component", F.explode("shingles").alias("s")), "places")
+    # A shingle of one component only is counted by component and row first, so a frequent one isn't one task's.
+    own = places.groupBy("s").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 = c2").select("s", "c1")
+    salted = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    alone = places.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["s", "salt"], "left_semi").groupBy("row").agg(F.count(F.lit(1)).alias("alone"))
+    return staged(_open(members.join(alone, "row", "left").where(f"{den} * (n - coalesce(alone, 0)) >= {num} * n").drop("alone")), "open")
+
+
+def _sharing(things: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of different components in one group that may be within reach. things: grp, hub, row, component, lo and hi
+    (sizes that a partner's must fit), reach (in parts of den + num), side: 0 and 2 are paired with others only, 0 with 1 and 2,
+    2 with 0 and 1; 1 with all."""
+    total = den + num
+    pairs = staged(_with_deals(things.select(F.col("row").alias("a"), F.col("hub").alias("b")).distinct()), "to-hub")
+    apart = staged(_both(pairs, texts, "text").mapInArrow(_differing(words), "row long, hub long, apart array<long>"), "apart")
+    sized = things.join(apart, ["row", "hub"]).withColumn("v", F.size("apart").cast("long") * total - F.col("reach"))
+    # The least v of another component of the group; deals: tasks that a key of the group is dealt over.
+    lows = sized.groupBy("grp", "component").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("k"))
+    lowest = lows.groupBy("grp").agg(F.min(F.struct("v", "component")).alias("low"), _dealt(F.sum("k")).alias("deals"))
+    second = lows.join(lowest, "grp").where("component <> low.component").groupBy("grp").agg(F.min("v").alias("next"), F.first("low").alias("low"), F.first("deals").alias("deals"))
+    need = (F.col("v") + F.when(F.col("component") == F.col("low.component"), F.col("next")).otherwise(F.col("low.v"))).alias("need")
+    met = sized.join(second, "grp").select("grp", "row", "component", "side", "lo", "hi", "v", need, "deals", F.pmod(F.xxhash64("row"), "deals").alias("deal"), "apart")
+    met = staged(met, "described")
+    told = met.select("grp", "row", "component", "deals", "deal", F.explode("apart").alias("s"))
+    # A shingle counts if two components have it.
+    often = told.groupBy("grp", "s").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("c1"), F.max("component").alias("c2"), F.max("deals").alias("deals")).where("c1 < c2")
+    often = often.select("grp", "s", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"))
+    own = told.join(often, ["grp", "s", "deal"]).groupBy("grp", "row").agg(F.sort_array(F.collect_list(F.struct("k", "s"))).alias("own"))
+    own = met.drop("apart").join(own, ["grp", "row"], "left").withColumn("own", F.coalesce("own", F.array().cast("array<struct<k:bigint,s:bigint>>"))).withColumn("left", F.size("own").cast("long"))
+    must = F.greatest(F.lit(1), F.ceil(F.col("need") / (2 * total))).cast("long")
+    own = own.withColumn("must", must).where("left >= must or need <= 0")
+    # Where nothing need be shared, a place that all have stands for it.
+    places = F.transform(F.slice("own", F.lit(1), F.greatest(F.lit(0), F.col("left") - F.col("must") + 1).cast("int")), lambda x, i: F.struct(x["s"].alias("s"), (F.col("left") - i).alias("rest")))
+    free = F.when(F.col("need") <= 0, F.array(F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("rest")))).otherwise(F.array().cast("array<struct<s:bigint,rest:bigint>>"))
+    prefix = staged(own.select("grp", "row", "component", "side", "lo", "hi", "v", "deals", "deal", F.explode(F.concat(places, free)).alias("x")).select("*", "x.s", "x.rest").drop("x"), "prefixes")
+    # Only places that several components have can make pairs.
+    used = prefix.groupBy("grp", "s").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max("deals").alias("deals")).where("c1 < c2")
+    used = used.select("grp", "s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"))
+    prefix = prefix.join(used, ["grp", "s", "deal"], "left_semi")
+    names = {"row": "b", "component": "c", "side": "over", "lo": "lo2", "hi": "hi2", "v": "w", "rest": "tail"}
+    other = prefix.where("side > 0").drop("deal").withColumnsRenamed(names).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).drop("deals")
+    fits = F.expr(f"{den} * hi >= {num} * lo2 and {den} * hi2 >= {num} * lo and {2 * total} * least(rest, tail) >= v + w and component <> c and (side <> over or row < b)")
+    return prefix.where("side < 2").join(other, ["grp", "s", "deal"]).where(fits).select(F.col("row").alias("a"), "b").distinct()
+
+
+def _links_between(members: DataFrame, pivots: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(links, possible): links (a, b) that are confirmed, and pairs (a, b, deals) that may be linked besides, so that all of
+    them join the components that links between members around one hub join. members: row, n, hub, component; pivots: row,
+    pivot, d (rows without one are their own)."""
+    total, less = den + num, den - num
+    able = _able(members, texts, words, num, den).join(pivots, "row", "left")
+    able = able.select("row", "n", "hub", "component", F.coalesce("pivot", "row").alias("pivot"), F.coalesce("d", F.lit(0)).alias("d")).withColumn("reach", total * F.col("d") + less * F.col("n"))
+    able = staged(able, "able")
+    rows = staged(able.select("row", "n", "pivot", "d", "reach", "component").distinct(), "reaching")
+    reach = staged(rows.groupBy(F.col("pivot").alias("p")).agg(F.max("reach").alias("reach"), F.first("component").alias("component"), F.count(F.lit(1)).alias("k")), "reach")
+    # Pairs with a row that is alone at its pivot: by their differences from the hub.
+    around = able.join(reach.select(F.col("p").alias("pivot"), "k"), "pivot")
+    around = around.select(F.col("hub").alias("grp"), "hub", "row", "component", F.col("n").alias("lo"), F.col("n").alias("hi"), (less * F.col("n")).alias("reach"), F.when(F.col("k") > 1, 0).otherwise(1).alias("side"))
+    around = staged(around.join(around.where("side = 1").select("grp").distinct(), "grp", "left_semi"), "around-hubs")
+    possible = _sharing(around, texts, words, num, den)
+    # Pairs of rows at pivots with several.
+    classes = able.join(reach.where("k > 1").select(F.col("p").alias("pivot")), "pivot", "left_semi").groupBy("hub", "pivot", "component").agg(F.max("reach").alias("reach"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    things = staged(_open(classes).select(F.col("hub").alias("grp"), "hub", F.col("pivot").alias("row"), "component", "lo", "hi", "reach", F.lit(1).alias("side")), "pivots-around")
+    met = staged(_with_deals(_sharing(things, texts, words, num, den)), "pivot-pairs") if not things.isEmpty() else None
+    if met is None or met.isEmpty():
+        return possible.limit(0), staged(_with_deals(staged(possible, "sharing")), "possible")
+    apart = _both(met, texts, "text").mapInArrow(_distances(words), "a long, b long, na long, nb long, d long")
+    of = lambda name, tag: reach.select(F.col("p").alias(name), *(F.col(c).alias(f"{c}_{tag}") for c in ("reach", "component", "k")))
+    linked = f"{total} * d <= {less} * (na + nb)"
+    apart = staged(apart.join(of("a", "a"), "a").join(of("b", "b"), "b").where(f"{total} * d <= reach_a + reach_b"), "alive")
+    # Of a pair that is alive, the members of the pivot with fewer (q) are compared with the other pivot (p).
+    first = F.expr("k_a > k_b or k_a = k_b and a < b")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    ways = apart.where(f"not ({linked})").select(pick("a", "b").alias("p"), pick("b", "a").alias("q"), pick("reach_a", "reach_b").alias("over"), pick("component_a", "component_b").alias("c"), F.col("d").alias("gap"))
+    salted = ways.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    facing = rows.withColumnsRenamed({"pivot": "q", "d": "own"}).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["q", "salt"]).where(f"reach + over >= {total} * gap")
+    facing = staged(facing.select("row", "n", "component", "p", "q", "c", "over", "gap"), "facing")
+    asked = staged(_with_deals(facing.where("row <> q").select(F.col("row").alias("a"), F.col("p").alias("b")).distinct()), "facing-pairs")
+    told = staged(_both(asked, texts, "text").mapInArrow(_distances(words), "a long, b long, na long, nb long, d long"), "facing-apart")
+    links = staged(apart.where(linked).select("a", "b").unionByName(told.where(linked).select("a", "b")).distinct(), "pivot-links")
+    known = facing.where("row <> q").join(told.select(F.col("a").alias("row"), F.col("b").alias("p"), "d"), ["row", "p"]).drop("gap").unionByName(facing.where("row = q").withColumnRenamed("gap", "d"))
+    # What the links joined needs no more; of the rest, those whose difference from p a member of p can bridge.
+    edges = links.unionByName(rows.select(F.col("row").alias("a"), F.col("component").alias("b"))).unionByName(rows.select(F.col("pivot").alias("a"), F.col("component").alias("b")).distinct())
+    joined = staged(connected_components(edges), "joined")
+    known = known.join(joined.select(F.col("node").alias("row"), F.col("component").alias("now")), "row", "left")
+    known = known.join(joined.select(F.col("node").alias("p"), F.col("component").alias("then")), "p", "left").where("coalesce(now, row) <> coalesce(then, p)")
+    rim = staged(known.withColumn("v", total * F.col("d") - less * F.col("n")).where("v <= over").select("p", "row", "component", "n", "v").distinct(), "rim")
+    bridging = rows.join(rim.groupBy(F.col("p").alias("pivot")).agg(F.min("v").alias("v")), "pivot").where("reach >= v and row <> pivot").withColumnRenamed("pivot", "p")
+    side = lambda df, i: df.select(F.col("p").alias("grp"), F.col("p").alias("hub"), "row", "component", F.col("n").alias("lo"), F.col("n").alias("hi"), (less * F.col("n")).alias("reach"), F.lit(i).alias("side"))
+    last = staged(side(bridging, 0).unionByName(side(rim.join(bridging.select("p").distinct(), "p", "left_semi"), 2)), "last")
+    if not last.isEmpty():
+        possible = possible.unionByName(_sharing(last, texts, words, num, den)).distinct()
+    possible = _with_deals(staged(possible, "sharing"))
+    return links, staged(possible, "possible")
+
+
 def near_dedup(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, row_col: str | None = None) -> DataFrame:
     """Per document: id_col, n_shingles long, component_id long, kept boolean, and row_col if it is given.
 
@@ -324,7 +426,10 @@ def near_dedup(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, i
     named = members.join(components.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     open_ = staged(_open(named), "around")
     if not open_.isEmpty():
-        more = compare.links(_possible(open_, texts, words, num, den), "more")
+        hubs = links.join(members.select(F.col("row").alias("a"), F.col("hub").alias("b"), "met"), ["a", "b"])
+        pivots = hubs.groupBy(F.col("a").alias("row")).agg(F.max(F.struct("met", (-F.col("b")).alias("minus"), "d")).alias("top")).select("row", (-F.col("top.minus")).alias("pivot"), "top.d")
+        between, possible = _links_between(open_, staged(pivots, "pivots"), texts, words, num, den)
+        more = between.unionByName(compare.links(possible, "more").select("a", "b"))
         if not more.isEmpty():
             components = staged(connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
     of_row = signed.select("row", "n_shingles").join(classes, "row", "left").withColumn("rep", F.coalesce("rep", "row"))
