@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import OWN
+from .common import OWN, small_parts
 
 #: Characters of labelled text per language at most, of documents in the order of a hash of their ids, of each no more than
 #: a tenth of it.
@@ -181,21 +181,14 @@ def _parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
 def _predicted(samples, names_out: list[str]):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(samples.value)
-        for batch in batches:
+        for batch in small_parts(batches, 2):
             texts = batch.column(2).to_pylist()
             names, scores = ["und"] * len(texts), np.zeros(len(texts))
             known = [i for i, t in enumerate(texts) if t and parser.languages and any(map(str.isalpha, t))]
-            start = 0
-            while start < len(known):
-                end, total = start, 0
-                while end < len(known) and (end == start or total + len(texts[known[end]]) <= 1_000_000):
-                    total += len(texts[known[end]])
-                    end += 1
-                own = known[start:end]
-                found, scores[own] = parser.predict([texts[i] for i in own])
-                for i, x in zip(own, found, strict=True):
+            if known:
+                found, scores[known] = parser.predict([texts[i] for i in known])
+                for i, x in zip(known, found, strict=True):
                     names[i] = x
-                start = end
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(names), pa.array(scores), *batch.columns[3:]], names_out)
 
     return predict
