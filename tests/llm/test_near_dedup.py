@@ -142,6 +142,18 @@ def test_families_are_not_paired(spark, monkeypatch):
     assert sides and examined[1000] <= 2.5 * examined[500] < 2.5 * 2000, examined
 
 
+def test_few_rounds_of_shuffles(spark):
+    """Families that are compared by pivots, with all steps: Spark runs a job for each shuffle, and each costs a task a partition."""
+    spark.sparkContext.setJobGroup("near-jobs", "near_dedup")
+    try:
+        rows = families(random.Random(1), 120, 0.87, own=2)
+        assert near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), words=3, num=80).count() == 120
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("near-jobs"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs < 200, jobs
+
+
 def test_empty_null_and_repeated(spark):
     schema = "doc_id long, text string"
     assert near_dedup(spark.createDataFrame([], schema)).count() == 0

@@ -32,9 +32,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import keyed, small_parts, staged
-from .components import connected_components
+from .components import parents
 
 ROWS, BANDS = 4, 28
 #: A pair whose signatures agree in a smaller share than the threshold less this isn't looked at further. With 112
@@ -45,6 +46,8 @@ _MULTIPLY, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(32)
 _PRIME = np.uint64(0x100000001B3)
 #: Rows of one key that a task should meet at most; a key with more is dealt over several tasks.
 DEALT = 2048
+#: Pairs of one text that a task should meet at most, so that tasks have about as many; its text is written once for each task.
+PAIRED = 32
 #: Bytes of both texts of the pairs that are compared at once.
 PAIR_BYTES = 4_000_000
 #: Tasks that a key of unknown weight is dealt over.
@@ -116,7 +119,7 @@ def _runs(texts: list[str], chars: int = 400_000):
         yield start, len(texts)
 
 
-SIGNED = "row long, n_shingles long, s1 long, s2 long, bands array<long>, signature binary"
+SIGNED = "row long, n_shingles long, s1 long, s2 long, bands array<long>, signature binary, doc_id"
 
 
 def _signed(words: int, bands: int, rows: int):
@@ -143,8 +146,8 @@ def _signed(words: int, bands: int, rows: int):
                     key = _mixed(key * _MULTIPLY + least[:, j::rows].astype(np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(j == 0))
                 keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)), pa.array(key[some].reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [names.slice(a, b - a).cast(pa.int64()), pa.array(sizes), *(pa.array(s.view(np.int64)) for s in sums), keys, pa.array([x.tobytes() for x in least], pa.binary())],
-                    ["row", "n_shingles", "s1", "s2", "bands", "signature"],
+                    [names.slice(a, b - a).cast(pa.int64()), pa.array(sizes), *(pa.array(s.view(np.int64)) for s in sums), keys, pa.array([x.tobytes() for x in least], pa.binary()), batch.column(2).slice(a, b - a)],
+                    ["row", "n_shingles", "s1", "s2", "bands", "signature", "doc_id"],
                 )
 
     return sign
@@ -152,7 +155,7 @@ def _signed(words: int, bands: int, rows: int):
 
 def _sets(words: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows row, text -> row, distinct shingles."""
+        """Rows row, text, component -> row, component, distinct shingles."""
         shingle = Shingler(words)
         for batch in small_parts(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -160,16 +163,16 @@ def _sets(words: int):
                 value, counts = shingle(texts[a:b])
                 own = [np.unique(x) for x in np.split(value, np.cumsum(counts)[:-1])]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).view(np.int64)))], ["row", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 2)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).view(np.int64)))], ["row", "component", "shingles"])
 
     return sets
 
 
 def _set_pairs(batch: pa.RecordBatch, shingle: Shingler) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The sets of both texts of each row a, b, text_a, text_b; each text's set is made once a batch."""
-    a, b = (batch.column(i).to_pylist() for i in (0, 1))
+    """The sets of both texts of each row a, b, ..., text_a, text_b; each text's set is made once a batch."""
+    a, b = (batch.column(i).to_pylist() for i in ("a", "b"))
     texts: dict[int, str] = {}
-    for ids, col in ((a, batch.column(2)), (b, batch.column(3))):
+    for ids, col in ((a, batch.column("text_a")), (b, batch.column("text_b"))):
         for at, name in enumerate(ids):
             if name not in texts:
                 texts[name] = col[at].as_py() or ""
@@ -180,11 +183,27 @@ def _set_pairs(batch: pa.RecordBatch, shingle: Shingler) -> Iterator[tuple[np.nd
     return ((sets[x], sets[y]) for x, y in zip(a, b, strict=True))
 
 
-def _confirmed(words: int, num: int, den: int):
+def _pair_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of pairs, whose last columns are text_a and text_b, cut by the bytes of both."""
+    for batch in batches:
+        yield from small_parts(iter([batch]), (batch.num_columns - 2, batch.num_columns - 1), PAIR_BYTES)
+
+
+def _with(batch: pa.RecordBatch, less: int = 2, **more) -> pa.RecordBatch:
+    """The batch without its last columns, less of them, and more columns."""
+    n = batch.num_columns - less
+    return pa.RecordBatch.from_arrays([*batch.columns[:n], *more.values()], [*batch.schema.names[:n], *more])
+
+
+def _confirmed(words: int, num: int, den: int, share: float | None = None):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows a, b, text_a, text_b -> a, b of those that are linked, and d, the shingles that one of them has."""
+        """Rows a, b, ..., text_a, text_b -> those that are linked, without texts, and d, the shingles that one of them has. With a
+        share, signature_a and signature_b stand before the texts, and where fewer of their places agree texts aren't looked at."""
         shingle = Shingler(words)
-        for batch in small_parts(batches, (2, 3), PAIR_BYTES):
+        for batch in _pair_parts(batches):
+            if share is not None and batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for i in ("signature_a", "signature_b"))
+                batch = batch.filter(pa.array((x == y).mean(axis=1) >= share))
             keep, apart = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, np.int64)
             for i, (p, q) in enumerate(_set_pairs(batch, shingle)):
                 if len(p) > len(q):
@@ -194,7 +213,7 @@ def _confirmed(words: int, num: int, den: int):
                 both = _common(p, q)
                 keep[i] = den * both >= num * (len(p) + len(q) - both)
                 apart[i] = len(p) + len(q) - 2 * both
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(pa.array(keep)) for k in (0, 1)), pa.array(apart[keep])], ["a", "b", "d"])
+            yield _with(batch, 2 if share is None else 4, d=pa.array(apart)).filter(pa.array(keep))
 
     return confirm
 
@@ -207,88 +226,77 @@ def _common(p: np.ndarray, q: np.ndarray) -> int:
 
 def _distances(words: int):
     def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows a, b, text_a, text_b -> a, b, sizes of both sets, shingles that one of them has."""
+        """Rows a, b, ..., text_a, text_b -> the same without texts, sizes of both sets, shingles that one of them has."""
         shingle = Shingler(words)
-        for batch in small_parts(batches, (2, 3), PAIR_BYTES):
+        for batch in _pair_parts(batches):
             sizes = [(len(p), len(q), _common(*sorted((p, q), key=len))) for p, q in _set_pairs(batch, shingle)]
             n, m, both = (np.array([x[k] for x in sizes], np.int64) for k in range(3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(m), pa.array(n + m - 2 * both)], ["a", "b", "na", "nb", "d"])
+            yield _with(batch, na=pa.array(n), nb=pa.array(m), d=pa.array(n + m - 2 * both))
 
     return distances
 
 
 def _differing(words: int):
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows a, b, text_a, text_b -> row, hub, shingles that one of them has."""
+        """Rows a, b, ..., text_a, text_b -> the same without texts, shingles that one of them has."""
         shingle = Shingler(words)
-        for batch in small_parts(batches, (2, 3), PAIR_BYTES):
+        for batch in _pair_parts(batches):
             apart = [np.setxor1d(p, q, assume_unique=True) for p, q in _set_pairs(batch, shingle)]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in apart])]).astype(np.int32)
             flat = np.concatenate(apart).view(np.int64) if apart else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["row", "hub", "apart"])
+            yield _with(batch, apart=pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
 
     return differ
 
 
-def _alike(bands_rows: int, share: float):
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Signature verification: rows a, b and both signatures -> a, b of those that agree in enough places."""
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, bands_rows) for i in (2, 3))
-                keep = pa.array((x == y).mean(axis=1) >= share)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    return alike
+def _both(pairs: DataFrame, of: DataFrame, cols: tuple[str, ...]) -> DataFrame:
+    """pairs (a, b, ...) with cols of both as their last columns. Many pairs may have one b: with a column deals its rows are dealt
+    over so many tasks; without, Spark's adaptive execution splits what is too large, as it does in a join of two shuffles."""
+    rest = [c for c in pairs.columns if c != "deals"]
+    side = lambda name: of.select(F.col("row").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in cols))
+    by, hubs = ["b"], side("b")
+    if "deals" in pairs.columns:
+        hubs = pairs.groupBy("b").agg(F.max("deals").alias("deals")).join(hubs, "b").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).drop("deals")
+        by, pairs = ["b", "deal"], pairs.withColumn("deal", F.pmod(F.xxhash64("a"), F.col("deals")))
+    return pairs.join(side("a"), "a").join(hubs, by).select(*rest, *(f"{c}_{x}" for c in cols for x in "ab"))
 
 
-def _both(pairs: DataFrame, of: DataFrame, col: str) -> DataFrame:
-    """pairs (a, b, deals) with col of both. Many pairs may have one b: its rows are dealt over deals tasks."""
-    side = lambda name: of.select(F.col("row").alias(name), F.col(col).alias(f"{col}_{name}"))
-    pairs = pairs.withColumn("deal", F.pmod(F.xxhash64("a"), F.col("deals")))
-    hubs = pairs.groupBy("b").agg(F.max("deals").alias("deals")).join(side("b"), "b").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
-    return pairs.join(side("a"), "a").join(hubs, ["b", "deal"]).select("a", "b", f"{col}_a", f"{col}_b")
+def _told(pairs: DataFrame, texts: DataFrame, how, adds: str, cols: tuple[str, ...] = ("text",)) -> DataFrame:
+    """pairs (a, b, ...) with the columns adds that how finds from cols of both."""
+    both = _both(pairs, texts, cols)
+    return both.mapInArrow(how, T.StructType([*both.schema.fields[: -2 * len(cols)], *T.StructType.fromDDL(adds).fields]))
 
 
-def _dealt(n: Column) -> Column:
-    return F.greatest(F.lit(1), F.ceil(n / DEALT)).cast("long")
+def _dealt(n: Column, each: int = DEALT) -> Column:
+    return F.greatest(F.lit(1), F.ceil(n / each)).cast("long")
 
 
-class _Comparer:
-    """Confirms links between rows of texts (row, text) with signatures (row, signature)."""
-
-    def __init__(self, signatures: DataFrame, texts: DataFrame, words: int, num: int, den: int, functions: int):
-        self.signatures, self.texts, self.words, self.num, self.den, self.functions = signatures, texts, words, num, den, functions
-
-    def links(self, pairs: DataFrame, what: str) -> DataFrame:
-        """Those of pairs (a, b, deals) that are linked, and the shingles d that one of them has."""
-        near = _both(pairs, self.signatures, "signature").mapInArrow(_alike(self.functions, self.num / self.den - SLACK), "a long, b long")
-        near = staged(near.join(pairs, ["a", "b"]), f"{what}-alike")
-        return staged(_both(near, self.texts, "text").mapInArrow(_confirmed(self.words, self.num, self.den), "a long, b long, d long"), f"{what}-links")
+def _links(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Those of pairs (a, b, ...) that are linked, and the shingles d that one of them has. texts: row, signature, text."""
+    return staged(_told(pairs, texts, _confirmed(words, num, den, num / den - SLACK), "d long", ("signature", "text")), "links")
 
 
 def _classes(signed: DataFrame, given: DataFrame, words: int) -> DataFrame:
     """row, rep: the least row with the same set, confirmed on the sets themselves; rows with an empty set have none."""
     sums = ["n_shingles", "s1", "s2"]
-    several = signed.where("n_shingles > 0").groupBy(*sums).agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    salted = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pairs = signed.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, [*sums, "salt"]).where("row <> rep").select(F.col("row").alias("a"), F.col("rep").alias("b"), _dealt(F.col("k")).alias("deals"))
-    pairs = staged(pairs, "class-pairs")
-    involved = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row")).distinct())
-    same = staged(_both(pairs, given.join(involved, "row", "left_semi"), "text").mapInArrow(_confirmed(words, 1, 1), "a long, b long, d long"), "classes")
+    several = staged(signed.where("n_shingles > 0").groupBy(*sums).agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1"), "several")
+    pairs = signed.select("row", *sums).join(several, sums).where("row <> rep").select(F.col("row").alias("a"), F.col("rep").alias("b"), _dealt(F.col("k"), PAIRED).alias("deals"))
+    same = staged(_told(pairs, given, _confirmed(words, 1, 1), "d long"), "classes")
     return same.select(F.col("a").alias("row"), F.col("b").alias("rep"))
 
 
 def _members(reps: DataFrame) -> DataFrame:
-    """row, n, hub, met, deals: the members of buckets of several and their buckets' hubs, which stand among them too; met: how
-    many the hub meets."""
+    """row, n, hubs: rows in buckets of several and the hubs of their buckets, which stand among them too, each with how many it
+    meets, counted by bucket (met), and its size (h)."""
     places = reps.select("row", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
     sizes = places.groupBy("band", "key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     shared = staged(places.join(sizes, ["band", "key"]), "buckets")
     met = shared.groupBy("row").agg(F.sum("k").alias("met"))
-    hubs = shared.join(met, "row").groupBy("band", "key").agg(F.max(F.struct("met", (-F.col("row")).alias("minus"))).alias("top"))
-    around = shared.select("band", "key", "row", "n").join(hubs, ["band", "key"]).select("row", "n", (-F.col("top.minus")).alias("hub"), F.col("top.met").alias("met"), _dealt(F.col("top.met")).alias("deals"))
-    return staged(around.distinct(), "members")
+    hubs = shared.join(met, "row").groupBy("band", "key").agg(F.max(F.struct("met", (-F.col("row")).alias("minus"), F.col("n").alias("h"))).alias("top"))
+    around = shared.select("band", "key", "row", "n").join(hubs, ["band", "key"]).select("row", "n", F.struct((-F.col("top.minus")).alias("hub"), "top.met", "top.h").alias("hub"))
+    # A row is in no more buckets than there are bands.
+    of_row = around.groupBy("row").agg(F.first("n").alias("n"), F.collect_set("hub").alias("hubs"))
+    return staged(of_row, "members")
 
 
 def _open(members: DataFrame) -> DataFrame:
@@ -297,36 +305,29 @@ def _open(members: DataFrame) -> DataFrame:
     return members.join(several, "hub", "left_semi")
 
 
-def _with_deals(pairs: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with the number of tasks that the rows of b are dealt over."""
-    return pairs.join(pairs.groupBy("b").agg(_dealt(F.count(F.lit(1))).alias("deals")), "b")
-
-
 def _able(members: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Members (row, component, n, hub, ...) with enough shingles that another component has too, around hubs with several
     components."""
-    of = members.select("row", "component").distinct()
-    sets = texts.join(of.select("row"), "row", "left_semi").mapInArrow(_sets(words), "row long, shingles array<long>").join(of, "row")
+    of = members.groupBy("row").agg(F.first("component").alias("component"))
+    sets = texts.join(of, "row").select("row", "text", "component").mapInArrow(_sets(words), "row long, component long, shingles array<long>")
     places = staged(sets.select("row", "component", F.explode("shingles").alias("s")), "places")
-    # A shingle of one component only is counted by component and row first, so a frequent one isn't one task's.
-    own = places.groupBy("s").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 = c2").select("s", "c1")
-    salted = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    alone = places.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["s", "salt"], "left_semi").groupBy("row").agg(F.count(F.lit(1)).alias("alone"))
-    return staged(_open(members.join(alone, "row", "left").where(f"{den} * (n - coalesce(alone, 0)) >= {num} * n").drop("alone")), "open")
+    # Written, so that the join is one of two shuffles, of which Spark splits what a frequent shingle makes large.
+    own = staged(places.groupBy("s").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 = c2").select("s"), "own")
+    alone = places.select("row", "s").join(own, "s", "left_semi").groupBy("row").agg(F.count(F.lit(1)).alias("alone"))
+    return _open(members.join(alone, "row", "left").where(f"{den} * (n - coalesce(alone, 0)) >= {num} * n").drop("alone"))
 
 
 def _sharing(things: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of different components in one group that may be within reach. things: grp, hub, row, component, lo and hi
     (sizes that a partner's must fit), reach (in parts of den + num), side: 0 and 2 are paired with others only, 0 with 1 and 2,
-    2 with 0 and 1; 1 with all."""
+    2 with 0 and 1; 1 with all. A column deals has the tasks that the rows of a hub are dealt over."""
     total = den + num
-    pairs = staged(_with_deals(things.select(F.col("row").alias("a"), F.col("hub").alias("b")).distinct()), "to-hub")
-    apart = staged(_both(pairs, texts, "text").mapInArrow(_differing(words), "row long, hub long, apart array<long>"), "apart")
-    sized = things.join(apart, ["row", "hub"]).withColumn("v", F.size("apart").cast("long") * total - F.col("reach"))
+    apart = staged(_told(things.withColumnsRenamed({"row": "a", "hub": "b"}), texts, _differing(words), "apart array<long>"), "apart")
+    sized = apart.withColumnRenamed("a", "row").withColumn("v", F.size("apart").cast("long") * total - F.col("reach"))
     # The least v of another component of the group; deals: tasks that a key of the group is dealt over.
     lows = sized.groupBy("grp", "component").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("k"))
     lowest = lows.groupBy("grp").agg(F.min(F.struct("v", "component")).alias("low"), _dealt(F.sum("k")).alias("deals"))
-    second = lows.join(lowest, "grp").where("component <> low.component").groupBy("grp").agg(F.min("v").alias("next"), F.first("low").alias("low"), F.first("deals").alias("deals"))
+    second = staged(lows.join(lowest, "grp").where("component <> low.component").groupBy("grp").agg(F.min("v").alias("next"), F.first("low").alias("low"), F.first("deals").alias("deals")), "lows")
     need = (F.col("v") + F.when(F.col("component") == F.col("low.component"), F.col("next")).otherwise(F.col("low.v"))).alias("need")
     met = sized.join(second, "grp").select("grp", "row", "component", "side", "lo", "hi", "v", need, "deals", F.pmod(F.xxhash64("row"), "deals").alias("deal"), "apart")
     met = staged(met, "described")
@@ -353,29 +354,40 @@ def _sharing(things: DataFrame, texts: DataFrame, words: int, num: int, den: int
 
 
 def _links_between(members: DataFrame, pivots: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(links, possible): links (a, b) that are confirmed, and pairs (a, b, deals) that may be linked besides, so that all of
-    them join the components that links between members around one hub join. members: row, n, hub, component; pivots: row,
-    pivot, d (rows without one are their own)."""
+    """(links, possible): links (a, b) that are confirmed, and pairs (a, b) that may be linked besides, so that all of them join
+    the components that links between members around one hub join. members: row, n, hub, met, component; pivots: row, pivot, d
+    (rows without one are their own)."""
     total, less = den + num, den - num
-    able = _able(members, texts, words, num, den).join(pivots, "row", "left")
-    able = able.select("row", "n", "hub", "component", F.coalesce("pivot", "row").alias("pivot"), F.coalesce("d", F.lit(0)).alias("d")).withColumn("reach", total * F.col("d") + less * F.col("n"))
-    able = staged(able, "able")
-    rows = staged(able.select("row", "n", "pivot", "d", "reach", "component").distinct(), "reaching")
+    able = _able(members, texts, words, num, den).groupBy("row", "n", "component").agg(F.collect_list(F.struct("hub", "met")).alias("hubs")).join(pivots, "row", "left")
+    able = able.select("row", "n", "component", "hubs", F.coalesce("pivot", "row").alias("pivot"), F.coalesce("d", F.lit(0)).alias("d")).withColumn("reach", total * F.col("d") + less * F.col("n"))
+    rows = staged(able, "able")
+    able, rows = rows.select(*(c for c in rows.columns if c != "hubs"), F.inline("hubs")), rows.drop("hubs")
     reach = staged(rows.groupBy(F.col("pivot").alias("p")).agg(F.max("reach").alias("reach"), F.first("component").alias("component"), F.count(F.lit(1)).alias("k")), "reach")
     # Pairs with a row that is alone at its pivot: by their differences from the hub.
     around = able.join(reach.select(F.col("p").alias("pivot"), "k"), "pivot")
-    around = around.select(F.col("hub").alias("grp"), "hub", "row", "component", F.col("n").alias("lo"), F.col("n").alias("hi"), (less * F.col("n")).alias("reach"), F.when(F.col("k") > 1, 0).otherwise(1).alias("side"))
-    around = staged(around.join(around.where("side = 1").select("grp").distinct(), "grp", "left_semi"), "around-hubs")
-    possible = _sharing(around, texts, words, num, den)
+    around = around.select("hub", "row", "component", F.col("n").alias("lo"), F.col("n").alias("hi"), (less * F.col("n")).alias("reach"), F.when(F.col("k") > 1, 0).otherwise(1).alias("side"), _dealt(F.col("met") / BANDS, PAIRED).alias("deals"))
+    around = around.join(around.where("side = 1").select("hub").distinct(), "hub", "left_semi").select(F.struct(F.lit(False).alias("facing"), "hub").alias("grp"), *around.columns)
     # Pairs of rows at pivots with several.
     classes = able.join(reach.where("k > 1").select(F.col("p").alias("pivot")), "pivot", "left_semi").groupBy("hub", "pivot", "component").agg(F.max("reach").alias("reach"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     things = staged(_open(classes).select(F.col("hub").alias("grp"), "hub", F.col("pivot").alias("row"), "component", "lo", "hi", "reach", F.lit(1).alias("side")), "pivots-around")
-    met = staged(_with_deals(_sharing(things, texts, words, num, den)), "pivot-pairs") if not things.isEmpty() else None
-    if met is None or met.isEmpty():
-        return possible.limit(0), staged(_with_deals(staged(possible, "sharing")), "possible")
-    apart = _both(met, texts, "text").mapInArrow(_distances(words), "a long, b long, na long, nb long, d long")
+    met = staged(_sharing(things, texts, words, num, den), "pivot-pairs") if not things.isEmpty() else None
+    links = None
+    if met is not None and not met.isEmpty():
+        links, last = _facing(met, rows, reach, texts, words, num, den)
+        around = around.unionByName(last)
+    # What is around hubs and what faces pivots, in groups of their own.
+    around = staged(around, "around-hubs")
+    possible = around.select(F.col("row").alias("a"), F.col("hub").alias("b")).limit(0) if around.isEmpty() else staged(_sharing(around, texts, words, num, den), "possible")
+    return possible.limit(0) if links is None else links, possible
+
+
+def _facing(met: DataFrame, rows: DataFrame, reach: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """For pairs of pivots met (a, b): confirmed links (a, b) of pivots, or of their members with the other pivot; and of the
+    members that may be linked besides, things for _sharing. rows: row, n, pivot, d, reach, component; reach: by pivot p."""
+    total, less = den + num, den - num
     of = lambda name, tag: reach.select(F.col("p").alias(name), *(F.col(c).alias(f"{c}_{tag}") for c in ("reach", "component", "k")))
     linked = f"{total} * d <= {less} * (na + nb)"
+    apart = _told(met, texts, _distances(words), "na long, nb long, d long")
     apart = staged(apart.join(of("a", "a"), "a").join(of("b", "b"), "b").where(f"{total} * d <= reach_a + reach_b"), "alive")
     # Of a pair that is alive, the members of the pivot with fewer (q) are compared with the other pivot (p).
     first = F.expr("k_a > k_b or k_a = k_b and a < b")
@@ -384,23 +396,20 @@ def _links_between(members: DataFrame, pivots: DataFrame, texts: DataFrame, word
     salted = ways.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     facing = rows.withColumnsRenamed({"pivot": "q", "d": "own"}).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["q", "salt"]).where(f"reach + over >= {total} * gap")
     facing = staged(facing.select("row", "n", "component", "p", "q", "c", "over", "gap"), "facing")
-    asked = staged(_with_deals(facing.where("row <> q").select(F.col("row").alias("a"), F.col("p").alias("b")).distinct()), "facing-pairs")
-    told = staged(_both(asked, texts, "text").mapInArrow(_distances(words), "a long, b long, na long, nb long, d long"), "facing-apart")
-    links = staged(apart.where(linked).select("a", "b").unionByName(told.where(linked).select("a", "b")).distinct(), "pivot-links")
-    known = facing.where("row <> q").join(told.select(F.col("a").alias("row"), F.col("b").alias("p"), "d"), ["row", "p"]).drop("gap").unionByName(facing.where("row = q").withColumnRenamed("gap", "d"))
+    # A row has one pivot, so it faces another one once.
+    told = staged(_told(facing.where("row <> q").withColumnsRenamed({"row": "a", "p": "b"}), texts, _distances(words), "na long, nb long, d long"), "facing-apart")
+    links = staged(apart.where(linked).select("a", "b").unionByName(told.where(linked).select("a", "b")), "pivot-links")
+    known = told.drop("gap", "na", "nb").withColumnsRenamed({"a": "row", "b": "p"}).unionByName(facing.where("row = q").withColumnRenamed("gap", "d"))
     # What the links joined needs no more; of the rest, those whose difference from p a member of p can bridge.
-    edges = links.unionByName(rows.select(F.col("row").alias("a"), F.col("component").alias("b"))).unionByName(rows.select(F.col("pivot").alias("a"), F.col("component").alias("b")).distinct())
-    joined = staged(connected_components(edges), "joined")
+    edges = links.unionByName(rows.select(F.col("row").alias("a"), F.col("component").alias("b"))).unionByName(rows.select(F.col("pivot").alias("a"), F.col("component").alias("b")))
+    joined = parents(edges)
     known = known.join(joined.select(F.col("node").alias("row"), F.col("component").alias("now")), "row", "left")
     known = known.join(joined.select(F.col("node").alias("p"), F.col("component").alias("then")), "p", "left").where("coalesce(now, row) <> coalesce(then, p)")
     rim = staged(known.withColumn("v", total * F.col("d") - less * F.col("n")).where("v <= over").select("p", "row", "component", "n", "v").distinct(), "rim")
-    bridging = rows.join(rim.groupBy(F.col("p").alias("pivot")).agg(F.min("v").alias("v")), "pivot").where("reach >= v and row <> pivot").withColumnRenamed("pivot", "p")
-    side = lambda df, i: df.select(F.col("p").alias("grp"), F.col("p").alias("hub"), "row", "component", F.col("n").alias("lo"), F.col("n").alias("hi"), (less * F.col("n")).alias("reach"), F.lit(i).alias("side"))
-    last = staged(side(bridging, 0).unionByName(side(rim.join(bridging.select("p").distinct(), "p", "left_semi"), 2)), "last")
-    if not last.isEmpty():
-        possible = possible.unionByName(_sharing(last, texts, words, num, den)).distinct()
-    possible = _with_deals(staged(possible, "sharing"))
-    return links, staged(possible, "possible")
+    bridging = staged(rows.join(rim.groupBy(F.col("p").alias("pivot")).agg(F.min("v").alias("v")), "pivot").where("reach >= v and row <> pivot").withColumnRenamed("pivot", "p"), "bridging")
+    group = F.struct(F.lit(True).alias("facing"), F.col("p").alias("hub")).alias("grp")
+    side = lambda df, i: df.select(group, F.col("p").alias("hub"), "row", "component", F.col("n").alias("lo"), F.col("n").alias("hi"), (less * F.col("n")).alias("reach"), F.lit(i).alias("side"), F.lit(SALTS).cast("long").alias("deals"))
+    return links, side(bridging, 0).unionByName(side(rim.join(bridging.select("p").distinct(), "p", "left_semi"), 2))
 
 
 def near_dedup(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, row_col: str | None = None) -> DataFrame:
@@ -413,28 +422,23 @@ def near_dedup(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, i
     apart; without it ids do, or, where they repeat, numbers in a written copy. Other columns are not read.
     """
     given = keyed(docs, id_col, text_col, row_col)
-    signed = staged(given.select("row", "text").mapInArrow(_signed(words, bands, rows), SIGNED), "signed")
+    signed = staged(given.select("row", "text", "doc_id").mapInArrow(_signed(words, bands, rows), f"{SIGNED} {given.schema['doc_id'].dataType.simpleString()}"), "signed")
     classes = _classes(signed, given, words)
     members = _members(signed.where("n_shingles > 0").join(classes, "row", "left_anti"))
-    shared = staged(members.select("row").distinct(), "shared")
-    texts = staged(given.select("row", "text").join(shared, "row", "left_semi"), "bucket-texts")
-    compare = _Comparer(signed.select("row", "signature").join(shared, "row", "left_semi"), texts, words, num, den, bands * rows)
-    sizes = members.where("row = hub").select("hub", F.col("n").alias("h")).distinct()
-    asked = members.where("row <> hub").join(sizes, "hub").where(f"{den} * least(n, h) >= {num} * greatest(n, h)").select(F.col("row").alias("a"), F.col("hub").alias("b"), "deals")
-    links = compare.links(staged(asked, "hub-pairs"), "hub")
-    components = staged(connected_components(links), "components")
-    named = members.join(components.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
-    open_ = staged(_open(named), "around")
+    texts = staged(given.select("row", "text").join(signed.select("row", "signature").join(members.select("row"), "row", "left_semi"), "row"), "bucket-texts")
+    asked = members.select("row", "n", F.inline("hubs")).where(f"row <> hub and {den} * least(n, h) >= {num} * greatest(n, h)")
+    links = _links(asked.select(F.col("row").alias("a"), F.col("hub").alias("b"), "met", _dealt(F.col("met") / bands, PAIRED).alias("deals")), texts, words, num, den)
+    components = parents(links)
+    named = members.join(components.withColumnRenamed("node", "row"), "row", "left").select("row", "n", F.coalesce("component", "row").alias("component"), F.inline("hubs"))
+    open_ = staged(_open(named.drop("h")), "around")
     if not open_.isEmpty():
-        hubs = links.join(members.select(F.col("row").alias("a"), F.col("hub").alias("b"), "met"), ["a", "b"])
-        pivots = hubs.groupBy(F.col("a").alias("row")).agg(F.max(F.struct("met", (-F.col("b")).alias("minus"), "d")).alias("top")).select("row", (-F.col("top.minus")).alias("pivot"), "top.d")
-        between, possible = _links_between(open_, staged(pivots, "pivots"), texts, words, num, den)
-        more = between.unionByName(compare.links(possible, "more").select("a", "b"))
+        pivots = links.groupBy(F.col("a").alias("row")).agg(F.max(F.struct("met", (-F.col("b")).alias("minus"), "d")).alias("top")).select("row", (-F.col("top.minus")).alias("pivot"), "top.d")
+        between, possible = _links_between(open_, pivots, texts.drop("signature"), words, num, den)
+        more = between.unionByName(_links(possible, texts, words, num, den).select("a", "b"))
         if not more.isEmpty():
-            components = staged(connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
-    of_row = signed.select("row", "n_shingles").join(classes, "row", "left").withColumn("rep", F.coalesce("rep", "row"))
-    of_row = of_row.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("row", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    ended = staged(of_row.join(given.select("row", "doc_id"), "row"), "ended")
-    first = ended.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = ended.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(first, ["component", "salt"], "left").withColumn("first", F.coalesce("first", F.struct("doc_id", "row")))
+            components = parents(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    of_row = signed.select("row", "doc_id", "n_shingles").join(classes, "row", "left").withColumn("rep", F.coalesce("rep", "row"))
+    ended = staged(of_row.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("row", "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component")), "ended")
+    first = staged(ended.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "firsts")
+    out = ended.join(first, "component", "left").withColumn("first", F.coalesce("first", F.struct("doc_id", "row")))
     return out.select(*([F.col("row").alias(row_col)] if row_col else []), F.col("doc_id").cast("long").alias(id_col), "n_shingles", F.col("first.doc_id").cast("long").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"))
