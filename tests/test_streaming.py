@@ -53,6 +53,23 @@ def test_first_per_key_stream(spark, tmp_path):
     assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()) == chain(rows)
 
 
+def test_first_per_key_stream_in_small_batches(spark, tmp_path):
+    """A micro-batch whose keys are cut into several Arrow batches, out of order and with ties, keeps what the batch keeps."""
+    rows = [r for r in events(4) if r[0] is not None and r[1] is not None]
+    rows += [("tie", DAY, n, 0) for n in (5001, 5000, 5002)]
+    random.Random(4).shuffle(rows)
+    df, size = spark.createDataFrame(rows, EVENTS), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get(size)
+    spark.conf.set(size, 7)
+    try:
+        live = first_seen.first_per_key(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "key", "ts")
+        live.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(size, before)
+    assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()) == chain(rows)
+
+
 @pytest.mark.parametrize("fails", ["before the marks", "after the marks"])
 def test_consumed_once(spark, tmp_path, fails):
     """A batch that dies on either side of its marks is run again, handles the same rows and marks them once."""
