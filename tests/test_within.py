@@ -62,3 +62,31 @@ def test_slices_of_a_batch_take_their_own_bytes():
     bodies = pa.array([f"{{4:\n:20:A{i}\n-}}" for i in range(5)])
     cut = Cut(bodies.slice(3, 2))
     assert cut.values.to_pylist() == ["A3", "A4"] and len(cut.text) == 2 * len(bodies[0].as_py())
+
+
+def test_entity_table_and_rendering_without_windows(spark):
+    """An entity's table is pivoted in the pass, and lines are shuffled once on their way back to text."""
+    from tidewire.operators import render
+
+    m = spark.createDataFrame(odd(4), MESSAGES)
+    rule_rows = rules.rules(spark)
+    _, values = by_rows(spark, m)
+    layout = rules.layout(rule_rows).collect()
+    for name in ("mt537_transaction", "settlement_party"):
+        table, want = entities.table_of(m, layout, name), entities.entity_table(values, layout, name)
+        assert table.schema.names == want.schema.names and "Exchange" not in table._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(repr, map(tuple, table.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    texts = render.messages_from(values, rule_rows)
+    plan = texts._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("MapInArrow") == 2
+    from_pass = render.messages_from(entities.values_of(m), rule_rows)
+    assert sorted(map(tuple, from_pass.collect())) == sorted(map(tuple, texts.collect()))
+
+
+def test_rendered_order(spark):
+    """Lines come by their paths' first rules and occurrences, those of an enclosing sequence where their own rule puts them."""
+    from tidewire.operators import render
+
+    lines = [("m", "MT537", "STAT[10]/TRAN[0]", 6, ":d"), ("m", "MT537", "STAT[2]", 4, ":b"), ("m", "MT537", "GENL[0]", 1, ":a"), ("m", "MT537", "STAT[2]/TRAN[0]/LINK[0]", 5, ":c"), ("n", "MT537", "GENL[0]", 1, None)]
+    got = render.block4(spark.createDataFrame(lines, "message_id string, message_type string, seq_index string, rule_ord int, line string"), rules.rules(spark)).collect()
+    assert [(r.message_id, r.text.split("\n")) for r in got] == [("m", [":16R:GENL", ":a", ":16S:GENL", ":16R:STAT", ":b", ":16R:TRAN", ":16R:LINK", ":c", ":16S:LINK", ":16S:TRAN", ":16S:STAT", ":16R:STAT", ":16R:TRAN", ":d", ":16S:TRAN", ":16S:STAT"])]
